@@ -1,7 +1,8 @@
 """Quality classifier: learned hashed word and character n-gram vectors, averaged per document, softmax output.
 
-Features of a text: each word (case kept) and each run of ``GRAMS`` bytes inside a word with one blank on either
-side, hashed to 2**``BITS`` vectors of ``DIM`` numbers. A document's vector is the mean over all its features
+Features of a text: each word (case kept), each pair of neighbouring words (a word said twice in a row is the same
+feature whatever the word) and each run of ``GRAMS`` bytes inside a word with one blank on either side, hashed to
+2**``BITS`` vectors of ``DIM`` numbers. A document's vector is the mean over all its features
 with repeats; two softmax outputs follow. Numpy stochastic gradient descent fits both layers on at most
 ``per_class`` labelled rows of either class (the driver gets each one's feature counts, at most 2**``BITS`` a row).
 
@@ -34,9 +35,11 @@ def features(t: kernel.Texts) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     if not len(t.data):
         return
     shift = kernel.U64(64 - BITS)
-    start, end, _ = t.words()
-    plain = kernel.prefix_sums(kernel.SYMBOL[t.data])
-    yield start, (kernel.run_hash(plain, start, end) >> shift).astype(np.int64)
+    word, start, _, first = t.word_hashes()
+    yield start, (word >> shift).astype(np.int64)
+    pair = kernel.within(first, 2)
+    twice = word[pair] == word[pair + 1]
+    yield start[pair], np.where(twice, 0, (kernel.run_hash(kernel.prefix_sums(word), pair, pair + 2) >> shift).astype(np.int64))
     inside = kernel.WORDS[t.data]
     blanked = np.where(inside, t.data, np.uint8(32))
     sums = kernel.prefix_sums(kernel.SYMBOL[blanked])
