@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-MODULES = ("quality_embeddings", "toxicity_fm")
+MODULES = ("quality_embeddings", "decontamination", "packing", "toxicity_fm")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
