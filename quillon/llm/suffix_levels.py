@@ -92,7 +92,7 @@ def meet(regions: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         family, rows = Family(), []
         for batch in batches:
-            columns = [batch.column(i).to_pylist() for i in range(2, 7)]
+            columns, salt = [batch.column(i).to_pylist() for i in range(2, 7)], batch.column(1).to_numpy()
             for t in kernel.texts(batch.column(7), repeats.PIECE):
                 at, hashes = UNIT.windows(kernel.SYMBOL[t.data], t.offsets)
                 cut = np.searchsorted(at, t.offsets)
@@ -100,7 +100,9 @@ def meet(regions: DataFrame) -> DataFrame:
                 own = [tuple(x[t.first + i] for x in columns) for i in range(len(t))]
                 # A hot region's windows are needed again if its first text lacks them.
                 rows += [(*x, int(size[i]), hashes[cut[i] : cut[i + 1]] if x[0] and not x[1] else None) for i, x in enumerate(own)]
-                family.add(suffix_keys(t.data, at, hashes), np.repeat([x[1] for x in own], size))
+                # One task may get several salts, each with the first text's region, which is no repeat of itself.
+                of_salt = np.repeat(kernel.mix(salt[t.first : t.first + len(t)].astype(np.uint64)), size)
+                family.add(suffix_keys(t.data, at, hashes ^ of_salt), np.repeat([x[1] for x in own], size))
         repeated, with_first = (np.concatenate([np.zeros(0, bool), *x]) for x in (family.repeated, family.with_first))
         done = 0
         for hot, is_first, doc_id, digest, start, n, hashes in rows:
