@@ -112,9 +112,9 @@ def is_in(key: np.ndarray, ascending: np.ndarray) -> np.ndarray:
 
 
 def leading(documents: DataFrame) -> DataFrame:
-    """doc_id, text, lead: the smallest id with the same text (its own where no other has it)."""
+    """doc_id, text, lead: the smallest id with the same text (its own where no other has it, or the text has no words)."""
     rows = documents.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).withColumn("md5", F.md5("text"))
-    groups = settled(rows.groupBy("md5").agg(F.min("doc_id").alias("least"), F.count("*").alias("n")).where("n > 1").select("md5", "least"), "equal-texts")
+    groups = settled(rows.where(F.col("text").rlike(r"[^\x20\x09-\x0D]")).groupBy("md5").agg(F.min("doc_id").alias("least"), F.count("*").alias("n")).where("n > 1").select("md5", "least"), "equal-texts")
     if groups.count() <= FEW_IDS // 4:
         groups = F.broadcast(groups)
     return rows.join(groups, "md5", "left").select("doc_id", "text", F.coalesce("least", "doc_id").alias("lead"))
@@ -245,6 +245,10 @@ def joined(documents: DataFrame) -> DataFrame:
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), int((total["n"] or 0) * 0.55) >> 21)
     found = settled(buckets(leads, hot_signatures(leads, total["rows"]), parts), "buckets")
     links = linked(found.select(F.col("leader").alias("a"), F.col("doc_id").alias("b")).distinct(), leads, n_of)
+    # An id of several rows holds their components together.
+    known = settled(rows.select("doc_id", "lead"), "leads")
+    several = known.groupBy("doc_id").agg(F.min("lead").alias("x"), F.max("lead").alias("y")).where("x < y").select("doc_id")
+    links = settled(links.unionAll(known.join(several, "doc_id").where("doc_id <> lead").select(F.col("doc_id").alias("a"), F.col("lead").alias("b"))), "links")
     groups = components(links)
     # Signatures that only two texts have are done; others may span components that further links would join.
     members = found.join(found.groupBy("sig").count().where("count > 1").select("sig"), "sig")
@@ -271,7 +275,6 @@ def joined(documents: DataFrame) -> DataFrame:
         members = settled(open_.where(F.col("turn") > LEADERS).select("sig", "doc_id"), "members")
         forget(open_)
     least = groups.select(F.col("node").alias("lead"), "component")
-    known = rows.select("doc_id", "lead").withColumn("row", F.lit(1))
     by_id = known.join(least, "lead", "left").groupBy("doc_id").agg(F.min(F.coalesce("component", "lead")).alias("component_id"))
     nulls = sizes(documents.where("doc_id IS NULL").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))).withColumn("component_id", F.lit(None).cast("long"))
     return n_of.join(by_id, "doc_id").select("doc_id", "n_shingles", "component_id").unionAll(nulls)
