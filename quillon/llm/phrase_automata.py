@@ -27,7 +27,7 @@ from . import kernel, repeats
 from .workspace import table
 
 SIZE, GRAM = 50, 16
-UNIT = repeats.Unit(words=True, size=SIZE, gram=GRAM)
+UNIT = repeats.Unit(words=True, size=SIZE, gram=GRAM, step=8)
 RESULT = "doc_id long, n_words long, n_removed long, kept_sha256 string"
 
 
@@ -84,7 +84,8 @@ def meet(regions: DataFrame) -> DataFrame:
             for t in kernel.texts(batch.column(7), repeats.PIECE):
                 symbols, _, _, first = UNIT.symbols(t)
                 at, place, _ = UNIT.anchors(symbols, first)
-                hashes = UNIT.windows(symbols, first)[1]
+                sums = kernel.prefix_sums(symbols)
+                hashes = kernel.run_hash(sums, at, at + SIZE)
                 cut = np.searchsorted(at, first)
                 for i in range(len(t)):
                     lead, salt, hot, is_first, doc_id, digest, start = (x[t.first + i] for x in rows)
@@ -99,9 +100,9 @@ def meet(regions: DataFrame) -> DataFrame:
                     known = shard.known(doc_id, starts, windows, keep=not hot)
                     spans = repeats.merged(known + start, SIZE)
                     if spans:
-                        yield repeats.found_batch(0, doc_id, digest, *zip(*spans, strict=True))
-                    if hot and len(left := np.setdiff1d(starts, known)):
-                        yield repeats.found_batch(1, doc_id, digest, hashes[own][left].view(np.int64), left + start)
+                        yield repeats.found_spans(doc_id, digest, spans)
+                    if hot and len(left := np.setdiff1d(starts, known) + cut[i]):
+                        yield repeats.left_over(doc_id, digest, UNIT, sums, at[left], place[left], hashes[left], int(first[i]), start)
 
     return regions.mapInArrow(repeats.gathered(run), repeats.FOUND)
 

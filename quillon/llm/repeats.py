@@ -8,9 +8,11 @@ repeat. A text's anchors are a few hundredths of its symbols, and only they are
 2. Anchors are counted; those seen again keep the smallest doc_id that has them (``first``).
 3. Each text with such anchors is cut into regions: runs of windows whose anchors share a ``first``.
 4. Regions meet by ``first`` in the operator's own way (``meet``). Windows that are equal have one anchor, hence
-   one ``first``, so they meet. An anchor of more than ``HOT`` texts is hot: its regions are dealt over ``SALTS``
-   tasks, each with a copy of the region of ``first``; windows that the copy lacks are left over.
-5. Left-over windows are counted by their hash over all texts, with partial sums before the shuffle.
+   one ``first``, so they meet. An anchor of more than ``HOT`` texts is hot: its regions are dealt over salts, about
+   ``PER_SALT`` texts each, every salt with a copy of the region of ``first``; windows that the copy lacks are left over.
+5. Left-over windows are counted over all texts, with partial sums before the shuffle: first, for up to ``step``
+   neighbours at once, the run of symbols that they have in common (equal windows have equal ones), then, where
+   that occurs again, each window.
 6. Intervals come back to the texts.
 """
 
@@ -28,16 +30,17 @@ from . import kernel
 from .workspace import bound_batches, forget, settled
 
 HOT = 256
-SALTS = 16
+PER_SALT = 8
 #: Groups of equal texts are broadcast up to this many (each a digest and two numbers), joined by shuffle beyond.
 FEW_GROUPS = 200_000
 INDEX_BITS = 28
 PIECE = 1 << 19
 #: Stands for the smallest doc_id where no text has one.
 NO_ID = -(1 << 63)
-REGIONS = "first long, salt int, hot boolean, is_first boolean, doc_id long, digest long, start long, region binary"
-#: kind 0: an interval [a, b) to remove. kind 1: a left-over window with hash a and start b.
-FOUND = "kind int, doc_id long, digest long, a long, b long"
+REGIONS = "first long, salt long, hot boolean, is_first boolean, doc_id long, digest long, start long, region binary"
+#: kind 0: an interval [a, b) to remove. kind 1: left-over windows, b of them, whose common run has hash a; hashes
+#: and starts of the windows are 64-bit numbers, all hashes first.
+FOUND = "kind int, doc_id long, digest long, a long, b long, windows binary"
 
 
 @dataclass(frozen=True)
@@ -47,6 +50,7 @@ class Unit:
     words: bool
     size: int
     gram: int
+    step: int
 
     def symbols(self, t: kernel.Texts) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Symbols, byte starts, byte ends, and the index of each row's first symbol."""
@@ -117,7 +121,7 @@ def anchors_of(rows: DataFrame, unit: Unit) -> DataFrame:
 
 
 def regions_of(rows: DataFrame, unit: Unit) -> DataFrame:
-    """Regions of texts; rows: doc_id, digest, text and again (anchors that occur again, with first and hot)."""
+    """Regions of texts; rows: doc_id, digest, text and again (anchors that occur again, with first and salts, 0 unless hot)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -139,13 +143,13 @@ def regions_of(rows: DataFrame, unit: Unit) -> DataFrame:
                     if not len(hit):
                         continue
                     firsts = known.field(1).to_numpy(zero_copy_only=False)[order][k[hit]]
-                    hots = known.field(2).to_numpy(zero_copy_only=False)[order][k[hit]]
+                    salts_of = known.field(2).to_numpy(zero_copy_only=False)[order][k[hit]]
                     start = at[own][hit]
-                    turns = np.flatnonzero((np.diff(start) > 1) | (np.diff(firsts) != 0) | (np.diff(hots.astype(np.int8)) != 0)) + 1
+                    turns = np.flatnonzero((np.diff(start) > 1) | (np.diff(firsts) != 0) | (np.diff(salts_of) != 0)) + 1
                     for lo, hi in zip(np.r_[0, turns].tolist(), np.r_[turns, len(start)].tolist(), strict=True):
-                        a, b, is_hot, lead = int(start[lo]), int(start[hi - 1]) + unit.size, bool(hots[lo]), int(firsts[lo])
-                        is_first = ids[t.first + i] == lead
-                        salts = (0,) if not is_hot else range(SALTS) if is_first else (digests[t.first + i] % SALTS,)
+                        a, b, n_salts, lead = int(start[lo]), int(start[hi - 1]) + unit.size, int(salts_of[lo]), int(firsts[lo])
+                        is_hot, is_first = n_salts > 0, ids[t.first + i] == lead
+                        salts = (0,) if not is_hot else range(n_salts) if is_first else (digests[t.first + i] % n_salts,)
                         region = t.data[begin[a] : end[b - 1]].tobytes()
                         out += [(lead, s, is_hot, is_first, ids[t.first + i], digests[t.first + i], a - int(first[i]), region) for s in salts]
                 if out:
@@ -154,13 +158,44 @@ def regions_of(rows: DataFrame, unit: Unit) -> DataFrame:
     return rows.select("doc_id", "digest", "text", "again").mapInArrow(run, REGIONS)
 
 
-SCHEMA = pa.schema([("first", pa.int64()), ("salt", pa.int32()), ("hot", pa.bool_()), ("is_first", pa.bool_()), ("doc_id", pa.int64()), ("digest", pa.int64()), ("start", pa.int64()), ("region", pa.binary())])
-FOUND_SCHEMA = pa.schema([("kind", pa.int32()), ("doc_id", pa.int64()), ("digest", pa.int64()), ("a", pa.int64()), ("b", pa.int64())])
+SCHEMA = pa.schema([("first", pa.int64()), ("salt", pa.int64()), ("hot", pa.bool_()), ("is_first", pa.bool_()), ("doc_id", pa.int64()), ("digest", pa.int64()), ("start", pa.int64()), ("region", pa.binary())])
+FOUND_SCHEMA = pa.schema([("kind", pa.int32()), ("doc_id", pa.int64()), ("digest", pa.int64()), ("a", pa.int64()), ("b", pa.int64()), ("windows", pa.binary())])
 
 
-def found_batch(kind: int, doc_id: int | None, digest: int, a: np.ndarray | list, b: np.ndarray | list) -> pa.RecordBatch:
-    n = len(a)
-    return pa.RecordBatch.from_arrays([pa.array(np.full(n, kind, np.int32)), pa.array([doc_id] * n, pa.int64()), pa.array(np.full(n, digest)), pa.array(a, pa.int64()), pa.array(b, pa.int64())], schema=FOUND_SCHEMA)
+def found_spans(doc_id: int | None, digest: int, spans: list[tuple[int, int]]) -> pa.RecordBatch:
+    rows = [(0, doc_id, digest, a, b, None) for a, b in spans]
+    return pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*rows, strict=True), FOUND_SCHEMA, strict=True)], schema=FOUND_SCHEMA)
+
+
+def left_over(doc_id: int | None, digest: int, unit: Unit, sums: np.ndarray, left: np.ndarray, place: np.ndarray, hashes: np.ndarray, base: int, row_start: int) -> pa.RecordBatch:
+    """Windows that start at ``left`` and have anchors at ``place`` (places in ``sums``), by their neighbourhoods.
+
+    base: where the region starts in ``sums``; row_start: where it starts in its text.
+    """
+    near = (left - place) // unit.step
+    turn = np.flatnonzero(np.r_[True, (np.diff(place) != 0) | (np.diff(near) != 0)])
+    begin = place[turn] + near[turn] * unit.step + unit.step - 1
+    probe = kernel.run_hash(sums, begin, begin + unit.size - unit.step + 1)
+    rows = []
+    for p, lo, hi in zip(probe.view(np.int64).tolist(), turn.tolist(), [*turn[1:].tolist(), len(left)], strict=True):
+        packed = hashes[lo:hi].astype("<u8").tobytes() + (left[lo:hi] - base + row_start).astype("<i8").tobytes()
+        rows.append((1, doc_id, digest, p, hi - lo, packed))
+    return pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*rows, strict=True), FOUND_SCHEMA, strict=True)], schema=FOUND_SCHEMA)
+
+
+def windows_of(found: DataFrame) -> DataFrame:
+    """window, doc_id, digest, a: hash and start of each left-over window."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                n = batch.column(2).to_numpy()
+                packed = [np.frombuffer(x, "<i8") for x in batch.column(3).to_pylist()]
+                own = pa.array(np.repeat(np.arange(len(n)), n))
+                halves = [np.concatenate([x[h * len(x) // 2 : (h + 1) * len(x) // 2] for x in packed]) for h in (0, 1)]
+                yield pa.RecordBatch.from_arrays([pa.array(halves[0]), batch.column(0).take(own), batch.column(1).take(own), pa.array(halves[1])], ["window", "doc_id", "digest", "a"])
+
+    return found.select("doc_id", "digest", "b", "windows").mapInArrow(run, "window long, doc_id long, digest long, a long")
 
 
 def gathered(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], rows: int = 4096) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
@@ -189,8 +224,8 @@ def covered(rows: DataFrame, unit: Unit, again: Column, order: list[Column], mee
     spark = rows.sparkSession
     bound_batches(spark)
     anchors = settled(anchors_of(rows.where("leads"), unit), "anchors")
-    seen = anchors.groupBy("anchor").agg(F.coalesce(F.min("doc_id"), F.lit(NO_ID)).alias("first"), F.count("*").alias("n_texts"), F.sum("n").alias("n_places")).where(again).select("anchor", "first", (F.col("n_texts") > HOT).alias("hot"))
-    lists = settled(anchors.join(seen, "anchor").groupBy("doc_id").agg(F.collect_list(F.struct("anchor", "first", "hot")).alias("again")), "again")
+    seen = anchors.groupBy("anchor").agg(F.coalesce(F.min("doc_id"), F.lit(NO_ID)).alias("first"), F.count("*").alias("n_texts"), F.sum("n").alias("n_places")).where(again).select("anchor", "first", F.when(F.col("n_texts") > HOT, F.ceil(F.col("n_texts") / PER_SALT)).otherwise(0).cast("long").alias("salts"))
+    lists = settled(anchors.join(seen, "anchor").groupBy("doc_id").agg(F.collect_list(F.struct("anchor", "first", "salts")).alias("again")), "again")
     forget(anchors)
     symbols = (lists.agg(F.sum(F.size("again"))).first()[0] or 0) * unit.size
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), symbols * (6 if unit.words else 1) // (4 << 20))
@@ -199,9 +234,11 @@ def covered(rows: DataFrame, unit: Unit, again: Column, order: list[Column], mee
     dealt = cut.repartition(parts, "first", "salt").sortWithinPartitions(*order)
     found = settled(meet(dealt), "found")
     forget(lists)
-    left = found.where("kind = 1").withColumnRenamed("a", "window")
-    twice = left.groupBy("window").agg(F.min("doc_id").alias("lead"), F.count("*").alias("n")).where("n > 1")
-    late = left.join(twice, "window").where(repeated).select("doc_id", "digest", F.col("b").alias("a"), (F.col("b") + unit.size).alias("b"))
+    left = found.where("kind = 1")
+    common = left.groupBy("a").count().where("count > 1").select("a")
+    windows = settled(windows_of(left.join(common, "a")), "left-over")
+    twice = windows.groupBy("window").agg(F.min("doc_id").alias("lead"), F.count("*").alias("n")).where("n > 1")
+    late = windows.join(twice, "window").where(repeated).select("doc_id", "digest", "a", (F.col("a") + unit.size).alias("b"))
     spans = found.where("kind = 0").select("doc_id", "digest", "a", "b").unionAll(late)
     return spans.groupBy("doc_id", "digest").agg(F.collect_list(F.struct("a", "b")).alias("spans"))
 

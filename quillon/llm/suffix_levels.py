@@ -30,7 +30,7 @@ from . import kernel, repeats
 from .workspace import table
 
 SIZE, GRAM = 200, 48
-UNIT = repeats.Unit(words=False, size=SIZE, gram=GRAM)
+UNIT = repeats.Unit(words=False, size=SIZE, gram=GRAM, step=16)
 RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
 
 
@@ -98,21 +98,23 @@ def meet(regions: DataFrame) -> DataFrame:
                 cut = np.searchsorted(at, t.offsets)
                 size = np.diff(cut)
                 own = [tuple(x[t.first + i] for x in columns) for i in range(len(t))]
-                # A hot region's windows are needed again if its first text lacks them.
-                rows += [(*x, int(size[i]), hashes[cut[i] : cut[i + 1]] if x[0] and not x[1] else None) for i, x in enumerate(own)]
+                # A hot region is needed again for the windows that its first text lacks.
+                rows += [(*x, int(size[i]), t.bytes_of(i) if x[0] and not x[1] else None) for i, x in enumerate(own)]
                 # One task may get several salts, each with the first text's region, which is no repeat of itself.
                 of_salt = np.repeat(kernel.mix(salt[t.first : t.first + len(t)].astype(np.uint64)), size)
                 family.add(suffix_keys(t.data, at, hashes ^ of_salt), np.repeat([x[1] for x in own], size))
         repeated, with_first = (np.concatenate([np.zeros(0, bool), *x]) for x in (family.repeated, family.with_first))
         done = 0
-        for hot, is_first, doc_id, digest, start, n, hashes in rows:
+        for _, _, doc_id, digest, start, n, region in rows:
             own = slice(done, done + n)
             done += n
             spans = repeats.merged(np.flatnonzero(repeated[own]) + start, SIZE)
             if spans:
-                yield repeats.found_batch(0, doc_id, digest, *zip(*spans, strict=True))
-            if hot and not is_first and len(left := np.flatnonzero(~with_first[own])):
-                yield repeats.found_batch(1, doc_id, digest, hashes[left].view(np.int64), left + start)
+                yield repeats.found_spans(doc_id, digest, spans)
+            if region is not None and len(left := np.flatnonzero(~with_first[own])):
+                symbols = kernel.SYMBOL[np.frombuffer(region, np.uint8)]
+                sums, (_, place, _) = kernel.prefix_sums(symbols), UNIT.anchors(symbols, np.array([0, len(symbols)]))
+                yield repeats.left_over(doc_id, digest, UNIT, sums, left, place[left], kernel.run_hash(sums, left, left + SIZE), 0, start)
 
     return regions.mapInArrow(repeats.gathered(run), repeats.FOUND)
 
