@@ -16,6 +16,7 @@ from __future__ import annotations
 import zlib
 from collections import defaultdict
 from collections.abc import Callable, Iterator
+from functools import lru_cache
 
 import numpy as np
 import public_tokenizers
@@ -30,48 +31,104 @@ SIZE = 2048
 END_ID = 1
 SALTS = 64
 #: The most distinct words whose ids a worker remembers.
-REMEMBERED = 300_000
+REMEMBERED = 700_000
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
 
 
 class WordIds:
-    """Ids of texts by way of their blank-separated words: this tokenizer drops blanks and never joins words."""
+    """Ids of texts by way of their parts: this tokenizer drops blanks, lowers case and never joins parts.
+
+    Parts are blank-separated words, and inside plain words runs of letters, single digits and runs of other
+    characters, as the tokenizer splits them itself. A word is plain if it has only printable ASCII and Latin-1
+    letters, no apostrophe (contractions) and no ``<`` (special tokens); others stay whole.
+    """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        words = self.tokenizer.get_vocab(with_added_tokens=True)
+        self.ends = np.zeros(max(words.values()) + 1, bool)
+        self.ends[[i for word, i in words.items() if word.endswith("</w>")]] = True
         self.forget()
 
     def forget(self) -> None:
         self.known: dict[int, int] = {}
         self.flat, self.used = np.zeros(1 << 16, np.uint32), 0
-        self.at, self.count = np.zeros(REMEMBERED, np.int64), np.zeros(REMEMBERED, np.int64)
-
-    def learn(self, keys: list[int], words: list[str]) -> None:
-        for lo in range(0, len(words), 4096):
-            for key, e in zip(keys[lo : lo + 4096], self.tokenizer.encode_batch_fast(words[lo : lo + 4096], add_special_tokens=False), strict=True):
-                ids, slot = e.ids, len(self.known)
-                if slot == len(self.at):
-                    self.at, self.count = (np.concatenate([x, np.zeros_like(x)]) for x in (self.at, self.count))
-                while self.used + len(ids) > len(self.flat):
-                    self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
-                self.flat[self.used : self.used + len(ids)] = ids
-                self.at[slot], self.count[slot] = self.used, len(ids)
-                self.used += len(ids)
-                self.known[key] = slot
+        self.at, self.count = np.zeros(0, np.int64), np.zeros(0, np.int64)
+
+    def encoded(self, words: list[str], plain: bool) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """(ids of some words, how many each has)."""
+        if plain:
+            # One part has one token that ends a word.
+            for lo in range(0, len(words), 2048):
+                some = words[lo : lo + 2048]
+                ids = np.array(self.tokenizer.encode(" ".join(some), add_special_tokens=False).ids, np.uint32)
+                end = np.flatnonzero(self.ends[ids]) + 1
+                if len(end) == len(some) and end[-1] == len(ids):
+                    yield ids, np.diff(end, prepend=0)
+                else:
+                    yield from self.encoded(some, plain=False)
+        else:
+            for word in words:
+                ids = np.array(self.tokenizer.encode(word, add_special_tokens=False).ids, np.uint32)
+                yield ids, np.array([len(ids)])
+
+    def learn(self, keys: list[int], words: list[str], plain: bool) -> None:
+        ids, counts = zip(*self.encoded(words, plain), strict=True)
+        ids, counts = np.concatenate(ids), np.concatenate(counts)
+        while self.used + len(ids) > len(self.flat):
+            self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
+        self.flat[self.used : self.used + len(ids)] = ids
+        self.known.update(zip(keys, range(len(self.known), len(self.known) + len(keys)), strict=True))
+        self.at = np.concatenate([self.at, self.used + np.cumsum(counts) - counts])
+        self.count = np.concatenate([self.count, counts])
+        self.used += len(ids)
+
+    @staticmethod
+    def parts(t: kernel.Texts) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Lower-case bytes, starts and ends of the parts, the index of each row's first, and which are of plain words."""
+        low = kernel.LOWER[t.data]
+        lead = np.zeros(len(low) + 1, bool)
+        lead[1:] = low == 0xC3
+        tail = lead[:-1] & (low >= 0x80) & (low != 0x97) & (low != 0xB7)
+        low[tail & (low < 0x9F)] += 0x20
+        latin = tail.copy()
+        latin[:-1] |= tail[1:]
+        kind = np.where(latin, 1, KIND[low])
+        start, end, first = t.words()
+        odd = np.r_[0, np.cumsum(kind == 4)]
+        plain = odd[end] == odd[start]
+        word = np.repeat(np.arange(len(start)), end - start)
+        inside = np.repeat(start - np.r_[0, np.cumsum(end - start)[:-1]], end - start) + np.arange(len(word))
+        before = np.r_[0, kind][inside]
+        opens = (inside == start[word]) | (plain[word] & ((kind[inside] != before) | (kind[inside] == 2)))
+        at = np.flatnonzero(opens)
+        of = word[at]
+        begin = inside[at]
+        finish = np.minimum(np.r_[begin[1:], len(low)], end[of])
+        return low, begin, finish, np.searchsorted(of, first), plain[of]
 
     def ids(self, t: kernel.Texts, end_id: int) -> tuple[np.ndarray, np.ndarray]:
         """All ids of a piece, each row's followed by ``end_id``, and the rows' offsets in them."""
-        word, start, end, first = t.word_hashes()
-        found, where, back = np.unique(word, return_index=True, return_inverse=True)
+        low, start, end, first, plain = self.parts(t)
+        # Words that stay whole keep their case here: the tokenizer's own rules lower them.
+        sums = [kernel.prefix_sums(kernel.SYMBOL[x]) for x in (t.data, low)]
+        hashes = np.where(plain, kernel.run_hash(sums[1], start, end), kernel.run_hash(sums[0], start, end) ^ np.uint64(1))
+        found, where, back = np.unique(hashes, return_index=True, return_inverse=True)
         if len(self.known) + len(found) > REMEMBERED:
             self.forget()
         keys = found.tolist()
-        new = [k for k, key in enumerate(keys) if key not in self.known]
-        raw = t.data.tobytes()
-        self.learn([keys[k] for k in new], [raw[start[where[k]] : end[where[k]]].decode("utf-8", "replace") for k in new])
-        slot = np.fromiter((self.known[k] for k in keys), np.int64, len(keys))[back]
+        slots = list(map(self.known.get, keys))
+        new = np.array([k for k, slot in enumerate(slots) if slot is None], np.int64)
+        for whole, raw in ((False, low.tobytes()), (True, t.data.tobytes())):
+            some = new[plain[where[new]] != whole]
+            if len(some):
+                begin, finish = start[where[some]].tolist(), end[where[some]].tolist()
+                self.learn(found[some].tolist(), [raw[a:b].decode("utf-8", "replace") for a, b in zip(begin, finish, strict=True)], plain=not whole)
+        if len(new):
+            slots = list(map(self.known.__getitem__, keys))
+        slot = np.array(slots, np.int64)[back]
         size = self.count[slot]
         before = np.r_[0, np.cumsum(size)]
         row = kernel.rows_of(first)
@@ -82,6 +139,21 @@ class WordIds:
         return out, offsets
 
 
+@lru_cache(1)
+def word_ids(path: str) -> WordIds:
+    """One for all tasks of a worker."""
+    return WordIds(path)
+
+
+#: Of a byte in lower case: 1 a letter, 2 a digit, 3 other printable ASCII, 4 what makes a word be kept whole, 0 a blank.
+KIND = np.full(256, 4, np.int8)
+KIND[33:127] = 3
+KIND[48:58] = 2
+KIND[97:123] = 1
+KIND[[9, 10, 11, 12, 13, 32]] = 0
+KIND[[ord("'"), ord("<")]] = 4
+
+
 def cuts(n: int, size: int = SIZE) -> list[int]:
     """Lengths of the pieces of a document of n ids: full sequences, then what is left in one piece."""
     return [size] * (n // size) + [n % size] * (n % size > 0)
@@ -89,7 +161,7 @@ def cuts(n: int, size: int = SIZE) -> list[int]:
 
 def pieces(documents: DataFrame, tokenizer: str, size: int = SIZE, end_id: int = END_ID) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = WordIds(tokenizer)
+        words = word_ids(tokenizer)
         for batch in batches:
             names = batch.column(0).to_pylist()
             for t in kernel.texts(batch.column(1)):
