@@ -1 +1,60 @@
-"""Stub."""
+"""Corpus pipeline: toxic documents out, one of each near-duplicate group, benchmark leaks out, secrets masked, packed.
+
+Each stage takes what its predecessor kept. The classifier of the first stage is fitted on ``labels`` and the
+forest of the fourth on made findings; the test items of the third are ``benchmark``.
+"""
+
+from __future__ import annotations
+
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from quillon.llm import decontamination, labelled, packing, partenum, secrets_forest, toxicity_fm
+from quillon.llm.workspace import settled, table
+
+
+def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops documents with a toxicity of 0.5 or more. Fitted on the labelled rows that op9 learns from."""
+    held_out = labelled.bucket_of(5) == 0
+    machine = toxicity_fm.train(docs, table(spark, sf_dir, "labels"), held_out)
+    return toxicity_fm.kept(docs, machine)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps of each component the row whose doc_id names it; rows without an id stay."""
+    named = partenum.joined(docs).where("doc_id = component_id").select("doc_id").distinct()
+    rows = docs.join(named, "doc_id").withColumn("turn", F.row_number().over(Window.partitionBy("doc_id").orderBy("text", "source", "lang")))
+    return rows.where("turn = 1").select(*docs.columns).unionByName(docs.where("doc_id IS NULL"))
+
+
+def benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops documents that hold a passage of a benchmark item."""
+    leaks = settled(decontamination.contaminated(docs, table(spark, sf_dir, "benchmark")).select("doc_id").distinct(), "leaks")
+    if leaks.count() <= partenum.FEW_IDS:
+        leaks = F.broadcast(leaks)
+    return docs.join(leaks, "doc_id", "left_anti")
+
+
+def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Masks secrets in the texts."""
+    return secrets_forest.redact(docs, secrets_forest.train(secrets_forest.findings(spark)))
+
+
+def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of all documents that are left and their places in sequences."""
+    return packing.packed(docs, str(public_tokenizers.path("word_bpe_49k.json")))
+
+
+STAGES = [("toxicity", toxicity), ("near duplicates", near_duplicates), ("benchmark leaks", benchmark_leaks), ("secrets", secrets), ("packing", packed)]
+
+#: Learned scores decide which rows go; SQL can't express them.
+ORACLE_SQL = None
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages on ``documents``, each written and read again."""
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = settled(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -11,9 +11,10 @@ sample of texts have it). Two similar sets agree on T - k halves, so one that is
 set has T - k of the kind; only such sets (mostly small, or near copies of one text) emit them. A hot signature
 has its leader from the sample and needs no grouping.
 
-Sets that share a signature are compared with a leader, the smallest id among them, not with each other. Links
-make components; where a signature still spans several components, further leaders follow until none does, so no
-link between two components is missed. Equal texts are one set from the start. All comparisons count the shingles.
+Sets that share a signature are compared with a leader, the smallest id among them, not with each other: first each
+with the leader it shares most signatures with, then with leaders beyond its component. Links make components; where
+a signature still spans several components, further leaders follow until all such pairs are compared, so no link
+between two components is missed. Equal texts are one set from the start. All comparisons count the shingles.
 
 Signatures travel as 32 bits and the partition's number, in binary columns; equal ones by chance only cost a comparison.
 
@@ -226,6 +227,24 @@ def linked(pairs: DataFrame, rows: DataFrame, n_of: DataFrame) -> DataFrame:
     return out
 
 
+def named(groups: DataFrame, column: str) -> DataFrame:
+    return groups.select(F.col("node").alias(column), F.col("component").alias(f"of_{column}"))
+
+
+def extended(groups: DataFrame, links: DataFrame, tested: DataFrame, pairs: DataFrame, rows: DataFrame, n_of: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Components, links and tested pairs after these pairs have been compared, but for those that have been before."""
+    fresh = settled(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().join(tested, ["a", "b"], "left_anti"), "fresh")
+    if fresh.isEmpty():
+        return groups, links, tested
+    more = linked(fresh, rows, n_of)
+    tested = settled(tested.unionAll(fresh), "tested")
+    forget(fresh)
+    if more.isEmpty():
+        return groups, links, tested
+    links = settled(links.unionAll(more), "links")
+    return components(links), links, tested
+
+
 def each_set(column: pa.Array) -> Iterator[np.ndarray]:
     for t in kernel.texts(column):
         hashes, offsets = shingle_sets(t)
@@ -244,34 +263,36 @@ def joined(documents: DataFrame) -> DataFrame:
     # About 0.55 signatures a shingle, and 2 million of them a partition.
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), int((total["n"] or 0) * 0.55) >> 21)
     found = settled(buckets(leads, hot_signatures(leads, total["rows"]), parts), "buckets")
-    links = linked(found.select(F.col("leader").alias("a"), F.col("doc_id").alias("b")).distinct(), leads, n_of)
-    # An id of several rows holds their components together.
+    # An id of several rows holds its rows' components together.
     known = settled(rows.select("doc_id", "lead"), "leads")
     several = known.groupBy("doc_id").agg(F.min("lead").alias("x"), F.max("lead").alias("y")).where("x < y").select("doc_id")
-    links = settled(links.unionAll(known.join(several, "doc_id").where("doc_id <> lead").select(F.col("doc_id").alias("a"), F.col("lead").alias("b"))), "links")
+    links = settled(known.join(several, "doc_id").where("doc_id <> lead").select(F.col("doc_id").alias("a"), F.col("lead").alias("b")), "links")
     groups = components(links)
-    # Signatures that only two texts have are done; others may span components that further links would join.
-    members = found.join(found.groupBy("sig").count().where("count > 1").select("sig"), "sig")
-    members = settled(members.select("sig", "doc_id", "leader"), "members")
-    forget(found)
+    tested = settled(links.where("false"), "tested")
+    # Each text meets the leader that it shares most signatures with, then more and more of those beyond its component.
+    todo, most = settled(found.groupBy(F.col("leader").alias("a"), F.col("doc_id").alias("b")).agg(F.count("*").alias("n")), "todo"), 1
+    while True:
+        open_ = todo.join(named(groups, "a"), "a", "left").join(named(groups, "b"), "b", "left").where(F.coalesce("of_a", "a") != F.coalesce("of_b", "b"))
+        open_ = settled(open_.select("a", "b", "n", F.row_number().over(Window.partitionBy("b").orderBy(F.desc("n"), "a")).alias("turn")), "open")
+        forget(todo)
+        if open_.isEmpty():
+            break
+        groups, links, tested = extended(groups, links, tested, open_.where(F.col("turn") <= most), leads, n_of)
+        todo, most = settled(open_.where(F.col("turn") > most).select("a", "b", "n"), "todo"), 4 * most
+        forget(open_)
+    # A signature of two texts is done; one that still spans components gets further leaders until all pairs are tested.
+    shared = found.groupBy("sig").count().where("count > 1").select("sig")
+    members = found.join(shared, "sig").select("sig", "doc_id").unionAll(found.join(shared, "sig").select("sig", F.col("leader").alias("doc_id"))).distinct()
     while True:
-        named = members.join(groups.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("sig", "doc_id", F.coalesce("component", "doc_id").alias("component"))
-        # Those that the signature's first leader is linked with form one component; what is left are the others.
-        split = named.groupBy("sig").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x < y").select("sig")
-        open_ = settled(named.join(split, "sig").withColumn("turn", F.row_number().over(Window.partitionBy("sig").orderBy("doc_id"))), "open")
-        forget(members)
+        placed = members.join(named(groups, "doc_id"), "doc_id", "left").select("sig", "doc_id", F.coalesce("of_doc_id", "doc_id").alias("component"))
+        split = placed.groupBy("sig").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x < y").select("sig")
+        open_ = settled(placed.join(split, "sig").withColumn("turn", F.row_number().over(Window.partitionBy("sig").orderBy("doc_id"))), "open")
+        forget(found)
+        if open_.isEmpty():
+            break
         heads = open_.where(F.col("turn") <= LEADERS).select("sig", F.col("doc_id").alias("a"), F.col("component").alias("of_a"), F.col("turn").alias("turn_a"))
-        pairs = settled(heads.join(open_, "sig").where("turn_a < turn AND of_a <> component").select("a", F.col("doc_id").alias("b")).distinct(), "further")
-        if pairs.isEmpty():
-            forget(pairs)
-            if open_.where(F.col("turn") > LEADERS).isEmpty():
-                break
-        else:
-            more = linked(pairs, leads, n_of)
-            forget(pairs)
-            if not more.isEmpty():
-                links = settled(links.unionAll(more), "links")
-                groups = components(links)
+        pairs = heads.join(open_, "sig").where("turn_a < turn AND of_a <> component").select("a", F.col("doc_id").alias("b")).distinct()
+        groups, links, tested = extended(groups, links, tested, pairs, leads, n_of)
         members = settled(open_.where(F.col("turn") > LEADERS).select("sig", "doc_id"), "members")
         forget(open_)
     least = groups.select(F.col("node").alias("lead"), "component")

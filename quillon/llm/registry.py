@@ -7,14 +7,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-MODULES = ("secrets_forest", "quality_embeddings", "partenum", "decontamination", "topk_bond", "packing", "phrase_automata", "toxicity_fm", "suffix_levels")
+MODULES = ("secrets_forest", "warc_derivatives", "quality_embeddings", "partenum", "decontamination", "topk_bond", "packing", "phrase_automata", "toxicity_fm", "suffix_levels")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     out: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
     for name in MODULES:
         out |= importlib.import_module(f"quillon.llm.{name}").QUERIES
-    return out
+    return out | {"pipeline": importlib.import_module("corpus_pipeline").run}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -157,6 +157,20 @@ def score(documents: DataFrame, machine: Machine, held_out: Column) -> DataFrame
     return labelled.scored(documents, machine.logits, held_out)
 
 
+def kept(documents: DataFrame, machine: Machine, threshold: float = 0.5) -> DataFrame:
+    """The rows of ``documents``, all columns, whose score is below the threshold."""
+    bound_batches(documents.sparkSession)
+    at = documents.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                z = np.concatenate([machine.logits(t) for t in kernel.texts(batch.column(at))])
+                yield batch.filter(pa.array(1 / (1 + np.exp(-np.clip(z, -500, 500))) < threshold))
+
+    return documents.mapInArrow(run, documents.schema)
+
+
 def op9_toxicity_fm(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents, held_out = table(spark, sf_dir, "documents"), labelled.bucket_of(5) == 0
     return score(documents, train(documents, table(spark, sf_dir, "labels"), held_out), held_out)
