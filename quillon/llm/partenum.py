@@ -6,15 +6,18 @@ shingles. The domain of shingles is split into n1 parts, each into two; enumerat
 gives T = 2 * n1 > k signatures a set, one for each half part: what the set has there. At most k halves can differ, so
 sets that are similar agree on T - k at least and thus share a signature.
 
-Signatures that say little are left out where that is safe: an empty half, or a hot one (many sets of a bounded
-sample of texts have it). Two similar sets agree on T - k halves, so one that is neither is among them unless a
-set has T - k of the kind; only such sets (mostly small, or near copies of one text) emit them. A hot signature
-has its leader from the sample and needs no grouping.
+Signatures that say little are left out where that is safe: a half says little if it is empty or has only shingles
+that many sets of a bounded sample of texts have. A set of n shingles and one similar to it differ in at most n / 4, so
+they agree on T - n / 4 halves; one that says something is among them unless a set has that many of the other kind. Only
+such sets (mostly near copies of one text) emit those. Where many of the sample do so, the leader is taken from it
+and no grouping is needed.
 
 Sets that share a signature are compared with a leader, the smallest id among them, not with each other: first each
 with the leader it shares most signatures with, then with leaders beyond its component. Links make components; where
 a signature still spans several components, further leaders follow until all such pairs are compared, so no link
-between two components is missed. Equal texts are one set from the start. All comparisons count the shingles.
+between two components is missed. Equal texts are one set from the start. Before texts are compared,
+sketches are: how many shingles fall into each of ``CELLS`` cells; sets differ in as many shingles as their counts
+differ by, at least. What is left is decided by counting the shingles.
 
 Signatures travel as 32 bits and the partition's number, in binary columns; equal ones by chance only cost a comparison.
 
@@ -39,10 +42,11 @@ from .workspace import bound_batches, forget, settled, table
 SHINGLE = 5
 #: Similarity as a fraction.
 NEAR = (4, 5)
-#: Halves beyond k + 1, so that few sets have as many empty halves as similar sets must agree on.
-SPARE = 6
-#: Texts that are looked at for hot signatures, and how many of them must have one.
+#: Halves beyond k + 1, so that few sets have as many halves that say little as similar sets must agree on.
+SPARE, SPARE_SHARE = 6, 8
+#: Texts that are looked at for frequent shingles and hot signatures, and how many of them must have one.
 SAMPLE, OFTEN = 16_384, 24
+CELLS = 128
 #: Ids of candidates are broadcast up to this many (8 bytes each), joined by shuffle beyond.
 FEW_IDS = 500_000
 LEADERS = 8
@@ -78,12 +82,14 @@ def halves(high: int) -> tuple[int, int]:
     """(T, k) of the family whose sets have at most ``high`` shingles."""
     a, b = NEAR
     k = 2 * high * (b - a) // (a + b)
-    return (2 * -(-(k + 1 + SPARE) // 2), k) if k else (1, 0)
+    return (2 * -(-(k + 1 + SPARE + k // SPARE_SHARE) // 2), k) if k else (1, 0)
 
 
-def signatures(hashes: np.ndarray, offsets: np.ndarray, hot: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(row, signature) of all rows; hot: ascending signatures that are left out where that is safe."""
+def signatures(hashes: np.ndarray, offsets: np.ndarray, frequent: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(row, signature) of all rows; frequent: ascending shingles that say little."""
     size = np.diff(offsets)
+    p, q = NEAR
+    rare = ~is_in(hashes, frequent)
     rows, out = [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)]
     for f, (low, high) in enumerate(families(int(size.max(initial=0)))):
         members = np.flatnonzero((size >= low) & (size <= high))
@@ -95,14 +101,15 @@ def signatures(hashes: np.ndarray, offsets: np.ndarray, hot: np.ndarray) -> tupl
         value = hashes[which]
         half = ((value >> np.uint64(32)) * np.uint64(total)) >> np.uint64(32)
         slot = np.repeat(np.arange(len(members)) * total, n) + half.astype(np.int64)
-        content, count = np.zeros(len(members) * total, np.uint64), np.bincount(slot, minlength=len(members) * total)
+        content = np.zeros(len(members) * total, np.uint64)
         np.add.at(content, slot, kernel.mix(value))
+        little = np.bincount(slot, rare[which], len(members) * total) == 0
         place = np.tile(np.arange(total, dtype=np.uint64), len(members)) + np.uint64(f << 40)
-        key = kernel.mix(content + kernel.mix(place))
-        little = (count == 0) | is_in(key, hot)
-        keep = ~little | np.repeat(little.reshape(-1, total).sum(1) >= total - k, total)
+        # The most shingles in which a similar set of this family can differ from one of n.
+        differ = np.minimum((n + n * q // p) * (q - p) // (p + q), k)
+        keep = ~little | np.repeat(little.reshape(-1, total).sum(1) >= total - differ, total)
         rows.append(np.repeat(members, total)[keep])
-        out.append(key[keep])
+        out.append(kernel.mix(content[keep] + kernel.mix(place[keep])))
     return np.concatenate(rows), np.concatenate(out)
 
 
@@ -122,42 +129,45 @@ def leading(documents: DataFrame) -> DataFrame:
 
 
 def sizes(rows: DataFrame) -> DataFrame:
-    """doc_id, n_shingles of each row."""
+    """doc_id, n_shingles, sketch (how many shingles are in each cell, 255 at most) of each row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if batch.num_rows:
-                n = [np.diff(shingle_sets(t)[1]) for t in kernel.texts(batch.column(1))]
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.concatenate(n), pa.int64())], ["doc_id", "n_shingles"])
+            for t in kernel.texts(batch.column(1)):
+                hashes, offsets = shingle_sets(t)
+                n = np.diff(offsets)
+                cell = np.repeat(np.arange(len(n)) * CELLS, n) + (hashes % np.uint64(CELLS)).astype(np.int64)
+                counts = np.minimum(np.bincount(cell, minlength=len(n) * CELLS), 255).astype(np.uint8).reshape(-1, CELLS)
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(t.first, len(t)), pa.array(n, pa.int64()), pa.array([x.tobytes() for x in counts], pa.binary())], ["doc_id", "n_shingles", "sketch"])
 
-    return rows.select("doc_id", "text").mapInArrow(run, "doc_id long, n_shingles long")
+    return rows.select("doc_id", "text").mapInArrow(run, "doc_id long, n_shingles long, sketch binary")
 
 
-def hot_signatures(leads: DataFrame, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Signatures that ``OFTEN`` of about ``SAMPLE`` texts have, ascending, and the smallest id of each: at most a few 100,000."""
+def sampled(leads: DataFrame, n: int, of: Callable[[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """Keys that ``OFTEN`` of about ``SAMPLE`` texts have, ascending, and the smallest id of each: a few 100,000 at most."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for t in kernel.texts(batch.column(1)):
-                row, key = signatures(*shingle_sets(t), np.zeros(0, np.uint64))
-                yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), batch.column(0).take(pa.array(row + t.first))], ["sig", "doc_id"])
+                row, key = of(*shingle_sets(t))
+                yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), batch.column(0).take(pa.array(row + t.first))], ["key", "doc_id"])
 
     every = max(1, n // SAMPLE)
     sample = leads.where(F.pmod(F.xxhash64("doc_id"), F.lit(every)) == 0).select("doc_id", "text")
-    found = sample.mapInArrow(run, "sig long, doc_id long").groupBy("sig").agg(F.count("*").alias("n"), F.min("doc_id").alias("leader")).where(F.col("n") >= OFTEN).select("sig", "leader").toPandas()
-    sig = found["sig"].to_numpy(np.int64).view(np.uint64)
-    order = np.argsort(sig)
-    return sig[order], found["leader"].to_numpy(np.int64)[order]
+    found = sample.mapInArrow(run, "key long, doc_id long").groupBy("key").agg(F.count("*").alias("n"), F.min("doc_id").alias("leader")).where(F.col("n") >= OFTEN).select("key", "leader").toPandas()
+    key = found["key"].to_numpy(np.int64).view(np.uint64)
+    order = np.argsort(key)
+    return key[order], found["leader"].to_numpy(np.int64)[order]
 
 
-def buckets(leads: DataFrame, hot: tuple[np.ndarray, np.ndarray], parts: int) -> DataFrame:
+def buckets(leads: DataFrame, frequent: np.ndarray, hot: tuple[np.ndarray, np.ndarray], parts: int) -> DataFrame:
     """sig, leader, doc_id: the texts other than the leader that share a signature with it."""
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids = batch.column(0).to_numpy()
             for t in kernel.texts(batch.column(1), 4 << 20):
-                row, key = signatures(*shingle_sets(t), hot[0])
+                row, key = signatures(*shingle_sets(t), frequent)
                 doc, warm = ids[row + t.first], is_in(key, hot[0])
                 part = (key >> np.uint64(32)) % np.uint64(parts)
                 part[warm] = doc[warm].astype(np.uint64) % np.uint64(parts)
@@ -200,11 +210,18 @@ def buckets(leads: DataFrame, hot: tuple[np.ndarray, np.ndarray], parts: int) ->
 
 def linked(pairs: DataFrame, rows: DataFrame, n_of: DataFrame) -> DataFrame:
     """The pairs (a, b) of ids whose texts' sets are similar."""
-    n = n_of.groupBy("doc_id").agg(F.min("n_shingles").alias("low"), F.max("n_shingles").alias("high"))
-    for side in ("a", "b"):
-        pairs = pairs.join(n.select(F.col("doc_id").alias(side), F.col("low").alias(f"low_{side}"), F.col("high").alias(f"high_{side}")), side)
     p, q = NEAR
-    pairs = settled(pairs.where(f"{q} * high_a >= {p} * low_b AND {q} * high_b >= {p} * low_a").select("a", "b"), "pairs")
+    for side in ("a", "b"):
+        pairs = pairs.join(n_of.select(F.col("doc_id").alias(side), F.col("n_shingles").alias(f"n_{side}"), F.col("sketch").alias(f"sketch_{side}")), side)
+
+    def close(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x, y = (np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint8).reshape(-1, CELLS).astype(np.int16) for i in (4, 5))
+            n = batch.column(2).to_numpy() + batch.column(3).to_numpy()
+            keep = (p + q) * np.abs(x - y).sum(1, dtype=np.int64) <= (q - p) * n
+            yield pa.RecordBatch.from_arrays([batch.column(i).filter(pa.array(keep)) for i in (0, 1)], ["a", "b"])
+
+    pairs = settled(pairs.select("a", "b", "n_a", "n_b", "sketch_a", "sketch_b").mapInArrow(close, "a long, b long").distinct(), "pairs")
     ids = pairs.select(F.col("a").alias("doc_id")).unionAll(pairs.select(F.col("b").alias("doc_id"))).distinct()
     ids = settled(ids, "ids")
     if ids.count() <= FEW_IDS:
@@ -260,9 +277,11 @@ def joined(documents: DataFrame) -> DataFrame:
     n_of = settled(sizes(rows), "shingles")
     total = n_of.agg(F.count("*").alias("rows"), F.sum("n_shingles").alias("n")).first()
     leads = rows.where("doc_id = lead")
-    # About 0.55 signatures a shingle, and 2 million of them a partition.
-    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), int((total["n"] or 0) * 0.55) >> 21)
-    found = settled(buckets(leads, hot_signatures(leads, total["rows"]), parts), "buckets")
+    # About 0.6 signatures a shingle, and 2 million of them a partition.
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), int((total["n"] or 0) * 0.6) >> 21)
+    frequent = sampled(leads, total["rows"], lambda hashes, offsets: (np.repeat(np.arange(len(offsets) - 1), np.diff(offsets)), hashes))[0]
+    hot = sampled(leads, total["rows"], lambda hashes, offsets: signatures(hashes, offsets, frequent))
+    found = settled(buckets(leads, frequent, hot, parts), "buckets")
     # An id of several rows holds its rows' components together.
     known = settled(rows.select("doc_id", "lead"), "leads")
     several = known.groupBy("doc_id").agg(F.min("lead").alias("x"), F.max("lead").alias("y")).where("x < y").select("doc_id")
@@ -282,12 +301,13 @@ def joined(documents: DataFrame) -> DataFrame:
         forget(open_)
     # A signature of two texts is done; one that still spans components gets further leaders until all pairs are tested.
     shared = found.groupBy("sig").count().where("count > 1").select("sig")
-    members = found.join(shared, "sig").select("sig", "doc_id").unionAll(found.join(shared, "sig").select("sig", F.col("leader").alias("doc_id"))).distinct()
+    of_shared = found.join(shared, "sig")
+    members = settled(of_shared.select("sig", F.explode(F.array("doc_id", "leader")).alias("doc_id")).distinct(), "members")
     while True:
         placed = members.join(named(groups, "doc_id"), "doc_id", "left").select("sig", "doc_id", F.coalesce("of_doc_id", "doc_id").alias("component"))
         split = placed.groupBy("sig").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x < y").select("sig")
         open_ = settled(placed.join(split, "sig").withColumn("turn", F.row_number().over(Window.partitionBy("sig").orderBy("doc_id"))), "open")
-        forget(found)
+        forget(members)
         if open_.isEmpty():
             break
         heads = open_.where(F.col("turn") <= LEADERS).select("sig", F.col("doc_id").alias("a"), F.col("component").alias("of_a"), F.col("turn").alias("turn_a"))
@@ -297,7 +317,8 @@ def joined(documents: DataFrame) -> DataFrame:
         forget(open_)
     least = groups.select(F.col("node").alias("lead"), "component")
     by_id = known.join(least, "lead", "left").groupBy("doc_id").agg(F.min(F.coalesce("component", "lead")).alias("component_id"))
-    nulls = sizes(documents.where("doc_id IS NULL").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))).withColumn("component_id", F.lit(None).cast("long"))
+    forget(found)
+    nulls = sizes(documents.where("doc_id IS NULL").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))).select("doc_id", "n_shingles", F.lit(None).cast("long").alias("component_id"))
     return n_of.join(by_id, "doc_id").select("doc_id", "n_shingles", "component_id").unionAll(nulls)
 
 

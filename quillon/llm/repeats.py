@@ -229,7 +229,7 @@ def covered(rows: DataFrame, unit: Unit, again: Column, order: list[Column], mee
     forget(anchors)
     symbols = (lists.agg(F.sum(F.size("again"))).first()[0] or 0) * unit.size
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), symbols * (6 if unit.words else 1) // (4 << 20))
-    named = lists.withColumnRenamed("doc_id", "id")
+    named = lists.withColumnRenamed("doc_id", "id").hint("merge")
     cut = regions_of(rows.where("leads").join(named, F.col("doc_id").eqNullSafe(F.col("id"))), unit)
     dealt = cut.repartition(parts, "first", "salt").sortWithinPartitions(*order)
     found = settled(meet(dealt), "found")
@@ -245,7 +245,7 @@ def covered(rows: DataFrame, unit: Unit, again: Column, order: list[Column], mee
 
 def with_spans(rows: DataFrame, spans: DataFrame) -> DataFrame:
     """``rows`` and each one's spans (null: none)."""
-    named = spans.select(F.col("doc_id").alias("id"), F.col("digest").alias("of"), "spans")
+    named = spans.select(F.col("doc_id").alias("id"), F.col("digest").alias("of"), "spans").hint("merge")
     return rows.join(named, F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("digest") == F.col("of")), "left").drop("id", "of")
 
 
