@@ -12,12 +12,13 @@ they agree on T - n / 4 halves; one that says something is among them unless a s
 such sets (mostly near copies of one text) emit those. Where many of the sample do so, the leader is taken from it
 and no grouping is needed.
 
-Sets that share a signature are compared with a leader, the smallest id among them, not with each other: first each
-with the leader it shares most signatures with, then with leaders beyond its component. Links make components; where
-a signature still spans several components, further leaders follow until all such pairs are compared, so no link
+Sets that share a signature are compared in three rounds: each with the leader (the smallest id of a signature's sets)
+that it shares most signatures with; then with the nearest ones of other components; then all pairs that are left of two
+components. Links make components after each round, so copies of one text are joined by few comparisons, and no link
 between two components is missed. Equal texts are one set from the start. Before texts are compared,
 sketches are: how many shingles fall into each of ``CELLS`` cells; sets differ in as many shingles as their counts
-differ by, at least. What is left is decided by counting the shingles.
+differ by, at least. That is done where a signature's sets meet, in blocks, so pairs that sketches rule out are never
+rows. What is left is decided by counting the shingles.
 
 Signatures travel as 32 bits and the partition's number, in binary columns; equal ones by chance only cost a comparison.
 
@@ -49,7 +50,8 @@ SAMPLE, OFTEN = 16_384, 24
 CELLS = 128
 #: Ids of candidates are broadcast up to this many (8 bytes each), joined by shuffle beyond.
 FEW_IDS = 500_000
-LEADERS = 8
+#: Texts of a signature that are compared in one task; groups up to SMALL are compared together; partners in the second round.
+BLOCK, SMALL, NEAREST = 2048, 48, 4
 
 
 def shingle_sets(t: kernel.Texts) -> tuple[np.ndarray, np.ndarray]:
@@ -262,6 +264,75 @@ def extended(groups: DataFrame, links: DataFrame, tested: DataFrame, pairs: Data
     return components(links), links, tested
 
 
+def spanning(found: DataFrame, groups: DataFrame, n_of: DataFrame, parts: int, most: int | None) -> DataFrame:
+    """a, b, apart: pairs of two components that share a signature and whose sketches may be those of similar sets.
+
+    A signature's texts are dealt over blocks of about ``BLOCK``; each pair of blocks meets in one task, where sketches are
+    compared and only pairs that pass leave. most: from large groups, only that many of the nearest of each text.
+    """
+    members = found.select("sig", "doc_id").unionAll(found.groupBy("sig").agg(F.min("leader").alias("doc_id")))
+    placed = members.join(named(groups, "doc_id"), "doc_id", "left").select("sig", "doc_id", F.coalesce("of_doc_id", "doc_id").alias("component"))
+    split = placed.groupBy("sig").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.count("*").alias("n")).where("x < y").select("sig", F.ceil(F.col("n") / BLOCK).alias("blocks"))
+    dealt = placed.join(split, "sig").withColumn("block", F.pmod(F.xxhash64("doc_id"), "blocks")).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    dealt = dealt.select("sig", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "doc_id", "component").join(n_of.select("doc_id", "n_shingles", "sketch"), "doc_id")
+    dealt = dealt.select("sig", "i", "j", "doc_id", "component", "n_shingles", "sketch").repartition(parts, "sig", "i", "j").sortWithinPartitions("sig", "i", "j")
+
+    def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rest = None
+        for batch in batches:
+            held = batch if rest is None else pa.Table.from_batches([rest, batch]).combine_chunks().to_batches()[0]
+            edge = edges(held)
+            if len(edge) > 1:
+                yield pairs_of(held.slice(0, int(edge[-1])), edge, most)
+                held = held.slice(int(edge[-1]))
+            rest = held
+        if rest is not None and rest.num_rows:
+            yield pairs_of(rest, edges(rest), most)
+
+    return dealt.mapInArrow(near, "a long, b long, apart long")
+
+
+def edges(held: pa.RecordBatch) -> np.ndarray:
+    """Where groups start in rows that are in the order of (sig, i, j)."""
+    sig, i, j = (held.column(k).to_numpy() for k in range(3))
+    return np.flatnonzero(np.r_[True, (np.diff(sig) != 0) | (np.diff(i) != 0) | (np.diff(j) != 0)][: len(sig)])
+
+
+def pairs_of(held: pa.RecordBatch, edge: np.ndarray, most: int | None) -> pa.RecordBatch:
+    """The pairs of whole groups that pass: of small groups shift by shift over all rows, of large ones row by row."""
+    p, q = NEAR
+    doc, component, n = (held.column(k).to_numpy() for k in (3, 4, 5))
+    sketch = np.frombuffer(b"".join(held.column(6).to_pylist()), np.uint8).reshape(-1, CELLS)
+    edge = edge[edge < held.num_rows]
+    size = np.diff(np.r_[edge, held.num_rows])
+    group, in_small = np.repeat(np.arange(len(edge)), size), np.repeat(size <= SMALL, size)
+    out = [np.zeros((3, 0), np.int64)]
+
+    def passing(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        ok = (component[x] != component[y]) & ((p + q) * np.abs(n[x] - n[y]) <= (q - p) * (n[x] + n[y]))
+        x, y = x[ok], y[ok]
+        apart = np.abs(sketch[x].astype(np.int16) - sketch[y]).sum(1, dtype=np.int64)
+        ok = (p + q) * apart <= (q - p) * (n[x] + n[y])
+        return x[ok], y[ok], apart[ok]
+
+    for shift in range(1, int(size[size <= SMALL].max(initial=1))):
+        x = np.flatnonzero((group[shift:] == group[:-shift]) & in_small[shift:])
+        x, y, apart = passing(x, x + shift)
+        out.append(np.stack([doc[x], doc[y], apart]))
+    for lo, m in zip(edge[size > SMALL].tolist(), size[size > SMALL].tolist(), strict=True):
+        rows = np.arange(lo, lo + m)
+        of, count = np.unique(component[rows], return_counts=True)
+        # Pairs within the largest component need no look.
+        for r in rows[component[rows] != of[np.argmax(count)]].tolist():
+            _, y, apart = passing(np.full(m, r), rows)
+            if most is not None and len(y) > most:
+                nearest = np.lexsort((doc[y], apart))[:most]
+                y, apart = y[nearest], apart[nearest]
+            out.append(np.stack([np.full(len(y), doc[r]), doc[y], apart]))
+    a, b, apart = np.concatenate(out, 1)
+    return pa.RecordBatch.from_arrays([pa.array(x) for x in (np.minimum(a, b), np.maximum(a, b), apart)], ["a", "b", "apart"])
+
+
 def each_set(column: pa.Array) -> Iterator[np.ndarray]:
     for t in kernel.texts(column):
         hashes, offsets = shingle_sets(t)
@@ -288,33 +359,15 @@ def joined(documents: DataFrame) -> DataFrame:
     links = settled(known.join(several, "doc_id").where("doc_id <> lead").select(F.col("doc_id").alias("a"), F.col("lead").alias("b")), "links")
     groups = components(links)
     tested = settled(links.where("false"), "tested")
-    # Each text meets the leader that it shares most signatures with, then more and more of those beyond its component.
-    todo, most = settled(found.groupBy(F.col("leader").alias("a"), F.col("doc_id").alias("b")).agg(F.count("*").alias("n")), "todo"), 1
-    while True:
-        open_ = todo.join(named(groups, "a"), "a", "left").join(named(groups, "b"), "b", "left").where(F.coalesce("of_a", "a") != F.coalesce("of_b", "b"))
-        open_ = settled(open_.select("a", "b", "n", F.row_number().over(Window.partitionBy("b").orderBy(F.desc("n"), "a")).alias("turn")), "open")
-        forget(todo)
-        if open_.isEmpty():
-            break
-        groups, links, tested = extended(groups, links, tested, open_.where(F.col("turn") <= most), leads, n_of)
-        todo, most = settled(open_.where(F.col("turn") > most).select("a", "b", "n"), "todo"), 4 * most
-        forget(open_)
-    # A signature of two texts is done; one that still spans components gets further leaders until all pairs are tested.
-    shared = found.groupBy("sig").count().where("count > 1").select("sig")
-    of_shared = found.join(shared, "sig")
-    members = settled(of_shared.select("sig", F.explode(F.array("doc_id", "leader")).alias("doc_id")).distinct(), "members")
-    while True:
-        placed = members.join(named(groups, "doc_id"), "doc_id", "left").select("sig", "doc_id", F.coalesce("of_doc_id", "doc_id").alias("component"))
-        split = placed.groupBy("sig").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x < y").select("sig")
-        open_ = settled(placed.join(split, "sig").withColumn("turn", F.row_number().over(Window.partitionBy("sig").orderBy("doc_id"))), "open")
-        forget(members)
-        if open_.isEmpty():
-            break
-        heads = open_.where(F.col("turn") <= LEADERS).select("sig", F.col("doc_id").alias("a"), F.col("component").alias("of_a"), F.col("turn").alias("turn_a"))
-        pairs = heads.join(open_, "sig").where("turn_a < turn AND of_a <> component").select("a", F.col("doc_id").alias("b")).distinct()
-        groups, links, tested = extended(groups, links, tested, pairs, leads, n_of)
-        members = settled(open_.where(F.col("turn") > LEADERS).select("sig", "doc_id"), "members")
-        forget(open_)
+    # Each text meets the leader that it shares most signatures with, the smaller of equals.
+    met = found.groupBy("leader", "doc_id").agg(F.count("*").alias("n")).groupBy(F.col("doc_id").alias("b")).agg(F.max(F.struct("n", (-F.col("leader")).alias("less"))).alias("best")).select((-F.col("best.less")).alias("a"), "b")
+    groups, links, tested = extended(groups, links, tested, met, leads, n_of)
+    # Then the nearest texts of other components, then all that are left of two components.
+    turn = F.row_number().over(Window.partitionBy("of").orderBy("apart", "to"))
+    near = spanning(found, groups, n_of, parts, NEAREST).distinct()
+    sides = near.select(F.col("a").alias("of"), F.col("b").alias("to"), "apart").unionAll(near.select(F.col("b").alias("of"), F.col("a").alias("to"), "apart"))
+    groups, links, tested = extended(groups, links, tested, sides.withColumn("turn", turn).where(F.col("turn") <= NEAREST).select(F.col("of").alias("a"), F.col("to").alias("b")), leads, n_of)
+    groups, links, tested = extended(groups, links, tested, spanning(found, groups, n_of, parts, None), leads, n_of)
     least = groups.select(F.col("node").alias("lead"), "component")
     by_id = known.join(least, "lead", "left").groupBy("doc_id").agg(F.min(F.coalesce("component", "lead")).alias("component_id"))
     forget(found)
