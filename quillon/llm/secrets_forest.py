@@ -117,6 +117,7 @@ def findings(spark: SparkSession, per_kind: int = 240) -> DataFrame:
         "repeat(substr(h, 1, 1), 20 + i % 20) ": ("{w} secret: ", 0),
         "concat('chapter', i % 40, 'section', i % 9, 'thereafter', i % 5)": ("{w}", 0),
         "concat('thandtion', i % 100, 'eringested')": ("{w}", 0),
+        "concat(if(i % 2 = 0, 'ghp_', 'sk_live_'), substr(h, 5, 36))": ("{w}", 1),
     }
     words = "array('the', 'and of', 'in that', 'with', 'por la', 'der die', 'le des', 'value', 'see', 'set')"
     paths = "array('', 'src0', 'src/app/config.yml', 'docs/readme.md', 'tests/test_login.py', 'deploy/.env', 'lib/util.py', 'src7')"
