@@ -154,7 +154,7 @@ def lang_empty_text(spark, sf):
     return table(spark, sf, "documents").select("doc_id", (~N.has_letter(N.normalise(F.coalesce("text", F.lit(""))))).alias("is_empty"))
 
 
-@query(f"SELECT conv_id, turn, {NORM} = {FOLD} AS preserved FROM conversations")
+@query(f"SELECT conv_id, turn, {NORM} = regexp_replace({FOLD}, '[{N.WHITE_CLASS}]', ' ', 'g') AS preserved FROM conversations")
 def offset_preserved(spark, sf):
     text = F.coalesce("text", F.lit(""))
     return table(spark, sf, "conversations").select("conv_id", "turn", (N.normalise(text) == N.fold(text)).alias("preserved"))
@@ -347,7 +347,7 @@ def rank_total_order(spark, sf):
 
 @query(f"SELECT event_id AS msg_id, intent, conf AS confidence FROM events e JOIN {RANK_SQL} ON v.k = e.event_id % 10 WHERE kept")
 def min_score_floor(spark, sf):
-    return rank_rows(spark, sf).where("kept AND score >= min_score").select("msg_id", "intent", "confidence")
+    return said(spark, sf).select("msg_id", F.explode(F.expr("filter(kept, x -> x.score >= x.min_score)")).alias("x")).select("msg_id", "x.intent", "x.confidence")
 
 
 @query(f"SELECT event_id AS msg_id, intent FROM events e JOIN {RANK_SQL} ON v.k = e.event_id % 10 WHERE NOT kept")
