@@ -347,7 +347,7 @@ def rank_total_order(spark, sf):
 
 @query(f"SELECT event_id AS msg_id, intent, conf AS confidence FROM events e JOIN {RANK_SQL} ON v.k = e.event_id % 10 WHERE kept")
 def min_score_floor(spark, sf):
-    return said(spark, sf).select("msg_id", F.explode(F.expr("filter(kept, x -> x.score >= x.min_score)")).alias("x")).select("msg_id", "x.intent", "x.confidence")
+    return said(spark, sf).select("msg_id", F.explode_outer(F.expr("filter(kept, x -> x.score >= x.min_score)")).alias("x")).where("x IS NOT NULL").select("msg_id", "x.intent", "x.confidence")
 
 
 @query(f"SELECT event_id AS msg_id, intent FROM events e JOIN {RANK_SQL} ON v.k = e.event_id % 10 WHERE NOT kept")
@@ -367,7 +367,8 @@ def confidence_gate(spark, sf):
 
 @query(f"SELECT event_id AS msg_id, n AS n_intents FROM {T_SQL} WHERE n > 1")
 def multi_intent(spark, sf):
-    return said(spark, sf).where("multi_intent").select("msg_id", F.size("kept").alias("n_intents"))
+    # A filter on a detected column would be pushed down and repeat the whole detection; one on an outer generator's is not.
+    return said(spark, sf).select("msg_id", F.explode_outer(F.array(F.size("kept"))).alias("n_intents")).where("n_intents > 1")
 
 
 @query("SELECT event_id, round(value / (value + 1), 4) AS confidence FROM events WHERE value >= 0")
