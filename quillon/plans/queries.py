@@ -336,7 +336,7 @@ def detect_batch_by_language(spark, sf):
 
 def rank_rows(spark, sf):
     both = F.expr("concat(transform(kept, x -> named_struct('x', x, 'kept', true)), transform(dropped, x -> named_struct('x', x, 'kept', false)))")
-    rows = said(spark, sf).select("msg_id", F.posexplode(both).alias("p", "r"))
+    rows = said(spark, sf).select("msg_id", F.posexplode_outer(both).alias("p", "r")).where("p IS NOT NULL")
     return rows.select("msg_id", (F.col("p") + 1).alias("rank"), "r.x.intent", "r.x.score", "r.x.confidence", "r.kept", "r.x.min_score")
 
 
@@ -357,7 +357,7 @@ def dropped_diagnostics(spark, sf):
 
 @query(f"SELECT event_id AS msg_id, intent FROM events e JOIN {RANK_SQL} ON v.k = e.event_id % 10 WHERE kept AND rnk = 1")
 def topk_cap(spark, sf):
-    return detect(templated(spark, sf), Settings(max_intents=0)).select("msg_id", F.explode("kept").alias("x")).select("msg_id", "x.intent")
+    return detect(templated(spark, sf), Settings(max_intents=0)).select("msg_id", F.explode_outer("kept").alias("x")).where("x IS NOT NULL").select("msg_id", "x.intent")
 
 
 @query(f"SELECT event_id AS msg_id, CASE WHEN conf < 0.8 THEN 'desconhecido' ELSE prim END AS primary_intent, CASE WHEN n > 0 AND conf < 0.8 THEN 'low_confidence' ELSE 'ok' END AS reason FROM {T_SQL}")
