@@ -71,9 +71,12 @@ def shingle_sets(t: kernel.Texts) -> tuple[np.ndarray, np.ndarray]:
 
 
 def families(most: int) -> list[tuple[int, int]]:
-    """(low, high) sizes, such that each pair of sizes up to ``most`` with similar sets is in one of them."""
+    """(low, high) sizes: all that a size up to ``most`` is in, so that it meets similar sets of any size in one of them.
+
+    ``most`` may be of any piece of a table: what a set's families are does not depend on it.
+    """
     out, low = [], 1
-    while not out or out[-1][1] < most:
+    while low <= most:
         out.append((low, 2 * low))
         # The next must hold the smallest size whose similar sizes go beyond this one.
         low = 2 * low * NEAR[0] // NEAR[1] + 1

@@ -99,6 +99,18 @@ def test_partenum_large_groups_by_blocks(spark, monkeypatch):
     assert got == components_of(rows)
 
 
+def test_partenum_links_sizes_of_two_families_in_any_pieces(spark):
+    """A set emits all its families also where it is the largest of its piece: one row a partition."""
+    rows = []
+    for k, (few, many) in enumerate([(4, 5), (7, 8), (160, 180), (440, 455)]):
+        # n shingles are n + 4 words; the shorter text begins the longer one.
+        words = [f"s{k}x{i}" for i in range(many + 4)]
+        rows += [(2 * k, " ".join(words[: few + 4])), (2 * k + 1, " ".join(words))]
+    docs = spark.createDataFrame(spark.sparkContext.parallelize(rows, len(rows)), "doc_id long, text string")
+    got = {tuple(r) for r in partenum.joined(docs).select("doc_id", "n_shingles", "component_id").collect()}
+    assert got == components_of(rows) and {r[2] for r in got} == {0, 2, 4, 6}
+
+
 def test_partenum_null_ids_and_repeated_ids(spark):
     text = " ".join(VOCABULARY[:20])
     rows = [(None, text), (5, text), (5, "a b c d e f"), (7, "a b c d e f"), (9, text)]
