@@ -3,13 +3,18 @@
 Words are lower-case runs of letters, digits and bytes beyond ASCII. Each mask takes some of the words in a span
 and ignores the others, so a hit survives substituted words at the ignored places. Hashes of the masked words of
 every test item meet those of every position of every training text; each hit is then verified on its diagonal:
-words of item and text are compared over the item's whole length, a match counts 1 and a mismatch -2, and the best
-segment must hold at least ``LEAST`` equal words, or 80 % of a shorter item's. Segments are thus at least two thirds equal.
+words of item and text are compared over the item's whole length, and a segment of which two thirds at least are equal
+must hold at least ``LEAST`` equal words, or 80 % of a shorter item's. The segment is the best one where a match counts
+1 and a mismatch -2 if that suffices, else the one with most equal words.
+
+The masks are those of four words in a span of five. Cut into pieces of five words, a stretch with up to a fifth of its
+words substituted has a piece with one such word at most, which a mask ignores: items (of ``SHORTEST`` words or more) of
+which 80 % are left, and passages of ``LEAST`` words or more that are 80 % equal, are always found.
 
 The test side goes to the tasks in blocks of about ``BLOCK_WORDS`` words, one pass over the texts for each block, so
 that what a task holds does not grow with the test set. Only hits leave a task.
 
-Defined cases: null and empty texts have no hits; items with fewer words than the shortest span, null or empty
+Defined cases: null and empty texts have no hits; items with fewer than ``SHORTEST`` words, null or empty
 ones are not searched for; repeated items count once; repeated rows of texts give repeated rows; an empty table
 on either side gives an empty result; other columns are ignored.
 """
@@ -27,9 +32,12 @@ from . import kernel
 from .workspace import bound_batches, table
 
 #: Which words of a span count.
-MASKS = ("1101101011", "1110010111", "1011110101", "11111111")
+MASKS = ("1111", "10111", "11011", "11101")
+SHORTEST = 4
 LEAST = 13
 BLOCK_WORDS = 500_000
+#: Words of items that hits are compared with at a time.
+COMPARED = 1 << 20
 HITS = "doc_id long, item_id long, start_word long, n_words long, n_equal long"
 
 
@@ -61,7 +69,7 @@ class Items:
             self.tables.append((key[order], row[at[order]], at[order], maybe))
 
     def hits(self, words: np.ndarray, first: np.ndarray) -> np.ndarray:
-        """Distinct (row, item, first word of the item's diagonal) of all seeds that meet."""
+        """Distinct (row, item, first word of the item's diagonal) where seeds meet and enough words are equal."""
         found = [np.zeros((0, 3), np.int64)]
         row = kernel.rows_of(first)
         for mask, (keys, item, place, maybe) in zip(MASKS, self.tables, strict=True):
@@ -69,25 +77,72 @@ class Items:
             near = maybe[(key & np.uint64((1 << 20) - 1)).astype(np.int64)]
             at, key = at[near], key[near]
             lo, hi = np.searchsorted(keys, key, "left"), np.searchsorted(keys, key, "right")
-            n = hi - lo
-            k = np.repeat(lo - np.r_[0, np.cumsum(n)[:-1]], n) + np.arange(n.sum())
-            p = np.repeat(at, n)
-            found.append(np.stack([row[p], item[k], p - (place[k] - self.first[item[k]])], 1))
+            at, lo, n = at[hi > lo], lo[hi > lo], (hi - lo)[hi > lo]
+            # All hits of a seed that many items have need not be held at once.
+            done = np.r_[0, np.cumsum(n)]
+            for a in range(0, int(done[-1]), COMPARED // 32):
+                hit = np.arange(a, min(a + COMPARED // 32, int(done[-1])))
+                of = np.searchsorted(done, hit, "right") - 1
+                k, p = lo[of] + hit - done[of], at[of]
+                found.append(self.enough(words, first, row[p], item[k], p - (place[k] - self.first[item[k]])))
         return np.unique(np.concatenate(found), axis=0)
 
+    def enough(self, words: np.ndarray, first: np.ndarray, row: np.ndarray, item: np.ndarray, start: np.ndarray) -> np.ndarray:
+        """The distinct diagonals on which as many words are equal as a segment needs."""
+        order = np.lexsort((start, item, row))
+        row, item, start = row[order], item[order], start[order]
+        new = np.r_[True, (row[1:] != row[:-1]) | (item[1:] != item[:-1]) | (start[1:] != start[:-1])][: len(row)]
+        row, item, start = row[new], item[new], start[new]
+        size = np.diff(self.first)[item]
+        lo, hi = np.maximum(start, first[row]), np.minimum(start + size, first[row + 1])
+        done, equal = np.r_[0, np.cumsum(hi - lo)], np.zeros(len(row), np.int64)
+        a = 0
+        while a < len(row):
+            b = max(a + 1, int(np.searchsorted(done, done[a] + COMPARED, "right")) - 1)
+            which = np.repeat(np.arange(a, b), (hi - lo)[a:b])
+            at = lo[which] + np.arange(done[a], done[b]) - done[which]
+            same = words[at] == self.words[self.first[item[which]] + at - start[which]]
+            equal[a:b] = np.bincount(which[same] - a, minlength=b - a)
+            a = b
+        ok = equal >= least(size)
+        return np.stack([row[ok], item[ok], start[ok]], 1)
+
     def verified(self, words: np.ndarray, first: np.ndarray) -> Iterator[tuple[int, int, int, int, int]]:
-        """(row, item, start word in the row, words, equal words) of the diagonals whose best segment suffices."""
+        """(row, item, start word in the row, words, equal words) of the diagonals on which a segment suffices."""
         for row, item, start in self.hits(words, first).tolist():
             base, n = int(self.first[item]), int(self.first[item + 1] - self.first[item])
             lo, hi = max(start, int(first[row])), min(start + n, int(first[row + 1]))
             same = words[lo:hi] == self.words[base + lo - start : base + hi - start]
-            run = np.r_[0, np.cumsum(np.where(same, 1, -2))]
-            floor = np.minimum.accumulate(run)
-            end = int(np.argmax(run - floor))
-            begin = int(np.flatnonzero(run[: end + 1] == floor[end])[-1])
-            equal = int(same[begin:end].sum())
-            if equal >= min(LEAST, -(-4 * n // 5)):
-                yield row, item, lo + begin - int(first[row]), end - begin, equal
+            for segment in (best, fullest):
+                begin, end = segment(same)
+                equal = int(same[begin:end].sum())
+                if equal >= least(n):
+                    yield row, item, lo + begin - int(first[row]), end - begin, equal
+                    break
+
+
+def least(n):
+    """Equal words that a segment of an item of n words must hold."""
+    return np.minimum(LEAST, -(-4 * n // 5))
+
+
+def best(same: np.ndarray) -> tuple[int, int]:
+    """The segment with the highest score."""
+    run = np.r_[0, np.cumsum(np.where(same, 1, -2))]
+    floor = np.minimum.accumulate(run)
+    end = int(np.argmax(run - floor))
+    return int(np.flatnonzero(run[: end + 1] == floor[end])[-1]), end
+
+
+def fullest(same: np.ndarray) -> tuple[int, int]:
+    """Of the segments with two thirds of equal words, that is a score of 0 or more, the one with most equal words."""
+    run, equal = np.r_[0, np.cumsum(np.where(same, 1, -2))], np.r_[0, np.cumsum(same)]
+    later = np.maximum.accumulate(run[::-1])
+    # From each place, the last end that still has its score.
+    end = len(run) - 1 - np.searchsorted(later, run, "left")
+    begin = int(np.lexsort((end - np.arange(len(run)), equal[np.arange(len(run))] - equal[end]))[0])
+    inside = np.flatnonzero(same[begin : end[begin]])
+    return (begin + int(inside[0]), begin + int(inside[-1]) + 1) if len(inside) else (begin, begin)
 
 
 def contaminated(documents: DataFrame, benchmark: DataFrame) -> DataFrame:

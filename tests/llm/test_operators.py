@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import gzip
 import hashlib
+import itertools
 import json
 import random
 import zlib
@@ -217,6 +218,21 @@ def test_decontamination_finds_substituted_passages(spark):
     assert decontamination.contaminated(docs.where("false"), bench).count() == 0
 
 
+def test_decontamination_finds_whatever_keeps_four_fifths(spark):
+    """All ways to change 2 or 3 of 15 words, and many to change 4 of 20, wherever the changed words are; not 4 of 15."""
+    rng = random.Random(8)
+    items = {1: [f"a{i}" for i in range(15)], 2: [f"b{i}" for i in range(20)], 3: [f"c{i}" for i in range(40)]}
+    gone = [(1, x) for n in (2, 3, 4) for x in itertools.combinations(range(15), n)] + [(2, x) for x in [(4, 9, 14, 19), *(tuple(rng.sample(range(20), 4)) for _ in range(300))]]
+    # 16 words of a longer item, of which every fifth is changed.
+    gone += [(3, (*range(10), 13, 18, 23, *range(26, 40)))]
+    rows = [(k, " ".join(["before"] * 5 + [f"x{i}" if i in x else w for i, w in enumerate(items[item])] + ["after"] * 5)) for k, (item, x) in enumerate(gone)]
+    docs, bench = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame([(k, " ".join(w)) for k, w in items.items()], "item_id long, text string")
+    got = {(r["doc_id"], r["item_id"]): (r["start_word"], r["n_words"], r["n_equal"]) for r in decontamination.contaminated(docs, bench).collect()}
+    assert got.keys() == {(k, item) for k, (item, x) in enumerate(gone) if (item, len(x)) != (1, 4)}
+    middle = gone.index((1, (6, 7, 8)))
+    assert got[middle, 1] == (5, 15, 12)
+
+
 @pytest.mark.parametrize("of", ["toxic", "quality"])
 def test_classifiers_learn_and_score_every_row(spark, of):
     rng = random.Random(6)
