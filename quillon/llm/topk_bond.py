@@ -102,6 +102,16 @@ def blocks(vectors: DataFrame, most: int) -> DataFrame:
     return vectors.mapInArrow(run, PACKED)
 
 
+def grouped(key: tuple, part: pa.Table) -> pa.Table:
+    """A query block, in the order of ids and vectors: a block that is made again has each query at the same place."""
+    part = part.combine_chunks()
+    dims, ids, columns = packed(part["vec_id"].to_numpy(), part["embedding"].chunk(0))
+    ids, columns = unpacked(dims, ids, columns)
+    order = np.lexsort((*columns[::-1], ids))
+    ids, columns = ids[order].tobytes(), np.ascontiguousarray(columns[:, order]).tobytes()
+    return pa.table({"block": pa.array([key[0].as_py()], pa.int64()), "q_dims": pa.array([dims], pa.int32()), "q_ids": [ids], "q_columns": [columns]})
+
+
 def nearest(embeddings: DataFrame, is_query: F.Column, k: int = 10) -> DataFrame:
     """query_id, rank, vec_id, score: the k highest integer inner products of each query."""
     spark = embeddings.sparkSession
@@ -112,11 +122,6 @@ def nearest(embeddings: DataFrame, is_query: F.Column, k: int = 10) -> DataFrame
     n_blocks = 1 + queries.count() // QUERIES_A_BLOCK
     salts = int(spark.conf.get("spark.sql.shuffle.partitions"))
 
-    def grouped(key: tuple, part: pa.Table) -> pa.Table:
-        part = part.combine_chunks()
-        dims, ids, columns = packed(part["vec_id"].to_numpy(), part["embedding"].chunk(0))
-        return pa.table({"block": pa.array([key[0].as_py()], pa.int64()), "q_dims": pa.array([dims], pa.int32()), "q_ids": [ids], "q_columns": [columns]})
-
     # Groups of about QUERIES_A_BLOCK vectors, whatever the number of queries.
     asked = queries.withColumn("block", F.pmod(F.xxhash64("vec_id"), F.lit(n_blocks)).cast("long")).groupBy("block").applyInArrow(grouped, "block long, q_dims int, q_ids binary, q_columns binary")
     asked = asked.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))

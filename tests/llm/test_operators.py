@@ -173,6 +173,26 @@ def test_topk_equals_all_scores(spark):
     assert topk_bond.nearest(df.where("false"), df["vec_id"] % 100 == 0).count() == 0
 
 
+def test_topk_query_blocks_do_not_depend_on_the_order_of_rows(spark, monkeypatch):
+    """A block that is made again in another fetch order is the same, so that all salts agree on the places of queries."""
+    import pyarrow as pa
+
+    rng = random.Random(9)
+    rows = [(k % 40, [rng.uniform(-1, 1) for _ in range(rng.choice([3, 5]))]) for k in range(60)] + [(7, []), (7, [0.5]), (7, [0.5, 0.0])]
+    made = []
+    # applyInArrow's function, whatever its name and place.
+    group = type(spark.range(1).groupBy("id"))
+    monkeypatch.setattr(group, "applyInArrow", lambda self, f, schema, real=group.applyInArrow: (made.append(f), real(self, f, schema))[1])
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    topk_bond.nearest(df, df["vec_id"] >= 0)
+    blocks = set()
+    for _ in range(5):
+        rng.shuffle(rows)
+        part = pa.table({"vec_id": pa.array([r[0] for r in rows], pa.int64()), "embedding": pa.array([r[1] for r in rows], pa.list_(pa.float64()))})
+        blocks.add(tuple(map(str, made[0]((pa.scalar(0),), part).to_pylist())))
+    assert len(blocks) == 1
+
+
 def test_packing_is_a_round_trip(documents, empty):
     from tokenizers import Tokenizer
 
