@@ -29,11 +29,18 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents that hold a passage of a benchmark item."""
-    leaks = settled(decontamination.contaminated(docs, table(spark, sf_dir, "benchmark")).select("doc_id").distinct(), "leaks")
+    """Drops documents that hold a passage of a benchmark item; rows without an id are told apart by their text."""
+    key = F.when(F.col("doc_id").isNull(), F.concat(F.lit("text "), F.sha2(F.coalesce("text", F.lit("")), 256))).otherwise(F.concat(F.lit("id "), F.col("doc_id").cast("string")))
+    benchmark = table(spark, sf_dir, "benchmark")
+    named = decontamination.contaminated(docs.where("doc_id IS NOT NULL"), benchmark).select(F.concat(F.lit("id "), F.col("doc_id").cast("string")).alias("leak"))
+    # Rows without an id are searched one for each text, under a number made of it.
+    nameless = docs.where("doc_id IS NULL AND text IS NOT NULL").select(F.xxhash64("text").alias("doc_id"), "text").distinct()
+    hits = decontamination.contaminated(nameless, benchmark).select("doc_id").distinct()
+    nameless = nameless.join(hits, "doc_id", "left_semi").select(F.concat(F.lit("text "), F.sha2("text", 256)).alias("leak"))
+    leaks = settled(named.unionAll(nameless).distinct(), "leaks")
     if leaks.count() <= partenum.FEW_IDS:
         leaks = F.broadcast(leaks)
-    return docs.join(leaks, "doc_id", "left_anti")
+    return docs.withColumn("leak", key).join(leaks, "leak", "left_anti").select(*docs.columns)
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

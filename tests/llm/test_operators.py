@@ -253,6 +253,17 @@ def test_decontamination_finds_whatever_keeps_four_fifths(spark):
     assert got[middle, 1] == (5, 15, 12)
 
 
+def test_pipeline_drops_leaks_of_rows_without_an_id(spark, tmp_path):
+    import corpus_pipeline
+
+    item = " ".join(f"q{i}" for i in range(20))
+    rows = [(None, f"so {item} it"), (None, "clean words"), (None, None), (1, item), (2, "clean words"), (3, None), (None, f"so {item} it")]
+    spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = corpus_pipeline.benchmark_leaks(spark, docs, str(tmp_path)).collect()
+    assert sorted(map(str, map(tuple, got))) == sorted(str(r) for r in rows if item not in (r[1] or ""))
+
+
 @pytest.mark.parametrize("of", ["toxic", "quality"])
 def test_classifiers_learn_and_score_every_row(spark, of):
     rng = random.Random(6)
