@@ -2,25 +2,30 @@
 
 A text's set: its distinct shingles of ``SHINGLE`` words. Sets are compared in families of sizes [low, 2 * low], which
 overlap so that any two sets with a Jaccard similarity of 0.8 share one. In a family such sets differ in at most k
-shingles. The domain of shingles is split into n1 parts, each into two; enumerating the subsets of one of the two
-gives T = 2 * n1 > k signatures a set, one for each half part: what the set has there. At most k halves can differ, so
-sets that are similar agree on T - k at least and thus share a signature.
-
-Signatures that say little are left out where that is safe: a half says little if it is empty or has only shingles
-that many sets of a bounded sample of texts have. A set of n shingles and one similar to it differ in at most n / 4, so
-they agree on T - n / 4 halves; one that says something is among them unless a set has that many of the other kind. Only
-such sets (mostly near copies of one text) emit those. Where many of the sample do so, the leader is taken from it
-and no grouping is needed.
-
-Sets that share a signature are compared in three rounds: each with the leader (the smallest id of a signature's sets)
-that it shares most signatures with; then with the nearest ones of other components; then all pairs that are left of two
-components. Links make components after each round, so copies of one text are joined by few comparisons, and no link
-between two components is missed. Equal texts are one set from the start. Before texts are compared,
-sketches are: how many shingles fall into each of ``CELLS`` cells; sets differ in as many shingles as their counts
-differ by, at least. That is done where a signature's sets meet, in blocks, so pairs that sketches rule out are never
-rows. What is left is decided by counting the shingles.
+shingles. The domain of shingles is split into n1 parts at the first level, each into ``SECOND`` at the second. Two sets
+that differ in at most k < 2 * n1 shingles differ in at most one of them in some first-level part, hence agree on all
+second-level parts of it but one. So the subsets of SECOND - 1 second-level parts of each first-level part are
+enumerated, and what a set has in one is a signature: similar sets share one at least. Families whose sets may not differ
+at all have one signature, the whole set.
+
+A signature says little if all its shingles (or none) are such that many sets of a bounded sample of texts have them. The
+first level has more parts than needed, so similar sets agree but for one second-level part in G of them or more, G being
+n1 less half the shingles in which a set of this size and a similar one may differ. A set with fewer than G parts that
+have a signature that says little does not emit those: one of its other parts has a signature that both sets emit.
+
+Sets that share a signature meet through its leader (the smallest id that has it; of a signature that many of the sample
+have, the smallest of the sample), and only (leader, set) rows leave the grouping of signatures, one each. Then:
+
+1. Each set is compared with the leader that it shares most signatures with; links make components. So copies of one
+   text are joined by one comparison each.
+2. Leaders whose sets are still in several components are dealt over cells: sets outside the leader's largest component
+   meet all others, in blocks of ``BLOCK`` sets. In a cell, sketches (how many shingles fall into each of ``CELLS``;
+   sets differ in as many shingles as the counts differ by, at least) leave the sets that may have a partner.
+3. The texts of those come to their cell once each; pairs of different components are compared shingle by shingle, and
+   a union-find in the task drops what is joined already: a cell gives fewer links than it has sets, never pairs.
 
 Signatures travel as 32 bits and the partition's number, in binary columns; equal ones by chance only cost a comparison.
+Shingles are compared as 64-bit hashes.
 
 Defined cases: null, empty or blank texts have no shingles and link with nothing; texts of fewer than ``SHINGLE``
 words have one shingle; a null doc_id links with nothing and has a null component_id; rows with one doc_id are
@@ -33,7 +38,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import kernel
@@ -43,15 +48,18 @@ from .workspace import bound_batches, forget, settled, table
 SHINGLE = 5
 #: Similarity as a fraction.
 NEAR = (4, 5)
-#: Halves beyond k + 1, so that few sets have as many halves that say little as similar sets must agree on.
-SPARE, SPARE_SHARE = 6, 8
-#: Texts that are looked at for frequent shingles and hot signatures, and how many of them must have one.
-SAMPLE, OFTEN = 16_384, 24
+#: Second-level parts of a first-level part.
+SECOND = 4
+#: One more first-level part for so many shingles that sets of a family may differ in.
+SPARE = 8
+#: Texts that are looked at for frequent shingles and hot signatures; one in RARE of these, and LEAST of them, must have it.
+#: So at most RARE times the mean number of shingles of a text come to the driver, whatever the table's size.
+SAMPLE, RARE, LEAST = 16_384, 512, 24
 CELLS = 128
-#: Ids of candidates are broadcast up to this many (8 bytes each), joined by shuffle beyond.
-FEW_IDS = 500_000
-#: Texts of a signature that are compared in one task; groups up to SMALL are compared together; partners in the second round.
-BLOCK, SMALL, NEAREST = 2048, 48, 4
+#: Sets, and shingles, of a leader that meet in one task; groups up to SMALL are looked at together.
+BLOCK, BLOCK_SHINGLES, SMALL = 2048, 4 << 20, 48
+#: Digests of texts with copies, and ids, are broadcast up to this many (32 bytes each at most), joined by shuffle beyond.
+FEW_IDS = 100_000
 
 
 def shingle_sets(t: kernel.Texts) -> tuple[np.ndarray, np.ndarray]:
@@ -83,11 +91,11 @@ def families(most: int) -> list[tuple[int, int]]:
     return out
 
 
-def halves(high: int) -> tuple[int, int]:
-    """(T, k) of the family whose sets have at most ``high`` shingles."""
+def parts_of(high: int) -> tuple[int, int]:
+    """(n1, k) of the family whose sets have at most ``high`` shingles."""
     a, b = NEAR
     k = 2 * high * (b - a) // (a + b)
-    return (2 * -(-(k + 1 + SPARE + k // SPARE_SHARE) // 2), k) if k else (1, 0)
+    return k // 2 + 1 + k // SPARE, k
 
 
 def signatures(hashes: np.ndarray, offsets: np.ndarray, frequent: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -100,21 +108,29 @@ def signatures(hashes: np.ndarray, offsets: np.ndarray, frequent: np.ndarray) ->
         members = np.flatnonzero((size >= low) & (size <= high))
         if not len(members):
             continue
-        total, k = halves(high)
-        n = size[members]
+        n1, k = parts_of(high)
+        n, slots = size[members], n1 * SECOND
         which = np.repeat(offsets[members] - np.r_[0, np.cumsum(n)[:-1]], n) + np.arange(n.sum())
         value = hashes[which]
-        half = ((value >> np.uint64(32)) * np.uint64(total)) >> np.uint64(32)
-        slot = np.repeat(np.arange(len(members)) * total, n) + half.astype(np.int64)
-        content = np.zeros(len(members) * total, np.uint64)
-        np.add.at(content, slot, kernel.mix(value))
-        little = np.bincount(slot, rare[which], len(members) * total) == 0
-        place = np.tile(np.arange(total, dtype=np.uint64), len(members)) + np.uint64(f << 40)
+        # Slots are ranges of hashes, and a row's hashes ascend, so what a slot has is a run.
+        slot = ((value >> np.uint64(32)) * np.uint64(slots)) >> np.uint64(32)
+        edge = np.r_[0, np.cumsum(np.bincount(np.repeat(np.arange(len(members)) * slots, n) + slot.astype(np.int64), minlength=len(members) * slots))]
+        sums, rares = np.zeros(len(value) + 1, np.uint64), np.r_[0, np.cumsum(rare[which])]
+        np.cumsum(kernel.mix(value), out=sums[1:])
+        content, n_rare = (np.diff(x[edge]).reshape(len(members), n1, SECOND) for x in (sums, rares))
+        if k:
+            # All second-level parts but one, for each one.
+            content, n_rare = (x.sum(2, keepdims=True) - x for x in (content, n_rare))
+        else:
+            content, n_rare = (x.sum((1, 2)).reshape(-1, 1, 1) for x in (content, n_rare))
+        little = n_rare == 0
+        weak = little.any(2).sum(1)
         # The most shingles in which a similar set of this family can differ from one of n.
         differ = np.minimum((n + n * q // p) * (q - p) // (p + q), k)
-        keep = ~little | np.repeat(little.reshape(-1, total).sum(1) >= total - differ, total)
-        rows.append(np.repeat(members, total)[keep])
-        out.append(kernel.mix(content[keep] + kernel.mix(place[keep])))
+        keep = ~little | (weak >= content.shape[1] - differ // 2)[:, None, None]
+        place = np.arange(content[0].size, dtype=np.uint64).reshape(content.shape[1:]) + np.uint64(f << 40)
+        rows.append(np.broadcast_to(members[:, None, None], keep.shape)[keep])
+        out.append(kernel.mix(content + kernel.mix(place))[keep])
     return np.concatenate(rows), np.concatenate(out)
 
 
@@ -126,30 +142,34 @@ def is_in(key: np.ndarray, ascending: np.ndarray) -> np.ndarray:
 
 def leading(documents: DataFrame) -> DataFrame:
     """doc_id, text, lead: the smallest id with the same text (its own where no other has it, or the text has no words)."""
-    rows = documents.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).withColumn("md5", F.md5("text"))
-    groups = settled(rows.where(F.col("text").rlike(r"[^\x20\x09-\x0D]")).groupBy("md5").agg(F.min("doc_id").alias("least"), F.count("*").alias("n")).where("n > 1").select("md5", "least"), "equal-texts")
-    if groups.count() <= FEW_IDS // 4:
+    rows = documents.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).withColumn("digest", F.unhex(F.sha2("text", 256)))
+    groups = settled(rows.where(F.col("text").rlike(r"[^\x20\x09-\x0D]")).groupBy("digest").agg(F.min("doc_id").alias("least"), F.count("*").alias("n")).where("n > 1").select("digest", "least"), "equal-texts")
+    if groups.count() <= FEW_IDS:
         groups = F.broadcast(groups)
-    return rows.join(groups, "md5", "left").select("doc_id", "text", F.coalesce("least", "doc_id").alias("lead"))
+    return rows.join(groups, "digest", "left").select("doc_id", "text", F.coalesce("least", "doc_id").alias("lead"))
+
+
+def sketches(hashes: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """How many shingles of each row are in each cell, 255 at most."""
+    n = np.diff(offsets)
+    cell = np.repeat(np.arange(len(n)) * CELLS, n) + (hashes % np.uint64(CELLS)).astype(np.int64)
+    return np.minimum(np.bincount(cell, minlength=len(n) * CELLS), 255).astype(np.uint8).reshape(-1, CELLS)
 
 
 def sizes(rows: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, sketch (how many shingles are in each cell, 255 at most) of each row."""
+    """doc_id, n_shingles, sketch of each row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for t in kernel.texts(batch.column(1)):
                 hashes, offsets = shingle_sets(t)
-                n = np.diff(offsets)
-                cell = np.repeat(np.arange(len(n)) * CELLS, n) + (hashes % np.uint64(CELLS)).astype(np.int64)
-                counts = np.minimum(np.bincount(cell, minlength=len(n) * CELLS), 255).astype(np.uint8).reshape(-1, CELLS)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(t.first, len(t)), pa.array(n, pa.int64()), pa.array([x.tobytes() for x in counts], pa.binary())], ["doc_id", "n_shingles", "sketch"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(t.first, len(t)), pa.array(np.diff(offsets), pa.int64()), pa.array([x.tobytes() for x in sketches(hashes, offsets)], pa.binary())], ["doc_id", "n_shingles", "sketch"])
 
     return rows.select("doc_id", "text").mapInArrow(run, "doc_id long, n_shingles long, sketch binary")
 
 
 def sampled(leads: DataFrame, n: int, of: Callable[[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
-    """Keys that ``OFTEN`` of about ``SAMPLE`` texts have, ascending, and the smallest id of each: a few 100,000 at most."""
+    """Keys that many of about ``SAMPLE`` texts have, ascending, and the smallest id of each; bounded as ``RARE`` says."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -159,14 +179,14 @@ def sampled(leads: DataFrame, n: int, of: Callable[[np.ndarray, np.ndarray], tup
 
     every = max(1, n // SAMPLE)
     sample = leads.where(F.pmod(F.xxhash64("doc_id"), F.lit(every)) == 0).select("doc_id", "text")
-    found = sample.mapInArrow(run, "key long, doc_id long").groupBy("key").agg(F.count("*").alias("n"), F.min("doc_id").alias("leader")).where(F.col("n") >= OFTEN).select("key", "leader").toPandas()
+    found = sample.mapInArrow(run, "key long, doc_id long").groupBy("key").agg(F.count("*").alias("n"), F.min("doc_id").alias("leader")).where(F.col("n") >= max(LEAST, n // every // RARE)).select("key", "leader").toPandas()
     key = found["key"].to_numpy(np.int64).view(np.uint64)
     order = np.argsort(key)
     return key[order], found["leader"].to_numpy(np.int64)[order]
 
 
 def buckets(leads: DataFrame, frequent: np.ndarray, hot: tuple[np.ndarray, np.ndarray], parts: int) -> DataFrame:
-    """sig, leader, doc_id: the texts other than the leader that share a signature with it."""
+    """leader, doc_id, n: how many signatures each text shares with a leader; none with itself."""
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -192,155 +212,209 @@ def buckets(leads: DataFrame, frequent: np.ndarray, hot: tuple[np.ndarray, np.nd
             for part, warm, sig, doc in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 ids = np.frombuffer(doc, np.int64)
                 if warm:
-                    key = np.frombuffer(sig, np.uint64)
-                    yield bucket_rows(key, hot[1][np.searchsorted(hot[0], key)], ids)
+                    yield from met(hot[1][np.searchsorted(hot[0], np.frombuffer(sig, np.uint64))], ids)
                 else:
                     sigs.append(np.frombuffer(sig, "<u4").astype(np.uint64) | np.uint64(part << 32))
                     docs.append(ids)
         sig, doc = np.concatenate(sigs), np.concatenate(docs)
-        del sigs, docs
+        sigs, docs = [], []
         order = np.lexsort((doc, sig))
         sig, doc = sig[order], doc[order]
         new = np.r_[True, sig[1:] != sig[:-1]][: len(sig)]
-        leader = doc[np.flatnonzero(new)][np.cumsum(new) - 1] if len(sig) else doc
-        yield bucket_rows(sig, leader, doc)
+        yield from met(doc[np.flatnonzero(new)][np.cumsum(new) - 1] if len(sig) else doc, doc)
 
-    def bucket_rows(sig: np.ndarray, leader: np.ndarray, doc: np.ndarray) -> pa.RecordBatch:
+    def met(leader: np.ndarray, doc: np.ndarray) -> Iterator[pa.RecordBatch]:
         other = leader != doc
-        return pa.RecordBatch.from_arrays([pa.array(sig[other].view(np.int64)), pa.array(leader[other]), pa.array(doc[other])], ["sig", "leader", "doc_id"])
+        leader, doc = leader[other], doc[other]
+        order = np.lexsort((doc, leader))
+        leader, doc = leader[order], doc[order]
+        new = np.flatnonzero(np.r_[True, (leader[1:] != leader[:-1]) | (doc[1:] != doc[:-1])][: len(doc)])
+        n = np.diff(np.r_[new, len(doc)])
+        for lo in range(0, len(new), 1 << 16):
+            some = new[lo : lo + (1 << 16)]
+            yield pa.RecordBatch.from_arrays([pa.array(leader[some]), pa.array(doc[some]), pa.array(n[lo : lo + (1 << 16)], pa.int64())], ["leader", "doc_id", "n"])
 
     packed = leads.select("doc_id", "text").mapInArrow(spread, "part int, warm boolean, sigs binary, docs binary")
-    return packed.repartition(parts, "part").mapInArrow(gather, "sig long, leader long, doc_id long")
+    return packed.repartition(parts, "part").mapInArrow(gather, "leader long, doc_id long, n long").groupBy("leader", "doc_id").agg(F.sum("n").alias("n"))
 
 
-def linked(pairs: DataFrame, rows: DataFrame, n_of: DataFrame) -> DataFrame:
-    """The pairs (a, b) of ids whose texts' sets are similar."""
+def near(n_x: np.ndarray, n_y: np.ndarray, common: np.ndarray) -> np.ndarray:
+    """Whether sets of these sizes with so many shingles in common are similar."""
     p, q = NEAR
-    for side in ("a", "b"):
-        pairs = pairs.join(n_of.select(F.col("doc_id").alias(side), F.col("n_shingles").alias(f"n_{side}"), F.col("sketch").alias(f"sketch_{side}")), side)
-
-    def close(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            x, y = (np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint8).reshape(-1, CELLS).astype(np.int16) for i in (4, 5))
-            n = batch.column(2).to_numpy() + batch.column(3).to_numpy()
-            keep = (p + q) * np.abs(x - y).sum(1, dtype=np.int64) <= (q - p) * n
-            yield pa.RecordBatch.from_arrays([batch.column(i).filter(pa.array(keep)) for i in (0, 1)], ["a", "b"])
-
-    pairs = settled(pairs.select("a", "b", "n_a", "n_b", "sketch_a", "sketch_b").mapInArrow(close, "a long, b long").distinct(), "pairs")
-    ids = pairs.select(F.col("a").alias("doc_id")).unionAll(pairs.select(F.col("b").alias("doc_id"))).distinct()
-    ids = settled(ids, "ids")
-    if ids.count() <= FEW_IDS:
-        ids = F.broadcast(ids)
-    texts = settled(rows.select("doc_id", "text").join(ids, "doc_id"), "candidates")
-    both = pairs.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), "a").join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")), "b")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            near = np.zeros(batch.num_rows, bool)
-            # Columns 2 and 3 in step: a piece at a time of each.
-            left, right = (each_set(batch.column(i)) for i in (2, 3))
-            for i, (x, y) in enumerate(zip(left, right, strict=True)):
-                common = len(x) + len(y) - len(np.union1d(x, y))
-                near[i] = common > 0 and q * common >= p * (len(x) + len(y) - common)
-            yield pa.RecordBatch.from_arrays([c.filter(pa.array(near)) for c in (batch.column(0), batch.column(1))], ["a", "b"])
-
-    out = settled(both.select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long").distinct(), "links")
-    forget(pairs, texts)
-    return out
-
+    return (common > 0) & (q * common >= p * (n_x + n_y - common))
 
-def named(groups: DataFrame, column: str) -> DataFrame:
-    return groups.select(F.col("node").alias(column), F.col("component").alias(f"of_{column}"))
 
-
-def extended(groups: DataFrame, links: DataFrame, tested: DataFrame, pairs: DataFrame, rows: DataFrame, n_of: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Components, links and tested pairs after these pairs have been compared, but for those that have been before."""
-    fresh = settled(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().join(tested, ["a", "b"], "left_anti"), "fresh")
-    if fresh.isEmpty():
-        return groups, links, tested
-    more = linked(fresh, rows, n_of)
-    tested = settled(tested.unionAll(fresh), "tested")
-    forget(fresh)
-    if more.isEmpty():
-        return groups, links, tested
-    links = settled(links.unionAll(more), "links")
-    return components(links), links, tested
+def each_set(column: pa.Array) -> Iterator[np.ndarray]:
+    for t in kernel.texts(column):
+        hashes, offsets = shingle_sets(t)
+        for i in range(len(t)):
+            yield hashes[offsets[i] : offsets[i + 1]]
 
 
-def spanning(found: DataFrame, groups: DataFrame, n_of: DataFrame, parts: int, most: int | None) -> DataFrame:
-    """a, b, apart: pairs of two components that share a signature and whose sketches may be those of similar sets.
+def linked_to_leaders(met: DataFrame, leads: DataFrame, parts: int) -> DataFrame:
+    """a, b: the pairs (leader, doc_id) of ``met`` whose texts are similar. A leader's text comes once for ``BLOCK`` others."""
+    sized = met.groupBy("leader").agg(F.ceil(F.count("*") / BLOCK).alias("salts"))
+    rows = met.join(sized, "leader").select("leader", "doc_id", F.pmod(F.xxhash64("doc_id"), "salts").alias("salt"), F.lit(False).alias("heads"))
+    rows = rows.unionAll(sized.select("leader", F.col("leader").alias("doc_id"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts") - 1)).alias("salt"), F.lit(True).alias("heads")))
+    dealt = rows.join(leads.select("doc_id", "text"), "doc_id").select("leader", "salt", "heads", "doc_id", "text").repartition(parts, "leader", "salt").sortWithinPartitions("leader", "salt", F.desc("heads"))
 
-    A signature's texts are dealt over blocks of about ``BLOCK``; each pair of blocks meets in one task, where sketches are
-    compared and only pairs that pass leave. most: from large groups, only that many of the nearest of each text.
-    """
-    members = found.select("sig", "doc_id").unionAll(found.groupBy("sig").agg(F.min("leader").alias("doc_id")))
-    placed = members.join(named(groups, "doc_id"), "doc_id", "left").select("sig", "doc_id", F.coalesce("of_doc_id", "doc_id").alias("component"))
-    split = placed.groupBy("sig").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.count("*").alias("n")).where("x < y").select("sig", F.ceil(F.col("n") / BLOCK).alias("blocks"))
-    dealt = placed.join(split, "sig").withColumn("block", F.pmod(F.xxhash64("doc_id"), "blocks")).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-    dealt = dealt.select("sig", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "doc_id", "component").join(n_of.select("doc_id", "n_shingles", "sketch"), "doc_id")
-    dealt = dealt.select("sig", "i", "j", "doc_id", "component", "n_shingles", "sketch").repartition(parts, "sig", "i", "j").sortWithinPartitions("sig", "i", "j")
-
-    def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rest = None
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, heads = None, []
         for batch in batches:
-            held = batch if rest is None else pa.Table.from_batches([rest, batch]).combine_chunks().to_batches()[0]
-            edge = edges(held)
-            if len(edge) > 1:
-                yield pairs_of(held.slice(0, int(edge[-1])), edge, most)
-                held = held.slice(int(edge[-1]))
-            rest = held
-        if rest is not None and rest.num_rows:
-            yield pairs_of(rest, edges(rest), most)
-
-    return dealt.mapInArrow(near, "a long, b long, apart long")
+            links = []
+            for leader, salt, is_head, doc, own in zip(*(batch.column(k).to_pylist() for k in range(4)), each_set(batch.column(4)), strict=True):
+                if key != (leader, salt):
+                    key, heads = (leader, salt), []
+                if is_head:
+                    heads.append(own.copy())
+                elif any(near(len(x), len(own), len(np.intersect1d(x, own, assume_unique=True))) for x in heads):
+                    links.append((min(leader, doc), max(leader, doc)))
+            if links:
+                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*links, strict=True)], ["a", "b"])
 
+    return dealt.mapInArrow(run, "a long, b long").distinct()
 
-def edges(held: pa.RecordBatch) -> np.ndarray:
-    """Where groups start in rows that are in the order of (sig, i, j)."""
-    sig, i, j = (held.column(k).to_numpy() for k in range(3))
-    return np.flatnonzero(np.r_[True, (np.diff(sig) != 0) | (np.diff(i) != 0) | (np.diff(j) != 0)][: len(sig)])
 
+def cells(found: DataFrame, groups: DataFrame, n_of: DataFrame) -> DataFrame:
+    """leader, kind, i, j, doc_id, component, minor, n_shingles, sketch: where sets of several components of a leader meet.
 
-def pairs_of(held: pa.RecordBatch, edge: np.ndarray, most: int | None) -> pa.RecordBatch:
-    """The pairs of whole groups that pass: of small groups shift by shift over all rows, of large ones row by row."""
+    minor: outside the leader's largest component. Up to ``BLOCK`` sets are one cell (kind 0); beyond, blocks of minor
+    ones meet blocks of the others (1) and of minor ones (2), so that copies in one component never meet each other.
+    """
+    members = found.select("leader", "doc_id").unionAll(found.select("leader", F.col("leader").alias("doc_id")).distinct())
+    named = groups.select(F.col("node").alias("doc_id"), "component")
+    placed = members.join(n_of, "doc_id").join(named, "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
+    placed = settled(placed, "placed")
+    each = placed.groupBy("leader", "component").agg(F.count("*").alias("n"), F.sum("n_shingles").alias("size"))
+    load = F.greatest(F.col("n") / BLOCK, F.col("size") / BLOCK_SHINGLES)
+    most = F.max(F.struct(load.alias("load"), (-F.col("component")).alias("less")))
+    split = each.groupBy("leader").agg(F.count("*").alias("several"), most.alias("most"), F.sum(load).alias("all")).where("several > 1")
+    split = split.select("leader", (-F.col("most.less")).alias("main"), F.col("all"), F.ceil("most.load").alias("main_blocks"), F.greatest(F.ceil(F.col("all") - F.col("most.load")), F.lit(1)).alias("minor_blocks"))
+    rows = placed.join(split, "leader").withColumn("minor", F.col("component") != F.col("main"))
+    block = F.pmod(F.xxhash64("doc_id"), F.when(F.col("minor"), F.col("minor_blocks")).otherwise(F.col("main_blocks")))
+    zero = F.lit(0).cast("long")
+
+    def cell(kind: int, i: F.Column, j: F.Column) -> F.Column:
+        return F.struct(F.lit(kind).alias("kind"), i.alias("i"), j.alias("j"))
+
+    every_main, every_minor = F.sequence(zero, F.col("main_blocks") - 1), F.sequence(zero, F.col("minor_blocks") - 1)
+    own = (
+        F.when(F.col("all") <= 1, F.array(cell(0, zero, zero)))
+        .when(F.col("minor"), F.concat(F.transform(every_main, lambda j: cell(1, F.col("block"), j)), F.transform(every_minor, lambda o: cell(2, F.least("block", o), F.greatest("block", o)))))
+        .otherwise(F.transform(every_minor, lambda i: cell(1, i, F.col("block"))))
+    )
+    return rows.withColumn("block", block).withColumn("cell", F.explode(own)).select("leader", "cell.kind", "cell.i", "cell.j", "doc_id", "component", "minor", "n_shingles", "sketch")
+
+
+def whole_cells(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, np.ndarray]]:
+    """Rows of whole cells, and where each begins; rows arrive in the order of their cells (the first four columns)."""
+    rest = None
+    for batch in batches:
+        held = batch if rest is None else pa.Table.from_batches([rest, batch]).combine_chunks().to_batches()[0]
+        key = [held.column(k).to_numpy() for k in range(4)]
+        edge = np.flatnonzero(np.r_[True, np.any([x[1:] != x[:-1] for x in key], 0)])
+        if len(edge) > 1:
+            yield held.slice(0, int(edge[-1])), edge[:-1]
+            held = held.slice(int(edge[-1]))
+        rest = held
+    if rest is not None and rest.num_rows:
+        yield rest, np.zeros(1, np.int64)
+
+
+def candidates(edge: np.ndarray, component: np.ndarray, minor: np.ndarray, n: np.ndarray, sketch: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of rows of one cell and two components whose sketches may be those of similar sets, a piece at a time."""
     p, q = NEAR
-    doc, component, n = (held.column(k).to_numpy() for k in (3, 4, 5))
-    sketch = np.frombuffer(b"".join(held.column(6).to_pylist()), np.uint8).reshape(-1, CELLS)
-    edge = edge[edge < held.num_rows]
-    size = np.diff(np.r_[edge, held.num_rows])
-    group, in_small = np.repeat(np.arange(len(edge)), size), np.repeat(size <= SMALL, size)
-    out = [np.zeros((3, 0), np.int64)]
-
-    def passing(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    size = np.diff(np.r_[edge, len(n)])
+
+    def passing(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         ok = (component[x] != component[y]) & ((p + q) * np.abs(n[x] - n[y]) <= (q - p) * (n[x] + n[y]))
         x, y = x[ok], y[ok]
-        apart = np.abs(sketch[x].astype(np.int16) - sketch[y]).sum(1, dtype=np.int64)
-        ok = (p + q) * apart <= (q - p) * (n[x] + n[y])
-        return x[ok], y[ok], apart[ok]
+        ok = (p + q) * np.abs(sketch[x].astype(np.int16) - sketch[y]).sum(1, dtype=np.int64) <= (q - p) * (n[x] + n[y])
+        return x[ok], y[ok]
 
+    # Small cells shift by shift over all rows at once, large ones row by row.
+    group, small = np.repeat(np.arange(len(edge)), size), np.repeat(size <= SMALL, size)
     for shift in range(1, int(size[size <= SMALL].max(initial=1))):
-        x = np.flatnonzero((group[shift:] == group[:-shift]) & in_small[shift:])
-        x, y, apart = passing(x, x + shift)
-        out.append(np.stack([doc[x], doc[y], apart]))
+        x = np.flatnonzero((group[shift:] == group[:-shift]) & small[shift:])
+        yield passing(x, x + shift)
     for lo, m in zip(edge[size > SMALL].tolist(), size[size > SMALL].tolist(), strict=True):
         rows = np.arange(lo, lo + m)
-        of, count = np.unique(component[rows], return_counts=True)
-        # Pairs within the largest component need no look.
-        for r in rows[component[rows] != of[np.argmax(count)]].tolist():
-            _, y, apart = passing(np.full(m, r), rows)
-            if most is not None and len(y) > most:
-                nearest = np.lexsort((doc[y], apart))[:most]
-                y, apart = y[nearest], apart[nearest]
-            out.append(np.stack([np.full(len(y), doc[r]), doc[y], apart]))
-    a, b, apart = np.concatenate(out, 1)
-    return pa.RecordBatch.from_arrays([pa.array(x) for x in (np.minimum(a, b), np.maximum(a, b), apart)], ["a", "b", "apart"])
+        for r in rows[minor[rows]].tolist():
+            others = rows[~minor[rows] | (rows > r)]
+            yield passing(np.full(len(others), r), others)
 
 
-def each_set(column: pa.Array) -> Iterator[np.ndarray]:
-    for t in kernel.texts(column):
-        hashes, offsets = shingle_sets(t)
-        for i in range(len(t)):
-            yield hashes[offsets[i] : offsets[i + 1]]
+def hopeful(dealt: DataFrame) -> DataFrame:
+    """The rows of cells that have a candidate; at most as many as there are."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for held, edge in whole_cells(batches):
+            component, minor, n = (held.column(k).to_numpy(zero_copy_only=False) for k in (5, 6, 7))
+            sketch = np.frombuffer(b"".join(held.column(8).to_pylist()), np.uint8).reshape(-1, CELLS)
+            alive = np.zeros(held.num_rows, bool)
+            for x, y in candidates(edge, component, minor, n, sketch):
+                alive[x] = alive[y] = True
+            if alive.any():
+                yield held.select(list(range(7))).filter(pa.array(alive))
+
+    return dealt.mapInArrow(run, "leader long, kind int, i long, j long, doc_id long, component long, minor boolean")
+
+
+def top(root: dict[int, int], x: int) -> int:
+    while root.get(x, x) != x:
+        root[x] = root.get(root[x], root[x])
+        x = root[x]
+    return x
+
+
+def links_of(doc: list[int], component: np.ndarray, minor: np.ndarray, sets: list[np.ndarray]) -> list[tuple[int, int]]:
+    """Links (a, b) that join the components of a cell's similar sets, each of which joins two that were apart."""
+    n = np.array([len(x) for x in sets], np.int64)
+    hashes, offsets = np.concatenate(sets), np.r_[0, np.cumsum(n)]
+    partners: dict[int, list[np.ndarray]] = {}
+    for x, y in candidates(np.zeros(1, np.int64), component, minor, n, sketches(hashes, offsets)):
+        for r in np.unique(x).tolist():
+            partners.setdefault(r, []).append(y[x == r])
+    # Who has a shingle: rows by shingle.
+    shingle, of = np.unique(hashes, return_inverse=True)
+    row = np.repeat(np.arange(len(n)), n)
+    order = np.argsort(of, kind="stable")
+    holder, at = row[order], np.r_[0, np.cumsum(np.bincount(of, minlength=len(shingle)))]
+    root: dict[int, int] = {}
+    out = []
+    for r, found in partners.items():
+        y = np.concatenate(found)
+        y = y[[top(root, int(component[k])) != top(root, int(component[r])) for k in y.tolist()]]
+        if not len(y):
+            continue
+        own = of[offsets[r] : offsets[r + 1]]
+        count = at[own + 1] - at[own]
+        everyone = holder[np.repeat(at[own] - np.r_[0, np.cumsum(count)[:-1]], count) + np.arange(count.sum())]
+        common = np.bincount(everyone, minlength=len(n))[y]
+        for k in y[near(n[r], n[y], common)].tolist():
+            a, b = top(root, int(component[r])), top(root, int(component[k]))
+            if a != b:
+                root[max(a, b)] = min(a, b)
+                out.append((min(doc[r], doc[k]), max(doc[r], doc[k])))
+    return out
+
+
+def linked_in_cells(alive: DataFrame, leads: DataFrame, parts: int) -> DataFrame:
+    """a, b: links between components, found from the texts of the cells' hopeful rows."""
+    ids = settled(alive.select("doc_id").distinct(), "ids")
+    texts = leads.select("doc_id", "text").join(F.broadcast(ids) if ids.count() <= FEW_IDS else ids, "doc_id")
+    dealt = alive.join(texts, "doc_id").select("leader", "kind", "i", "j", "doc_id", "component", "minor", "text").repartition(parts, "leader", "kind", "i", "j").sortWithinPartitions("leader", "kind", "i", "j", "doc_id")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for held, edge in whole_cells(batches):
+            sets = [x.copy() for x in each_set(held.column(7))]
+            doc = held.column(4).to_pylist()
+            component, minor = (held.column(k).to_numpy(zero_copy_only=False) for k in (5, 6))
+            links = [x for lo, hi in zip(edge.tolist(), [*edge[1:].tolist(), held.num_rows], strict=True) for x in links_of(doc[lo:hi], component[lo:hi], minor[lo:hi], sets[lo:hi])]
+            if links:
+                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*links, strict=True)], ["a", "b"])
+
+    return dealt.mapInArrow(run, "a long, b long").distinct()
 
 
 def joined(documents: DataFrame) -> DataFrame:
@@ -351,29 +425,28 @@ def joined(documents: DataFrame) -> DataFrame:
     n_of = settled(sizes(rows), "shingles")
     total = n_of.agg(F.count("*").alias("rows"), F.sum("n_shingles").alias("n")).first()
     leads = rows.where("doc_id = lead")
-    # About 0.6 signatures a shingle, and 2 million of them a partition.
-    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), int((total["n"] or 0) * 0.6) >> 21)
+    # About one signature a shingle, and 2 million of them a partition.
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), (total["n"] or 0) >> 21)
     frequent = sampled(leads, total["rows"], lambda hashes, offsets: (np.repeat(np.arange(len(offsets) - 1), np.diff(offsets)), hashes))[0]
     hot = sampled(leads, total["rows"], lambda hashes, offsets: signatures(hashes, offsets, frequent))
     found = settled(buckets(leads, frequent, hot, parts), "buckets")
     # An id of several rows holds its rows' components together.
     known = settled(rows.select("doc_id", "lead"), "leads")
     several = known.groupBy("doc_id").agg(F.min("lead").alias("x"), F.max("lead").alias("y")).where("x < y").select("doc_id")
-    links = settled(known.join(several, "doc_id").where("doc_id <> lead").select(F.col("doc_id").alias("a"), F.col("lead").alias("b")), "links")
-    groups = components(links)
-    tested = settled(links.where("false"), "tested")
+    links = known.join(several, "doc_id").where("doc_id <> lead").select(F.col("doc_id").alias("a"), F.col("lead").alias("b"))
     # Each text meets the leader that it shares most signatures with, the smaller of equals.
-    met = found.groupBy("leader", "doc_id").agg(F.count("*").alias("n")).groupBy(F.col("doc_id").alias("b")).agg(F.max(F.struct("n", (-F.col("leader")).alias("less"))).alias("best")).select((-F.col("best.less")).alias("a"), "b")
-    groups, links, tested = extended(groups, links, tested, met, leads, n_of)
-    # Then the nearest texts of other components, then all that are left of two components.
-    turn = F.row_number().over(Window.partitionBy("of").orderBy("apart", "to"))
-    near = spanning(found, groups, n_of, parts, NEAREST).distinct()
-    sides = near.select(F.col("a").alias("of"), F.col("b").alias("to"), "apart").unionAll(near.select(F.col("b").alias("of"), F.col("a").alias("to"), "apart"))
-    groups, links, tested = extended(groups, links, tested, sides.withColumn("turn", turn).where(F.col("turn") <= NEAREST).select(F.col("of").alias("a"), F.col("to").alias("b")), leads, n_of)
-    groups, links, tested = extended(groups, links, tested, spanning(found, groups, n_of, parts, None), leads, n_of)
+    met = found.groupBy("doc_id").agg(F.max(F.struct("n", (-F.col("leader")).alias("less"))).alias("best")).select((-F.col("best.less")).alias("leader"), "doc_id")
+    links = settled(links.unionAll(linked_to_leaders(met, leads, parts)), "links")
+    groups = components(links)
+    # Then all that share a leader and are in different components.
+    dealt = cells(found, groups, n_of.select("doc_id", "n_shingles", "sketch")).repartition(parts, "leader", "kind", "i", "j").sortWithinPartitions("leader", "kind", "i", "j")
+    alive = settled(hopeful(dealt), "hopeful")
+    more = settled(linked_in_cells(alive, leads, parts), "links")
+    if not more.isEmpty():
+        groups = components(links.unionAll(more))
     least = groups.select(F.col("node").alias("lead"), "component")
     by_id = known.join(least, "lead", "left").groupBy("doc_id").agg(F.min(F.coalesce("component", "lead")).alias("component_id"))
-    forget(found)
+    forget(found, alive)
     nulls = sizes(documents.where("doc_id IS NULL").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))).select("doc_id", "n_shingles", F.lit(None).cast("long").alias("component_id"))
     return n_of.join(by_id, "doc_id").select("doc_id", "n_shingles", "component_id").unionAll(nulls)
 
