@@ -1,8 +1,9 @@
 """Scripted multi-turn flows: one reply strategy per intent, and collectors that keep state between a session's turns.
 
-A session is folded in the order of its turns: state goes from turn to turn. Batch: ``chat`` deals turns by session and
-folds each session's in one group (a session is a bounded unit). The same step runs on streams in
-``quillon.streaming.sessions``. Detection itself is done before, as columns.
+A session is folded in the order of its turns: state goes from turn to turn. Batch: ``chat`` deals turns by session, puts
+them in order and folds them batch by batch; only the state of the session at hand is held, so a session may have any
+number of turns. The same step runs on streams in ``quillon.streaming.sessions``. Detection is done before, as columns.
+A turn without a session id is a session of its own, with an id made from it.
 """
 
 from __future__ import annotations
@@ -11,7 +12,8 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import textnorm as T
@@ -56,6 +58,11 @@ NOT_UNDERSTOOD = 'Não entendi sua mensagem. Vou transferir para um atendente hu
 TURN = "session_id string, turn int, turn_index int, text string, primary string, confidence double, multi_intent boolean, strategy string, reply string, reply_format string, pending_step int"
 
 
+def number_of(text: F.Column) -> F.Column:
+    """A number that any engine with md5 makes of a text."""
+    return F.conv(F.substring(F.md5(text), 1, 7), 16, 10).cast("long")
+
+
 def with_replies(detected: DataFrame) -> DataFrame:
     """``detected`` (text redacted, primary) with ticket, protocol and direct: the reply where no collector is at work."""
     lower = F.lower("text")
@@ -66,8 +73,8 @@ def with_replies(detected: DataFrame) -> DataFrame:
             out = out | F.contains(lower, F.lit(word))
         return out
 
-    df = detected.withColumn("ticket", F.format_string("SUP-%04d", F.pmod(F.xxhash64("text"), F.lit(10000))))
-    df = df.withColumn("protocol", (F.pmod(F.xxhash64("session_id", "turn"), F.lit(9000)) + 1000).cast("int"))
+    df = detected.withColumn("ticket", F.format_string("SUP-%04d", F.pmod(number_of(F.col("text")), F.lit(10000))))
+    df = df.withColumn("protocol", (F.pmod(number_of(F.concat_ws("/", F.col("session_id").cast("string"), F.col("turn").cast("string"))), F.lit(9000)) + 1000).cast("int"))
     faq = F.lit(FAQ_NONE)
     for key, answer in reversed(FAQ.items()):
         faq = F.when(F.contains(lower, F.lit(key)), answer).otherwise(faq)
@@ -113,7 +120,8 @@ def folded(session_id: str | None, turns: pd.DataFrame, state: State) -> Iterato
 
 def prepared(messages: DataFrame, settings: Settings = Settings()) -> DataFrame:
     """session_id, turn, text (redacted) of messages, detected and with direct replies."""
-    redacted = messages.select("session_id", F.col("turn").cast("int").alias("turn"), T.redact(F.coalesce("text", F.lit(""))).alias("text"))
+    own = F.substring(F.md5(F.concat_ws("/", F.col("turn").cast("string"), F.col("text"))), 1, 8)
+    redacted = messages.select(F.coalesce(F.col("session_id").cast("string"), own).alias("session_id"), F.col("turn").cast("int").alias("turn"), T.redact(F.coalesce("text", F.lit(""))).alias("text"))
     detected = detect(redacted, settings).select("session_id", "turn", "text", "primary", "confidence", "multi_intent")
     return with_replies(detected).select("session_id", "turn", "text", "primary", "confidence", "multi_intent", "protocol", "direct")
 
@@ -121,14 +129,27 @@ def prepared(messages: DataFrame, settings: Settings = Settings()) -> DataFrame:
 COLUMNS = [x.split()[0] for x in TURN.split(", ")]
 
 
-def chat(messages: DataFrame, settings: Settings = Settings()) -> DataFrame:
-    """A row of ``TURN`` for each message of session_id, turn, text."""
+def fold(turns: DataFrame) -> DataFrame:
+    """A row of ``TURN`` for each of turns: session_id, turn, text, primary, confidence, multi_intent, protocol, direct."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        session, state = None, State()
+        for batch in batches:
+            out = []
+            for session_id, part in batch.groupby("session_id", sort=False):
+                if session_id != session:
+                    session, state = session_id, State()
+                out += folded(session_id, part, state)
+            if out:
+                yield pd.DataFrame(out, columns=COLUMNS).astype({"pending_step": "Int32"})
+
+    columns = ["session_id", "turn", "text", "primary", "confidence", "multi_intent", "protocol", "direct"]
+    return turns.select(columns).repartition("session_id").sortWithinPartitions("session_id", "turn").mapInPandas(run, TURN)
 
-    def fold(key: tuple, turns: pd.DataFrame) -> pd.DataFrame:
-        out = pd.DataFrame(list(folded(key[0], turns, State())), columns=COLUMNS)
-        return out.astype({"pending_step": "Int32"})
 
-    return prepared(messages, settings).groupBy("session_id").applyInPandas(fold, TURN)
+def chat(messages: DataFrame, settings: Settings = Settings()) -> DataFrame:
+    """A row of ``TURN`` for each message of session_id, turn, text."""
+    return fold(prepared(messages, settings))
 
 
 def log_rows(turns: DataFrame, created_at: F.Column) -> DataFrame:
@@ -140,3 +161,20 @@ def log_rows(turns: DataFrame, created_at: F.Column) -> DataFrame:
 
 def latest(log: DataFrame, limit: int) -> DataFrame:
     return log.orderBy(F.desc("created_at"), F.desc("turn_index"), "session_id").limit(limit)
+
+
+def append_log(log: DataFrame, path: str) -> None:
+    """Adds rows of ``log_rows`` to the log at ``path``, which need not be there yet."""
+    log.write.mode("append").parquet(path)
+
+
+def read_log(spark: SparkSession, path: str, limit: int) -> DataFrame:
+    """The latest rows of a log; none if there is no log."""
+    columns = "session_id string, turn_index int, role string, text string, primary_intent string, strategy string, created_at timestamp"
+    try:
+        log = spark.read.schema(columns).parquet(path)
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        log = spark.createDataFrame([], columns)
+    return latest(log, limit)

@@ -1,8 +1,10 @@
 """Which intents a message expresses: tokens, rule hits, negation, scores, ranking and the trace of it all.
 
 Everything is Column expressions over one row: no shuffle, and the same on streaming sources. A message's language
-picks its rule set, an array of structs that the planner folds to a constant. Messages that no pattern of a language
-can match, by one alternation over both copies of the text, skip the search for spans.
+picks its rule set, an array of structs that the planner folds to a constant. Each pattern is first tested as a constant,
+compiled once; only rules whose pattern is there are searched for spans.
+
+Filters on what is detected stay above the detection (see ``kept_apart``). Filter input columns before it.
 """
 
 from __future__ import annotations
@@ -32,8 +34,8 @@ EXPLAIN_UNSUPPORTED = {
 EXPLAIN_UNKNOWN = "Nenhum intento identificado com confiança suficiente."
 
 
-#: Mark a pattern's matches while they are looked for.
-OPEN, CLOSE = "\x01", "\x02"
+#: Mark a pattern's matches while they are looked for; in texts that have them, OTHER stands for both: no word and no blank either.
+OPEN, CLOSE, OTHER = "\x01", "\x02", "\x03"
 
 
 def let(value: str, name: str, body: str) -> str:
@@ -69,18 +71,37 @@ def rule_literal(rules: RuleSet) -> Column:
     return literal(rows, RULE)
 
 
-def any_pattern(rules: RuleSet) -> str:
-    return "|".join(f"(?:{java_pattern(r['value'])})" for i in rules.intents for r in i["rules"] if r["type"] == "pattern") or r"\z\A."
+def patterns_there(rules: RuleSet) -> Column:
+    """Places, among a set's rules, of the patterns that the text or its copy without punctuation has; null for the others."""
+    every = [r for i in rules.intents for r in i["rules"]]
+    tests = [(j, java_pattern(r["value"])) for j, r in enumerate(every) if r["type"] == "pattern"]
+    return F.array(*(F.when(F.col("searched").rlike(p) | F.col("flat").rlike(p), F.lit(j)) for j, p in tests)) if tests else F.array().cast("array<int>")
+
+
+def kept_apart(value: Column) -> Column:
+    """``value``, in a form that the optimiser neither repeats nor moves a filter through.
+
+    A filter on a detected column would else be pushed below the detection and repeat all that it depends on, level by
+    level. A condition that is always true but counts as random keeps it where it is; unused columns are still pruned.
+    """
+    return F.when(F.rand(0) + 1 > 0, value)
+
 
+def tokenised(df: DataFrame, text: str = "stripped", lemmas: str | None = None) -> DataFrame:
+    """``df`` with tok (i, idx, text, fold, ws, brk, lemma) and lex, the tokens that count as steps.
 
-def tokenised(df: DataFrame, text: str = "stripped") -> DataFrame:
-    """``df`` with tok (i, idx, text, fold, ws, brk) and lex, the tokens that count as steps."""
+    lemmas: a column of map<string, string>, from folded words to lemmas; words it lacks are their own. Without it, lemma is null.
+    """
     tiles = f"transform(parts, (p, j) -> named_struct('p', p, 'o', aggregate(slice(parts, 1, j), 0, (a, x) -> a + length(x))))"
     df = df.withColumn("parts", F.regexp_extract_all(F.col(text), F.lit(TILE), F.lit(0)))
     # One blank before a token is none; what a run of white space has beyond it is a token.
     df = df.withColumn("tiles", F.expr(f"filter(transform({tiles}, t -> if(substr(t.p, 1, 1) = ' ', named_struct('p', substr(t.p, 2), 'o', t.o + 1), t)), t -> t.p <> '')"))
     white = rf"\A[{T.WHITE_CLASS}]+\z"
-    tok = F.transform("tiles", lambda t, i: F.struct(i.alias("i"), t["o"].alias("idx"), t["p"].alias("text"), T.fold(t["p"]).alias("fold"), (t["p"].rlike(white) & ~t["p"].rlike(r"[\r\n]")).alias("ws"), (t["p"].isin(*".,;:!?") | t["p"].rlike(r"[\r\n]")).alias("brk")))
+
+    def lemma(word: Column) -> Column:
+        return F.lit(None).cast("string") if lemmas is None else F.when(F.col(lemmas).isNotNull(), T.fold(F.coalesce(F.element_at(lemmas, word), word)))
+
+    tok = F.transform("tiles", lambda t, i: F.struct(i.alias("i"), t["o"].alias("idx"), t["p"].alias("text"), T.fold(t["p"]).alias("fold"), (t["p"].rlike(white) & ~t["p"].rlike(r"[\r\n]")).alias("ws"), (t["p"].isin(*".,;:!?") | t["p"].rlike(r"[\r\n]")).alias("brk"), lemma(T.fold(t["p"])).alias("lemma")))
     return df.withColumn("tok", tok).withColumn("lex", F.expr("filter(tok, t -> not t.ws)")).drop("parts", "tiles")
 
 
@@ -97,14 +118,14 @@ def with_hits(df: DataFrame, sets: dict[str, RuleSet]) -> DataFrame:
     df = df.withColumn("rules", by_language({k: rule_literal(r) for k, r in sets.items()}, none))
     intents = {k: literal([{"k": i, "id": x["id"], "label": x["label"], "priority": x["priority"], "min_score": float(x["min_score"])} for i, x in enumerate(r.intents)], INTENT) for k, r in sets.items()}
     df = df.withColumn("intents", by_language(intents, literal([], INTENT)))
-    may = by_language({k: F.col("normalised").rlike(any_pattern(r)) | F.col("flat").rlike(any_pattern(r)) for k, r in sets.items()}, F.lit(False))
-    df = df.withColumn("may", may)
+    df = df.withColumn("searched", F.translate("normalised", OPEN + CLOSE, OTHER + OTHER))
+    df = df.withColumn("may", by_language({k: patterns_there(r) for k, r in sets.items()}, F.array().cast("array<int>")))
     df = df.withColumn("whole", F.expr("filter(rules, r -> r.type = 'all' and forall(r.vals, v -> exists(tok, t -> t.fold = v)))"))
     df = df.withColumn("consumed", F.expr("flatten(transform(whole, r -> transform(filter(tok, t -> array_contains(r.vals, t.fold)), t -> named_struct('k', r.k, 'i', t.i))))"))
     token = "cast(named_struct('k', r.k, 'id', r.id, 'type', r.type, 'shown', {shown}, 'w', r.w, 's', t.idx, 'e', t.idx + length(t.text), 'text', t.text, 'exact', true, 'toks', array(t.i)) as " + HIT + ")"
     of_all = "flatten(transform(whole, r -> transform(r.vals, v -> " + let("filter(tok, t -> t.fold = v)[0]", "t", token.format(shown="v")) + ")))"
-    of_words = "flatten(transform(filter(rules, r -> r.type = 'keyword'), r -> transform(filter(tok, t -> t.fold = r.vals[0] and not exists(consumed, c -> c.k = r.k and c.i = t.i)), t -> " + token.format(shown="r.shown") + ")))"
-    both = f"array_distinct(concat({spans('normalised', 'r.pat')}, if(flat = normalised, {spans('normalised', 'r.pat').replace('z.n > 0', 'false')}, {spans('flat', 'r.pat')})))"
+    of_words = "flatten(transform(filter(rules, r -> r.type in ('keyword', 'lemma')), r -> transform(filter(tok, t -> if(r.type = 'keyword', t.fold, t.lemma) = r.vals[0] and not exists(consumed, c -> c.k = r.k and c.i = t.i)), t -> " + token.format(shown="r.shown") + ")))"
+    both = f"array_distinct(concat({spans('searched', 'r.pat')}, if(flat = searched, cast(array() as array<struct<j:int,s:int,n:int>>), {spans('flat', 'r.pat')})))"
     offset = lambda at: f"if({at} < size(imap), get(imap, {at}), element_at(imap, -1) + 1)"
     collapsed = lambda at: f"coalesce(substr(normalised, {at} + 1, 1) = ' ' and get(imap, {at} + 1) - get(imap, {at}) > 1, false)"
     placed = f"transform({both}, z -> named_struct('s', {offset('z.s')}, 'e', {offset('(z.s + z.n)')}, 'exact', not ({collapsed('z.s')} or {collapsed('(z.s + z.n - 1)')})))"
@@ -114,8 +135,8 @@ def with_hits(df: DataFrame, sets: dict[str, RuleSet]) -> DataFrame:
     hit = "cast(named_struct('k', r.k, 'id', r.id, 'type', r.type, 'shown', r.shown, 'w', r.w, 's', z.s, 'e', z.e, 'text', substr(stripped, z.s + 1, z.e - z.s), 'exact', z.exact, 'toks', z.toks) as " + HIT + ")"
     # In order of place, a hit is dropped if its rule has one there already or has claimed one of its tokens.
     once = f"aggregate({free}, cast(array() as array<{HIT}>), (acc, z) -> if(exists(acc, h -> (h.s = z.s and h.e = z.e) or arrays_overlap(h.toks, z.toks)), acc, array_append(acc, {hit})))"
-    of_patterns = f"if(may, flatten(transform(filter(rules, r -> r.type = 'pattern'), r -> {once})), cast(array() as array<{HIT}>))"
-    return df.withColumn("raw", F.expr(f"concat({of_all}, {of_words}, {of_patterns})")).drop("may", "whole")
+    of_patterns = f"flatten(transform(transform(filter(may, j -> j is not null), j -> rules[j]), r -> {once}))"
+    return df.withColumn("raw", F.expr(f"concat({of_all}, {of_words}, {of_patterns})")).drop("may", "whole", "searched")
 
 
 def with_negation(df: DataFrame, sets: dict[str, RuleSet], window: int) -> DataFrame:
@@ -166,9 +187,11 @@ def explained(df: DataFrame) -> DataFrame:
     return df
 
 
-def detect(messages: DataFrame, settings: Settings = Settings(), sets: dict[str, RuleSet] | None = None, text: str = "text", gates: bool = True, require_supported: bool = False) -> DataFrame:
+def detect(messages: DataFrame, settings: Settings = Settings(), sets: dict[str, RuleSet] | None = None, text: str = "text", gates: bool = True, require_supported: bool = False, lemmas: str | None = None) -> DataFrame:
     """``messages`` and what each one says.
 
+    lemmas: see ``tokenised``; without it, rules on lemmas are skipped.
+
     gates: messages that are empty, too short or too long get an error_code and no intents instead of an exception;
     require_supported: so do those in a language that is not supported.
     """
@@ -179,9 +202,17 @@ def detect(messages: DataFrame, settings: Settings = Settings(), sets: dict[str,
     df = identified(df.withColumn("_read", F.when(F.col("error_code").isNull(), F.col("stripped")).otherwise("")), settings, "_read")
     df = df.withColumn("stripped", F.when(F.col("lang.supported"), F.col("_read")).otherwise("")).drop("_read")
     df = df.withColumn("flat", T.without_punctuation(F.col("normalised"))).withColumn("imap", T.index_map(F.col("stripped")))
-    df = explained(ranked(with_negation(with_hits(tokenised(df), sets), sets, settings.negation_window), settings))
+    df = explained(ranked(with_negation(with_hits(tokenised(df, lemmas=lemmas), sets), sets, settings.negation_window), settings))
     if require_supported:
         df = df.withColumn("error_code", F.when(F.col("error_code").isNull() & ~F.col("lang.supported"), "unsupported_language").otherwise(F.col("error_code")))
     versions = by_language({k: F.lit(r.version) for k, r in sets.items()}, F.lit(""))
     df = df.withColumn("rules_version", versions)
-    return df.select(*kept, "error_code", "normalised", "lang", "kept", "dropped", "primary", "confidence", "multi_intent", "rank_reason", "explanation", "trace", "tok", "lex", "neg", "matched", "negated", "rules_version")
+    found = ["error_code", "normalised", "lang", "kept", "dropped", "primary", "confidence", "multi_intent", "rank_reason", "explanation", "trace", "tok", "lex", "neg", "matched", "negated", "rules_version"]
+    return df.select(*kept, *(kept_apart(F.col(c)).alias(c) for c in found))
+
+
+def detect_batch(messages: DataFrame, settings: Settings = Settings(), limit: int | None = None, **options) -> DataFrame:
+    """``detect`` without gates on length. limit: raises ValueError if there are more messages, as an interactive caller may want."""
+    if limit is not None and messages.limit(limit + 1).count() > limit:
+        raise ValueError(f"a batch has at most {limit} messages")
+    return detect(messages, settings, gates=False, **options)

@@ -11,22 +11,28 @@ from ..sources import shipped
 
 
 def script_counts(text: Column) -> dict[str, Column]:
-    """Letters of each script, and all letters."""
-    counts = {script: T.letters_of(text, body) for script, body in sorted(T.script_classes().items())}
-    return counts | {"letters": T.letters_of(text, r"\p{L}")}
+    """Letters of each script, and all letters. ASCII's are counted apart: few texts have many others."""
+    ascii_letters = F.length(text) - F.length(F.regexp_replace(text, "[A-Za-z]+", ""))
+    others = F.regexp_replace(text, r"[\x00-\x7F]+", "")
+    counts = {script: T.letters_of(others, body) for script, body in sorted(T.script_classes().items())}
+    return counts | {"Latin": counts["Latin"] + ascii_letters, "letters": T.letters_of(others, r"\p{L}") + ascii_letters}
 
 
 def candidates(words: Column, languages: tuple[str, ...], ratio: float) -> Column:
-    """Languages by descending share of the words that speak for any, with these words in order and repeats."""
-    markers = {lang: F.array(*map(F.lit, shipped.EXCLUSIVE[lang])) for lang in languages}
-    either = F.array(*map(F.lit, sorted({w for lang in languages for w in shipped.EXCLUSIVE[lang]})))
-    deciding = F.filter(words, lambda w: F.array_contains(either, w))
+    """Languages by descending share of the words that speak for any, with these words in order and repeats.
 
-    def own(markers: Column) -> Column:
-        return F.filter(deciding, lambda w: F.array_contains(markers, w))
+    Each word is looked up once in a hash set of all markers; only those that are in it are dealt to languages.
+    """
+    either = sorted({w for lang in languages for w in shipped.EXCLUSIVE[lang]})
 
-    all_ = F.array(*(F.struct(F.lit(lang).alias("language"), own(m).alias("markers"), F.size(deciding).alias("n")) for lang, m in markers.items()))
-    shares = F.transform(all_, lambda c: F.struct((-F.try_divide(F.size(c["markers"]), c["n"])).alias("less"), c["language"].alias("language"), c["markers"].alias("markers")))
+    def own(words: Column, lang: str) -> Column:
+        return F.filter(words, lambda w: w.isin(shipped.EXCLUSIVE[lang]))
+
+    shares = F.transform(
+        F.array(F.filter(words, lambda w: w.isin(either))),
+        lambda deciding: F.array(*(F.struct(F.lit(lang).alias("language"), own(deciding, lang).alias("markers"), F.size(deciding).alias("n")) for lang in languages)),
+    )[0]
+    shares = F.transform(shares, lambda c: F.struct((-F.try_divide(F.size(c["markers"]), c["n"])).alias("less"), c["language"].alias("language"), c["markers"].alias("markers")))
     kept = F.array_sort(F.filter(shares, lambda c: c["less"].isNotNull() & (-c["less"] >= ratio)))
     return F.transform(kept, lambda c: F.struct(c["language"].alias("language"), (-c["less"]).alias("share"), c["markers"].alias("markers")))
 

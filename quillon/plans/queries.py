@@ -1,23 +1,27 @@
 """Registered queries of the message engine, and the SQL that gives the same rows.
 
-Inputs: driver tables; G, ten messages with known results; T, G dealt over ``events``; K, a small rule set over words that
-``documents`` holds.
+Inputs: driver tables; G, ten messages with known results, and seven English ones; T, these dealt over ``events``; K, a small
+rule set over words that ``documents`` holds.
 """
 
 from __future__ import annotations
 
 import json
+import re
+import tempfile
+import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import textnorm as N
 from ..operators import chat as C
 from ..operators import relational as R
-from ..operators.detect import detect, tokenised
+from ..operators.detect import detect, detect_batch, tokenised
 from ..operators.language import identified
 from ..settings import Settings
+from ..sources import messages as M
 from ..sources import rules as S
 from ..sources import shipped
 
@@ -63,6 +67,22 @@ GOLDEN = [
     ("quero cancelar e depois assinar o plano Pro", [("cancelar", 5.0), ("comprar", 5.0)], []),
 ]
 EXPECTED = ["cancelar", "cancelar", "comprar", "suporte", "saudacao", "cancelar", "pagamento", "desconhecido", "upgrade", "cancelar"]
+#: For each of the ten: of the primary intent's hits, (type, what of), as the explanation lists them; marked tokens.
+SAID = [
+    [("keyword", "cancelar"), ("pattern", 1), ("pattern", 2)], [("all", "cancelar"), ("all", "assinatura")], [("keyword", "assinar"), ("pattern", 1)], [("pattern", 0)], [("pattern", 0)],
+    [("pattern", 3)], [("pattern", 0)], [], [("all", "plano"), ("all", "maior"), ("pattern", 0), ("pattern", 0)], [("keyword", "cancelar"), ("pattern", 1)],
+]
+MARKED = [{0, 1, 2, 3}, {0, 1, 2, 3, 5}, {1}, {2, 3}, {0}, {1}, {7}, set(), {0, 1, 3, 4, 5, 7, 8, 9, 10, 11, 12}, {0, 1, 4}]
+#: The same in English: what each expresses by rank, and what is dropped.
+GOLDEN_EN = [
+    ("i want to cancel my plan", [("cancelar", 8.0)], []),
+    ("how do i cancel my subscription", [("cancelar", 3.5), ("duvida", 2.5)], []),
+    ("the page is not loading", [("suporte", 2.5)], []),
+    ("hello, i need support", [("saudacao", 2.5)], [("suporte", 2.0)]),
+    ("please give me a refund because i was charged twice", [("pagamento", 6.0)], []),
+    ("i do not want to cancel", [], [("cancelar", 0.0)]),
+    ("never mind, i want to subscribe but not now", [("upgrade", 6.0), ("comprar", 5.0)], []),
+]
 #: Messages at the edges: (text, error, reason, script).
 EDGES = [
     ("", "empty", "empty_text", None), ("   ", "empty", "empty_text", None), ("a", "too_short", "empty_text", None), ("a" * 5001, "too_long", "empty_text", None),
@@ -82,11 +102,11 @@ def messages(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame([(i, g[0], EXPECTED[i]) for i, g in enumerate(GOLDEN)], "msg_id long, text string, expected string")
 
 
-def templated(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """T: each event says one of the ten messages."""
-    said = F.array(*(F.lit(g[0]) for g in GOLDEN))
-    wanted = F.array(*map(F.lit, EXPECTED))
-    at = F.pmod(F.col("event_id"), F.lit(10)).cast("int")
+def templated(spark: SparkSession, sf_dir: str, golden: list[tuple] = GOLDEN) -> DataFrame:
+    """T: each event says one of the messages."""
+    said = F.array(*(F.lit(g[0]) for g in golden))
+    wanted = F.array(*(F.lit(g[1][0][0] if g[1] else "desconhecido") for g in golden))
+    at = F.pmod(F.col("event_id"), F.lit(len(golden))).cast("int")
     return table(spark, sf_dir, "events").select(F.col("event_id").alias("msg_id"), F.get(said, at).alias("text"), F.get(wanted, at).alias("expected"))
 
 
@@ -94,9 +114,35 @@ def k_rules(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(K_RULES, "rule_id string, intent_id string, type string, value array<string>, weight double")
 
 
-G_SQL = values([(i, g[0], EXPECTED[i], g[1][0][0] if g[1] else "desconhecido", confidence(g[1][0][1]) if g[1] else 0.0, len(g[1])) for i, g in enumerate(GOLDEN)], "k, text, expected, prim, conf, n")
-RANKS = [(i, r + 1, name, score, confidence(score), r < len(g[1])) for i, g in enumerate(GOLDEN) for r, (name, score) in enumerate([*g[1], *g[2]])]
-RANK_SQL = values(RANKS, "k, rnk, intent, score, conf, kept")
+def golden_sql(golden: list[tuple]) -> str:
+    return values([(i, g[0], g[1][0][0] if g[1] else "desconhecido", g[1][0][0] if g[1] else "desconhecido", confidence(g[1][0][1]) if g[1] else 0.0, len(g[1])) for i, g in enumerate(golden)], "k, text, expected, prim, conf, n")
+
+
+def rank_sql(golden: list[tuple]) -> str:
+    ranks = [(i, r + 1, name, score, confidence(score), r < len(g[1])) for i, g in enumerate(golden) for r, (name, score) in enumerate([*g[1], *g[2]])]
+    return values(ranks, "k, rnk, intent, score, conf, kept")
+
+
+G_SQL, RANK_SQL = golden_sql(GOLDEN), rank_sql(GOLDEN)
+LABELS = {(lang, name): (label, priority, float(least), rules) for lang, name, label, priority, least, rules in shipped.INTENTS}
+
+
+def explained(k: int) -> str:
+    """What the explanation of the k-th of the ten is to be."""
+    if not GOLDEN[k][1]:
+        return "Nenhum intento identificado com confiança suficiente."
+    label, _, _, rules = LABELS["pt", GOLDEN[k][1][0][0]]
+    return f"Mensagem classificada como {label} (regras: " + ", ".join(f"{t} '{of if isinstance(of, str) else rules[of][1]}'" for t, of in SAID[k]) + ")."
+
+
+def result(k: int) -> str:
+    """What the JSON result of the k-th of the ten is to be."""
+    names = [x[1] for x in shipped.INTENTS if x[0] == "pt"]
+    kept = [{"intent": name, "label": LABELS["pt", name][0], "score": score, "confidence": confidence(score), "priority": LABELS["pt", name][1], "min_score": LABELS["pt", name][2], "k": names.index(name)} for name, score in GOLDEN[k][1]]
+    found = {"primary": EXPECTED[k], "confidence": kept[0]["confidence"] if kept else 0.0, "multi_intent": len(kept) > 1, "kept": kept, "explanation": explained(k)}
+    return json.dumps(found, ensure_ascii=False, separators=(",", ":"))
+
+
 FOLD = "lower(strip_accents(coalesce(text, '')))"
 NORM = f"trim(regexp_replace({FOLD}, '[{N.WHITE_CLASS}]+', ' ', 'g'), ' ')"
 WORDS = f"list_filter(string_split(regexp_replace({NORM}, '[^\\p{{L}}]+', ' ', 'g'), ' '), lambda w: w <> '')"
@@ -104,16 +150,30 @@ TOKENS = f"(SELECT doc_id, unnest(tk) AS token, generate_subscripts(tk, 1) - 1 A
 MARKERS = values([(lang, w) for lang in ("pt", "en") for w in shipped.EXCLUSIVE[lang]], "language, word")
 LATIN = N.script_classes()["Latin"]
 K_SQL = values([(r, i, t, w, v) for r, i, t, vs, w in K_RULES for v in vs], "rule_id, intent_id, type, weight, token")
-CANDIDATES = f"""(
-    WITH w AS (SELECT doc_id, unnest({WORDS}) AS word FROM documents),
+def candidates_sql(source: str) -> str:
+    """doc_id, language, share of ``source`` (doc_id, source, text)."""
+    return f"""(
+    WITH w AS (SELECT doc_id, unnest({WORDS}) AS word FROM {source}),
     m AS (SELECT w.doc_id, v.language, w.word FROM w JOIN {MARKERS} ON v.word = w.word),
     d AS (SELECT doc_id, count(*) AS n FROM w WHERE word IN (SELECT word FROM {MARKERS}) GROUP BY doc_id)
     SELECT doc_id, language, count(*) / any_value(n)::DOUBLE AS share FROM m JOIN d USING (doc_id) GROUP BY doc_id, language HAVING count(*) / any_value(n)::DOUBLE >= 0.25)"""
-VERDICT = f"""(
-    WITH s AS (SELECT doc_id, source, length(regexp_replace(t, '[^\\p{{L}}]', '', 'g')) AS n, length(regexp_replace(t, '[^{LATIN}]', '', 'g')) AS latin FROM (SELECT doc_id, source, {NORM} AS t FROM documents)),
-    c AS (SELECT doc_id, max(share) AS top, coalesce(list_sort(list(share), 'DESC')[2], 0) AS second, list(language ORDER BY share DESC, language)[1] AS best FROM {CANDIDATES} GROUP BY doc_id),
-    r AS (SELECT s.doc_id, source, best, CASE WHEN n = 0 THEN 'empty_text' WHEN latin / n::DOUBLE < 0.85 THEN 'unsupported_script' WHEN top IS NULL OR top < 0.55 THEN 'insufficient_signal' WHEN top - second < 0.15 THEN 'ambiguous_language' ELSE 'ok' END AS reason FROM s LEFT JOIN c ON s.doc_id = c.doc_id)
-    SELECT doc_id, source, reason, CASE WHEN reason = 'ok' THEN best END AS language FROM r)"""
+
+
+def verdict_sql(source: str) -> str:
+    """doc_id, source, reason, language, script, margin, candidates of ``source`` (doc_id, source, text)."""
+    names = sorted(N.script_classes())
+    counted = ", ".join(f"length(regexp_replace(t, '[^{N.script_classes()[x]}]', '', 'g')) AS {x}" for x in names)
+    order = [*names, "Unknown"]
+    scripts = ", ".join(f"{{'n': -{x if x != 'Unknown' else '(n - ' + ' - '.join(names) + ')'}, 's': '{x}'}}" for x in order)
+    return f"""(
+    WITH s AS (SELECT doc_id, source, length(regexp_replace(t, '[^\\p{{L}}]', '', 'g')) AS n, {counted} FROM (SELECT doc_id, source, {NORM} AS t FROM {source})),
+    c AS (SELECT doc_id, max(share) AS top, coalesce(list_sort(list(share), 'DESC')[2], 0) AS second, list(language ORDER BY share DESC, language)[1] AS best, count(*) AS n_candidates FROM {candidates_sql(source)} GROUP BY doc_id),
+    r AS (SELECT s.*, best, n_candidates, list_sort([{scripts}])[1].s AS top_script, CASE WHEN n = 0 THEN 'empty_text' WHEN Latin / n::DOUBLE < 0.85 THEN 'unsupported_script' WHEN top IS NULL OR top < 0.55 THEN 'insufficient_signal' WHEN top - second < 0.15 THEN 'ambiguous_language' ELSE 'ok' END AS reason FROM s LEFT JOIN c ON s.doc_id = c.doc_id)
+    SELECT doc_id, source, reason, CASE WHEN reason = 'ok' THEN best END AS language, CASE WHEN reason <> 'empty_text' THEN top_script END AS script,
+        CASE WHEN reason IN ('insufficient_signal', 'ambiguous_language') THEN 0.15::DOUBLE END AS margin, CASE WHEN reason IN ('empty_text', 'unsupported_script') THEN 0 ELSE coalesce(n_candidates, 0) END AS n_candidates FROM r)"""
+
+
+CANDIDATES, VERDICT = candidates_sql("documents"), verdict_sql("documents")
 
 
 @query(f"SELECT doc_id, {NORM} AS normalised FROM documents")
@@ -160,6 +220,15 @@ def offset_preserved(spark, sf):
     return table(spark, sf, "conversations").select("conv_id", "turn", (N.normalise(text) == N.fold(text)).alias("preserved"))
 
 
+@query(f"SELECT conv_id, turn, len(normalised) AS n, CASE WHEN normalised = regexp_replace({FOLD}, '[{N.WHITE_CLASS}]', ' ', 'g') THEN len(normalised) END AS beyond, 0 AS before FROM (SELECT conv_id, turn, text, {NORM} AS normalised FROM conversations)")
+def original_offsets(spark, sf):
+    """Offsets of the normalised end and of what is before the start; where nothing is collapsed the end is the text's."""
+    text = F.coalesce("text", F.lit(""))
+    rows = table(spark, sf, "conversations").select("conv_id", "turn", N.normalise(text).alias("normalised"), N.fold(text).alias("folded"), N.index_map(text).alias("map"))
+    beyond = N.original_offset(F.col("map"), F.length("normalised"))
+    return rows.select("conv_id", "turn", F.size("map").cast("long").alias("n"), F.when(F.col("normalised") == F.col("folded"), beyond).cast("long").alias("beyond"), N.original_offset(F.col("map"), F.lit(-1)).alias("before"))
+
+
 def documents_identified(spark, sf):
     return identified(table(spark, sf, "documents").select("doc_id", "source", "text"))
 
@@ -172,9 +241,9 @@ def language_candidates(spark, sf):
     return table(spark, sf, "documents").select("doc_id", F.explode(found).alias("c")).select("doc_id", "c.language", F.round("c.share", 9).alias("share"))
 
 
-@query(f"SELECT doc_id, language, reason FROM {VERDICT}")
+@query(f"SELECT doc_id, language, reason, script, margin, n_candidates FROM {VERDICT}")
 def language_verdict(spark, sf):
-    return documents_identified(spark, sf).select("doc_id", "lang.language", "lang.reason")
+    return documents_identified(spark, sf).select("doc_id", "lang.language", "lang.reason", "lang.script", "lang.margin", F.size("lang.candidates").cast("long").alias("n_candidates"))
 
 
 @query(f"SELECT source, reason, count(*) AS n FROM {VERDICT} GROUP BY source, reason")
@@ -210,10 +279,14 @@ def markers_flatten(spark, sf):
     return S.markers_table(spark, ("pt", "en")).select("language", "kind", "word")
 
 
-@query(f"SELECT 'pt' AS language, intent_id, rules FROM (SELECT intent_id, string_agg(rule_id, ',' ORDER BY rule_id) AS rules FROM {values(RULE_ROWS, 'language, intent_id, rule_id, type, value, weight')} WHERE language = 'pt' GROUP BY intent_id)")
+DUMPED = [(lang, name, label, p, float(m), "; ".join(f"{name}:{j} {t} {','.join(v) if isinstance(v, list) else v} {w}" for j, (t, v, w) in enumerate(rules)), ",".join(shipped.NEGATORS[lang]), ",".join(shipped.BOUNDARIES[lang])) for lang, name, label, p, m, rules in shipped.INTENTS]
+
+
+@query("SELECT * FROM " + values(DUMPED, "language, intent_id, label, priority, min_score, rules, negators, boundaries"))
 def rules_dump(spark, sf):
-    rules = S.rules_table(spark, S.shipped_rules("pt"))
-    return rules.groupBy("language", "intent_id").agg(F.array_join(F.sort_array(F.collect_list("rule_id")), ",").alias("rules"))
+    whole = S.dump(spark, *map(S.shipped_rules, ("pt", "en"))).select("language", F.array_join("negators", ",").alias("negators"), F.array_join("boundaries", ",").alias("boundaries"), F.explode("intents").alias("i"))
+    rules = F.array_join(F.transform("i.rules", lambda r: F.concat_ws(" ", r["rule_id"], r["type"], F.array_join(r["value"], ","), r["weight"].cast("string"))), "; ")
+    return whole.select("language", F.col("i.id").alias("intent_id"), "i.label", "i.priority", "i.min_score", rules.alias("rules"), "negators", "boundaries")
 
 
 FAULTY = [
@@ -221,12 +294,16 @@ FAULTY = [
     ({"intents.0.id": "Bad\n"}, "intents.0.id"), ({"intents.0.label": " "}, "intents.0.label"), ({"intents.0.priority": True}, "intents.0.priority"), ({"intents.0.min_score": float("inf")}, "intents.0.min_score"),
     ({"intents.0.rules": []}, "intents.0.rules"), ({"intents.0.rules.0.type": "regex"}, "intents.0.rules.0.type"), ({"intents.0.rules.0.value": "two words"}, "intents.0.rules.0.value"), ({"intents.0.rules.0.weight": 0}, "intents.0.rules.0.weight"),
     ({"intents.0.rules.1.value": "(?i)x"}, "intents.0.rules.1.value"), ({"intents.0.rules.1.value": "("}, "intents.0.rules.1.value"), ({}, None),
+    ({"": []}, ""), ({"intents.0": 5}, "intents.0"), ({"intents.0.rules.4.value": ["one"]}, "intents.0.rules.4.value"), ({"intents.0.rules.4.value": ["one", "two words"]}, "intents.0.rules.4.value.1"),
+    ({"intents.0.rules.1": {"type": "keyword", "value": "cancelar", "weight": 9}}, "intents.0.rules.1"), ({"intents.0.rules.1": "x"}, "intents.0.rules.1"), ({"intents.0.examples": [" "]}, "intents.0.examples.0"), ({"intents.0.examples": "x"}, "intents.0.examples"), ({"intents.1.id": "cancelar"}, "intents.1.id"),
 ]
 
 
 def faulty(change: dict) -> str:
     doc = S.shipped_document("pt")
     for path, value in change.items():
+        if not path:
+            return json.dumps(value)
         *way, last = [int(x) if x.isdigit() else x for x in path.split(".")]
         at = doc
         for x in way:
@@ -247,11 +324,9 @@ def rules_violations(spark, sf):
     return docs.mapInPandas(first, "doc_no int, first_fault string")
 
 
-@query()
+@query("SELECT language, sha256(content) AS sha256 FROM " + values([(lang, json.dumps(S.shipped_document(lang), ensure_ascii=False)) for lang in ("pt", "en")], "language, content"))
 def rules_digest(spark, sf):
-    rows = [(lang, json.dumps(S.shipped_document(lang), ensure_ascii=False).encode(), S.shipped_rules(lang).sha256) for lang in ("pt", "en")]
-    df = spark.createDataFrame(rows, "language string, content binary, sha256 string")
-    return df.select("language", "sha256", (F.sha2("content", 256) == F.col("sha256")).alias("same"))
+    return S.dump(spark, *map(S.shipped_rules, ("pt", "en"))).select("language", "sha256")
 
 
 def doc_tokens(spark, sf):
@@ -329,14 +404,33 @@ def detect_messages(spark, sf):
     return said(spark, sf).select("msg_id", "lang.language", F.col("primary").alias("primary_intent"), "confidence", "multi_intent")
 
 
+EN_SQL = f"events e JOIN {golden_sql(GOLDEN_EN)} ON v.k = e.event_id % {len(GOLDEN_EN)}"
+
+
+@query(f"SELECT event_id AS msg_id, 'en' AS language, prim AS primary_intent, conf AS confidence, n > 1 AS multi_intent FROM {EN_SQL}")
+def detect_english(spark, sf):
+    found = detect(templated(spark, sf, GOLDEN_EN))
+    return found.select("msg_id", "lang.language", F.col("primary").alias("primary_intent"), "confidence", "multi_intent")
+
+
+@query(f"SELECT event_id AS msg_id, rnk AS rank, intent, score, kept FROM events e JOIN {rank_sql(GOLDEN_EN)} ON v.k = e.event_id % {len(GOLDEN_EN)}")
+def rank_english(spark, sf):
+    return ranks_of(detect(templated(spark, sf, GOLDEN_EN))).select("msg_id", "rank", "intent", "score", "kept")
+
+
 @query(f"SELECT language, primary_intent, count(*) AS n FROM (SELECT 'pt' AS language, prim AS primary_intent FROM {T_SQL}) GROUP BY ALL")
 def detect_batch_by_language(spark, sf):
-    return said(spark, sf).groupBy(F.col("lang.language").alias("language"), F.col("primary").alias("primary_intent")).agg(F.count("*").alias("n"))
+    found = detect_batch(templated(spark, sf))
+    return found.groupBy(F.col("lang.language").alias("language"), F.col("primary").alias("primary_intent")).agg(F.count("*").alias("n"))
 
 
 def rank_rows(spark, sf):
+    return ranks_of(said(spark, sf))
+
+
+def ranks_of(found: DataFrame) -> DataFrame:
     both = F.expr("concat(transform(kept, x -> named_struct('x', x, 'kept', true)), transform(dropped, x -> named_struct('x', x, 'kept', false)))")
-    rows = said(spark, sf).select("msg_id", F.posexplode_outer(both).alias("p", "r")).where("p IS NOT NULL")
+    rows = found.select("msg_id", F.posexplode(both).alias("p", "r"))
     return rows.select("msg_id", (F.col("p") + 1).alias("rank"), "r.x.intent", "r.x.score", "r.x.confidence", "r.kept", "r.x.min_score")
 
 
@@ -347,7 +441,7 @@ def rank_total_order(spark, sf):
 
 @query(f"SELECT event_id AS msg_id, intent, conf AS confidence FROM events e JOIN {RANK_SQL} ON v.k = e.event_id % 10 WHERE kept")
 def min_score_floor(spark, sf):
-    return said(spark, sf).select("msg_id", F.explode_outer(F.expr("filter(kept, x -> x.score >= x.min_score)")).alias("x")).where("x IS NOT NULL").select("msg_id", "x.intent", "x.confidence")
+    return said(spark, sf).select("msg_id", F.explode(F.expr("filter(kept, x -> x.score >= x.min_score)")).alias("x")).select("msg_id", "x.intent", "x.confidence")
 
 
 @query(f"SELECT event_id AS msg_id, intent FROM events e JOIN {RANK_SQL} ON v.k = e.event_id % 10 WHERE NOT kept")
@@ -357,7 +451,7 @@ def dropped_diagnostics(spark, sf):
 
 @query(f"SELECT event_id AS msg_id, intent FROM events e JOIN {RANK_SQL} ON v.k = e.event_id % 10 WHERE kept AND rnk = 1")
 def topk_cap(spark, sf):
-    return detect(templated(spark, sf), Settings(max_intents=0)).select("msg_id", F.explode_outer("kept").alias("x")).where("x IS NOT NULL").select("msg_id", "x.intent")
+    return detect(templated(spark, sf), Settings(max_intents=0)).select("msg_id", F.explode("kept").alias("x")).select("msg_id", "x.intent")
 
 
 @query(f"SELECT event_id AS msg_id, CASE WHEN conf < 0.8 THEN 'desconhecido' ELSE prim END AS primary_intent, CASE WHEN n > 0 AND conf < 0.8 THEN 'low_confidence' ELSE 'ok' END AS reason FROM {T_SQL}")
@@ -367,8 +461,7 @@ def confidence_gate(spark, sf):
 
 @query(f"SELECT event_id AS msg_id, n AS n_intents FROM {T_SQL} WHERE n > 1")
 def multi_intent(spark, sf):
-    # A filter on a detected column would be pushed down and repeat the whole detection; one on an outer generator's is not.
-    return said(spark, sf).select("msg_id", F.explode_outer(F.array(F.size("kept"))).alias("n_intents")).where("n_intents > 1")
+    return said(spark, sf).where("multi_intent").select("msg_id", F.size("kept").alias("n_intents"))
 
 
 @query("SELECT event_id, round(value / (value + 1), 4) AS confidence FROM events WHERE value >= 0")
@@ -398,15 +491,25 @@ def require_supported(spark, sf):
     return detect(rows, require_supported=True).select("msg_id", "error_code")
 
 
-@query(f"SELECT k AS msg_id, CASE WHEN n = 0 THEN 'Nenhum intento identificado com confiança suficiente.' ELSE 'Mensagem classificada como ' || label || ' (regras: ' END AS start FROM {G_SQL} LEFT JOIN " + values([(name, label) for lang, name, label, *_ in shipped.INTENTS if lang == "pt"], "id, label").replace("AS v(", "AS l(") + " ON l.id = v.prim")
+@query("SELECT * FROM " + values([(k, explained(k)) for k in range(len(GOLDEN))], "msg_id, explanation"))
 def explanation(spark, sf):
-    return detect(messages(spark)).select("msg_id", F.regexp_extract("explanation", r"^(?:[^(]*\(regras: |[^(]*$)", 0).alias("start"))
+    return detect(messages(spark)).select("msg_id", "explanation")
+
+
+#: Explanations of what is not supported.
+UNSUPPORTED = [("!!!", "Mensagem sem conteúdo utilizável para classificação."), ("취소해줘", "Idioma não suportado (escrita CJK)."), ("xkqvw brtz plmq zzzz", "Não há sinais linguísticos suficientes para identificar o idioma."), ("the quer quero the my the quer", "Idioma ambíguo entre candidatos.")]
+
+
+@query("SELECT * FROM " + values(UNSUPPORTED, "text, explanation"))
+def explain_unsupported(spark, sf):
+    return detect(spark.createDataFrame([(x,) for x, _ in UNSUPPORTED], "text string")).select("text", "explanation")
 
 
 #: (message, rule, start, end, text, exact, negated) of the trace.
 TRACES = [
     ("não quero cancelar, quero saber do reembolso", "pagamento:0", 35, 44, "reembolso", True, False), ("não quero cancelar, quero saber do reembolso", "cancelar:0", 10, 18, "cancelar", True, True), ("não quero cancelar, quero saber do reembolso", "cancelar:1", 4, 18, "quero cancelar", True, True),
     ("a página não  carrega", "suporte:0", 9, 21, "não  carrega", True, False), ("oi, tudo bem?", "saudacao:0", 0, 2, "oi", True, False),
+    ("quero l'assinar", "comprar:1", 6, 15, "l'assinar", False, False),
     ("quero cancelar, meu plano", "cancelar:0", 6, 14, "cancelar", True, False), ("quero cancelar, meu plano", "cancelar:1", 0, 14, "quero cancelar", True, False), ("quero cancelar, meu plano", "cancelar:2", 6, 25, "cancelar, meu plano", True, False),
 ]
 
@@ -417,6 +520,50 @@ def rule_trace(spark, sf):
     return detect(rows).select("text", F.explode("trace").alias("h")).select("text", F.col("h.id").alias("rule_id"), F.col("h.s").alias("char_start"), F.col("h.e").alias("char_end"), F.col("h.text").alias("matched_text"), F.col("h.exact").alias("offsets_exact"), "h.negated")
 
 
+#: In T: hits of patterns (message, rule, start, end, exact), and each message's hits that are negated.
+SPANS = [(0, "cancelar:1", 0, 14, True), (0, "cancelar:2", 6, 24, True), (1, "duvida:0", 0, 14, True), (2, "comprar:1", 6, 13, True), (3, "suporte:0", 9, 20, True), (4, "saudacao:0", 0, 2, True), (5, "cancelar:3", 6, 10, True), (6, "cancelar:1", 4, 18, True), (6, "pagamento:0", 35, 44, True), (8, "cancelar:1", 0, 14, True), (8, "upgrade:0", 19, 33, True), (8, "upgrade:0", 35, 45, True), (8, "comprar:1", 46, 60, True), (9, "cancelar:1", 0, 14, True), (9, "comprar:1", 24, 31, True)]
+
+
+def hits(spark, sf):
+    return said(spark, sf).select("msg_id", F.explode("trace").alias("h")).select("msg_id", "h.*")
+
+
+@query(f"SELECT event_id AS msg_id, rule_id, s AS char_start, e AS char_end FROM events JOIN {values([x[:4] for x in SPANS], 'k, rule_id, s, e')} ON v.k = event_id % 10")
+def pattern_offsets(spark, sf):
+    return hits(spark, sf).where("type = 'pattern'").select("msg_id", F.col("id").alias("rule_id"), F.col("s").alias("char_start"), F.col("e").alias("char_end"))
+
+
+@query(f"SELECT event_id AS msg_id, rule_id, exact FROM events JOIN {values([(k, r, x) for k, r, _, _, x in SPANS], 'k, rule_id, exact')} ON v.k = event_id % 10")
+def offsets_exact(spark, sf):
+    return hits(spark, sf).where("type = 'pattern'").select("msg_id", F.col("id").alias("rule_id"), "exact")
+
+
+REPEATED = [("quero cancelar cancelar cancelar cancelar", "cancelar:0", 4, 2.0 + 3.0), ("quero reembolso, reembolso do reembolso", "pagamento:0", 3, 2.5)]
+
+
+@query("SELECT * FROM " + values(REPEATED, "text, rule_id, n_hits, score"))
+def hit_dedup(spark, sf):
+    """A rule that hits again and again counts once, and no place is hit twice by a rule."""
+    found = detect(spark.createDataFrame([(x[0],) for x in REPEATED], "text string")).select("text", F.get("kept", F.lit(0))["score"].alias("score"), F.explode("trace").alias("h"))
+    counted = found.groupBy("text", F.col("h.id").alias("rule_id")).agg(F.countDistinct("h.s", "h.e").cast("int").alias("n_hits"), F.max("score").alias("score"))
+    return counted.where(F.col("rule_id").isin([x[1] for x in REPEATED]))
+
+
+#: (message, rule, hits, negated hits, whether the rule counts).
+NEGATED = [
+    ("não quero cancelar", "cancelar:0", 1, 1, False), ("quero cancelar, não quero cancelar", "cancelar:0", 2, 1, True), ("não quero cancelar, mas vou cancelar", "cancelar:0", 2, 1, True),
+    ("quero cancelar sem a assinatura", "cancelar:4", 2, 1, False), ("como eu faço para cancelar a assinatura", "cancelar:4", 2, 0, True),
+]
+
+
+@query("SELECT * FROM " + values(NEGATED, "text, rule_id, n_hits, n_negated, counts"))
+def negation_semantics(spark, sf):
+    """A rule counts if one of its hits is not negated, an ``all`` rule only if none of its parts is."""
+    found = detect(spark.createDataFrame([(x,) for x in dict.fromkeys(n[0] for n in NEGATED)], "text string")).select("text", F.explode("trace").alias("h"), F.expr("aggregate(concat(kept, dropped), cast(0 as double), (a, x) -> a + if(x.intent = 'cancelar', x.score, 0))").alias("score"))
+    counted = found.where("h.id in ('cancelar:0', 'cancelar:4')").groupBy("text", F.col("h.id").alias("rule_id"), "score", "h.type").agg(F.count("*").cast("int").alias("n_hits"), F.count_if("h.negated").cast("int").alias("n_negated"))
+    return counted.select("text", "rule_id", "n_hits", "n_negated", (F.col("score") >= F.when(F.col("type") == "all", 3.5).otherwise(2.0)).alias("counts"))
+
+
 @query("SELECT * FROM " + values([("não quero cancelar, quero saber do reembolso", "7", "1,2"), ("oi, tudo bem?", "0", ""), ("quero sair!!!", "1", "")], "text, matched, negated"))
 def token_marks(spark, sf):
     rows = spark.createDataFrame([(x,) for x in ("não quero cancelar, quero saber do reembolso", "oi, tudo bem?", "quero sair!!!")], "text string")
@@ -440,7 +587,7 @@ def negator_ends(spark, sf):
     return detect(rows).select("text", F.array_join(F.col("neg").cast("array<string>"), ",").alias("ends"))
 
 
-@query()
+@query("SELECT * FROM " + values([(k, i, w, i in MARKED[k], False) for k, g in enumerate(GOLDEN) for i, w in enumerate(re.findall(r"\w+|[^\w\s]", g[0]))], "msg_id, i, text, matched, negated"))
 def token_table(spark, sf):
     return detect(messages(spark)).select("msg_id", "matched", "negated", F.explode("tok").alias("t")).select("msg_id", "t.i", "t.text", F.expr("array_contains(matched, t.i)").alias("matched"), F.expr("array_contains(negated, t.i)").alias("negated"))
 
@@ -458,21 +605,39 @@ def lemma_skipped(spark, sf):
     return detect(rows).select("text", F.array_join(F.expr("array_distinct(transform(trace, h -> h.id))"), ",").alias("rules"))
 
 
-@query()
+@query("SELECT * FROM " + values([(k, result(k)) for k in range(len(GOLDEN))], "msg_id, result"))
 def result_json(spark, sf):
     return detect(messages(spark)).select("msg_id", F.to_json(F.struct("primary", "confidence", "multi_intent", "kept", "explanation")).alias("result"))
 
 
-@query("SELECT conv_id, turn, role, text FROM conversations ORDER BY conv_id DESC, turn DESC LIMIT 20")
+@query("SELECT * FROM " + values([("não foi erro meu", ""), ("o app deu erros e não abre", "suporte:0,suporte:2")], "text, rules"))
+def lemma_hits(spark, sf):
+    """With lemmas at hand, rules on lemmas count like keywords; without them, such rules are skipped."""
+    rows = spark.createDataFrame([("o app deu erros e não abre", {"erros": "erro", "deu": "dar"}), ("não foi erro meu", None)], "text string, lemmas map<string,string>")
+    return detect(rows, lemmas="lemmas").select("text", F.array_join(F.array_sort(F.expr("array_distinct(transform(trace, h -> h.id))")), ",").alias("rules"))
+
+
+@query("SELECT conv_id * 1000 + turn AS turn_index, role, text FROM conversations ORDER BY turn_index DESC LIMIT 20")
 def history_latest(spark, sf):
-    return table(spark, sf, "conversations").orderBy(F.desc("conv_id"), F.desc("turn")).limit(20).select("conv_id", "turn", "role", "text")
+    log = table(spark, sf, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("turn_index"), "role", "text", F.lit("s").alias("session_id"), F.lit("2024-01-01").alias("created_at"))
+    return C.latest(log, 20).select("turn_index", "role", "text")
 
 
-@query("SELECT count(*) AS n FROM (SELECT unnest(string_split(text, chr(10))) AS line FROM documents) WHERE trim(line) <> ''")
+@query("SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn, role) - 1 AS pos, text FROM conversations WHERE text IS NOT NULL")
+def batch_json(spark, sf):
+    """JSON array source: each conversation as one document, read back as messages."""
+    docs = table(spark, sf, "conversations").where("text IS NOT NULL").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "role", "text"))).alias("t")).select("conv_id", F.to_json("t.text").alias("doc"))
+    return docs.select("conv_id", F.posexplode(M.array_of(F.col("doc"))).alias("pos", "text")).select("conv_id", F.col("pos").cast("long").alias("pos"), "text")
+
+
+LINES = "(SELECT doc_id || '/' || (k - 1) AS doc_id, source, line AS text FROM (SELECT doc_id, source, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS k FROM documents) WHERE regexp_matches(line, '\\S'))"
+
+
+@query(f"SELECT doc_id AS line_id, CASE WHEN n < 2 OR n > 5000 THEN 'empty_text' ELSE reason END AS reason, CASE WHEN n < 2 THEN 'too_short' WHEN n > 5000 THEN 'too_long' END AS error_code FROM {verdict_sql(LINES)} JOIN (SELECT doc_id, length(regexp_replace(text, '^[{N.WHITE_CLASS}]+|[{N.WHITE_CLASS}]+$', '', 'g')) AS n FROM {LINES}) USING (doc_id)")
 def detect_lines(spark, sf):
-    """Line source: one message for each line that is not blank."""
-    lines = table(spark, sf, "documents").select(F.explode(F.split("text", "\n")).alias("line")).where(F.trim("line") != "")
-    return lines.agg(F.count("*").alias("n"))
+    """Line source: one message for each line that is not blank, detected."""
+    lines = M.lines_of(table(spark, sf, "documents"), "text", "doc_id").select(F.concat_ws("/", F.col("doc_id").cast("string"), F.col("line").cast("string")).alias("line_id"), "text")
+    return detect(lines).select("line_id", "lang.reason", "error_code")
 
 
 #: (session, turn, text, index, strategy, pending step).
@@ -491,17 +656,120 @@ def chat_turns(spark, sf):
     return C.chat(sessions(spark)).select("session_id", "turn", "text", "turn_index", "strategy", "pending_step")
 
 
-@query()
+PROTOCOL = "(('0x' || substr(md5(session_id || '/' || turn), 1, 7))::BIGINT % 9000 + 1000)"
+#: What each turn of the sessions is answered; a number stands for a collector's step.
+ANSWERED = [("cancelar", 0), ("cancelar", 1), ("cancelar", 2), ("saudacao", None), ("cancelar", 0), ("cancelar", 1), ("alterar_dados", 0), ("saudacao", None), ("desconhecido", None)]
+
+
+def answer(k: int) -> str:
+    intent, at = ANSWERED[k]
+    said = C.COLLECTORS[intent][at] if at is not None else C.REPLIES.get(intent, C.NOT_UNDERSTOOD.format(SESSIONS[k][2]))
+    return said.replace("{:04d}", "#")
+
+
+@query(f"SELECT session_id, turn, strategy, replace(reply, '#', {PROTOCOL}::VARCHAR) AS reply FROM {values([(*x[:2], x[4], answer(k)) for k, x in enumerate(SESSIONS)], 'session_id, turn, strategy, reply')}")
 def chat_replies(spark, sf):
     return C.chat(sessions(spark)).select("session_id", "turn", "strategy", "reply")
 
 
+def case(branches: list[tuple[str, str]], otherwise: str) -> str:
+    return "CASE " + " ".join(f"WHEN {test} THEN {value}" for test, value in branches) + f" ELSE {otherwise} END"
+
+
+def has_sql(words: tuple[str, ...]) -> str:
+    return "(" + " OR ".join(f"contains(lower(text), {q(w)})" for w in words) + ")"
+
+
+TICKET = "'SUP-' || lpad((('0x' || substr(md5(text), 1, 7))::BIGINT % 10000)::VARCHAR, 4, '0')"
+DIRECT = case(
+    [
+        ("intent = 'suporte'", case([(has_sql(C.SUPPORT_ERRORS), f"replace({q(C.SUPPORT[0])}, '{{}}', {TICKET})")], f"replace({q(C.SUPPORT[1])}, '{{}}', {TICKET})")),
+        ("intent = 'pagamento'", case([(has_sql(C.PAYMENT_TWICE), q(C.PAYMENT[0]))], q(C.PAYMENT[1]))),
+        ("intent = 'duvida'", case([(has_sql((k,)), q(v)) for k, v in C.FAQ.items()], q(C.FAQ_NONE))),
+        *((f"intent = {q(k)}", q(v)) for k, v in C.REPLIES.items()),
+    ],
+    "'" + C.NOT_UNDERSTOOD.replace("{}", "' || text || '") + "'",
+)
+#: Words that replies depend on, put before what users said so that each kind is there.
+PREFIXES = ("", "erro ", "Não abre ", "cobrou ", "duas vezes ", "preço ", "teste ", "cancelar ")
+INTENT_NAMES = ("suporte", "pagamento", "duvida", *C.REPLIES, "desconhecido")
+
+
+@query(f"SELECT conv_id, turn, intent, prefix, md5({DIRECT}) AS reply FROM (SELECT conv_id, turn, intent, prefix, prefix || coalesce(text, '') AS text FROM conversations, (SELECT unnest([{', '.join(map(q, INTENT_NAMES))}]) AS intent), (SELECT unnest([{', '.join(map(q, PREFIXES))}]) AS prefix) WHERE role = 'user')")
+def chat_direct(spark, sf):
+    """Replies without a collector to what users said, as if it were of each intent."""
+    users = table(spark, sf, "conversations").where("role = 'user'").withColumn("prefix", F.explode(F.array(*map(F.lit, PREFIXES)))).withColumn("primary", F.explode(F.array(*map(F.lit, INTENT_NAMES))))
+    rows = users.select("conv_id", "turn", "prefix", "primary", F.concat("prefix", F.coalesce("text", F.lit(""))).alias("text"), F.lit("s").alias("session_id"))
+    return C.with_replies(rows).select("conv_id", "turn", F.col("primary").alias("intent"), "prefix", F.md5("direct").alias("reply"))
+
+
+@query(f"SELECT conv_id, turn, {TICKET} AS ticket FROM conversations WHERE text IS NOT NULL")
+def chat_ticket(spark, sf):
+    rows = table(spark, sf, "conversations").where("text IS NOT NULL").select("conv_id", "turn", "text", F.lit("suporte").alias("primary"), F.lit("s").alias("session_id"))
+    return C.with_replies(rows).select("conv_id", "turn", "ticket")
+
+
+#: Scripted sessions at scale: each user's events in order, each of one of these intents, some of them unsure.
+SCRIPT = ["cancelar", "desconhecido", "saudacao", "cancelar", "desconhecido", "alterar_dados", "desconhecido", "acesso", "cancelar", "desconhecido", "acesso"]
+
+
+def scripted(spark, sf):
+    events = table(spark, sf, "events").where("user_id IS NOT NULL")
+    said = F.get(F.array(*map(F.lit, SCRIPT)), F.pmod("event_id", F.lit(len(SCRIPT))).cast("int"))
+    rows = events.select(F.col("user_id").cast("string").alias("session_id"), F.col("event_id").cast("int").alias("turn"), F.lit("x").alias("text"), said.alias("primary"), F.when(F.pmod("event_id", F.lit(3)) == 0, 0.2).otherwise(0.8).alias("confidence"), F.lit(False).alias("multi_intent"))
+    return C.fold(C.with_replies(rows))
+
+
+STEPS = "[" + ", ".join(f"{{'intent': {q(k)}, 'n': {len(v)}, 'said': [{', '.join(q(x.replace('{:04d}', '#')) for x in v)}]}}" for k, v in C.COLLECTORS.items()) + "]"
+FOLDED = f"""(
+    WITH RECURSIVE e AS (SELECT user_id::VARCHAR AS session_id, event_id::INTEGER AS turn, [{', '.join(map(q, SCRIPT))}][event_id % {len(SCRIPT)} + 1] AS prim, CASE WHEN event_id % 3 = 0 THEN 0.2 ELSE 0.8 END AS conf, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS k FROM events WHERE user_id IS NOT NULL),
+    c AS (SELECT unnest({STEPS}, recursive := true)),
+    f AS (
+        SELECT session_id, 0::BIGINT AS k, 0 AS turn, NULL::VARCHAR AS pending, 0 AS step, NULL::VARCHAR AS strategy, NULL::INTEGER AS at FROM (SELECT DISTINCT session_id FROM e)
+        UNION ALL
+        SELECT session_id, k, turn, CASE WHEN n IS NOT NULL AND s < n THEN intent END, CASE WHEN n IS NOT NULL AND s < n THEN s ELSE 0 END, intent, CASE WHEN n IS NOT NULL THEN s END
+        FROM (
+            SELECT x.session_id, x.k, x.turn, x.intent, c.n, CASE WHEN x.held IS NULL THEN 1 ELSE x.step + 1 END AS s
+            FROM (
+                SELECT e.session_id, e.k, e.turn, f.step, CASE WHEN f.pending IS NOT NULL AND e.prim NOT IN ('desconhecido', f.pending) AND e.conf >= 0.3 THEN NULL ELSE f.pending END AS held, coalesce(held, e.prim) AS intent
+                FROM f JOIN e ON e.session_id = f.session_id AND e.k = f.k + 1) x
+            LEFT JOIN c ON c.intent = x.intent))
+    SELECT f.session_id, f.turn, (2 * f.k - 1)::INTEGER AS turn_index, f.strategy, CASE WHEN f.at < c.n THEN f.at END AS pending_step, c.said[f.at] AS said FROM f LEFT JOIN c ON c.intent = f.strategy WHERE f.k > 0)"""
+
+
+@query(f"SELECT session_id, turn, turn_index, strategy, pending_step FROM {FOLDED}")
+def chat_routing(spark, sf):
+    return scripted(spark, sf).select("session_id", "turn", "turn_index", "strategy", "pending_step")
+
+
+@query(f"SELECT session_id, turn, replace(said, '#', {PROTOCOL}::VARCHAR) AS reply FROM {FOLDED} WHERE said IS NOT NULL")
+def chat_collector(spark, sf):
+    return scripted(spark, sf).where(F.col("strategy").isin(*C.COLLECTORS)).select("session_id", "turn", "reply")
+
+
 @query("SELECT conv_id::VARCHAR AS session_id, count(*) AS n_turns, max(2 * k - 1) AS last_index FROM (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS k FROM conversations WHERE role = 'user') GROUP BY conv_id")
 def chat_volume(spark, sf):
     turns = table(spark, sf, "conversations").where("role = 'user'").select(F.col("conv_id").cast("string").alias("session_id"), "turn", "text")
     return C.chat(turns).groupBy("session_id").agg(F.count("*").alias("n_turns"), F.max("turn_index").cast("long").alias("last_index"))
 
 
-@query()
+LOGGED = [(x[0], x[3] + k, role, x[4]) for x in SESSIONS for k, role in enumerate(("user", "bot"))]
+
+
+@query("SELECT * FROM " + values(LOGGED, "session_id, turn_index, role, strategy"))
 def history_log(spark, sf):
-    return C.log_rows(C.chat(sessions(spark)), F.to_timestamp(F.lit("2024-01-01 00:00:00")))
+    return C.log_rows(C.chat(sessions(spark)), F.to_timestamp(F.lit("2024-01-01 00:00:00"))).select("session_id", "turn_index", "role", "strategy")
+
+
+@query(f"SELECT conv_id::VARCHAR AS session_id, (2 * k - 1 + (v.role = 'bot')::INT)::INTEGER AS turn_index, v.role FROM (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS k FROM conversations WHERE role = 'user'), {values([('user',), ('bot',)], 'role')} ORDER BY turn_index DESC, session_id LIMIT 50")
+def history_write(spark, sf):
+    """Turns of all users are added to a new log in two parts, and the latest rows read back."""
+    folder = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp(prefix='spark-')}"
+    path = f"{folder.rstrip('/')}/log-{uuid.uuid4().hex}"
+    users = table(spark, sf, "conversations").where("role = 'user'")
+    index = F.row_number().over(Window.partitionBy("conv_id").orderBy("turn")) * 2 - 1
+    turns = users.select(F.col("conv_id").cast("string").alias("session_id"), index.cast("int").alias("turn_index"), "text", F.lit("ok").alias("reply"), F.lit("duvida").alias("primary"), F.lit("duvida").alias("strategy"))
+    log = C.log_rows(turns, F.to_timestamp(F.lit("2024-01-01 00:00:00")))
+    for part in (log.where("role = 'user'"), log.where("role = 'bot'")):
+        C.append_log(part, path)
+    return C.read_log(spark, path, 50).select("session_id", "turn_index", "role")

@@ -8,6 +8,8 @@ from dataclasses import dataclass, fields
 
 @dataclass(frozen=True)
 class Settings:
+    """The defaults decide results, so they are stated as they must be."""
+
     languages: tuple[str, ...] = ("pt", "en")
     min_text_chars: int = 2
     max_text_chars: int = 5000

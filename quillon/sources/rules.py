@@ -189,6 +189,17 @@ def catalogue(rules: DataFrame) -> DataFrame:
     return rules.groupBy("language", "intent_id", "label", "priority", "min_score").agg(F.count("*").alias("rule_count"))
 
 
+def dump(spark: SparkSession, *sets: RuleSet) -> DataFrame:
+    """One row a rule set: all intents with their rules, negators and boundaries."""
+    rule = "struct<rule_id:string,type:string,value:array<string>,weight:double>"
+    kind = f"language string, version string, sha256 string, intents array<struct<id:string,label:string,priority:int,min_score:double,rules:array<{rule}>,examples:array<string>>>, negators array<string>, boundaries array<string>"
+    rows = []
+    for x in sets:
+        intents = [(i["id"], i["label"], i["priority"], float(i["min_score"]), [(f"{i['id']}:{j}", r["type"], r["value"] if isinstance(r["value"], list) else [r["value"]], float(r["weight"])) for j, r in enumerate(i["rules"])], i["examples"]) for i in x.intents]
+        rows.append((x.language, x.version, x.sha256, intents, list(x.negators), list(x.boundaries)))
+    return spark.createDataFrame(rows, kind)
+
+
 def java_pattern(value: str) -> str:
     """A rule's pattern between word boundaries, which reach a whole alternation only if it is in a group of its own."""
     return rf"(?<!{WORD}){fold_text(value)}(?!{WORD})"
