@@ -1,10 +1,12 @@
 """Substring dedup by repeated-phrase automata, over words.
 
 Removes each word covered by a window of ``SIZE`` words whose sequence also starts in a text with a smaller doc_id.
-``repeats`` finds the phrases (anchors of ``GRAM`` words) that occur in several texts and deals the regions around
-them to tasks by the first text that has them. For each such text a task compiles an Aho-Corasick automaton of
-its phrases, the shard, and streams the other texts' regions through it; around each place that it locates, the
-windows are confirmed against those of texts with smaller ids.
+``repeats`` finds the phrases (anchors of ``GRAM`` words) that recur in several texts, by hash and over the whole table,
+and deals what the texts have around them into shards of bounded size. Each shard is compiled, once, into one
+Aho-Corasick automaton of all its phrases, which confirms them word for word; then the texts are streamed through it in
+the order of their ids. A window is known by the phrase that the automaton locates first in it, how far into the window
+that is, and the hash of its words; it goes if a text with a smaller id has shown the same. What the automaton does not
+locate is not looked at.
 
 Texts equal to one with a smaller id lose all words if they have a window at all; they need no search.
 
@@ -32,55 +34,65 @@ RESULT = "doc_id long, n_words long, n_removed long, kept_sha256 string"
 
 
 class Shard:
-    """The texts around the phrases of one first text, in ascending order of doc_id."""
+    """Phrases, their automaton, and the windows that texts with smaller ids have around them."""
 
     def __init__(self) -> None:
-        self.phrases: set[str] = set()
+        self.numbers: dict[str, int] = {}
+        self.first: list[tuple[list[bytes], np.ndarray]] = []
         self.automaton = None
         self.seen: set[int] = set()
         self.last: int | None = None
         self.waiting: list[int] = []
 
-    def learn(self, words: list[bytes], places: np.ndarray, windows: list[int]) -> None:
-        """Takes a region of the first text: its phrases and windows."""
-        self.phrases.update(f" {b' '.join(words[p : p + GRAM]).decode('latin-1')} " for p in places)
-        self.seen.update(windows)
+    def learn(self, words: list[bytes], places: np.ndarray, hashes: np.ndarray) -> None:
+        """Takes what a phrase's first text has around it; all of these come before other texts."""
+        for p in places.tolist():
+            self.numbers.setdefault(f" {b' '.join(words[p : p + GRAM]).decode('latin-1')} ", len(self.numbers))
+        self.first.append((words, hashes))
 
     def compiled(self):
-        if self.automaton is None:
+        if self.automaton is None and self.numbers:
             import ahocorasick
 
             self.automaton = ahocorasick.Automaton()
-            for phrase in self.phrases:
-                self.automaton.add_word(phrase, len(phrase))
+            for phrase, k in self.numbers.items():
+                self.automaton.add_word(phrase, (k, len(phrase)))
             self.automaton.make_automaton()
+            for words, hashes in self.first:
+                self.seen.update(self.located(words, hashes)[1].tolist())
+            self.first = []
         return self.automaton
 
-    def located(self, words: list[bytes]) -> np.ndarray:
-        """Starts of the windows that hold a phrase."""
+    def located(self, words: list[bytes], hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Starts of the windows in which the automaton locates a phrase, and what each is known by."""
+        automaton = self.compiled()
+        if automaton is None:
+            return np.zeros(0, np.int64), np.zeros(0, np.uint64)
         begins = np.cumsum([1, *(len(w) + 1 for w in words)])
-        ends = [end - n + 2 for end, n in self.compiled().iter(f" {b' '.join(words).decode('latin-1')} ")]
-        at = np.searchsorted(begins, np.array(ends, np.int64))
-        near = np.zeros(len(words) + 2, np.int64)
-        np.add.at(near, np.maximum(at - (SIZE - GRAM), 0), 1)
-        np.add.at(near, at + 1, -1)
-        return np.flatnonzero(np.cumsum(near)[: max(0, len(words) - SIZE + 1)] > 0)
-
-    def known(self, doc_id: int | None, starts: np.ndarray, windows: list[int], keep: bool) -> np.ndarray:
+        found = [(end - n + 2, k) for end, (k, n) in automaton.iter(f" {b' '.join(words).decode('latin-1')} ")]
+        char, phrase = np.array(found, np.int64).reshape(-1, 2).T
+        at = np.r_[np.searchsorted(begins, char), len(words) + SIZE]
+        starts = np.arange(len(hashes))
+        first = np.searchsorted(at, starts)
+        starts = starts[at[first] + GRAM <= starts + SIZE]
+        hit = first[starts]
+        return starts, kernel.mix(hashes[starts] + kernel.mix((phrase[hit] << 8 | at[hit] - starts).astype(np.uint64)))
+
+    def known(self, doc_id: int | None, keys: list[int], keep: bool) -> np.ndarray:
         """Which of the located windows a text with a smaller id has; keep: larger ids are compared with these too."""
         if doc_id != self.last:
             self.seen.update(self.waiting)
             self.last, self.waiting = doc_id, []
         if keep:
-            self.waiting += windows
-        return np.array([j for j in starts.tolist() if windows[j] in self.seen], np.int64)
+            self.waiting += keys
+        return np.array([key in self.seen for key in keys], bool)
 
 
 def meet(regions: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, shard = None, Shard()
         for batch in batches:
-            rows = [batch.column(i).to_pylist() for i in range(7)]
+            rows = [batch.column(i).to_pylist() for i in (2, 3, 4, 5, 6, 8)]
             for t in kernel.texts(batch.column(7), repeats.PIECE):
                 symbols, _, _, first = UNIT.symbols(t)
                 at, place, _ = UNIT.anchors(symbols, first)
@@ -88,20 +100,20 @@ def meet(regions: DataFrame) -> DataFrame:
                 hashes = kernel.run_hash(sums, at, at + SIZE)
                 cut = np.searchsorted(at, first)
                 for i in range(len(t)):
-                    lead, salt, hot, is_first, doc_id, digest, start = (x[t.first + i] for x in rows)
-                    if key != (lead, salt, hot):
-                        key, shard = (lead, salt, hot), Shard()
+                    hot, is_first, doc_id, digest, start, number = (x[t.first + i] for x in rows)
+                    if key != number:
+                        key, shard = number, Shard()
                     own = slice(cut[i], cut[i + 1])
-                    words, windows = t.bytes_of(i).split(), hashes[own].tolist()
+                    words = t.bytes_of(i).split()
                     if is_first:
-                        shard.learn(words, np.unique(place[own] - first[i]), windows)
+                        shard.learn(words, np.unique(place[own] - first[i]), hashes[own])
                         continue
-                    starts = shard.located(words)
-                    known = shard.known(doc_id, starts, windows, keep=not hot)
-                    spans = repeats.merged(known + start, SIZE)
+                    starts, keys = shard.located(words, hashes[own])
+                    known = shard.known(doc_id, keys.tolist(), keep=not hot)
+                    spans = repeats.merged(starts[known] + start, SIZE)
                     if spans:
                         yield repeats.found_spans(doc_id, digest, spans)
-                    if hot and len(left := np.setdiff1d(starts, known) + cut[i]):
+                    if hot and len(left := starts[~known] + cut[i]):
                         yield repeats.left_over(doc_id, digest, UNIT, sums, at[left], place[left], hashes[left], int(first[i]), start)
 
     return regions.mapInArrow(repeats.gathered(run), repeats.FOUND)
@@ -131,7 +143,7 @@ def finished(rows: DataFrame) -> DataFrame:
 def word_spans(documents: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Prepared rows, and the spans of words of each that texts with smaller ids have."""
     rows = repeats.prepared(documents)
-    order = ["first", "salt", "hot", F.desc("is_first"), F.asc_nulls_last("doc_id"), "digest"]
+    order = [F.desc("is_first"), F.asc_nulls_last("doc_id"), "digest", "start"]
     later = F.col("lead").isNotNull() & (F.col("doc_id").isNull() | (F.col("lead") < F.col("doc_id")))
     return rows, repeats.covered(rows, UNIT, (F.col("n_texts") > 1) & (F.col("first") != repeats.NO_ID), order, meet, later)
 

@@ -7,9 +7,10 @@ repeat. A text's anchors are a few hundredths of its symbols, and only they are
 1. Texts that are equal are grouped by digest; one of each group goes on.
 2. Anchors are counted; those seen again keep the smallest doc_id that has them (``first``).
 3. Each text with such anchors is cut into regions: runs of windows whose anchors share a ``first``.
-4. Regions meet by ``first`` in the operator's own way (``meet``). Windows that are equal have one anchor, hence
-   one ``first``, so they meet. An anchor of more than ``HOT`` texts is hot: its regions are dealt over salts, about
-   ``PER_SALT`` texts each, every salt with a copy of the region of ``first``; windows that the copy lacks are left over.
+4. Regions are dealt into shards of about ``SHARD`` bytes by ``first`` and meet there in the operator's own way
+   (``meet``). Windows that are equal have one anchor, hence one ``first``, so they meet. An anchor of more than ``HOT``
+   texts is hot: its regions are dealt over salts, about ``PER_SALT`` texts each, every salt with a copy of the region of
+   ``first``; windows that the copy lacks are left over.
 5. Left-over windows are counted over all texts, with partial sums before the shuffle: first, for up to ``step``
    neighbours at once, the run of symbols that they have in common (equal windows have equal ones), then, where
    that occurs again, each window.
@@ -31,10 +32,12 @@ from .workspace import bound_batches, forget, settled
 
 HOT = 256
 PER_SALT = 8
-#: Groups of equal texts are broadcast up to this many (each a digest and two numbers), joined by shuffle beyond.
-FEW_GROUPS = 200_000
-INDEX_BITS = 28
+#: Groups of equal texts, and hashes, are broadcast up to this many (a digest and two numbers at most), joined by shuffle beyond.
+FEW_GROUPS = 100_000
+#: A place in a text: as many bits as the longest text of a JVM needs.
+INDEX_BITS = 31
 PIECE = 1 << 19
+SHARD = 2 << 20
 #: Stands for the smallest doc_id where no text has one.
 NO_ID = -(1 << 63)
 REGIONS = "first long, salt long, hot boolean, is_first boolean, doc_id long, digest long, start long, region binary"
@@ -94,20 +97,28 @@ def merged(start: np.ndarray, size: int) -> list[tuple[int, int]]:
 def prepared(documents: DataFrame) -> DataFrame:
     """doc_id, text (null: empty), digest, copies (of the text, null: one) and leads (the copy that goes on)."""
     rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    rows = rows.withColumn("digest", F.xxhash64("text")).withColumn("md5", F.md5("text"))
-    groups = settled(rows.groupBy("md5").agg(F.count("*").alias("copies"), F.min("doc_id").alias("lead")).where("copies > 1"), "copies")
-    if groups.count() <= FEW_GROUPS:
-        groups = F.broadcast(groups)
-    return rows.join(groups, "md5", "left").select("doc_id", "text", "digest", "copies", (F.col("copies").isNull() | F.col("lead").eqNullSafe(F.col("doc_id"))).alias("leads"))
+    rows = rows.withColumn("digest", F.xxhash64("text")).withColumn("sha", F.unhex(F.sha2("text", 256)))
+    groups = few_or_not(rows.groupBy("sha").agg(F.count("*").alias("copies"), F.min("doc_id").alias("lead")).where("copies > 1"), "copies")
+    return rows.join(groups, "sha", "left").select("doc_id", "text", "digest", "copies", (F.col("copies").isNull() | F.col("lead").eqNullSafe(F.col("doc_id"))).alias("leads"))
+
+
+def few_or_not(df: DataFrame, name: str) -> DataFrame:
+    """``df``, written, and marked for broadcast if its rows are few."""
+    df = settled(df, name)
+    return F.broadcast(df) if df.count() <= FEW_GROUPS else df
+
+
+def searched(rows: DataFrame) -> DataFrame:
+    """One row of each text and id that leads: rows that repeat, with an id or without, are searched once."""
+    return rows.where("copies IS NULL").unionAll(rows.where("copies IS NOT NULL AND leads").dropDuplicates(["doc_id", "digest"]))
 
 
 def anchors_of(rows: DataFrame, unit: Unit) -> DataFrame:
-    """anchor, doc_id, n: each distinct anchor of each text, and at how many places."""
+    """anchor, doc_id, digest, n: each distinct anchor of each text, and at how many places."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            names = batch.column(0)
-            for t in kernel.texts(batch.column(1), PIECE):
+            for t in kernel.texts(batch.column(2), PIECE):
                 symbols, _, _, first = unit.symbols(t)
                 _, place, grams = unit.anchors(symbols, first)
                 place = place[np.flatnonzero(np.diff(place, prepend=-1))]
@@ -115,9 +126,10 @@ def anchors_of(rows: DataFrame, unit: Unit) -> DataFrame:
                 order = np.lexsort((grams[place], row))
                 row, anchor = row[order], grams[place][order]
                 new = np.flatnonzero(np.r_[True, (row[1:] != row[:-1]) | (anchor[1:] != anchor[:-1])]) if len(row) else row
-                yield pa.RecordBatch.from_arrays([pa.array(anchor[new].view(np.int64)), names.take(pa.array(row[new] + t.first)), pa.array(np.diff(np.r_[new, len(row)]).astype(np.int32))], ["anchor", "doc_id", "n"])
+                own = pa.array(row[new] + t.first)
+                yield pa.RecordBatch.from_arrays([pa.array(anchor[new].view(np.int64)), batch.column(0).take(own), batch.column(1).take(own), pa.array(np.diff(np.r_[new, len(row)]).astype(np.int32))], ["anchor", "doc_id", "digest", "n"])
 
-    return rows.select("doc_id", "text").mapInArrow(run, "anchor long, doc_id long, n int")
+    return rows.select("doc_id", "digest", "text").mapInArrow(run, "anchor long, doc_id long, digest long, n int")
 
 
 def regions_of(rows: DataFrame, unit: Unit) -> DataFrame:
@@ -218,26 +230,28 @@ def gathered(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]
 def covered(rows: DataFrame, unit: Unit, again: Column, order: list[Column], meet: Callable[[DataFrame], DataFrame], repeated: Column) -> DataFrame:
     """doc_id, digest, spans: intervals of symbols to remove. rows: as ``prepared`` gives them.
 
-    again: over first, n_texts and n_places of an anchor, whether it can make a repeat. meet: from regions, dealt by
-    first and salt and put in ``order`` in each task, to rows like ``FOUND``. repeated: over first, doc_id and n of a left-over window.
+    again: over first, n_texts and n_places of an anchor, whether it can make a repeat. meet: from regions, dealt into
+    shards and put in ``order`` in each, to rows like ``FOUND``. repeated: over lead, doc_id and n of a left-over window.
     """
     spark = rows.sparkSession
     bound_batches(spark)
-    anchors = settled(anchors_of(rows.where("leads"), unit), "anchors")
+    rows = searched(rows)
+    anchors = settled(anchors_of(rows, unit), "anchors")
     seen = anchors.groupBy("anchor").agg(F.coalesce(F.min("doc_id"), F.lit(NO_ID)).alias("first"), F.count("*").alias("n_texts"), F.sum("n").alias("n_places")).where(again).select("anchor", "first", F.when(F.col("n_texts") > HOT, F.ceil(F.col("n_texts") / PER_SALT)).otherwise(0).cast("long").alias("salts"))
-    lists = settled(anchors.join(seen, "anchor").groupBy("doc_id").agg(F.collect_list(F.struct("anchor", "first", "salts")).alias("again")), "again")
+    lists = settled(anchors.join(seen, "anchor").groupBy("doc_id", "digest").agg(F.collect_list(F.struct("anchor", "first", "salts")).alias("again")), "again")
     forget(anchors)
-    symbols = (lists.agg(F.sum(F.size("again"))).first()[0] or 0) * unit.size
-    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), symbols * (6 if unit.words else 1) // (4 << 20))
-    named = lists.withColumnRenamed("doc_id", "id").hint("merge")
-    cut = regions_of(rows.where("leads").join(named, F.col("doc_id").eqNullSafe(F.col("id"))), unit)
-    dealt = cut.repartition(parts, "first", "salt").sortWithinPartitions(*order)
+    size = (lists.agg(F.sum(F.size("again"))).first()[0] or 0) * unit.size * (6 if unit.words else 1)
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), size // (4 << 20))
+    named = lists.select(F.col("doc_id").alias("id"), F.col("digest").alias("of"), "again").hint("merge")
+    cut = regions_of(rows.join(named, F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("digest") == F.col("of"))), unit)
+    shard = F.pmod(F.xxhash64("first", "salt"), F.lit(max(parts, size // SHARD)))
+    dealt = cut.withColumn("shard", shard).repartition(parts, "shard").sortWithinPartitions("shard", *order)
     found = settled(meet(dealt), "found")
     forget(lists)
     left = found.where("kind = 1")
-    common = left.groupBy("a").count().where("count > 1").select("a")
+    common = few_or_not(left.groupBy("a").count().where("count > 1").select("a"), "common")
     windows = settled(windows_of(left.join(common, "a")), "left-over")
-    twice = windows.groupBy("window").agg(F.min("doc_id").alias("lead"), F.count("*").alias("n")).where("n > 1")
+    twice = few_or_not(windows.groupBy("window").agg(F.min("doc_id").alias("lead"), F.count("*").alias("n")).where("n > 1"), "twice")
     late = windows.join(twice, "window").where(repeated).select("doc_id", "digest", "a", (F.col("a") + unit.size).alias("b"))
     spans = found.where("kind = 0").select("doc_id", "digest", "a", "b").unionAll(late)
     return spans.groupBy("doc_id", "digest").agg(F.collect_list(F.struct("a", "b")).alias("spans"))

@@ -1,10 +1,10 @@
 """Suffix-array dedup with a logarithmic index family, over bytes.
 
 Removes each byte covered by a string of ``SIZE`` bytes that also starts anywhere else, in the same text or another.
-``repeats`` finds the anchors that occur again and deals the regions around them to tasks. In a task, regions
-arrive in batches. A batch's suffixes are sorted into an array, which is merge-scanned against every level of the
-index for suffixes that agree on ``SIZE`` bytes, and becomes a new level; levels of similar size are merged, so
-that there are never more than about log2(suffixes) of them and each suffix is moved as often.
+``repeats`` finds the anchors that occur again and deals the regions around them into shards of bounded size. In a
+shard, regions arrive in batches. A batch's suffixes are sorted into an array, which is merge-scanned against every level
+of the shard's index for suffixes that agree on ``SIZE`` bytes, and becomes a new level; levels of similar size are
+merged, so that there are never more than about log2(suffixes) of them and each suffix is moved as often.
 
 Suffixes are ordered by their first six bytes and then by a fingerprint of their first ``SIZE`` bytes, not in
 dictionary order throughout: the only question asked is whether ``SIZE`` bytes agree, and a level is two arrays
@@ -88,24 +88,26 @@ class Family:
             self.levels.append(tuple(x[merge] for x in parts))
 
 
-def meet(regions: DataFrame) -> DataFrame:
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        family, rows = Family(), []
-        for batch in batches:
-            columns, salt = [batch.column(i).to_pylist() for i in range(2, 7)], batch.column(1).to_numpy()
-            for t in kernel.texts(batch.column(7), repeats.PIECE):
-                at, hashes = UNIT.windows(kernel.SYMBOL[t.data], t.offsets)
-                cut = np.searchsorted(at, t.offsets)
-                size = np.diff(cut)
-                own = [tuple(x[t.first + i] for x in columns) for i in range(len(t))]
-                # A hot region is needed again for the windows that its first text lacks.
-                rows += [(*x, int(size[i]), t.bytes_of(i) if x[0] and not x[1] else None) for i, x in enumerate(own)]
-                # One task may get several salts, each with the first text's region, which is no repeat of itself.
-                of_salt = np.repeat(kernel.mix(salt[t.first : t.first + len(t)].astype(np.uint64)), size)
-                family.add(suffix_keys(t.data, at, hashes ^ of_salt), np.repeat([x[1] for x in own], size))
-        repeated, with_first = (np.concatenate([np.zeros(0, bool), *x]) for x in (family.repeated, family.with_first))
+class Shard:
+    """The index of one shard, and what is needed of its regions when all have been added."""
+
+    def __init__(self) -> None:
+        self.family, self.rows = Family(), []
+
+    def add(self, t: kernel.Texts, columns: list[list], salts: np.ndarray) -> None:
+        at, hashes = UNIT.windows(kernel.SYMBOL[t.data], t.offsets)
+        size = np.diff(np.searchsorted(at, t.offsets))
+        own = list(zip(*columns, strict=True))
+        # A hot region is needed again for the windows that its first text lacks.
+        self.rows += [(*x, int(size[i]), t.bytes_of(i) if x[0] and not x[1] else None) for i, x in enumerate(own)]
+        # A shard may have several salts, each with the first text's region, which is no repeat of itself.
+        of_salt = np.repeat(kernel.mix(salts.astype(np.uint64)), size)
+        self.family.add(suffix_keys(t.data, at, hashes ^ of_salt), np.repeat([x[1] for x in own], size))
+
+    def finished(self) -> Iterator[pa.RecordBatch]:
+        repeated, with_first = (np.concatenate([np.zeros(0, bool), *x]) for x in (self.family.repeated, self.family.with_first))
         done = 0
-        for _, _, doc_id, digest, start, n, region in rows:
+        for _, _, doc_id, digest, start, n, region in self.rows:
             own = slice(done, done + n)
             done += n
             spans = repeats.merged(np.flatnonzero(repeated[own]) + start, SIZE)
@@ -116,6 +118,24 @@ def meet(regions: DataFrame) -> DataFrame:
                 sums, (_, place, _) = kernel.prefix_sums(symbols), UNIT.anchors(symbols, np.array([0, len(symbols)]))
                 yield repeats.left_over(doc_id, digest, UNIT, sums, left, place[left], kernel.run_hash(sums, left, left + SIZE), 0, start)
 
+
+def meet(regions: DataFrame) -> DataFrame:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, shard = None, Shard()
+        for batch in batches:
+            numbers = batch.column(8).to_numpy()
+            edge = np.r_[np.flatnonzero(np.r_[True, numbers[1:] != numbers[:-1]][: len(numbers)]), len(numbers)]
+            for lo, hi in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True):
+                if key != numbers[lo]:
+                    yield from shard.finished()
+                    key, shard = numbers[lo], Shard()
+                part = batch.slice(lo, hi - lo)
+                columns, salts = [part.column(i).to_pylist() for i in range(2, 7)], part.column(1).to_numpy()
+                for t in kernel.texts(part.column(7), repeats.PIECE):
+                    own = slice(t.first, t.first + len(t))
+                    shard.add(t, [x[own] for x in columns], salts[own])
+        yield from shard.finished()
+
     return regions.mapInArrow(repeats.gathered(run), repeats.FOUND)
 
 
