@@ -2,10 +2,17 @@
 
 Each document becomes token ids and an end id, cut into full sequences and a rest (see ``cuts``); the pieces'
 lengths, longest first, are placed on patterns: all copies of a length go to the open packs that are filled least,
-a whole group of equal packs at a time, and to new packs where none has room. Only the histogram (at most 2048
-lengths) comes to the driver, whatever the input. Each pattern slot then owns a range of ranks of its length, and
-pieces find their sequence by their rank among the pieces of that length. Ranks come from a window over
-(length, salt) and the counts before it, so a length that a third of all pieces share is split.
+a whole group of packs of one pattern at a time, and to new packs where none has room. Only the histogram (at most
+2048 lengths) comes to the driver, whatever the input: each length starts one group and splits one at most, so there are
+no more than 4096 patterns, however many sequences follow each.
+
+Each place in a pattern owns a range of ranks of its length, and pieces find their sequence by their rank among the
+pieces of that length. Ranks are counted in (length, salt), with more salts for a length the more pieces have it, so a
+length that a third of all pieces share is split. Places are cut at the salts' borders and laid between the pieces of
+their (length, salt) in the order of ranks; each piece takes the last place before it. Nothing is broadcast but the
+lengths' numbers of salts.
+
+Words are told apart by 64-bit hashes while their ids are remembered.
 
 Defined cases: a null or empty text is the end id alone; null ids are kept and rank first; repeated rows are
 packed each for itself; an empty table gives an empty result; other columns are ignored.
@@ -29,7 +36,8 @@ from .workspace import bound_batches, settled, table
 
 SIZE = 2048
 END_ID = 1
-SALTS = 64
+#: A (length, salt) has about one in so many of all pieces, or LEAST pieces.
+SHARES, LEAST = 4096, 500
 #: The most distinct words whose ids a worker remembers.
 REMEMBERED = 700_000
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
@@ -179,52 +187,67 @@ def pieces(documents: DataFrame, tokenizer: str, size: int = SIZE, end_id: int =
     return documents.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, PIECES)
 
 
-def patterns(histogram: dict[int, int], size: int = SIZE) -> list[tuple[tuple[int, ...], int]]:
-    """(lengths of a sequence, how many such sequences), longest lengths placed first, each on the shortest packs."""
-    open_packs: dict[int, list[tuple[tuple[int, ...], int]]] = defaultdict(list)  # by room
+def patterns(histogram: dict[int, int], size: int = SIZE) -> list[tuple[int, int, int, int, int]]:
+    """(length, first rank, end of ranks, first sequence, offset): where the pieces of a length go, by rank.
+
+    Longest lengths are placed first, each on the shortest packs. A group is a pattern's sequences: they are numbered one
+    after another and have the same lengths at the same offsets.
+    """
+    groups: dict[int, list[tuple[int, int]]] = defaultdict(list)  # by room: first sequence, how many
+    out, sequences = [], 0
     for length in sorted(histogram, reverse=True):
-        left, room = histogram[length], size
-        while left:
-            while room >= length and not open_packs[room]:
+        rank, room = 0, size
+        while rank < histogram[length]:
+            while room >= length and not groups[room]:
                 room -= 1
+            left = histogram[length] - rank
             if room < length:
-                pack, n, room = (), left, size
+                first, n, room = sequences, left, size
+                sequences += n
             else:
-                pack, n = open_packs[room].pop()
+                first, n = groups[room].pop()
             used = min(n, left)
             if used < n:
-                open_packs[room].append((pack, n - used))
-            open_packs[room - length].append(((*pack, length), used))
-            left -= used
-    return sorted((x for packs in open_packs.values() for x in packs), reverse=True)
-
-
-def slots(made: list[tuple[tuple[int, ...], int]]) -> list[tuple[int, int, int, int, int]]:
-    """(length, first rank, end of ranks, first sequence, offset): where the pieces of a length go, by rank."""
-    rank: dict[int, int] = defaultdict(int)
-    out, sequence = [], 0
-    for lengths, n in made:
-        offset = 0
-        for length in lengths:
-            out.append((length, rank[length], rank[length] + n, sequence, offset))
-            rank[length] += n
-            offset += length
-        sequence += n
+                groups[room].append((first + used, n - used))
+            groups[room - length].append((first, used))
+            out.append((length, rank, rank + used, first, size - room))
+            rank += used
     return out
 
 
+def places(slots: list[tuple[int, int, int, int, int]], counts: dict[int, list[tuple[int, int]]]) -> pa.Table:
+    """length, salt, at (rank in the salt), sequence and offset of where each place begins in each salt that it reaches.
+
+    counts: for each length, (salt, pieces) in the order of salts.
+    """
+    edges = {length: (np.array([salt for salt, _ in of]), np.cumsum([0, *(n for _, n in of)])) for length, of in counts.items()}
+    rows = []
+    for length, lo, hi, first, offset in slots:
+        salts, edge = edges[length]
+        for k in range(int(np.searchsorted(edge, lo, "right")) - 1, int(np.searchsorted(edge, hi, "left"))):
+            begin = max(lo, int(edge[k]))
+            rows.append((length, int(salts[k]), begin - int(edge[k]), first + begin - lo, offset))
+    columns = np.array(rows, np.int64).reshape(-1, 5).T
+    return pa.table({name: pa.array(x) for name, x in zip(("length", "salt", "at", "sequence", "place"), columns, strict=True)})
+
+
 def pack(cut: DataFrame, size: int = SIZE) -> DataFrame:
-    """``cut`` (with doc_id, start, length) and sequence_id, offset for each piece."""
+    """``cut`` (with doc_id, start, length, ids_crc32) and sequence_id, offset for each piece."""
     spark = cut.sparkSession
-    made = patterns({int(r["length"]): int(r["count"]) for r in cut.groupBy("length").count().collect()}, size)
-    places = spark.createDataFrame(slots(made), "length long, lo long, hi long, base long, offset long")
-    salted = cut.withColumn("salt", F.pmod(F.xxhash64("doc_id", "start"), F.lit(SALTS)))
-    before = salted.groupBy("length", "salt").count().select("length", "salt", (F.sum("count").over(Window.partitionBy("length").orderBy("salt")) - F.col("count")).alias("before"))
-    ranked = salted.withColumn("own", F.row_number().over(Window.partitionBy("length", "salt").orderBy("doc_id", "start", "ids_crc32")) - 1)
-    # Both small sides are bounded by the 2048 lengths: times SALTS, and times the slots of all patterns.
-    ranked = ranked.join(F.broadcast(before), ["length", "salt"]).withColumn("rank", F.col("own") + F.col("before"))
-    placed = ranked.join(F.broadcast(places), "length").where("rank >= lo AND rank < hi")
-    return placed.select(*cut.columns, (F.col("base") + F.col("rank") - F.col("lo")).alias("sequence_id"), "offset")
+    histogram = {int(r["length"]): int(r["count"]) for r in cut.groupBy("length").count().collect()}
+    share = max(LEAST, sum(histogram.values()) // SHARES)
+    # One row for each of at most 2048 lengths.
+    salts = spark.createDataFrame([(length, 1 + n // share) for length, n in histogram.items()], "length long, salts long")
+    salted = cut.join(F.broadcast(salts), "length").withColumn("salt", F.pmod(F.xxhash64("doc_id", "start"), "salts")).drop("salts")
+    counts: dict[int, list[tuple[int, int]]] = defaultdict(list)
+    for r in sorted(salted.groupBy("length", "salt").count().collect()):
+        counts[r["length"]].append((r["salt"], r["count"]))
+    own = F.row_number().over(Window.partitionBy("length", "salt").orderBy("doc_id", "start", "ids_crc32")) - 1
+    ranked = salted.withColumn("at", own.cast("long")).withColumn("placed", F.lit(None).cast("struct<sequence:long,place:long,at:long>"))
+    begins = spark.createDataFrame(places(patterns(histogram, size), counts)).select(*(F.lit(None).cast(cut.schema[c].dataType).alias(c) if c != "length" else "length" for c in cut.columns), "salt", "at", F.struct("sequence", "place", "at").alias("placed"))
+    last = F.last("placed", ignorenulls=True).over(Window.partitionBy("length", "salt").orderBy("at", F.col("placed").isNull()).rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    found = ranked.unionByName(begins).withColumn("last", last).where("placed IS NULL")
+    return found.select(*cut.columns, (F.col("last.sequence") + F.col("at") - F.col("last.at")).alias("sequence_id"), F.col("last.place").alias("offset"))
 
 
 def packed(documents: DataFrame, tokenizer: str) -> DataFrame:
