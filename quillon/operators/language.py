@@ -18,15 +18,15 @@ def script_counts(text: Column) -> dict[str, Column]:
     return counts | {"Latin": counts["Latin"] + ascii_letters, "letters": T.letters_of(others, r"\p{L}") + ascii_letters}
 
 
-def candidates(words: Column, languages: tuple[str, ...], ratio: float) -> Column:
+def candidates(words: Column, languages: tuple[str, ...], ratio: float, markers: dict[str, list[str]] = shipped.EXCLUSIVE) -> Column:
     """Languages by descending share of the words that speak for any, with these words in order and repeats.
 
     Each word is looked up once in a hash set of all markers; only those that are in it are dealt to languages.
     """
-    either = sorted({w for lang in languages for w in shipped.EXCLUSIVE[lang]})
+    either = sorted({w for lang in languages for w in markers[lang]})
 
     def own(words: Column, lang: str) -> Column:
-        return F.filter(words, lambda w: w.isin(shipped.EXCLUSIVE[lang]))
+        return F.filter(words, lambda w: w.isin(markers[lang]))
 
     shares = F.transform(
         F.array(F.filter(words, lambda w: w.isin(either))),
@@ -37,12 +37,12 @@ def candidates(words: Column, languages: tuple[str, ...], ratio: float) -> Colum
     return F.transform(kept, lambda c: F.struct(c["language"].alias("language"), (-c["less"]).alias("share"), c["markers"].alias("markers")))
 
 
-def identified(messages: DataFrame, settings: Settings = Settings(), text: str = "text") -> DataFrame:
+def identified(messages: DataFrame, settings: Settings = Settings(), text: str = "text", markers: dict[str, list[str]] = shipped.EXCLUSIVE) -> DataFrame:
     """``messages`` with normalised and lang: language, supported, reason, script, share, margin, candidates."""
     df = messages.withColumn("normalised", T.normalise(F.coalesce(F.col(text), F.lit(""))))
     counts = script_counts(F.col("normalised"))
     df = df.withColumn("_scripts", F.struct(*(c.alias(k) for k, c in counts.items())))
-    df = df.withColumn("_candidates", candidates(T.letter_words(F.col("normalised")), settings.languages, settings.mixed_language_ratio))
+    df = df.withColumn("_candidates", candidates(T.letter_words(F.col("normalised")), settings.languages, settings.mixed_language_ratio, markers))
     n = F.col("_scripts.letters")
     named = [k for k in counts if k != "letters"]
     known = sum((F.col(f"_scripts.{k}") for k in named), F.lit(0))

@@ -592,11 +592,20 @@ def token_table(spark, sf):
     return detect(messages(spark)).select("msg_id", "matched", "negated", F.explode("tok").alias("t")).select("msg_id", "t.i", "t.text", F.expr("array_contains(matched, t.i)").alias("matched"), F.expr("array_contains(negated, t.i)").alias("negated"))
 
 
-@query("SELECT 'pt' AS language, '1.0.0' AS version, 11 AS entries, 'lemma' AS limitation UNION ALL SELECT 'en', '1.0.0', 11, 'lemma'")
+HEALTH = [(lang, lemmas, "1.0.0", len([x for x in shipped.INTENTS if x[0] == lang]), json.dumps(S.shipped_document(lang), ensure_ascii=False), f"tiles({lang})", "" if lemmas else f"rules on lemmas are skipped for {lang}") for lang in ("pt", "en") for lemmas in (False, True)]
+
+
+@query("SELECT language, version, entries, limitations FROM " + values(HEALTH, "language, lemmas, version, entries, doc, tokeniser, limitations") + " WHERE NOT lemmas")
 def resource_report(spark, sf):
-    """Rule sets at hand; rules on lemmas are skipped, as no lemmatiser is there."""
-    rules = S.rules_table(spark, *map(S.shipped_rules, ("pt", "en")))
-    return rules.groupBy("language", "version").agg(F.countDistinct("intent_id").cast("int").alias("entries"), F.when(F.max(F.col("type") == "lemma"), "lemma").alias("limitation"))
+    return S.report(spark, *map(S.shipped_rules, ("pt", "en"))).select("language", "version", "entries", F.array_join("limitations", ",").alias("limitations"))
+
+
+@query("SELECT language, lemmas, version, entries, sha256(doc) AS sha256, tokeniser, limitations FROM " + values(HEALTH, "language, lemmas, version, entries, doc, tokeniser, limitations"))
+def health(spark, sf):
+    """With and without lemmas at hand."""
+    sets = list(map(S.shipped_rules, ("pt", "en")))
+    both = [S.report(spark, *sets, lemmas=x).withColumn("lemmas", F.lit(x)) for x in (False, True)]
+    return both[0].unionAll(both[1]).withColumn("limitations", F.array_join("limitations", ","))
 
 
 @query("SELECT * FROM " + values([("o app dá erro e não abre", "suporte:0")], "text, rules"))

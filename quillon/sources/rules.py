@@ -170,6 +170,26 @@ def load(spark: SparkSession, path: str, language: str | None = None) -> RuleSet
     return rule_set(bytes(spark.read.format("binaryFile").load(path).select("content").first()[0]), language)
 
 
+def load_all(spark: SparkSession, folder: str, languages: tuple[str, ...]) -> dict[str, RuleSet]:
+    """``folder``/<language>.json of each language, in order; the first that is missing or faulty raises."""
+    return {lang: load(spark, f"{folder.rstrip('/')}/{lang}.json", lang) for lang in languages}
+
+
+def load_markers(spark: SparkSession, path: str) -> dict[str, list[str]]:
+    """The words that speak for each language, from a profile file {languages: {language: {exclusive, shared}}}."""
+    doc = json.loads(bytes(spark.read.format("binaryFile").load(path).select("content").first()[0]))
+    return {lang: list(profile["exclusive"]) for lang, profile in doc["languages"].items()}
+
+
+def report(spark: SparkSession, *sets: RuleSet, lemmas: bool = False) -> DataFrame:
+    """What detection has at hand for each language: rules, tokeniser, and what it can't do. lemmas: whether messages come with them."""
+    rows = []
+    for x in sets:
+        asks = any(r["type"] == "lemma" for i in x.intents for r in i["rules"])
+        rows.append((x.language, x.version, len(x.intents), x.sha256, f"tiles({x.language})", [f"rules on lemmas are skipped for {x.language}"] if asks and not lemmas else []))
+    return spark.createDataFrame(rows, "language string, version string, entries int, sha256 string, tokeniser string, limitations array<string>")
+
+
 def rule_rows(rules: RuleSet) -> list[tuple]:
     out = []
     for k, intent in enumerate(rules.intents):

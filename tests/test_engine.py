@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from quillon.operators import chat
 from quillon.operators.detect import detect, detect_batch
+from quillon.operators.language import identified
 from quillon.plans.queries import GOLDEN, SESSIONS, messages, sessions
 from quillon.settings import Settings
 from quillon.sources import messages as sources
@@ -62,6 +63,18 @@ def test_rule_files(spark, tmp_path):
     assert found.first()["primary"] == "cancelar"
 
 
+def test_folders_of_rules_and_profiles(spark, tmp_path):
+    for lang in ("pt", "en"):
+        (tmp_path / f"{lang}.json").write_text(json.dumps(rules.shipped_document(lang)))
+    assert list(rules.load_all(spark, str(tmp_path), ("en", "pt"))) == ["en", "pt"]
+    with pytest.raises(Exception, match="xx.json"):
+        rules.load_all(spark, str(tmp_path), ("pt", "xx"))
+    (tmp_path / "profiles.json").write_text(json.dumps({"languages": {"pt": {"exclusive": ["zig"], "shared": ["plano"]}, "en": {"exclusive": ["zag"], "shared": []}}}))
+    markers = rules.load_markers(spark, str(tmp_path / "profiles.json"))
+    got = identified(spark.createDataFrame([("zig zig plano",), ("zag",), ("the quero",)], "text string"), markers=markers)
+    assert [r[0] for r in got.select("lang.language").collect()] == ["pt", "en", None]
+
+
 def test_message_files(spark, tmp_path):
     (tmp_path / "lines.txt").write_text("quero sair\n\n   \noi, tudo bem?\n")
     lines = sources.line_messages(spark, str(tmp_path / "lines.txt"))
