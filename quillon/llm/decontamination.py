@@ -8,14 +8,14 @@ must hold at least ``LEAST`` equal words, or 80 % of a shorter item's. The segme
 1 and a mismatch -2 if that suffices, else the one with most equal words.
 
 The masks are those of four words in a span of five. Cut into pieces of five words, a stretch with up to a fifth of its
-words substituted has a piece with one such word at most, which a mask ignores: items (of ``SHORTEST`` words or more) of
-which 80 % are left, and passages of ``LEAST`` words or more that are 80 % equal, are always found.
+words substituted has a piece with one such word at most, which a mask ignores: items of which 80 % are left, and passages
+of ``LEAST`` words or more that are 80 % equal, are always found. Items of fewer words than a mask takes are hashed whole, and
+are found where all their words are.
 
 The test side goes to the tasks in blocks of about ``BLOCK_WORDS`` words, one pass over the texts for each block, so
 that what a task holds does not grow with the test set. Only hits leave a task.
 
-Defined cases: null and empty texts have no hits; items with fewer than ``SHORTEST`` words, null or empty
-ones are not searched for; repeated items count once; repeated rows of texts give repeated rows; an empty table
+Defined cases: null and empty texts have no hits; items that are null or without words are not searched for; repeated items count once; repeated rows of texts give repeated rows; an empty table
 on either side gives an empty result; other columns are ignored.
 """
 
@@ -33,7 +33,8 @@ from .workspace import bound_batches, table
 
 #: Which words of a span count.
 MASKS = ("1111", "10111", "11011", "11101")
-SHORTEST = 4
+#: The masks of items that have just so many words.
+WHOLE = ("111", "11", "1")
 LEAST = 13
 BLOCK_WORDS = 500_000
 #: Words of items that hits are compared with at a time.
@@ -59,10 +60,13 @@ class Items:
         t = parts[0] if parts else kernel.Texts(np.zeros(0, np.uint8), np.zeros(1, np.int64), 0)
         self.ids = np.array(ids, np.int64)
         self.words, _, _, self.first = t.word_hashes(kernel.LETTERS, kernel.LOWER)
-        row = kernel.rows_of(self.first)
+        row, size = kernel.rows_of(self.first), np.diff(self.first)
         self.tables = []
-        for mask in MASKS:
+        for mask in (*MASKS, *WHOLE):
             at, key = seeds(self.words, self.first, mask)
+            if mask in WHOLE:
+                own = size[row[at]] == len(mask)
+                at, key = at[own], key[own]
             order = np.argsort(key, kind="stable")
             maybe = np.zeros(1 << 20, bool)
             maybe[(key & np.uint64((1 << 20) - 1)).astype(np.int64)] = True
@@ -72,7 +76,9 @@ class Items:
         """Distinct (row, item, first word of the item's diagonal) where seeds meet and enough words are equal."""
         found = [np.zeros((0, 3), np.int64)]
         row = kernel.rows_of(first)
-        for mask, (keys, item, place, maybe) in zip(MASKS, self.tables, strict=True):
+        for mask, (keys, item, place, maybe) in zip((*MASKS, *WHOLE), self.tables, strict=True):
+            if not len(keys):
+                continue
             at, key = seeds(words, first, mask)
             near = maybe[(key & np.uint64((1 << 20) - 1)).astype(np.int64)]
             at, key = at[near], key[near]

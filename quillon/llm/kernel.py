@@ -138,9 +138,3 @@ def rows_of(first: np.ndarray) -> np.ndarray:
     """The row of each word."""
     return np.repeat(np.arange(len(first) - 1), np.diff(first))
 
-
-def crc_of_ids(ids: np.ndarray) -> np.ndarray:
-    """crc32 of each integer as decimal text."""
-    import zlib
-
-    return np.fromiter((zlib.crc32(str(int(x)).encode()) for x in ids), np.int64, len(ids))
