@@ -21,14 +21,15 @@ def training_sample(documents: DataFrame, labels: DataFrame, column: str, held_o
     """(label, text) of at most ``per_class`` rows of either class, and the counts of both classes in all training rows.
 
     Rows are taken in the order of a hash of their id, so that the sample does not depend on how files are split.
-    Several labels of one id count as the largest.
+    Several labels of one id count as the largest, several texts of one id as the smallest: the rows are bounded, too.
     """
     known = labels.where(F.col(column).isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out).groupBy("doc_id").agg(F.max(column).cast("int").alias("label"))
     counts = {int(r["label"]): int(r["count"]) for r in known.groupBy("label").count().collect()}
     order = [F.xxhash64("doc_id"), F.col("doc_id")]
     picked = known.where("label = 1").orderBy(*order).limit(per_class).unionAll(known.where("label = 0").orderBy(*order).limit(per_class))
     # At most 2 * per_class ids, each of two numbers: small whatever the input.
-    return documents.select("doc_id", "text").join(F.broadcast(picked), "doc_id").select("label", "text"), counts
+    rows = documents.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(picked), "doc_id")
+    return rows.groupBy("doc_id", "label").agg(F.min("text").alias("text")).select("label", "text"), counts
 
 
 def prior_shift(counts: dict[int, int], taken: np.ndarray) -> float:

@@ -5,9 +5,10 @@ bytes of longer words, hashed to 2**``BITS`` buckets and taken once each. With w
 ``FACTORS`` numbers, the logit is w0 + sum(w_i) + sum over pairs i < j of <v_i, v_j>, so that a pair such as an
 insult beside a group's name can count for more than both alone.
 
-Training: at most ``per_class`` labelled rows of either class. Terms are screened on those rows by chi-square
-(at most ``most_terms`` stay), which Spark counts; the machine is then fitted on the driver by numpy (AdaGrad)
-from each sampled row's list of screened terms. Scoring looks at every word of every whole text.
+Training: at most ``per_class`` labelled rows of either class. Terms are screened on those rows by chi-square, which
+Spark counts: all that reach ``least_chi2`` stay. The machine is then fitted on the driver by numpy (AdaGrad) from each
+sampled row's list of these terms; rows, hence terms, are bounded by ``per_class`` whatever the input. Scoring looks at
+every word of every whole text.
 
 Defined cases: null and empty texts have no terms and get the score of w0; labels other than 0 and 1, or null,
 are not used; with no labelled rows, every score is 0.5's prior, sigmoid(0); rows with a null id are scored;
@@ -109,7 +110,7 @@ def fit(rows: np.ndarray, slots: np.ndarray, labels: np.ndarray, n_slots: int, f
     return w0, w, v
 
 
-def train(documents: DataFrame, labels: DataFrame, held_out: Column, per_class: int = 4000, most_terms: int = 16384, least_chi2: float = 12.0) -> Machine:
+def train(documents: DataFrame, labels: DataFrame, held_out: Column, per_class: int = 4000, least_chi2: float = 12.0) -> Machine:
     bound_batches(documents.sparkSession)
     sample, counts = labelled.training_sample(documents, labels, "toxic", held_out, per_class)
     sample = settled(sample, "toxicity-sample")
@@ -131,8 +132,8 @@ def train(documents: DataFrame, labels: DataFrame, held_out: Column, per_class:
         return Machine(0.0, np.zeros(0, np.uint64), np.zeros(0), np.zeros((0, FACTORS)))
     a, b, t1, t0 = F.col("n1"), F.col("n0"), F.lit(float(taken[1])), F.lit(float(taken[0]))
     chi2 = (t1 + t0) * (a * (t0 - b) - b * (t1 - a)) ** 2 / (t1 * t0 * (a + b) * (t1 + t0 - a - b) + 1e-9)
-    screened = sample.mapInArrow(counted, "bucket long, n1 long, n0 long").groupBy("bucket").agg(F.sum("n1").alias("n1"), F.sum("n0").alias("n0")).where("n1 + n0 >= 3").withColumn("chi2", chi2).where(F.col("chi2") >= least_chi2)
-    found = screened.orderBy(F.desc("chi2"), "bucket").limit(most_terms).select("bucket").toPandas()["bucket"].to_numpy()
+    screened = sample.mapInArrow(counted, "bucket long, n1 long, n0 long").groupBy("bucket").agg(F.sum("n1").alias("n1"), F.sum("n0").alias("n0")).where(chi2 >= least_chi2)
+    found = screened.select("bucket").toPandas()["bucket"].to_numpy()
     shape = Machine(0.0, np.sort(found.astype(np.uint64)), np.zeros(len(found)), np.zeros((len(found), FACTORS)))
 
     def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -140,13 +141,13 @@ def train(documents: DataFrame, labels: DataFrame, held_out: Column, per_class:
             for t in kernel.texts(batch.column(1)):
                 row, slot = shape.slots(t)
                 at = np.searchsorted(row, np.arange(len(t) + 1))
-                lists = [slot[at[i] : at[i + 1]].astype("<u2").tobytes() for i in range(len(t))]
+                lists = [slot[at[i] : at[i + 1]].astype("<u4").tobytes() for i in range(len(t))]
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(t.first, len(t)), pa.array(lists, pa.binary())], ["label", "slots"])
 
     got = sorted((bytes(r["slots"]), int(r["label"])) for r in sample.mapInArrow(listed, "label int, slots binary").collect())
     forget(sample)
     y = np.array([x[1] for x in got], float)
-    lists = [np.frombuffer(x[0], "<u2").astype(np.int64) for x in got]
+    lists = [np.frombuffer(x[0], "<u4").astype(np.int64) for x in got]
     w0, w, v = fit(np.repeat(np.arange(len(lists)), [len(x) for x in lists]), np.concatenate([*lists, np.zeros(0, np.int64)]), y, len(shape.buckets))
     return Machine(w0 + labelled.prior_shift(counts, y), shape.buckets, w, v)
 

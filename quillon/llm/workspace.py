@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import gc
+import re
 import tempfile
 import uuid
 
@@ -10,16 +11,21 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named by ``spark.checkpoint.dir``; only where that is unset (tests), a temporary one."""
+    """The folder named by ``spark.checkpoint.dir``; only where that is unset and Spark is local (tests), a temporary one."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         path = "file://" + tempfile.mkdtemp(prefix="quillon-")
         spark.conf.set("spark.checkpoint.dir", path)
     return path.rstrip("/")
 
 
 def bound_batches(spark: SparkSession, rows: int = 512, size: int = 4 << 20) -> None:
-    """Keeps Arrow batches small, so that a worker never holds more than a few MB of long texts."""
+    """Keeps Arrow batches small, so that a worker never holds more than a few MB of long texts.
+
+    The same for all operators and kept for the session: plans are run later than they are made.
+    """
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(size))
 
