@@ -33,7 +33,7 @@ from .workspace import bound_batches, forget, settled
 HOT = 256
 PER_SALT = 8
 #: Groups of equal texts, and hashes, are broadcast up to this many (a digest and two numbers at most), joined by shuffle beyond.
-FEW_GROUPS = 100_000
+FEW_GROUPS = 20_000
 #: A place in a text: as many bits as the longest text of a JVM needs.
 INDEX_BITS = 31
 PIECE = 1 << 19
