@@ -2,13 +2,13 @@
 
 Removes each byte covered by a string of ``SIZE`` bytes that also starts anywhere else, in the same text or another.
 ``repeats`` finds the anchors that occur again and deals the regions around them into shards of bounded size. In a
-shard, regions arrive in batches. A batch's suffixes are sorted into an array, which is merge-scanned against every level
-of the shard's index for suffixes that agree on ``SIZE`` bytes, and becomes a new level; levels of similar size are
-merged, so that there are never more than about log2(suffixes) of them and each suffix is moved as often.
+shard, regions arrive in batches of about ``BATCH`` bytes. A batch is merged with every level of the shard's index in
+suffix order: ranks of 5, 10, 20, ... ``SIZE`` bytes are made by prefix doubling, so that suffixes stand in the order of their
+bytes, and neighbours with one rank share ``SIZE`` bytes, byte for byte and not by a hash. What is new in the batch becomes a
+level; levels of similar size are merged, so that there are never more than about log2(bytes) of them. Regions all of whose
+strings a level has already are not kept twice.
 
-Suffixes are ordered by their first six bytes and then by a fingerprint of their first ``SIZE`` bytes, not in
-dictionary order throughout: the only question asked is whether ``SIZE`` bytes agree, and a level is two arrays
-of numbers in this way. A level holds each distinct string once.
+A hot anchor's salts are small indexes of their own; strings that its first text lacks are counted over all texts by hash.
 
 Texts that equal another one are removed whole if they have ``SIZE`` bytes; one of them stays in the index.
 
@@ -20,6 +20,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -31,89 +32,144 @@ from .workspace import table
 
 SIZE, GRAM = 200, 48
 UNIT = repeats.Unit(words=False, size=SIZE, gram=GRAM, step=16)
+BATCH = 1 << 20
 RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
 
 
-def suffix_keys(data: np.ndarray, at: np.ndarray, fingerprint: np.ndarray) -> np.ndarray:
-    """Numbers in the order of the suffixes: six bytes (exact in a double), then 52 bits of the fingerprint."""
-    head = np.zeros(len(at), np.int64)
-    for k in range(6):
-        head = head << 8 | data[at + k]
-    return head + 1j * (fingerprint >> np.uint64(12)).astype(float)
+def ordered(key: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """The places of numbers of at most ``bits`` bits in their order, and whether each equals its predecessor."""
+    n = len(key)
+    place = max(1, (n - 1).bit_length())
+    if bits + place <= 64:
+        # Sorting numbers that carry their places is much faster than sorting places.
+        packed = np.sort(key << np.uint64(place) | np.arange(n, dtype=np.uint64))
+        order, value = (packed & np.uint64((1 << place) - 1)).astype(np.int64), packed >> np.uint64(place)
+    else:
+        order = np.argsort(key, kind="stable")
+        value = key[order]
+    return order, np.r_[False, value[1:] == value[:-1]][:n]
+
+
+def ranked(key: np.ndarray, bits: int) -> np.ndarray:
+    """The rank of each number among all, equal ones alike."""
+    order, same = ordered(key, bits)
+    out = np.empty(len(key), np.uint64)
+    out[order] = np.cumsum(~same).astype(np.uint64) - np.uint64(1)
+    return out
+
+
+def suffix_array(data: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """``starts`` (their places) in the order of the SIZE bytes that begin there, and whether each has those of its predecessor."""
+    n, bits = len(data), max(1, (len(data) - 1).bit_length())
+
+    def ahead(x: np.ndarray, by: int) -> np.ndarray:
+        return np.r_[x[by:], np.zeros(min(by, n), x.dtype)]
+
+    head, size = np.zeros(n, np.uint64), 5
+    for k in range(size):
+        head = head << np.uint64(8) | ahead(data, k)
+    rank = ranked(head, 8 * size)
+    while 2 * size <= SIZE:
+        rank, size = ranked(rank << np.uint64(bits) | ahead(rank, size), 2 * bits), 2 * size
+    return ordered((rank << np.uint64(bits) | ahead(rank, SIZE - size))[starts], 2 * bits)
+
+
+@dataclass
+class Level:
+    """Bytes of regions one after another; where strings of ``SIZE`` bytes start, when each arrived, and of which region it is."""
+
+    data: np.ndarray
+    starts: np.ndarray
+    arrivals: np.ndarray
+    edges: np.ndarray
+
+    def with_only(self, regions: np.ndarray) -> Level:
+        """Some of the regions."""
+        size = np.diff(self.edges)[regions]
+        inside = np.repeat(self.edges[:-1][regions] - np.r_[0, np.cumsum(size)[:-1]], size) + np.arange(size.sum())
+        of = np.searchsorted(self.edges, self.starts, "right") - 1
+        kept = np.zeros(len(self.edges) - 1, bool)
+        kept[regions] = True
+        moved = np.zeros(len(kept), np.int64)
+        moved[regions] = np.r_[0, np.cumsum(size)[:-1]] - self.edges[:-1][regions]
+        own = kept[of]
+        return Level(self.data[inside], self.starts[own] + moved[of[own]], self.arrivals[own], np.r_[0, np.cumsum(size)])
+
+    def joined(self, other: Level) -> Level:
+        n = len(self.data)
+        return Level(np.r_[self.data, other.data], np.r_[self.starts, other.starts + n], np.r_[self.arrivals, other.arrivals], np.r_[self.edges, other.edges[1:] + n])
 
 
 class Family:
-    """Levels of sorted distinct suffixes; ``repeated`` and ``with_first`` for each suffix by its order of arrival."""
+    """Levels of geometric sizes; ``repeated`` and ``with_first`` for each string by its order of arrival."""
 
     def __init__(self) -> None:
-        self.levels: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []  # keys, arrivals, whether a first text has it
-        self.repeated, self.with_first, self.n = [], [], 0
-
-    def flag(self, arrivals: np.ndarray) -> None:
-        """Marks suffixes of earlier batches as repeated."""
-        batch = np.searchsorted(self.starts, arrivals, "right") - 1
-        for k in np.unique(batch):
-            self.repeated[k][arrivals[batch == k] - self.starts[k]] = True
-
-    @property
-    def starts(self) -> np.ndarray:
-        return np.cumsum([0, *map(len, self.repeated)])
-
-    def add(self, keys: np.ndarray, is_first: np.ndarray) -> None:
-        order = np.argsort(keys, kind="stable")
-        array = keys[order]
-        new = np.r_[True, array[1:] != array[:-1]][: len(array)]
-        group, at = np.cumsum(new) - 1, np.flatnonzero(new)
-        array, arrivals = array[new], self.n + order[new]
-        repeated = np.diff(np.r_[at, len(order)]) > 1
-        first = np.maximum.reduceat(is_first[order], at) if len(at) else is_first
-        fresh = np.ones(len(array), bool)
-        for level, held, held_first in self.levels:
-            k = np.minimum(np.searchsorted(level, array), len(level) - 1)
-            same = level[k] == array
-            self.flag(held[k[same]])
-            repeated |= same
-            first[same] |= held_first[k[same]]
-            fresh &= ~same
-        for flags, of in ((self.repeated, repeated), (self.with_first, first)):
-            out = np.zeros(len(keys), bool)
-            out[order] = of[group]
-            flags.append(out)
-        self.n += len(keys)
-        if fresh.any():
-            self.levels.append((array[fresh], arrivals[fresh], first[fresh]))
-        while len(self.levels) > 1 and len(self.levels[-2][0]) <= 2 * len(self.levels[-1][0]):
-            parts = [np.concatenate(x) for x in zip(self.levels.pop(-2), self.levels.pop(), strict=True)]
-            merge = np.argsort(parts[0], kind="stable")  # two sorted runs
-            self.levels.append(tuple(x[merge] for x in parts))
+        self.levels: list[Level] = []
+        self.repeated, self.with_first = np.zeros(0, bool), np.zeros(0, bool)
+
+    def scan(self, both: Level) -> np.ndarray:
+        """Marks the strings that stand beside an equal one; gives, for each, the arrival of the first of its equals."""
+        order, same = suffix_array(both.data, both.starts)
+        arrivals = both.arrivals[order]
+        edge = np.flatnonzero(~same)
+        size = np.diff(np.r_[edge, len(order)])
+        self.repeated[arrivals[np.repeat(size > 1, size)]] = True
+        self.with_first[arrivals] |= np.repeat(np.logical_or.reduceat(self.with_first[arrivals], edge), size) if len(edge) else False
+        out = np.empty(len(order), np.int64)
+        out[order] = np.repeat(np.minimum.reduceat(arrivals, edge), size) if len(edge) else arrivals
+        return out
+
+    def add(self, data: np.ndarray, edges: np.ndarray, starts: np.ndarray, is_first: np.ndarray) -> None:
+        """A batch of regions [edges[i], edges[i + 1]) of ``data``; is_first: of each start."""
+        known = len(self.repeated)
+        batch = Level(data, starts, known + np.arange(len(starts)), edges)
+        self.repeated, self.with_first = np.r_[self.repeated, np.zeros(len(starts), bool)], np.r_[self.with_first, is_first]
+        fresh = np.ones(len(starts), bool)
+        for level in self.levels:
+            fresh &= self.scan(level.joined(batch))[len(level.starts) :] >= known
+        if not self.levels:
+            self.scan(batch)
+        of = np.searchsorted(edges, starts, "right") - 1
+        new = np.flatnonzero(np.bincount(of[fresh], minlength=len(edges) - 1) > 0)
+        if len(new):
+            self.levels.append(batch.with_only(new))
+        while len(self.levels) > 1 and len(self.levels[-2].data) <= 2 * len(self.levels[-1].data):
+            self.levels[-2:] = [self.levels[-2].joined(self.levels[-1])]
 
 
 class Shard:
-    """The index of one shard, and what is needed of its regions when all have been added."""
+    """The index of one shard, the batch that is being gathered, and what is needed of its regions when all have been added."""
 
     def __init__(self) -> None:
-        self.family, self.rows = Family(), []
+        self.family, self.rows, self.held = Family(), [], []
 
-    def add(self, t: kernel.Texts, columns: list[list], salts: np.ndarray) -> None:
-        at, hashes = UNIT.windows(kernel.SYMBOL[t.data], t.offsets)
-        size = np.diff(np.searchsorted(at, t.offsets))
+    def add(self, t: kernel.Texts, columns: list[list]) -> None:
+        starts = kernel.within(t.offsets, SIZE)
+        size = np.diff(np.searchsorted(starts, t.offsets))
         own = list(zip(*columns, strict=True))
         # A hot region is needed again for the windows that its first text lacks.
         self.rows += [(*x, int(size[i]), t.bytes_of(i) if x[0] and not x[1] else None) for i, x in enumerate(own)]
-        # A shard may have several salts, each with the first text's region, which is no repeat of itself.
-        of_salt = np.repeat(kernel.mix(salts.astype(np.uint64)), size)
-        self.family.add(suffix_keys(t.data, at, hashes ^ of_salt), np.repeat([x[1] for x in own], size))
+        self.held.append((t.data, t.offsets, starts, np.repeat([x[1] for x in own], size)))
+        if sum(len(x[0]) for x in self.held) >= BATCH:
+            self.flush()
+
+    def flush(self) -> None:
+        if self.held:
+            data, offsets, starts, first = zip(*self.held, strict=True)
+            before = np.cumsum([0, *map(len, data)])
+            self.family.add(np.concatenate(data), np.r_[0, np.concatenate([x[1:] + b for x, b in zip(offsets, before, strict=False)])], np.concatenate([x + b for x, b in zip(starts, before, strict=False)]), np.concatenate(first).astype(bool))
+            self.held = []
 
     def finished(self) -> Iterator[pa.RecordBatch]:
-        repeated, with_first = (np.concatenate([np.zeros(0, bool), *x]) for x in (self.family.repeated, self.family.with_first))
+        self.flush()
         done = 0
         for _, _, doc_id, digest, start, n, region in self.rows:
             own = slice(done, done + n)
             done += n
-            spans = repeats.merged(np.flatnonzero(repeated[own]) + start, SIZE)
+            spans = repeats.merged(np.flatnonzero(self.family.repeated[own]) + start, SIZE)
             if spans:
                 yield repeats.found_spans(doc_id, digest, spans)
-            if region is not None and len(left := np.flatnonzero(~with_first[own])):
+            if region is not None and len(left := np.flatnonzero(~self.family.with_first[own])):
                 symbols = kernel.SYMBOL[np.frombuffer(region, np.uint8)]
                 sums, (_, place, _) = kernel.prefix_sums(symbols), UNIT.anchors(symbols, np.array([0, len(symbols)]))
                 yield repeats.left_over(doc_id, digest, UNIT, sums, left, place[left], kernel.run_hash(sums, left, left + SIZE), 0, start)
@@ -123,17 +179,17 @@ def meet(regions: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, shard = None, Shard()
         for batch in batches:
-            numbers = batch.column(8).to_numpy()
-            edge = np.r_[np.flatnonzero(np.r_[True, numbers[1:] != numbers[:-1]][: len(numbers)]), len(numbers)]
-            for lo, hi in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True):
-                if key != numbers[lo]:
+            first, salt, hot, number = (batch.column(k).to_pylist() for k in (0, 1, 2, 8))
+            keys = [(n, f, s) if h else (n,) for f, s, h, n in zip(first, salt, hot, number, strict=True)]
+            edge = [i for i, x in enumerate(keys) if not i or keys[i - 1] != x]
+            for lo, hi in zip(edge, [*edge[1:], len(keys)], strict=True):
+                if key != keys[lo]:
                     yield from shard.finished()
-                    key, shard = numbers[lo], Shard()
+                    key, shard = keys[lo], Shard()
                 part = batch.slice(lo, hi - lo)
-                columns, salts = [part.column(i).to_pylist() for i in range(2, 7)], part.column(1).to_numpy()
-                for t in kernel.texts(part.column(7), repeats.PIECE):
-                    own = slice(t.first, t.first + len(t))
-                    shard.add(t, [x[own] for x in columns], salts[own])
+                columns = [part.column(i).to_pylist() for i in range(2, 7)]
+                for t in kernel.texts(part.column(7), BATCH):
+                    shard.add(t, [x[t.first : t.first + len(t)] for x in columns])
         yield from shard.finished()
 
     return regions.mapInArrow(repeats.gathered(run), repeats.FOUND)
@@ -159,7 +215,9 @@ def finished(rows: DataFrame) -> DataFrame:
 def deduplicated(documents: DataFrame) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of each row."""
     rows = repeats.prepared(documents)
-    spans = repeats.covered(rows, UNIT, F.col("n_places") > 1, [F.desc("is_first"), "first", "doc_id", "digest"], meet, F.lit(True))
+    # A hot anchor's salts one after another, behind what the shard has else.
+    order = ["hot", F.when(F.col("hot"), F.col("first")), F.when(F.col("hot"), F.col("salt")), F.desc("is_first"), "first", "doc_id", "digest"]
+    spans = repeats.covered(rows, UNIT, F.col("n_places") > 1, order, meet, F.lit(True))
     return finished(repeats.with_spans(rows, spans))
 
 
