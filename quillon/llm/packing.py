@@ -37,7 +37,7 @@ from .workspace import bound_batches, settled, table
 SIZE = 2048
 END_ID = 1
 #: A (length, salt) has about one in so many of all pieces, or LEAST pieces.
-SHARES, LEAST = 4096, 500
+SHARES, LEAST = 4096, 64
 #: The most distinct words whose ids a worker remembers.
 REMEMBERED = 700_000
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
