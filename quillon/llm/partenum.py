@@ -57,7 +57,7 @@ SPARE = 8
 SAMPLE, RARE, LEAST = 16_384, 512, 24
 CELLS = 128
 #: Sets, and shingles, of a leader that meet in one task; groups up to SMALL are looked at together.
-BLOCK, BLOCK_SHINGLES, SMALL = 2048, 4 << 20, 48
+BLOCK, BLOCK_SHINGLES, SMALL = 2048, 2 << 20, 48
 #: Digests of texts with copies, and ids, are broadcast up to this many (32 bytes each at most), joined by shuffle beyond.
 FEW_IDS = 100_000
 
@@ -191,7 +191,7 @@ def buckets(leads: DataFrame, frequent: np.ndarray, hot: tuple[np.ndarray, np.nd
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids = batch.column(0).to_numpy()
-            for t in kernel.texts(batch.column(1), 4 << 20):
+            for t in kernel.texts(batch.column(1), 2 << 20):
                 row, key = signatures(*shingle_sets(t), frequent)
                 doc, warm = ids[row + t.first], is_in(key, hot[0])
                 part = (key >> np.uint64(32)) % np.uint64(parts)
@@ -425,8 +425,8 @@ def joined(documents: DataFrame) -> DataFrame:
     n_of = settled(sizes(rows), "shingles")
     total = n_of.agg(F.count("*").alias("rows"), F.sum("n_shingles").alias("n")).first()
     leads = rows.where("doc_id = lead")
-    # About one signature a shingle, and 2 million of them a partition.
-    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), (total["n"] or 0) >> 21)
+    # About one signature a shingle, and a million of them a partition.
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), (total["n"] or 0) >> 20)
     frequent = sampled(leads, total["rows"], lambda hashes, offsets: (np.repeat(np.arange(len(offsets) - 1), np.diff(offsets)), hashes))[0]
     hot = sampled(leads, total["rows"], lambda hashes, offsets: signatures(hashes, offsets, frequent))
     found = settled(buckets(leads, frequent, hot, parts), "buckets")
