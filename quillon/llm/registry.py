@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-MODULES = ("secrets_forest", "warc_derivatives", "quality_embeddings", "partenum", "decontamination", "topk_bond", "packing", "phrase_automata", "toxicity_fm", "suffix_levels")
+MODULES = ("secrets_forest", "warc_derivatives", "quality_embeddings", "partenum", "decontamination", "topk_bond", "packing", "phrase_automata", "toxicity_fm", "suffix_levels", "importance_resampling", "whitening", "token_orc")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
