@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from ..functions import textnorm as T
 from ..settings import Settings
-from .detect import UNKNOWN, detect
+from .detect import UNKNOWN, detect, spread
 
 #: The collectors' steps and all replies.
 COLLECTORS = {
@@ -122,7 +122,7 @@ def prepared(messages: DataFrame, settings: Settings = Settings()) -> DataFrame:
     """session_id, turn, text (redacted) of messages, detected and with direct replies."""
     own = F.substring(F.md5(F.concat_ws("/", F.col("turn").cast("string"), F.col("text"))), 1, 8)
     redacted = messages.select(F.coalesce(F.col("session_id").cast("string"), own).alias("session_id"), F.col("turn").cast("int").alias("turn"), T.redact(F.coalesce("text", F.lit(""))).alias("text"))
-    detected = detect(redacted, settings).select("session_id", "turn", "text", "primary", "confidence", "multi_intent")
+    detected = detect(spread(redacted), settings).select("session_id", "turn", "text", "primary", "confidence", "multi_intent")
     return with_replies(detected).select("session_id", "turn", "text", "primary", "confidence", "multi_intent", "protocol", "direct")
 
 

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from ..functions import textnorm as N
 from ..operators import chat as C
 from ..operators import relational as R
-from ..operators.detect import detect, detect_batch, tokenised
+from ..operators.detect import detect, detect_batch, spread, tokenised
 from ..operators.language import identified
 from ..settings import Settings
 from ..sources import messages as M
@@ -107,7 +107,7 @@ def templated(spark: SparkSession, sf_dir: str, golden: list[tuple] = GOLDEN) ->
     said = F.array(*(F.lit(g[0]) for g in golden))
     wanted = F.array(*(F.lit(g[1][0][0] if g[1] else "desconhecido") for g in golden))
     at = F.pmod(F.col("event_id"), F.lit(len(golden))).cast("int")
-    return table(spark, sf_dir, "events").select(F.col("event_id").alias("msg_id"), F.get(said, at).alias("text"), F.get(wanted, at).alias("expected"))
+    return spread(table(spark, sf_dir, "events").select(F.col("event_id").alias("msg_id"), F.get(said, at).alias("text"), F.get(wanted, at).alias("expected")))
 
 
 def k_rules(spark: SparkSession) -> DataFrame:
@@ -646,7 +646,7 @@ LINES = "(SELECT doc_id || '/' || (k - 1) AS doc_id, source, line AS text FROM (
 def detect_lines(spark, sf):
     """Line source: one message for each line that is not blank, detected."""
     lines = M.lines_of(table(spark, sf, "documents"), "text", "doc_id").select(F.concat_ws("/", F.col("doc_id").cast("string"), F.col("line").cast("string")).alias("line_id"), "text")
-    return detect(lines).select("line_id", "lang.reason", "error_code")
+    return detect(spread(lines)).select("line_id", "lang.reason", "error_code")
 
 
 #: (session, turn, text, index, strategy, pending step).
