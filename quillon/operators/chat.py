@@ -1,23 +1,29 @@
 """Scripted multi-turn flows: one reply strategy per intent, and collectors that keep state between a session's turns.
 
-A session is folded in the order of its turns: state goes from turn to turn. Batch: ``chat`` deals turns by session, puts
-them in order and folds them batch by batch; only the state of the session at hand is held, so a session may have any
-number of turns. The same step runs on streams in ``quillon.streaming.sessions``. Detection is done before, as columns.
-A turn without a session id is a session of its own, with an id made from it.
+A session is a fold over its turns in their order, but of a few states only: no collector at work, or one of them at one
+of its steps. So a turn is a function from states to states, and functions compose in any grouping: ``fold`` deals turns by
+ranges of (session, turn), however long a session is; each range composes its own functions, the driver hands what
+the ranges before make of a session to the next (one row a range), and a turn's state is its own prefix applied to that.
+Replies are columns of the state. The same step runs on streams in ``quillon.streaming.sessions``. Detection is done
+before, as columns. A turn without a session id is a session of its own, with an id made from it; turns of one session and
+number are in the order of a hash of their text.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import textnorm as T
 from ..settings import Settings
+from ..sources.shared import written
 from .detect import UNKNOWN, detect, spread
 
 #: The collectors' steps and all replies.
@@ -93,11 +99,11 @@ class State:
     turns: int = 0
 
 
-def step(state: State, primary: str, confidence: float, protocol: int, direct: str) -> tuple[str, str, int | None]:
-    """(strategy, reply, pending step) of one turn; changes ``state``. Unknown or weak messages advance a collector,
+def step(state: State, primary: str, sure: bool, protocol: int, direct: str) -> tuple[str, str, int | None]:
+    """(strategy, reply, pending step) of one turn; changes ``state``. Unknown or unsure messages advance a collector,
     another known intent ends it."""
     state.turns += 1
-    if state.pending and primary not in (UNKNOWN, state.pending) and confidence >= 0.3:
+    if state.pending and primary not in (UNKNOWN, state.pending) and sure:
         state.pending, state.step = None, 0
     intent = state.pending or primary
     if intent not in COLLECTORS:
@@ -111,45 +117,151 @@ def step(state: State, primary: str, confidence: float, protocol: int, direct: s
     return intent, reply, state.step
 
 
-def folded(session_id: str | None, turns: pd.DataFrame, state: State) -> Iterator[tuple]:
-    for t in turns.sort_values("turn", kind="stable").itertuples():
-        index = 2 * state.turns + 1
-        strategy, reply, pending = step(state, t.primary, t.confidence, t.protocol, t.direct)
-        yield (session_id, t.turn, index, t.text, t.primary, t.confidence, t.multi_intent, strategy, reply, "text", pending)
+def prepared(messages: DataFrame, settings: Settings = Settings(), *keep: str) -> DataFrame:
+    """session_id, turn, text (redacted) and ``keep`` of messages, detected and with direct replies."""
+    own = F.substring(F.md5(F.concat_ws("/", F.col("turn").cast("string"), F.col("text"))), 1, 8)
+    redacted = messages.select(F.coalesce(F.col("session_id").cast("string"), own).alias("session_id"), F.col("turn").cast("int").alias("turn"), T.redact(F.coalesce("text", F.lit(""))).alias("text"), *keep)
+    detected = detect(spread(redacted), settings).select("session_id", "turn", "text", *keep, "primary", "confidence", "multi_intent")
+    return with_replies(detected).select("session_id", "turn", "text", *keep, "primary", "confidence", "multi_intent", "protocol", "direct")
 
 
-def prepared(messages: DataFrame, settings: Settings = Settings()) -> DataFrame:
-    """session_id, turn, text (redacted) of messages, detected and with direct replies."""
-    own = F.substring(F.md5(F.concat_ws("/", F.col("turn").cast("string"), F.col("text"))), 1, 8)
-    redacted = messages.select(F.coalesce(F.col("session_id").cast("string"), own).alias("session_id"), F.col("turn").cast("int").alias("turn"), T.redact(F.coalesce("text", F.lit(""))).alias("text"))
-    detected = detect(spread(redacted), settings).select("session_id", "turn", "text", "primary", "confidence", "multi_intent")
-    return with_replies(detected).select("session_id", "turn", "text", "primary", "confidence", "multi_intent", "protocol", "direct")
+def sure(settings: Settings) -> F.Column:
+    return F.coalesce(F.col("confidence") >= settings.min_confidence, F.lit(False))
 
 
 COLUMNS = [x.split()[0] for x in TURN.split(", ")]
 
 
-def fold(turns: DataFrame) -> DataFrame:
-    """A row of ``TURN`` for each of turns: session_id, turn, text, primary, confidence, multi_intent, protocol, direct."""
+#: What a session can be at: nothing, or a collector and how many of its steps are said.
+STATES: list[tuple[str | None, int]] = [(None, 0), *((intent, k) for intent, said in COLLECTORS.items() for k in range(1, len(said)))]
+#: What a turn can be: unknown, a collector's intent, or another one; each sure or not.
+KINDS = [UNKNOWN, *COLLECTORS, ""]
+SEGMENT = "session_id string, turn int, text string, primary string, confidence double, multi_intent boolean, protocol int, direct string, sure boolean, part int, at long, before long, after long"
+
+
+def transitions() -> np.ndarray:
+    """[kind * 2 + sure][state]: the state after a turn."""
+    out = np.zeros((2 * len(KINDS), len(STATES)), np.int64)
+    for kind, primary in enumerate(KINDS):
+        for is_sure in (0, 1):
+            for k, (pending, done) in enumerate(STATES):
+                state = State(pending, done)
+                step(state, primary or "other", bool(is_sure), 0, "")
+                out[2 * kind + is_sure, k] = STATES.index((state.pending, state.step))
+    return out
+
+
+def coded(functions: np.ndarray) -> np.ndarray:
+    """Functions from states to states (rows) as one number each."""
+    return functions @ len(STATES) ** np.arange(len(STATES))
+
+
+def decoded(code: int) -> np.ndarray:
+    return code // len(STATES) ** np.arange(len(STATES)) % len(STATES)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        session, state = None, State()
-        for batch in batches:
-            out = []
-            for session_id, part in batch.groupby("session_id", sort=False):
-                if session_id != session:
-                    session, state = session_id, State()
-                out += folded(session_id, part, state)
-            if out:
-                yield pd.DataFrame(out, columns=COLUMNS).astype({"pending_step": "Int32"})
 
-    columns = ["session_id", "turn", "text", "primary", "confidence", "multi_intent", "protocol", "direct"]
-    return turns.select(columns).repartition("session_id").sortWithinPartitions("session_id", "turn").mapInPandas(run, TURN)
+def prefixes(functions: np.ndarray, segment: np.ndarray) -> np.ndarray:
+    """Of each row, all functions of its segment up to it, composed; by doubling."""
+    out, d = functions.copy(), 1
+    while d < len(out):
+        same = np.flatnonzero(segment[d:] == segment[:-d])
+        if not len(same):
+            break
+        out[same + d] = np.take_along_axis(out[same + d], out[same], 1)
+        d *= 2
+    return out
+
+
+def dealt(turns: DataFrame, partitions: int) -> DataFrame:
+    """``turns`` in ranges of (session, turn), each in order, with part: a session may have any number of ranges."""
+    order = ["session_id", "turn", "tie", "protocol"]
+    rows = turns.withColumn("tie", F.xxhash64("text", "primary")).repartitionByRange(partitions, *order).sortWithinPartitions(*order)
+    return rows.drop("tie").withColumn("part", F.spark_partition_id())
+
+
+def composed(ranges: DataFrame) -> DataFrame:
+    """Rows of ``SEGMENT``: each turn with its place in its session's part of the range, and the function of the turns before it
+    there, with and without it."""
+    table, one = transitions(), np.arange(len(STATES))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, carry, done = None, one, 0
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            # Names of sessions, in order: numbers for them where they change.
+            names = batch.column(0).to_pylist()
+            changed = np.array([True, *(a != b for a, b in zip(names, names[1:]))])
+            segment = np.cumsum(changed)
+            kind, is_sure = batch.column(batch.num_columns - 1).to_numpy(), batch.column(8).to_numpy(zero_copy_only=False)
+            f = prefixes(table[2 * kind + is_sure], segment)
+            first = np.flatnonzero(changed)
+            at = np.arange(len(f)) - first[segment - 1]
+            if names[0] == last:
+                going = segment == 1
+                f[going] = f[going][:, carry]
+                at[going] += done
+            else:
+                carry, done = one, 0
+            before = np.roll(f, 1, 0)
+            before[first] = one
+            before[0] = carry
+            last, carry, done = names[-1], f[-1], int(at[-1]) + 1
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(at), pa.array(coded(before)), pa.array(coded(f))], [x.split()[0] for x in SEGMENT.split(", ")])
+
+    kind = F.lit(len(KINDS) - 1)
+    for k, primary in enumerate(KINDS[:-1]):
+        kind = F.when(F.col("primary") == primary, k).otherwise(kind)
+    return ranges.withColumn("kind", kind).mapInArrow(run, SEGMENT)
+
+
+def carried(segments: DataFrame) -> list[tuple[int, str, int, int]]:
+    """(part, session, state, turns before) for each range whose first session began in a range before it."""
+    of = segments.groupBy("part").agg(F.min("session_id").alias("first"), F.max(F.struct("session_id", "at", "after")).alias("last"))
+    out, session, state, turns = [], None, 0, 0
+    # One row a range.
+    for r in sorted(of.collect(), key=lambda r: r["part"]):
+        if r["first"] == session:
+            out.append((r["part"], session, state, turns))
+        else:
+            state, turns = 0, 0
+        last = r["last"]
+        going = last["session_id"] == r["first"]
+        state, turns, session = int(decoded(last["after"])[state if going else 0]), last["at"] + 1 + (turns if going else 0), last["session_id"]
+    return out
+
+
+def replied(turns: DataFrame) -> DataFrame:
+    """Rows of ``TURN`` of ``turns`` with state and index."""
+    pending, done = (F.get(F.array(*(F.lit(x[k]) for x in STATES)), F.col("state")) for k in (0, 1))
+    ended = pending.isNotNull() & ~F.col("primary").isin(UNKNOWN) & (F.col("primary") != pending) & F.col("sure")
+    rows = turns.withColumn("held", F.when(~ended, pending)).withColumn("strategy", F.coalesce("held", "primary"))
+    rows = rows.withColumn("said", F.when(F.col("strategy").isin(*COLLECTORS), F.when(F.col("held").isNull(), 1).otherwise(done + 1)))
+    reply, left = F.col("direct"), F.lit(None).cast("int")
+    for intent, texts in COLLECTORS.items():
+        text = F.replace(F.get(F.array(*map(F.lit, texts)), F.col("said") - 1), F.lit("{:04d}"), F.format_string("%04d", "protocol"))
+        reply = F.when(F.col("strategy") == intent, text).otherwise(reply)
+        left = F.when((F.col("strategy") == intent) & (F.col("said") < len(texts)), F.col("said")).otherwise(left)
+    return rows.withColumn("reply", reply).withColumn("pending_step", left).withColumn("turn_index", (2 * F.col("index") + 1).cast("int")).withColumn("reply_format", F.lit("text")).select(COLUMNS)
+
+
+def fold(turns: DataFrame, settings: Settings = Settings()) -> DataFrame:
+    """A row of ``TURN`` for each of turns: session_id, turn, text, primary, confidence, multi_intent, protocol, direct."""
+    spark = turns.sparkSession
+    columns = [F.col(x.split()[0]).cast(x.split()[1]).alias(x.split()[0]) for x in SEGMENT.split(", ")[:8]]
+    ranges = dealt(turns.select(*columns, sure(settings).alias("sure")), int(spark.conf.get("spark.sql.shuffle.partitions")))
+    segments = written(composed(ranges), "turns")
+    # At most a row a range.
+    begins = spark.createDataFrame(carried(segments), "part int, session_id string, state_in int, turns_in long")
+    rows = segments.join(F.broadcast(begins), ["part", "session_id"], "left")
+    power = F.element_at(F.array(*(F.lit(len(STATES) ** k) for k in range(len(STATES)))), F.coalesce("state_in", F.lit(0)) + 1)
+    state = F.pmod(F.floor(F.col("before") / power), F.lit(len(STATES))).cast("int")
+    return replied(rows.withColumn("state", state).withColumn("index", F.coalesce("turns_in", F.lit(0)) + F.col("at")))
 
 
 def chat(messages: DataFrame, settings: Settings = Settings()) -> DataFrame:
     """A row of ``TURN`` for each message of session_id, turn, text."""
-    return fold(prepared(messages, settings))
+    return fold(prepared(messages, settings), settings)
 
 
 def log_rows(turns: DataFrame, created_at: F.Column) -> DataFrame:
@@ -163,18 +275,24 @@ def latest(log: DataFrame, limit: int) -> DataFrame:
     return log.orderBy(F.desc("created_at"), F.desc("turn_index"), "session_id").limit(limit)
 
 
-def append_log(log: DataFrame, path: str) -> None:
-    """Adds rows of ``log_rows`` to the log at ``path``, which need not be there yet."""
-    log.write.mode("append").parquet(path)
+LOG = "session_id string, turn_index int, role string, text string, primary_intent string, strategy string, created_at timestamp"
+
+
+def append_log(log: DataFrame, path: str, write: str | None = None) -> None:
+    """Adds rows of ``log_rows`` to the log at ``path``, which need not be there yet.
+
+    write: the name of this write, made of letters, digits and dashes. One that is there already is replaced, so that a write
+    that is done again adds nothing.
+    """
+    log.write.mode("overwrite").parquet(f"{path.rstrip('/')}/write={write or uuid.uuid4().hex}")
 
 
 def read_log(spark: SparkSession, path: str, limit: int) -> DataFrame:
     """The latest rows of a log; none if there is no log."""
-    columns = "session_id string, turn_index int, role string, text string, primary_intent string, strategy string, created_at timestamp"
     try:
-        log = spark.read.schema(columns).parquet(path)
+        log = spark.read.schema(f"{LOG}, write string").parquet(path).drop("write")
     except AnalysisException as e:
         if e.getCondition() != "PATH_NOT_FOUND":
             raise
-        log = spark.createDataFrame([], columns)
+        log = spark.createDataFrame([], LOG)
     return latest(log, limit)

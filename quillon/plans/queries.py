@@ -8,8 +8,6 @@ from __future__ import annotations
 
 import json
 import re
-import tempfile
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -24,6 +22,7 @@ from ..settings import Settings
 from ..sources import messages as M
 from ..sources import rules as S
 from ..sources import shipped
+from ..sources.shared import fresh_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -722,10 +721,12 @@ def chat_ticket(spark, sf):
 SCRIPT = ["cancelar", "desconhecido", "saudacao", "cancelar", "desconhecido", "alterar_dados", "desconhecido", "acesso", "cancelar", "desconhecido", "acesso"]
 
 
-def scripted(spark, sf):
-    events = table(spark, sf, "events").where("user_id IS NOT NULL")
+def scripted(spark, sf, session=None):
+    events = table(spark, sf, "events")
+    events = events.where("user_id IS NOT NULL") if session is None else events
+    session = F.col("user_id").cast("string") if session is None else session
     said = F.get(F.array(*map(F.lit, SCRIPT)), F.pmod("event_id", F.lit(len(SCRIPT))).cast("int"))
-    rows = events.select(F.col("user_id").cast("string").alias("session_id"), F.col("event_id").cast("int").alias("turn"), F.lit("x").alias("text"), said.alias("primary"), F.when(F.pmod("event_id", F.lit(3)) == 0, 0.2).otherwise(0.8).alias("confidence"), F.lit(False).alias("multi_intent"))
+    rows = events.select(session.alias("session_id"), F.col("event_id").cast("int").alias("turn"), F.lit("x").alias("text"), said.alias("primary"), F.when(F.pmod("event_id", F.lit(3)) == 0, 0.2).otherwise(0.8).alias("confidence"), F.lit(False).alias("multi_intent"))
     return C.fold(C.with_replies(rows))
 
 
@@ -756,6 +757,15 @@ def chat_collector(spark, sf):
     return scripted(spark, sf).where(F.col("strategy").isin(*C.COLLECTORS)).select("session_id", "turn", "reply")
 
 
+LONG = FOLDED.replace("user_id::VARCHAR AS session_id", "'all' AS session_id").replace("PARTITION BY user_id ORDER BY event_id", "ORDER BY event_id").replace("FROM events WHERE user_id IS NOT NULL", "FROM events")
+
+
+@query(f"SELECT turn, turn_index, strategy, pending_step FROM {LONG}")
+def chat_long_session(spark, sf):
+    """All events as the turns of one session: it is cut into as many ranges as there are."""
+    return scripted(spark, sf, F.lit("all")).select("turn", "turn_index", "strategy", "pending_step")
+
+
 @query("SELECT conv_id::VARCHAR AS session_id, count(*) AS n_turns, max(2 * k - 1) AS last_index FROM (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS k FROM conversations WHERE role = 'user') GROUP BY conv_id")
 def chat_volume(spark, sf):
     turns = table(spark, sf, "conversations").where("role = 'user'").select(F.col("conv_id").cast("string").alias("session_id"), "turn", "text")
@@ -773,8 +783,7 @@ def history_log(spark, sf):
 @query(f"SELECT conv_id::VARCHAR AS session_id, (2 * k - 1 + (v.role = 'bot')::INT)::INTEGER AS turn_index, v.role FROM (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS k FROM conversations WHERE role = 'user'), {values([('user',), ('bot',)], 'role')} ORDER BY turn_index DESC, session_id LIMIT 50")
 def history_write(spark, sf):
     """Turns of all users are added to a new log in two parts, and the latest rows read back."""
-    folder = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp(prefix='spark-')}"
-    path = f"{folder.rstrip('/')}/log-{uuid.uuid4().hex}"
+    path = fresh_path(spark, "log")
     users = table(spark, sf, "conversations").where("role = 'user'")
     index = F.row_number().over(Window.partitionBy("conv_id").orderBy("turn")) * 2 - 1
     turns = users.select(F.col("conv_id").cast("string").alias("session_id"), index.cast("int").alias("turn_index"), "text", F.lit("ok").alias("reply"), F.lit("duvida").alias("primary"), F.lit("duvida").alias("strategy"))

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import datetime
 import json
+import random
 import re
 import time
 
@@ -16,6 +18,7 @@ from quillon.plans.queries import GOLDEN, GOLDEN_EN, SESSIONS, messages, session
 from quillon.settings import Settings
 from quillon.sources import messages as sources
 from quillon.sources import rules
+from quillon.streaming import sessions as sessions_of
 from quillon.streaming.sessions import chat_stream, detect_stream
 
 
@@ -148,14 +151,51 @@ def test_turns_without_a_session_are_sessions_of_their_own(spark):
     assert {len(r["session_id"]) for r in got} == {8} and len({r["session_id"] for r in got}) == 2 and {r["turn_index"] for r in got} == {1}
 
 
-def test_long_sessions_are_folded_batch_by_batch(spark):
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+def sequential(rows, least=0.3):
+    """A plain fold: (session, turn) to (turn_index, strategy, reply, pending_step)."""
+    states, out = {}, {}
+    for session, turn, primary, confidence in sorted(rows, key=lambda r: (r[0], r[1])):
+        state = states.setdefault(session, chat.State())
+        index = 2 * state.turns + 1
+        out[session, turn] = (index, *chat.step(state, primary, confidence >= least, 1000 + turn % 9000, f"d{turn}"))
+    return out
+
+
+def frame_of(spark, rows):
+    df = spark.createDataFrame(rows, "session_id string, turn int, primary string, confidence double")
+    return df.select("*", F.lit("x").alias("text"), F.lit(False).alias("multi_intent"), (F.col("turn") % 9000 + 1000).alias("protocol"), F.concat(F.lit("d"), F.col("turn").cast("string")).alias("direct"))
+
+
+@pytest.mark.parametrize("batch", ["7", "10000"])
+def test_sessions_that_are_cut_equal_a_sequential_fold(spark, batch):
+    rng = random.Random(int(batch))
+    intents = [*chat.COLLECTORS, "desconhecido", "desconhecido", "desconhecido", "saudacao"]
+    rows = [(f"s{k}", t, rng.choice(intents), rng.choice([0.1, 0.3, 0.9])) for k, n in enumerate([1, 2, 900, 3, 1, 2000, 40]) for t in range(n)]
+    rng.shuffle(rows)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
     try:
-        rows = spark.range(100).select((F.col("id") % 2).cast("string").alias("session_id"), F.col("id").cast("int").alias("turn"), F.lit("x").alias("text"), F.lit("cancelar").alias("primary"), F.lit(0.9).alias("confidence"), F.lit(False).alias("multi_intent"), F.lit(1000).alias("protocol"), F.lit("").alias("direct"))
-        got = {(r["session_id"], r["turn"]): (r["turn_index"], r["pending_step"]) for r in chat.fold(rows).collect()}
+        got = {(r["session_id"], r["turn"]): (r["turn_index"], r["strategy"], r["reply"], r["pending_step"]) for r in chat.fold(frame_of(spark, rows)).collect()}
+        strict = {(r["session_id"], r["turn"]): r["strategy"] for r in chat.fold(frame_of(spark, rows), Settings(min_confidence=0.5)).collect()}
     finally:
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
-    assert got == {(str(k % 2), k): (2 * (k // 2) + 1, [1, 2, None][k // 2 % 3]) for k in range(100)}
+    assert got == sequential(rows)
+    assert strict == {k: v[1] for k, v in sequential(rows, 0.5).items()} and strict != {k: v[1] for k, v in got.items()}
+    assert chat.fold(frame_of(spark, rows[:0])).count() == 0
+
+
+def test_one_session_of_a_million_turns_is_cut_over_tasks(spark):
+    """Its ranges are of like size, and composed in them as one after another."""
+    intents = [*chat.COLLECTORS, "desconhecido", "desconhecido", "saudacao"]
+    turns = spark.range(1_000_000, numPartitions=8).select(F.lit("s").alias("session_id"), F.col("id").cast("int").alias("turn"), F.get(F.array(*map(F.lit, intents)), F.pmod(F.xxhash64("id"), F.lit(len(intents))).cast("int")).alias("primary"), (F.pmod(F.xxhash64("id", F.lit(1)), F.lit(10)) / 10).alias("confidence"))
+    turns = turns.select("*", F.lit("x").alias("text"), F.lit(False).alias("multi_intent"), F.lit(1).alias("protocol"), F.lit("").alias("direct"))
+    sizes = sorted(r["count"] for r in chat.dealt(turns, 8).groupBy("part").count().collect())
+    assert len(sizes) == 8 and sizes[-1] <= 2 * sizes[4] and sum(sizes) == 1_000_000
+    held, state = {}, chat.State()
+    for r in turns.select("turn", "primary", "confidence").toPandas().sort_values("turn").itertuples():
+        held[r.turn] = (2 * state.turns + 1, *[x for k, x in enumerate(chat.step(state, r.primary, r.confidence >= 0.3, 0, "")) if k != 1])
+    got = chat.fold(turns).select("turn", "turn_index", "strategy", "pending_step").toPandas()
+    assert len(got) == 1_000_000
+    assert all(held[t] == (i, s, None if p != p or p is None else int(p)) for t, i, s, p in got.itertuples(index=False))
 
 
 def test_settings_from_the_environment():
@@ -193,7 +233,63 @@ def test_detection_on_a_stream(spark, tmp_path):
     assert {r["text"]: r["primary"] for r in got.collect()} == {g[0]: g[1][0][0] if g[1] else "desconhecido" for g in GOLDEN}
 
 
-def test_chat_on_a_stream_keeps_state_between_batches(spark, tmp_path):
-    rows = [(x[0], x[1], x[2]) for x in SESSIONS]
-    got = streamed(spark, tmp_path, rows, "session_id string, turn int, text string", chat_stream)
-    assert sorted((r["session_id"], r["turn"], r["turn_index"], r["strategy"], r["pending_step"] or 0) for r in got.collect()) == sorted((x[0], x[1], x[3], x[4], x[5] or 0) for x in SESSIONS)
+def timed(rows):
+    """Turns with times: a minute each."""
+    return [(session, turn, text, datetime.datetime(2024, 1, 1) + datetime.timedelta(minutes=turn)) for session, turn, text in rows]
+
+
+TIMED = "session_id string, turn int, text string, at timestamp"
+
+
+def turns_of(df):
+    return sorted((r["session_id"], r["turn"], r["turn_index"], r["strategy"], r["pending_step"] or 0) for r in df.collect() if r["session_id"] != "end")
+
+
+def run_stream(spark, tmp_path, batches, write):
+    """Each list of rows is a file and a micro-batch."""
+    for k, rows in enumerate(batches):
+        spark.createDataFrame(rows, TIMED).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        time.sleep(0.05)
+    stream = spark.readStream.schema(TIMED).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    query = write(stream)
+    assert query.awaitTermination(300) and query.exception() is None
+    return query
+
+
+def test_shuffled_turns_on_a_stream_give_the_batch_result(spark, tmp_path):
+    """Turns of later micro-batches with smaller numbers are waited for; a replayed batch adds nothing to the log."""
+    turns = timed([x[:3] for x in SESSIONS])
+    want = turns_of(chat.chat(spark.createDataFrame(turns, TIMED)))
+    assert want == sorted((x[0], x[1], x[3], x[4], x[5] or 0) for x in SESSIONS)
+    mixed = [turns[2::3], turns[0::3], turns[1::3]]
+    end = [("end", 1, "oi", datetime.datetime(2024, 1, 2))]
+    path, state = str(tmp_path / "log"), str(tmp_path / "state")
+    (tmp_path / "rows").mkdir()
+
+    def write(stream):
+        return sessions_of.write_log(chat_stream(stream, lateness="1 hour"), path, state, availableNow=True)
+
+    run_stream(spark, tmp_path, [*mixed, end], write)
+    log = chat.read_log(spark, path, 1000).collect()
+    assert sorted((r["session_id"], r["turn_index"], r["strategy"]) for r in log if r["role"] == "user") == sorted((x[0], x[2], x[3]) for x in want)
+    # As after a failure between the write and the commit: the last batches are done again.
+    commits = sorted((tmp_path / "state" / "commits").glob("[0-9]*"), key=lambda p: int(p.name))
+    for p in (commits[-1], commits[-1].with_name(f".{commits[-1].name}.crc")):
+        p.unlink(missing_ok=True)
+    run_stream(spark, tmp_path, [], write)
+    assert sorted(map(tuple, (r[:6] for r in chat.read_log(spark, path, 1000).collect()))) == sorted(map(tuple, (r[:6] for r in log)))
+
+
+def test_state_on_a_stream_expires_by_event_time(spark, tmp_path):
+    """A collector that is pending is forgotten after a pause, and kept over a shorter one."""
+    at = lambda m: datetime.datetime(2024, 1, 1) + datetime.timedelta(minutes=m)
+    first = [("a", 1, "quero cancelar meu plano", at(0)), ("b", 1, "quero cancelar meu plano", at(0))]
+    batches = [first, [("b", 2, "zzz qqq", at(30))], [("end", 1, "oi", at(100))], [("end", 2, "oi", at(101))], [("a", 2, "zzz qqq", at(200)), ("end", 3, "oi", at(300))], [("end", 4, "oi", at(400))]]
+
+    def write(stream):
+        found = chat_stream(stream, lateness="1 minute", idle=60 * 60 * 1000)
+        return found.writeStream.format("parquet").option("checkpointLocation", str(tmp_path / "state")).option("path", str(tmp_path / "out")).trigger(availableNow=True).start()
+
+    run_stream(spark, tmp_path, batches, write)
+    got = turns_of(spark.read.parquet(str(tmp_path / "out")))
+    assert got == [("a", 1, 1, "cancelar", 1), ("a", 2, 1, "desconhecido", 0), ("b", 1, 1, "cancelar", 1), ("b", 2, 3, "cancelar", 2)]
