@@ -19,17 +19,20 @@ import re
 from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.ml.feature import StopWordsRemover
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from ..functions import textnorm as T
 from ..settings import Settings
-from ..sources.rules import WORD, RuleSet, java_pattern, shipped_rules
+from ..sources.rules import WORD, RuleSet, java_pattern, limitations, shipped_rules
 from .language import identified
 
 UNKNOWN = "desconhecido"
 #: A tile of a text: a run of white space, a word (apostrophes inside it stay), or one other character.
 TILE = rf"(?s)[{T.WHITE_CLASS}]+|[\p{{L}}\p{{N}}\p{{M}}_]+(?:'[\p{{L}}\p{{N}}\p{{M}}_]+)*|."
+#: Tiles of a block, whose places are added up apart.
+RUN = 16
 OF_WORD = "array<struct<k:int,j:int,id:string,type:string,n:int,w:double,shown:string>>"
 OF_ALL = "array<struct<k:int,j:int,id:string,ns:array<int>,shown:array<string>,w:double>>"
 OF_PATTERN = "array<struct<k:int,j:int,id:string,w:double,shown:string>>"
@@ -66,13 +69,17 @@ def literal(rows: list, kind: str) -> Column:
     return F.from_json(F.lit(json.dumps(rows, ensure_ascii=False)), kind)
 
 
-def by_language(values: dict[str, Column], otherwise: Column) -> Column:
+def by_language_of(column: str, values: dict[str, Column], otherwise: Column) -> Column:
     out = otherwise
     for lang, value in values.items():
-        out = F.when(F.col("lang.language") == lang, value).otherwise(out)
+        out = F.when(F.col(column) == lang, value).otherwise(out)
     return out
 
 
+def by_language(values: dict[str, Column], otherwise: Column) -> Column:
+    return by_language_of("lang.language", values, otherwise)
+
+
 def bars(pattern: str) -> bool:
     """Whether a pattern has an alternation outside of all groups."""
     bare = re.sub(r"\\.|\[(?:\\.|[^\]\\])*\]", "", pattern)
@@ -219,10 +226,14 @@ def tokenised(df: DataFrame, text: str = "stripped", lemmas: str | None = None,
     book = book or Book({}, ())
     parts, tiles, tok, lex = (f"{name}{x}" for x in ("parts", "tiles", "tok", "lex"))
     df = df.withColumn(parts, F.regexp_extract_all(F.col(text), F.lit(TILE), F.lit(0)))
-    # Places are a running sum. One blank before a token is none; what a run of white space has beyond it is a token.
-    start = "named_struct('o', 0, 'of', cast(array() as array<struct<p:string,o:int>>))"
-    step = "named_struct('o', a.o + length(p), 'of', if(p = ' ', a.of, array_append(a.of, if(startswith(p, ' '), named_struct('p', substr(p, 2), 'o', a.o + 1), named_struct('p', p, 'o', a.o)))))"
-    df = df.withColumn(tiles, F.expr(f"aggregate({parts}, {start}, (a, p) -> {step}, a -> a.of)"))
+    # A tile's place is what the blocks before its own hold, and what is before it in there: cheap for long texts, too.
+    add = "0, (a, x) -> a + x"
+    blocks = f"sequence(0, cast((size(ls) - 1) div {RUN} as int))"
+    place = f"ba[j div {RUN}] + aggregate(slice(ls, cast({RUN} * (j div {RUN}) + 1 as int), j % {RUN}), {add})"
+    # One blank before a token is none; what a run of white space has beyond it is a token.
+    tile = f"if(startswith(p, ' '), named_struct('p', substr(p, 2), 'o', {place} + 1), named_struct('p', p, 'o', {place}))"
+    placed = let(f"transform({blocks}, b -> aggregate(slice(ls, {RUN} * b + 1, {RUN}), {add}))", "bs", let(f"transform({blocks}, b -> aggregate(slice(bs, 1, b), {add}))", "ba", f"filter(transform(ps, (p, j) -> {tile}), t -> t.p <> '')"))
+    df = df.withColumn(tiles, F.expr(let(parts, "ps", let("transform(ps, p -> length(p))", "ls", placed))))
     df = df.withColumn(tiles, F.transform(tiles, lambda t: F.struct(t["p"].alias("p"), t["o"].alias("o"), T.fold(t["p"]).alias("f"))))
 
     def lemma(word: Column) -> Column:
@@ -367,3 +378,51 @@ def detect_batch(messages: DataFrame, settings: Settings = Settings(), limit: in
     if limit is not None and messages.limit(limit + 1).count() > limit:
         raise ValueError(f"a batch has at most {limit} messages")
     return detect(messages, settings, gates=False, **options)
+
+
+#: A token's columns; names of Spark's lists of stop words.
+VIEWED = ("i", "text", "lemma", "is_stop", "is_sentence_start", "matched", "negated")
+STOP_LISTS = {"pt": "portuguese", "en": "english"}
+
+
+def token_view(detected: DataFrame) -> DataFrame:
+    """A row a token of ``detect``'s result: ``VIEWED``, and the message's own columns but for those that are named like these.
+
+    Stop words are those of Spark's list for the message's language. A sentence starts at the first token that is more than
+    white space, and after a full stop, a question or exclamation mark or a line break, unless one of these follows.
+    """
+    kept = [c for c in detected.columns[: detected.columns.index("error_code")] if c not in VIEWED]
+    stops = {lang: folded(StopWordsRemover.loadDefaultStopWords(name)) for lang, name in STOP_LISTS.items()}
+    ender = "(t.text in ('.', '!', '?') or (t.brk and trim(t.fold) = ''))"
+    starts = f"filter(sequence(0, size(lex)), p -> p < size(lex) and not {ender.replace('t.', 'lex[p].')} and (p = 0 or {ender.replace('t.', 'lex[p - 1].')}))"
+    df = detected.withColumn("_starts", F.expr(f"transform({starts}, p -> lex[p].i)")).withColumn("_lang", F.col("lang.language"))
+    rows = df.select(*kept, "_lang", "_starts", "matched", "negated", F.explode("tok").alias("t"))
+    stop = by_language_of("_lang", {lang: F.col("t.fold").isin(words) for lang, words in stops.items()}, F.lit(False))
+    return rows.select(*kept, "t.i", "t.text", "t.lemma", stop.alias("is_stop"), F.expr("array_contains(_starts, t.i)").alias("is_sentence_start"), F.expr("array_contains(matched, t.i)").alias("matched"), F.expr("array_contains(negated, t.i)").alias("negated"))
+
+
+#: What ``resulted`` puts into a result, in order.
+RESULT = ("language", "language_reason", "primary", "confidence", "multi_intent", "rank_reason", "intents", "dropped", "rules_version", "resources", "explanation")
+
+
+def resulted(detected: DataFrame, sets: dict[str, RuleSet], lemmas: bool = False) -> DataFrame:
+    """``detected`` and result: all of it as JSON, with the resources of each language."""
+    views = [F.struct(F.lit(lang).alias("language"), F.lit(x.version).alias("version"), F.lit(len(x.intents)).alias("entries"), F.lit(x.sha256).alias("sha256"), F.array(*map(F.lit, limitations(x, lemmas))).cast("array<string>").alias("limitations")) for lang, x in sets.items()]
+
+    def view(name: str) -> Column:
+        return F.transform(name, lambda x: F.struct(*(x[c].alias(c) for c in ("intent", "label", "score", "confidence", "priority", "min_score"))))
+
+    of = {"language": F.col("lang.language"), "language_reason": F.col("lang.reason"), "intents": view("kept"), "dropped": view("dropped"), "resources": F.array(*views)}
+    return detected.withColumn("result", F.to_json(F.struct(*(of.get(c, F.col(c)).alias(c) for c in RESULT)), {"ignoreNullFields": "false"}))
+
+
+def measured(detected: DataFrame, name: str | Observation) -> DataFrame:
+    """``detected``, observed under ``name``: what it was like is known after one action, or for each micro-batch, without a second pass.
+
+    Counts of messages, of each reason and error, and of those with an intent. The time is the query's own: Spark reports it.
+    """
+    reasons = ("ok", "insufficient_signal", "ambiguous_language", "unsupported_script", "empty_text")
+    errors = ("empty", "too_short", "too_long", "unsupported_language")
+    counts = [F.count(F.lit(1)).alias("messages"), F.count_if(F.col("primary") != UNKNOWN).alias("with_intent"), F.count_if("multi_intent").alias("multi_intent")]
+    counts += [F.count_if(F.col("lang.reason") == x).alias(f"reason_{x}") for x in reasons] + [F.count_if(F.col("error_code") == x).alias(f"error_{x}") for x in errors]
+    return detected.observe(name, *counts)

@@ -38,6 +38,19 @@ def query(sql: str | None = None):
     return add
 
 
+#: Small fixed cases with known results, for tests; queries over tables have the same names.
+CASES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+CASE_SQL: dict[str, str] = {}
+
+
+def case(sql: str):
+    def add(f: Callable[[SparkSession, str], DataFrame]):
+        CASES[f.__name__], CASE_SQL[f.__name__] = f, sql
+        return f
+
+    return add
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -196,7 +209,7 @@ def word_tokens(spark, sf):
     return words.groupBy("word").agg(F.count("*").alias("n"))
 
 
-@query("SELECT * FROM " + values([("  Olá\t\tmundo ", "ola mundo", "2,3,4,5,7,8,9,10,11".replace("5,7", "5,7")), ("ÇÃO", "cao", "0,1,2"), ("a  b", "a b", "0,1,3")], "text, normalised, index_map"))
+@case("SELECT * FROM " + values([("  Olá\t\tmundo ", "ola mundo", "2,3,4,5,7,8,9,10,11".replace("5,7", "5,7")), ("ÇÃO", "cao", "0,1,2"), ("a  b", "a b", "0,1,3")], "text, normalised, index_map"))
 def normalise_index_map(spark, sf):
     rows = spark.createDataFrame([("  Olá\t\tmundo ",), ("ÇÃO",), ("a  b",)], "text string")
     return rows.select("text", N.normalise(F.col("text")).alias("normalised"), F.array_join(N.index_map(F.col("text")).cast("array<string>"), ",").alias("index_map"))
@@ -263,17 +276,17 @@ def redact_documents(spark, sf):
 RULE_ROWS = [(lang, name, f"{name}:{j}", t, ",".join(v if isinstance(v, list) else [v]), w) for lang in ("pt", "en") for l2, name, _, _, _, rules in shipped.INTENTS if l2 == lang for j, (t, v, w) in enumerate(rules)]
 
 
-@query("SELECT * FROM " + values(RULE_ROWS, "language, intent_id, rule_id, type, value, weight"))
+@case("SELECT * FROM " + values(RULE_ROWS, "language, intent_id, rule_id, type, value, weight"))
 def rules_flatten(spark, sf):
     return S.rules_table(spark, *map(S.shipped_rules, ("pt", "en"))).select("language", "intent_id", "rule_id", "type", F.array_join("value", ",").alias("value"), "weight")
 
 
-@query("SELECT language, intent_id, label, priority, min_score, count(*) AS rule_count FROM " + values([(lang, name, label, p, float(m), j) for lang, name, label, p, m, rules in shipped.INTENTS for j in range(len(rules))], "language, intent_id, label, priority, min_score, j") + " GROUP BY ALL")
+@case("SELECT language, intent_id, label, priority, min_score, count(*) AS rule_count FROM " + values([(lang, name, label, p, float(m), j) for lang, name, label, p, m, rules in shipped.INTENTS for j in range(len(rules))], "language, intent_id, label, priority, min_score, j") + " GROUP BY ALL")
 def rules_catalogue(spark, sf):
     return S.catalogue(S.rules_table(spark, *map(S.shipped_rules, ("pt", "en"))))
 
 
-@query("SELECT language, kind, word FROM " + values([(lang, w, k) for k, words in (("exclusive", shipped.EXCLUSIVE), ("shared", shipped.SHARED)) for lang in ("pt", "en") for w in words[lang]], "language, word, kind"))
+@case("SELECT language, kind, word FROM " + values([(lang, w, k) for k, words in (("exclusive", shipped.EXCLUSIVE), ("shared", shipped.SHARED)) for lang in ("pt", "en") for w in words[lang]], "language, word, kind"))
 def markers_flatten(spark, sf):
     return S.markers_table(spark, ("pt", "en")).select("language", "kind", "word")
 
@@ -281,7 +294,7 @@ def markers_flatten(spark, sf):
 DUMPED = [(lang, name, label, p, float(m), "; ".join(f"{name}:{j} {t} {','.join(v) if isinstance(v, list) else v} {w}" for j, (t, v, w) in enumerate(rules)), ",".join(shipped.NEGATORS[lang]), ",".join(shipped.BOUNDARIES[lang])) for lang, name, label, p, m, rules in shipped.INTENTS]
 
 
-@query("SELECT * FROM " + values(DUMPED, "language, intent_id, label, priority, min_score, rules, negators, boundaries"))
+@case("SELECT * FROM " + values(DUMPED, "language, intent_id, label, priority, min_score, rules, negators, boundaries"))
 def rules_dump(spark, sf):
     whole = S.dump(spark, *map(S.shipped_rules, ("pt", "en"))).select("language", F.array_join("negators", ",").alias("negators"), F.array_join("boundaries", ",").alias("boundaries"), F.explode("intents").alias("i"))
     rules = F.array_join(F.transform("i.rules", lambda r: F.concat_ws(" ", r["rule_id"], r["type"], F.array_join(r["value"], ","), r["weight"].cast("string"))), "; ")
@@ -311,7 +324,7 @@ def faulty(change: dict) -> str:
     return json.dumps(doc)
 
 
-@query("SELECT * FROM " + values([(k, path) for k, (_, path) in enumerate(FAULTY)], "doc_no, first_fault"))
+@case("SELECT * FROM " + values([(k, path) for k, (_, path) in enumerate(FAULTY)], "doc_no, first_fault"))
 def rules_violations(spark, sf):
     docs = spark.createDataFrame([(k, faulty(change)) for k, (change, _) in enumerate(FAULTY)], "doc_no int, doc string")
 
@@ -323,7 +336,7 @@ def rules_violations(spark, sf):
     return docs.mapInPandas(first, "doc_no int, first_fault string")
 
 
-@query("SELECT language, sha256(content) AS sha256 FROM " + values([(lang, json.dumps(S.shipped_document(lang), ensure_ascii=False)) for lang in ("pt", "en")], "language, content"))
+@case("SELECT language, sha256(content) AS sha256 FROM " + values([(lang, json.dumps(S.shipped_document(lang), ensure_ascii=False)) for lang in ("pt", "en")], "language, content"))
 def rules_digest(spark, sf):
     return S.dump(spark, *map(S.shipped_rules, ("pt", "en"))).select("language", "sha256")
 
@@ -372,7 +385,7 @@ def pattern_hits(spark, sf):
     return table(spark, sf, "documents").select("doc_id", n.alias("n_hits")).where("n_hits > 0")
 
 
-@query("SELECT * FROM " + values([("łassinar", False), ("assinar!", True), ("reassinar", False), ("2assinar", False), ("assinar_", False), ("vou assinar", True)], "text, hit"))
+@case("SELECT * FROM " + values([("łassinar", False), ("assinar!", True), ("reassinar", False), ("2assinar", False), ("assinar_", False), ("vou assinar", True)], "text, hit"))
 def pattern_word_boundary(spark, sf):
     rows = spark.createDataFrame([(x,) for x in ("łassinar", "assinar!", "reassinar", "2assinar", "assinar_", "vou assinar")], "text string")
     return rows.select("text", N.normalise(F.col("text")).rlike(S.java_pattern("assinar")).alias("hit"))
@@ -478,19 +491,19 @@ def confusion_matrix(spark, sf):
     return said(spark, sf).groupBy("expected", F.col("primary").alias("primary_intent")).agg(F.count("*").alias("n"))
 
 
-@query("SELECT * FROM " + values([(k, e, r, s) for k, (_, e, r, s) in enumerate(EDGES)], "msg_id, error_code, reason, script"))
+@case("SELECT * FROM " + values([(k, e, r, s) for k, (_, e, r, s) in enumerate(EDGES)], "msg_id, error_code, reason, script"))
 def detect_unsupported(spark, sf):
     rows = spark.createDataFrame([(k, x[0]) for k, x in enumerate(EDGES)], "msg_id int, text string")
     return detect(rows).select("msg_id", "error_code", "lang.reason", "lang.script")
 
 
-@query("SELECT * FROM " + values([(k, e or (None if r == "ok" else "unsupported_language")) for k, (_, e, r, _) in enumerate(EDGES)], "msg_id, error_code"))
+@case("SELECT * FROM " + values([(k, e or (None if r == "ok" else "unsupported_language")) for k, (_, e, r, _) in enumerate(EDGES)], "msg_id, error_code"))
 def require_supported(spark, sf):
     rows = spark.createDataFrame([(k, x[0]) for k, x in enumerate(EDGES)], "msg_id int, text string")
     return detect(rows, require_supported=True).select("msg_id", "error_code")
 
 
-@query("SELECT * FROM " + values([(k, explained(k)) for k in range(len(GOLDEN))], "msg_id, explanation"))
+@case("SELECT * FROM " + values([(k, explained(k)) for k in range(len(GOLDEN))], "msg_id, explanation"))
 def explanation(spark, sf):
     return detect(messages(spark)).select("msg_id", "explanation")
 
@@ -499,7 +512,7 @@ def explanation(spark, sf):
 UNSUPPORTED = [("!!!", "Mensagem sem conteúdo utilizável para classificação."), ("취소해줘", "Idioma não suportado (escrita CJK)."), ("xkqvw brtz plmq zzzz", "Não há sinais linguísticos suficientes para identificar o idioma."), ("the quer quero the my the quer", "Idioma ambíguo entre candidatos.")]
 
 
-@query("SELECT * FROM " + values(UNSUPPORTED, "text, explanation"))
+@case("SELECT * FROM " + values(UNSUPPORTED, "text, explanation"))
 def explain_unsupported(spark, sf):
     return detect(spark.createDataFrame([(x,) for x, _ in UNSUPPORTED], "text string")).select("text", "explanation")
 
@@ -513,7 +526,7 @@ TRACES = [
 ]
 
 
-@query("SELECT * FROM " + values(TRACES, "text, rule_id, char_start, char_end, matched_text, offsets_exact, negated"))
+@case("SELECT * FROM " + values(TRACES, "text, rule_id, char_start, char_end, matched_text, offsets_exact, negated"))
 def rule_trace(spark, sf):
     rows = spark.createDataFrame([(x,) for x in dict.fromkeys(t[0] for t in TRACES)], "text string")
     return detect(rows).select("text", F.explode("trace").alias("h")).select("text", F.col("h.id").alias("rule_id"), F.col("h.s").alias("char_start"), F.col("h.e").alias("char_end"), F.col("h.text").alias("matched_text"), F.col("h.exact").alias("offsets_exact"), "h.negated")
@@ -540,7 +553,7 @@ def offsets_exact(spark, sf):
 REPEATED = [("quero cancelar cancelar cancelar cancelar", "cancelar:0", 4, 2.0 + 3.0), ("quero reembolso, reembolso do reembolso", "pagamento:0", 3, 2.5)]
 
 
-@query("SELECT * FROM " + values(REPEATED, "text, rule_id, n_hits, score"))
+@case("SELECT * FROM " + values(REPEATED, "text, rule_id, n_hits, score"))
 def hit_dedup(spark, sf):
     """A rule that hits again and again counts once, and no place is hit twice by a rule."""
     found = detect(spark.createDataFrame([(x[0],) for x in REPEATED], "text string")).select("text", F.get("kept", F.lit(0))["score"].alias("score"), F.explode("trace").alias("h"))
@@ -555,7 +568,7 @@ NEGATED = [
 ]
 
 
-@query("SELECT * FROM " + values(NEGATED, "text, rule_id, n_hits, n_negated, counts"))
+@case("SELECT * FROM " + values(NEGATED, "text, rule_id, n_hits, n_negated, counts"))
 def negation_semantics(spark, sf):
     """A rule counts if one of its hits is not negated, an ``all`` rule only if none of its parts is."""
     found = detect(spark.createDataFrame([(x,) for x in dict.fromkeys(n[0] for n in NEGATED)], "text string")).select("text", F.explode("trace").alias("h"), F.expr("aggregate(concat(kept, dropped), cast(0 as double), (a, x) -> a + if(x.intent = 'cancelar', x.score, 0))").alias("score"))
@@ -563,7 +576,7 @@ def negation_semantics(spark, sf):
     return counted.select("text", "rule_id", "n_hits", "n_negated", (F.col("score") >= F.when(F.col("type") == "all", 3.5).otherwise(2.0)).alias("counts"))
 
 
-@query("SELECT * FROM " + values([("não quero cancelar, quero saber do reembolso", "7", "1,2"), ("oi, tudo bem?", "0", ""), ("quero sair!!!", "1", "")], "text, matched, negated"))
+@case("SELECT * FROM " + values([("não quero cancelar, quero saber do reembolso", "7", "1,2"), ("oi, tudo bem?", "0", ""), ("quero sair!!!", "1", "")], "text, matched, negated"))
 def token_marks(spark, sf):
     rows = spark.createDataFrame([(x,) for x in ("não quero cancelar, quero saber do reembolso", "oi, tudo bem?", "quero sair!!!")], "text string")
     # Tokens of intents that are kept; the first message's negated ones belong to a dropped intent, so all hits are asked for.
@@ -574,19 +587,19 @@ def token_marks(spark, sf):
 TOKENISED = [("não  ,  maior", "0:não|4: |5:,|7: |8:maior"), ("a\tb", "0:a|1:\t|2:b"), ("oi, tudo", "0:oi|2:,|4:tudo")]
 
 
-@query("SELECT * FROM " + values(TOKENISED, "text, tokens"))
+@case("SELECT * FROM " + values(TOKENISED, "text, tokens"))
 def tokenise(spark, sf):
     rows = spark.createDataFrame([(x,) for x, _ in TOKENISED], "text string")
     return tokenised(rows, "text").select("text", F.array_join(F.expr("transform(tok, t -> concat(t.idx, ':', t.text))"), "|").alias("tokens"))
 
 
-@query("SELECT * FROM " + values([("não quero", "0"), ("deixar  de cancelar", "1"), ("quero sem querer", "1,2"), ("quero ir", "")], "text, ends"))
+@case("SELECT * FROM " + values([("não quero", "0"), ("deixar  de cancelar", "1"), ("quero sem querer", "1,2"), ("quero ir", "")], "text, ends"))
 def negator_ends(spark, sf):
     rows = spark.createDataFrame([(x,) for x in ("não quero", "deixar  de cancelar", "quero sem querer", "quero ir")], "text string")
     return detect(rows).select("text", F.array_join(F.col("neg").cast("array<string>"), ",").alias("ends"))
 
 
-@query("SELECT * FROM " + values([(k, i, w, i in MARKED[k], False) for k, g in enumerate(GOLDEN) for i, w in enumerate(re.findall(r"\w+|[^\w\s]", g[0]))], "msg_id, i, text, matched, negated"))
+@case("SELECT * FROM " + values([(k, i, w, i in MARKED[k], False) for k, g in enumerate(GOLDEN) for i, w in enumerate(re.findall(r"\w+|[^\w\s]", g[0]))], "msg_id, i, text, matched, negated"))
 def token_table(spark, sf):
     return detect(messages(spark)).select("msg_id", "matched", "negated", F.explode("tok").alias("t")).select("msg_id", "t.i", "t.text", F.expr("array_contains(matched, t.i)").alias("matched"), F.expr("array_contains(negated, t.i)").alias("negated"))
 
@@ -594,12 +607,12 @@ def token_table(spark, sf):
 HEALTH = [(lang, lemmas, "1.0.0", len([x for x in shipped.INTENTS if x[0] == lang]), json.dumps(S.shipped_document(lang), ensure_ascii=False), f"tiles({lang})", "" if lemmas else f"rules on lemmas are skipped for {lang}") for lang in ("pt", "en") for lemmas in (False, True)]
 
 
-@query("SELECT language, version, entries, limitations FROM " + values(HEALTH, "language, lemmas, version, entries, doc, tokeniser, limitations") + " WHERE NOT lemmas")
+@case("SELECT language, version, entries, limitations FROM " + values(HEALTH, "language, lemmas, version, entries, doc, tokeniser, limitations") + " WHERE NOT lemmas")
 def resource_report(spark, sf):
     return S.report(spark, *map(S.shipped_rules, ("pt", "en"))).select("language", "version", "entries", F.array_join("limitations", ",").alias("limitations"))
 
 
-@query("SELECT language, lemmas, version, entries, sha256(doc) AS sha256, tokeniser, limitations FROM " + values(HEALTH, "language, lemmas, version, entries, doc, tokeniser, limitations"))
+@case("SELECT language, lemmas, version, entries, sha256(doc) AS sha256, tokeniser, limitations FROM " + values(HEALTH, "language, lemmas, version, entries, doc, tokeniser, limitations"))
 def health(spark, sf):
     """With and without lemmas at hand."""
     sets = list(map(S.shipped_rules, ("pt", "en")))
@@ -607,18 +620,18 @@ def health(spark, sf):
     return both[0].unionAll(both[1]).withColumn("limitations", F.array_join("limitations", ","))
 
 
-@query("SELECT * FROM " + values([("o app dá erro e não abre", "suporte:0")], "text, rules"))
+@case("SELECT * FROM " + values([("o app dá erro e não abre", "suporte:0")], "text, rules"))
 def lemma_skipped(spark, sf):
     rows = spark.createDataFrame([("o app dá erro e não abre",)], "text string")
     return detect(rows).select("text", F.array_join(F.expr("array_distinct(transform(trace, h -> h.id))"), ",").alias("rules"))
 
 
-@query("SELECT * FROM " + values([(k, result(k)) for k in range(len(GOLDEN))], "msg_id, result"))
+@case("SELECT * FROM " + values([(k, result(k)) for k in range(len(GOLDEN))], "msg_id, result"))
 def result_json(spark, sf):
     return detect(messages(spark)).select("msg_id", F.to_json(F.struct("primary", "confidence", "multi_intent", "kept", "explanation")).alias("result"))
 
 
-@query("SELECT * FROM " + values([("não foi erro meu", ""), ("o app deu erros e não abre", "suporte:0,suporte:2")], "text, rules"))
+@case("SELECT * FROM " + values([("não foi erro meu", ""), ("o app deu erros e não abre", "suporte:0,suporte:2")], "text, rules"))
 def lemma_hits(spark, sf):
     """With lemmas at hand, rules on lemmas count like keywords; without them, such rules are skipped."""
     rows = spark.createDataFrame([("o app deu erros e não abre", {"erros": "erro", "deu": "dar"}), ("não foi erro meu", None)], "text string, lemmas map<string,string>")
@@ -659,7 +672,7 @@ def sessions(spark):
     return spark.createDataFrame([x[:3] for x in SESSIONS], "session_id string, turn int, text string")
 
 
-@query("SELECT * FROM " + values(SESSIONS, "session_id, turn, text, turn_index, strategy, pending_step"))
+@case("SELECT * FROM " + values(SESSIONS, "session_id, turn, text, turn_index, strategy, pending_step"))
 def chat_turns(spark, sf):
     return C.chat(sessions(spark)).select("session_id", "turn", "text", "turn_index", "strategy", "pending_step")
 
@@ -675,12 +688,12 @@ def answer(k: int) -> str:
     return said.replace("{:04d}", "#")
 
 
-@query(f"SELECT session_id, turn, strategy, replace(reply, '#', {PROTOCOL}::VARCHAR) AS reply FROM {values([(*x[:2], x[4], answer(k)) for k, x in enumerate(SESSIONS)], 'session_id, turn, strategy, reply')}")
+@case(f"SELECT session_id, turn, strategy, replace(reply, '#', {PROTOCOL}::VARCHAR) AS reply FROM {values([(*x[:2], x[4], answer(k)) for k, x in enumerate(SESSIONS)], 'session_id, turn, strategy, reply')}")
 def chat_replies(spark, sf):
     return C.chat(sessions(spark)).select("session_id", "turn", "strategy", "reply")
 
 
-def case(branches: list[tuple[str, str]], otherwise: str) -> str:
+def branched(branches: list[tuple[str, str]], otherwise: str) -> str:
     return "CASE " + " ".join(f"WHEN {test} THEN {value}" for test, value in branches) + f" ELSE {otherwise} END"
 
 
@@ -689,11 +702,11 @@ def has_sql(words: tuple[str, ...]) -> str:
 
 
 TICKET = "'SUP-' || lpad((('0x' || substr(md5(text), 1, 7))::BIGINT % 10000)::VARCHAR, 4, '0')"
-DIRECT = case(
+DIRECT = branched(
     [
-        ("intent = 'suporte'", case([(has_sql(C.SUPPORT_ERRORS), f"replace({q(C.SUPPORT[0])}, '{{}}', {TICKET})")], f"replace({q(C.SUPPORT[1])}, '{{}}', {TICKET})")),
-        ("intent = 'pagamento'", case([(has_sql(C.PAYMENT_TWICE), q(C.PAYMENT[0]))], q(C.PAYMENT[1]))),
-        ("intent = 'duvida'", case([(has_sql((k,)), q(v)) for k, v in C.FAQ.items()], q(C.FAQ_NONE))),
+        ("intent = 'suporte'", branched([(has_sql(C.SUPPORT_ERRORS), f"replace({q(C.SUPPORT[0])}, '{{}}', {TICKET})")], f"replace({q(C.SUPPORT[1])}, '{{}}', {TICKET})")),
+        ("intent = 'pagamento'", branched([(has_sql(C.PAYMENT_TWICE), q(C.PAYMENT[0]))], q(C.PAYMENT[1]))),
+        ("intent = 'duvida'", branched([(has_sql((k,)), q(v)) for k, v in C.FAQ.items()], q(C.FAQ_NONE))),
         *((f"intent = {q(k)}", q(v)) for k, v in C.REPLIES.items()),
     ],
     "'" + C.NOT_UNDERSTOOD.replace("{}", "' || text || '") + "'",
@@ -775,7 +788,7 @@ def chat_volume(spark, sf):
 LOGGED = [(x[0], x[3] + k, role, x[4]) for x in SESSIONS for k, role in enumerate(("user", "bot"))]
 
 
-@query("SELECT * FROM " + values(LOGGED, "session_id, turn_index, role, strategy"))
+@case("SELECT * FROM " + values(LOGGED, "session_id, turn_index, role, strategy"))
 def history_log(spark, sf):
     return C.log_rows(C.chat(sessions(spark)), F.to_timestamp(F.lit("2024-01-01 00:00:00"))).select("session_id", "turn_index", "role", "strategy")
 
@@ -791,3 +804,7 @@ def history_write(spark, sf):
     for part in (log.where("role = 'user'"), log.where("role = 'bot'")):
         C.append_log(part, path)
     return C.read_log(spark, path, 50).select("session_id", "turn_index", "role")
+
+
+# Registers its queries in the tables of this module.
+from . import over_tables  # noqa: E402, F401

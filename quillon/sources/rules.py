@@ -104,7 +104,7 @@ def violations(doc: object) -> Iterator[tuple[str, str]]:
                 yield here, "must be an object"
                 continue
             kind, value = rule.get("type"), rule.get("value")
-            if kind not in ("keyword", "lemma", "pattern", "all"):
+            if not isinstance(kind, str) or kind not in ("keyword", "lemma", "pattern", "all"):
                 yield f"{here}.type", "must be keyword, lemma, pattern or all"
             elif kind == "all":
                 if not isinstance(value, list) or len(value) < 2:
@@ -118,7 +118,7 @@ def violations(doc: object) -> Iterator[tuple[str, str]]:
                 yield f"{here}.value", "must be one word"
             if not positive(rule.get("weight")):
                 yield f"{here}.weight", "must be a positive number"
-            key = (kind, json.dumps(value))
+            key = json.dumps([kind, value])
             if key in seen:
                 yield here, "is there twice"
             seen.add(key)
@@ -127,9 +127,10 @@ def violations(doc: object) -> Iterator[tuple[str, str]]:
             yield f"{at}.examples", "must be a list"
         else:
             yield from ((f"{at}.examples.{k}", "must not be blank") for k, x in enumerate(examples) if blank(x))
-        if intent.get("id") in names:
+        name = json.dumps(intent.get("id"))
+        if name in names:
             yield f"{at}.id", "is there twice"
-        names.add(intent.get("id"))
+        names.add(name)
     for key in ("negators", "negation_boundaries"):
         if not isinstance(doc.get(key), list):
             yield key, "must be a list"
@@ -181,12 +182,17 @@ def load_markers(spark: SparkSession, path: str) -> dict[str, list[str]]:
     return {lang: list(profile["exclusive"]) for lang, profile in doc["languages"].items()}
 
 
+def limitations(rules: RuleSet, lemmas: bool = False) -> list[str]:
+    """What can't be done with a rule set. lemmas: whether messages come with them."""
+    asks = any(r["type"] == "lemma" for i in rules.intents for r in i["rules"])
+    return [f"rules on lemmas are skipped for {rules.language}"] if asks and not lemmas else []
+
+
 def report(spark: SparkSession, *sets: RuleSet, lemmas: bool = False) -> DataFrame:
     """What detection has at hand for each language: rules, tokeniser, and what it can't do. lemmas: whether messages come with them."""
     rows = []
     for x in sets:
-        asks = any(r["type"] == "lemma" for i in x.intents for r in i["rules"])
-        rows.append((x.language, x.version, len(x.intents), x.sha256, f"tiles({x.language})", [f"rules on lemmas are skipped for {x.language}"] if asks and not lemmas else []))
+        rows.append((x.language, x.version, len(x.intents), x.sha256, f"tiles({x.language})", limitations(x, lemmas)))
     return spark.createDataFrame(rows, "language string, version string, entries int, sha256 string, tokeniser string, limitations array<string>")
 
 

@@ -11,8 +11,8 @@ import time
 import pytest
 from pyspark.sql import functions as F
 
-from quillon.operators import chat
-from quillon.operators.detect import Book, bars, detect, detect_batch, spread, tokenised
+from quillon.operators import chat, relational
+from quillon.operators.detect import Book, bars, detect, detect_batch, measured, spread, tokenised
 from quillon.operators.language import identified
 from quillon.plans.queries import GOLDEN, GOLDEN_EN, SESSIONS, messages, sessions
 from quillon.settings import Settings
@@ -293,3 +293,42 @@ def test_state_on_a_stream_expires_by_event_time(spark, tmp_path):
     run_stream(spark, tmp_path, batches, write)
     got = turns_of(spark.read.parquet(str(tmp_path / "out")))
     assert got == [("a", 1, 1, "cancelar", 1), ("a", 2, 1, "desconhecido", 0), ("b", 1, 1, "cancelar", 1), ("b", 2, 3, "cancelar", 2)]
+
+
+def test_observed_counts_need_no_second_pass(spark, tmp_path):
+    from pyspark.sql import Observation
+
+    seen = Observation("detected")
+    assert len(measured(detect(messages(spark)), seen).select("primary").collect()) == len(GOLDEN)
+    assert seen.get["messages"] == len(GOLDEN) and seen.get["with_intent"] == 9 and seen.get["multi_intent"] == 3 and seen.get["reason_ok"] == len(GOLDEN)
+    edges = Observation("edges")
+    measured(detect(spark.createDataFrame([("",), ("a",), ("!!!",)], "text string")), edges).count()
+    assert {k: v for k, v in edges.get.items() if v} == {"messages": 3, "reason_empty_text": 3, "error_empty": 1, "error_too_short": 1}
+
+
+def test_intervals_meet_in_stretches(spark):
+    rng = random.Random(9)
+    spans = [(k % 3, s, s + rng.randrange(0, 200)) for k in range(60) for s in [rng.randrange(1000)]]
+    tokens = [(k % 3, k, b, b + rng.randrange(0, 90)) for k in range(300) for b in [rng.randrange(1000)]]
+    spans = list(dict.fromkeys(spans))
+    found = relational.overlapping(spark.createDataFrame(spans, "doc int, s int, e int"), spark.createDataFrame(tokens, "doc int, i int, begin int, end int"), "doc")
+    got = [(r["doc"], r["s"], r["e"], r["i"]) for r in found.collect()]
+    assert sorted(got) == sorted((d, s, e, i) for d, s, e in spans for d2, i, b, f in tokens if d == d2 and s < e and b < f and b < e and f > s)
+
+
+def test_negators_of_several_words(spark):
+    rows = spark.createDataFrame([(1, k, w) for k, w in enumerate("in the end not for long in the of it".split())] + [(2, 0, "the")], "doc int, pos int, token string")
+    got = relational.negator_ends(rows, "doc", ["in the", "for", "not for long", "of it in"]).where("ends").select("doc", "pos").collect()
+    assert sorted(map(tuple, got)) == [(1, 1), (1, 4), (1, 5), (1, 7)]
+    near = relational.negated(rows, "doc", ["in the"], ["not"], 2).where("negated").select("pos").collect()
+    assert sorted(r[0] for r in near) == [2, 3, 8, 9]
+
+
+def test_lemmas_are_looked_up_in_a_dictionary(spark):
+    dictionary = spark.createDataFrame([("pt", "Erros", "erro"), ("pt", "deu", "dar"), ("en", "app", "x")], "language string, word string, lemma string")
+    rows = spark.createDataFrame([(1, "o app deu ERROS"), (2, "nada"), (3, None), (None, "erros")], "id int, text string")
+    for few in (1 << 20, 0):
+        got = {r["id"]: r["lemmas"] for r in relational.with_lemmas(rows, dictionary, "pt", "id", few=few).collect()}
+        assert got == {1: {"deu": "dar", "erros": "erro"}, 2: {}, 3: {}, None: {}}
+    found = detect(relational.with_lemmas(rows, dictionary, "pt", "id"), lemmas="lemmas")
+    assert found.columns[:3] == ["id", "text", "lemmas"]
