@@ -257,7 +257,7 @@ NORM_TILES = f"(SELECT doc_id, j, p, coalesce(sum(length(p)) OVER (PARTITION BY
     SELECT s.doc_id, s.s, s.e, count(*) AS n_tokens, min(t.o) AS first_token FROM s JOIN t ON t.doc_id = s.doc_id AND t.o < s.e AND t.o + length(t.p) > s.s GROUP BY s.doc_id, s.s, s.e""")
 def span_tokens(spark, sf):
     """Which tokens each span of a pattern covers, and where the first begins: a bucketed join of intervals."""
-    rows = table(spark, sf, "documents").select("doc_id", N.normalise(F.coalesce("text", F.lit(""))).alias("t"))
+    rows = D.spread(table(spark, sf, "documents").select("doc_id", N.normalise(F.coalesce("text", F.lit(""))).alias("t")))
     marked = rows.select("doc_id", F.regexp_replace(F.translate("t", D.OPEN + D.CLOSE, D.OTHER + D.OTHER), S.java_pattern(Q.K_PATTERN), D.MARKED).alias("m"))
     spans = marked.where(F.contains("m", F.lit(D.OPEN))).select("doc_id", F.explode(F.expr(D.spans("m"))).alias("z")).select("doc_id", F.col("z.s").alias("s"), (F.col("z.s") + F.col("z.n")).alias("e"))
     tokens = D.tokenised(rows, "t").select("doc_id", F.explode("tok").alias("k")).select("doc_id", F.col("k.i").alias("i"), F.col("k.idx").alias("begin"), (F.col("k.idx") + F.length("k.text")).alias("end"))
@@ -339,7 +339,7 @@ def rules_violations(spark, sf):
     """Each part's name in a rule document, with one of all faults or none, checked as relations."""
     document = F.get(F.array(*map(F.lit, TEMPLATES)), F.pmod("p_partkey", F.lit(len(TEMPLATES))).cast("int"))
     docs = table(spark, sf, "part").select("p_partkey", F.replace(document, F.lit("@"), F.concat(F.lower(F.regexp_extract("p_name", "[A-Za-z]+", 0)), F.lit("_x"))).alias("doc"))
-    return first_faults(docs, "p_partkey")
+    return first_faults(D.spread(docs), "p_partkey")
 
 
 #: Sessions of users, whose events say the ten messages in turn.
