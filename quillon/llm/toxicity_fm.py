@@ -2,13 +2,16 @@
 
 A document's terms are its lower-case words (letters, digits and bytes beyond ASCII) and the first 4, 5 and 6
 bytes of longer words, hashed to 2**``BITS`` buckets and taken once each. With weights w and vectors v of
-``FACTORS`` numbers, the logit is w0 + sum(w_i) + sum over pairs i < j of <v_i, v_j>, so that a pair such as an
-insult beside a group's name can count for more than both alone.
+``FACTORS`` numbers, the logit is w0 + sum(w_i) + c * sum over pairs i < j of <v_i, v_j>, so that a pair such as an
+insult beside a group's name can count for more than both alone, or for all of it. c is one over the number of the text's
+terms, so that the sum over pairs of a long text stays in proportion.
 
-Training: at most ``per_class`` labelled rows of either class. Terms are screened on those rows by chi-square, which
-Spark counts: all that reach ``least_chi2`` stay. The machine is then fitted on the driver by numpy (AdaGrad) from each
-sampled row's list of these terms; rows, hence terms, are bounded by ``per_class`` whatever the input. Scoring looks at
-every word of every whole text.
+Training: at most ``per_class`` labelled rows of either class, with all their terms; none is screened out beforehand, since
+the terms of a telling pair may each say nothing alone. The machine is fitted on the driver by numpy (AdaGrad) from each
+sampled row's list of terms; rows are bounded by ``per_class`` whatever the input. A penalty on the size of weights and
+vectors makes most of them zero while the model is learned. A fifth of the rows, when there are ``CALIBRATED`` or more, is
+kept out to fit a slope and shift of the logit, since a penalised model is too careful. Scoring looks at every word of
+every whole text.
 
 Defined cases: null and empty texts have no terms and get the score of w0; labels other than 0 and 1, or null,
 are not used; with no labelled rows, every score is 0.5's prior, sigmoid(0); rows with a null id are scored;
@@ -26,15 +29,17 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import kernel, labelled
-from .workspace import bound_batches, forget, settled, table
+from .workspace import bound_batches, table
 
 BITS = 32
 FACTORS = 8
 PREFIXES = (4, 5, 6)
+#: Rows from which on a fifth of them calibrates.
+CALIBRATED = 200
 
 
 def terms(t: kernel.Texts) -> tuple[np.ndarray, np.ndarray]:
-    """(row, bucket) of all terms of a piece, with repeats."""
+    """(row, bucket) of the terms of a piece, once each, in order."""
     start, end, first = t.words(kernel.LETTERS)
     sums, row = t.sums(kernel.LOWER), kernel.rows_of(first)
     hashes, rows = [kernel.run_hash(sums, start, end)], [row]
@@ -42,7 +47,8 @@ def terms(t: kernel.Texts) -> tuple[np.ndarray, np.ndarray]:
         longer = end - start > n
         hashes.append(kernel.run_hash(sums, start[longer], start[longer] + n) + kernel.U64(n))
         rows.append(row[longer])
-    return np.concatenate(rows), np.concatenate(hashes) >> kernel.U64(64 - BITS)
+    both = np.unique(np.concatenate(rows).astype(np.uint64) << kernel.U64(BITS) | np.concatenate(hashes) >> kernel.U64(64 - BITS))
+    return (both >> kernel.U64(BITS)).astype(np.int64), both & kernel.U64((1 << BITS) - 1)
 
 
 @dataclass
@@ -58,98 +64,122 @@ class Machine:
         self._maybe = np.zeros(1 << 16, bool)
         self._maybe[(self.buckets & kernel.U64(0xFFFF)).astype(np.int64)] = True
 
-    def slots(self, t: kernel.Texts) -> tuple[np.ndarray, np.ndarray]:
-        """(row, slot) of the known terms, once each, in order."""
+    def slots(self, t: kernel.Texts) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(row, slot) of the known terms, and the share of each row's pairs."""
         row, bucket = terms(t)
+        share = 1 / np.maximum(np.bincount(row, minlength=len(t)), 1)
         if not len(self.buckets):
-            return row[:0], row[:0]
+            return row[:0], row[:0], share
         near = self._maybe[(bucket & kernel.U64(0xFFFF)).astype(np.int64)]
         row, bucket = row[near], bucket[near]
         at = np.minimum(np.searchsorted(self.buckets, bucket), len(self.buckets) - 1)
         hit = self.buckets[at] == bucket
-        pairs = np.unique(row[hit].astype(np.int64) * len(self.buckets) + at[hit])
-        return pairs // len(self.buckets), pairs % len(self.buckets)
+        return row[hit], at[hit], share
 
     def logits(self, t: kernel.Texts) -> np.ndarray:
-        row, slot = self.slots(t)
-        linear = np.bincount(row, self.weights[slot], len(t))
-        v = self.vectors[slot]
-        pairs = sum(np.bincount(row, v[:, k], len(t)) ** 2 - np.bincount(row, v[:, k] ** 2, len(t)) for k in range(v.shape[1]))
-        return self.bias + linear + 0.5 * pairs
+        return self.bias + summed(*self.slots(t), self.weights, self.vectors)
 
 
-def fit(rows: np.ndarray, slots: np.ndarray, labels: np.ndarray, n_slots: int, factors: int = FACTORS, epochs: int = 30, batch: int = 64, rate: float = 0.2, decay: float = 1e-4, seed: int = 7) -> tuple[float, np.ndarray, np.ndarray]:
-    """Weights from the terms of labelled rows: slots[k] occurs in rows[k], ordered by row. Log-loss, AdaGrad."""
+def summed(row: np.ndarray, slot: np.ndarray, share: np.ndarray, weights: np.ndarray, vectors: np.ndarray) -> np.ndarray:
+    """Weights and pairs of each row, added up."""
+    v = vectors[slot]
+    pairs = sum(np.bincount(row, v[:, k], len(share)) ** 2 - np.bincount(row, v[:, k] ** 2, len(share)) for k in range(v.shape[1]))
+    return np.bincount(row, weights[slot], len(share)) + 0.5 * share * pairs
+
+
+def fit(rows: np.ndarray, slots: np.ndarray, labels: np.ndarray, n_slots: int, share: np.ndarray, factors: int = FACTORS, epochs: int = 30, batch: int = 64, rate: float = 0.1, sparse: float = 0.05, sparse_pairs: float = 0.02, seed: int = 7) -> tuple[float, np.ndarray, np.ndarray]:
+    """Weights from the terms of labelled rows: slots[k] occurs in rows[k], ordered by row; share: of a row's pairs.
+
+    Log-loss by AdaGrad, a rate a slot. After each step every weight is moved towards zero by ``sparse`` and every vector
+    by ``sparse_pairs``, times its rate and over the root of the number of rows, and stays there when it gets there; a slot
+    catches up with the steps that it was not in when it is next used.
+    """
+    sparse, sparse_pairs = sparse / np.sqrt(max(len(labels), 1)), sparse_pairs / np.sqrt(max(len(labels), 1))
     rng = np.random.default_rng(seed)
-    w0, w, v = 0.0, np.zeros(n_slots), rng.normal(0, 0.05, (n_slots, factors))
-    g0, gw, gv = 1e-8, np.full(n_slots, 1e-8), np.full((n_slots, factors), 1e-8)
+    w0, w, v = 0.0, np.zeros(n_slots), rng.normal(0, 0.1, (n_slots, factors))
+    g0, gw, gv, seen, step = 1e-8, np.full(n_slots, 1e-6), np.full(n_slots, 1e-6), np.zeros(n_slots, np.int64), 0
     at = np.searchsorted(rows, np.arange(len(labels) + 1))
+
+    def shrink(u: np.ndarray) -> None:
+        steps = step - seen[u]
+        w[u] = np.sign(w[u]) * np.maximum(np.abs(w[u]) - rate / np.sqrt(gw[u]) * sparse * steps, 0)
+        length = np.sqrt((v[u] ** 2).sum(1))
+        v[u] *= (np.maximum(length - rate / np.sqrt(gv[u]) * sparse_pairs * steps, 0) / np.maximum(length, 1e-12))[:, None]
+        seen[u] = step
+
     for _ in range(epochs):
         order = rng.permutation(len(labels))
         for lo in range(0, len(order), batch):
             docs = order[lo : lo + batch]
             size = at[docs + 1] - at[docs]
             doc = np.repeat(np.arange(len(docs)), size)
-            s = slots[np.repeat(at[docs] - np.r_[0, np.cumsum(size)[:-1]], size) + np.arange(size.sum())]
-            vs = v[s]
+            u, s = np.unique(slots[np.repeat(at[docs] - np.r_[0, np.cumsum(size)[:-1]], size) + np.arange(size.sum())], return_inverse=True)
+            shrink(u)
+            wu, vu, c = w[u], v[u], share[docs]
+            vs = vu[s]
             total = np.stack([np.bincount(doc, vs[:, k], len(docs)) for k in range(factors)], 1)
-            square = np.stack([np.bincount(doc, vs[:, k] ** 2, len(docs)) for k in range(factors)], 1)
-            z = w0 + np.bincount(doc, w[s], len(docs)) + 0.5 * (total**2 - square).sum(1)
+            square = np.bincount(doc, (vs**2).sum(1), len(docs))
+            z = w0 + np.bincount(doc, wu[s], len(docs)) + 0.5 * c * ((total**2).sum(1) - square)
             error = (1 / (1 + np.exp(-np.clip(z, -50, 50))) - labels[docs]) / len(docs)
-            dw = error[doc] + decay * w[s] / len(docs)
-            dv = error[doc, None] * (total[doc] - vs) + decay * vs / len(docs)
+            paired = (error * c)[doc]
+            dw = np.bincount(s, error[doc], len(u))
+            dv = np.stack([np.bincount(s, paired * total[doc, k], len(u)) for k in range(factors)], 1) - vu * np.bincount(s, paired, len(u))[:, None]
             g0 += error.sum() ** 2
             w0 -= rate * error.sum() / np.sqrt(g0)
-            grad_w, grad_v = np.zeros(n_slots), np.zeros((n_slots, factors))
-            np.add.at(grad_w, s, dw)
-            np.add.at(grad_v, s, dv)
-            gw += grad_w**2
-            gv += grad_v**2
-            w -= rate * grad_w / np.sqrt(gw)
-            v -= rate * 0.5 * grad_v / np.sqrt(gv)
+            gw[u] += dw**2
+            gv[u] += (dv**2).sum(1)
+            w[u] = wu - rate / np.sqrt(gw[u]) * dw
+            v[u] = vu - (rate / np.sqrt(gv[u]))[:, None] * dv
+            step += 1
+    shrink(np.arange(n_slots))
     return w0, w, v
 
 
-def train(documents: DataFrame, labels: DataFrame, held_out: Column, per_class: int = 4000, least_chi2: float = 12.0) -> Machine:
+def calibrated(logits: np.ndarray, labels: np.ndarray) -> tuple[float, float]:
+    """Slope and shift that fit the logits of rows not trained on to their labels; (1, 0) without both classes."""
+    a, b = 1.0, 0.0
+    if len(set(labels.tolist())) < 2:
+        return a, b
+    x = np.stack([logits, np.ones(len(logits))], 1)
+    for _ in range(50):
+        p = 1 / (1 + np.exp(-np.clip(a * logits + b, -30, 30)))
+        # Newton's step, with a pull towards (1, 0) that keeps it finite where the classes are apart.
+        slope = x.T @ (p - labels) + 0.1 * np.array([a - 1, b])
+        da, db = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + 0.1 * np.eye(2), slope)
+        a, b = a - np.clip(da, -1, 1), b - np.clip(db, -1, 1)
+    return max(float(a), 0.1), float(b)
+
+
+def train(documents: DataFrame, labels: DataFrame, held_out: Column, per_class: int = 4000) -> Machine:
     bound_batches(documents.sparkSession)
     sample, counts = labelled.training_sample(documents, labels, "toxic", held_out, per_class)
-    sample = settled(sample, "toxicity-sample")
-
-    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            label = batch.column(0).to_numpy(zero_copy_only=False)
-            for t in kernel.texts(batch.column(1)):
-                row, bucket = terms(t)
-                pairs = np.unique(np.stack([row.astype(np.uint64), bucket]), axis=1) if len(row) else np.zeros((2, 0), np.uint64)
-                toxic = label[t.first + pairs[0].astype(np.int64)] == 1
-                found, where = np.unique(pairs[1], return_inverse=True)
-                n1 = np.bincount(where[toxic], minlength=len(found))
-                yield pa.RecordBatch.from_arrays([pa.array(found.astype(np.int64)), pa.array(n1), pa.array(np.bincount(where, minlength=len(found)) - n1)], ["bucket", "n1", "n0"])
-
-    taken = {int(r["label"]): int(r["count"]) for r in sample.groupBy("label").count().collect()}
-    if len(taken) < 2:
-        forget(sample)
-        return Machine(0.0, np.zeros(0, np.uint64), np.zeros(0), np.zeros((0, FACTORS)))
-    a, b, t1, t0 = F.col("n1"), F.col("n0"), F.lit(float(taken[1])), F.lit(float(taken[0]))
-    chi2 = (t1 + t0) * (a * (t0 - b) - b * (t1 - a)) ** 2 / (t1 * t0 * (a + b) * (t1 + t0 - a - b) + 1e-9)
-    screened = sample.mapInArrow(counted, "bucket long, n1 long, n0 long").groupBy("bucket").agg(F.sum("n1").alias("n1"), F.sum("n0").alias("n0")).where(chi2 >= least_chi2)
-    found = screened.select("bucket").toPandas()["bucket"].to_numpy()
-    shape = Machine(0.0, np.sort(found.astype(np.uint64)), np.zeros(len(found)), np.zeros((len(found), FACTORS)))
 
     def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for t in kernel.texts(batch.column(1)):
-                row, slot = shape.slots(t)
+                row, bucket = terms(t)
                 at = np.searchsorted(row, np.arange(len(t) + 1))
-                lists = [slot[at[i] : at[i + 1]].astype("<u4").tobytes() for i in range(len(t))]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(t.first, len(t)), pa.array(lists, pa.binary())], ["label", "slots"])
+                lists = [bucket[at[i] : at[i + 1]].astype("<u4").tobytes() for i in range(len(t))]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(t.first, len(t)), pa.array(lists, pa.binary())], ["label", "buckets"])
 
-    got = sorted((bytes(r["slots"]), int(r["label"])) for r in sample.mapInArrow(listed, "label int, slots binary").collect())
-    forget(sample)
+    got = sorted((bytes(r["buckets"]), int(r["label"])) for r in sample.mapInArrow(listed, "label int, buckets binary").collect())
     y = np.array([x[1] for x in got], float)
-    lists = [np.frombuffer(x[0], "<u4").astype(np.int64) for x in got]
-    w0, w, v = fit(np.repeat(np.arange(len(lists)), [len(x) for x in lists]), np.concatenate([*lists, np.zeros(0, np.int64)]), y, len(shape.buckets))
-    return Machine(w0 + labelled.prior_shift(counts, y), shape.buckets, w, v)
+    if len(set(y.tolist())) < 2:
+        return Machine(0.0, np.zeros(0, np.uint64), np.zeros(0), np.zeros((0, FACTORS)))
+    n = np.array([len(x[0]) // 4 for x in got])
+    rows, share = np.repeat(np.arange(len(got)), n), 1 / np.maximum(n, 1)
+    buckets, slots = np.unique(np.frombuffer(b"".join(x[0] for x in got), "<u4"), return_inverse=True)
+    aside = np.random.default_rng(5).random(len(got)) < (0.2 if len(got) >= CALIBRATED else 0.0)
+
+    def part(of: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        return (np.cumsum(of) - 1)[rows[of[rows]]], slots[of[rows]], share[of]
+
+    fitted, used, c = part(~aside)
+    w0, w, v = fit(fitted, used, y[~aside], len(buckets), c)
+    slope, shift = calibrated(w0 + summed(*part(aside), w, v), y[aside])
+    told = (w != 0) | (v != 0).any(1)
+    bias = slope * w0 + shift + labelled.prior_shift(counts, y)
+    return Machine(bias, buckets[told].astype(np.uint64), slope * w[told], np.sqrt(slope) * v[told])
 
 
 def score(documents: DataFrame, machine: Machine, held_out: Column) -> DataFrame:
