@@ -16,7 +16,7 @@ Scores are exact: where sums of products may reach 2**53, the double's error is
 scored in Python integers.
 
 Defined cases: vectors that are null, or hold a null or non-finite component, take no part, nor do those with a component
-of 2**1000 or more; a shorter vector counts as ending in zeros; null ids take no part; rows that share an id are each a
+of 2**1014 or more, whose 1024-fold is no finite double; a shorter vector counts as ending in zeros; null ids take no part; rows that share an id are each a
 candidate and each a query, never of one another; equal scores rank by smaller id; a score beyond a long's range counts as
 the nearest long; an empty table gives an empty result; other columns are ignored.
 """
@@ -204,7 +204,7 @@ def nearest(embeddings: DataFrame, is_query: F.Column, k: int = 10) -> DataFrame
     """query_id, rank, vec_id, score: the k highest integer inner products of each query."""
     spark = embeddings.sparkSession
     bound_batches(spark)
-    usable = F.col("vec_id").isNotNull() & F.col("embedding").isNotNull() & F.forall("embedding", lambda x: x.isNotNull() & (F.abs(x.cast("double")) < 2.0**1000))
+    usable = F.col("vec_id").isNotNull() & F.col("embedding").isNotNull() & F.forall("embedding", lambda x: x.isNotNull() & (F.abs(x.cast("double")) < 2.0**1014))
     vectors = embeddings.where(usable).select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding"), F.coalesce(is_query, F.lit(False)).alias("asks"))
     queries = vectors.where("asks").select("vec_id", "embedding")
     count = vectors.agg(F.count("*").alias("rows"), F.sum(F.when(F.col("asks"), 8 * F.size("embedding") + 8)).alias("bytes")).first()
