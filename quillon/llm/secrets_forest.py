@@ -11,7 +11,7 @@ scored and masked within its row: nothing is shuffled, no row needs a number, an
 the table's. Texts that hold no candidate are passed by one pattern.
 
 Defined cases: null and empty texts have no candidates; a null path is an empty one; repeated rows are scanned
-each for itself; U+0001 and U+0002, which mark candidates here, become blanks in texts in which a secret is masked; a
+each for itself; U+0001 and U+0002, which mark candidates here, part candidates as blanks do and stay in the text; a
 candidate of any length is one finding; context reaches back to the candidate before at most; an empty table gives an
 empty result; other columns are ignored by ``scan`` and kept by ``redact``, whatever their names.
 """
@@ -236,8 +236,16 @@ def redact(documents: DataFrame, forest: Forest, path: str = "source", mark: str
     """``documents`` with secrets replaced; n_chars, if there, follows. Texts without secrets stay as they are."""
     text = F.col("text").cast("string")
 
+    def restored(all_: Column) -> Column:
+        """What is between candidates from the text itself: a text may hold the characters that mark candidates."""
+
+        def own(at: Column) -> Column:
+            return F.transform(all_, lambda p, i: F.struct(p["value"].alias("value"), text.substr((F.get(at, i) + F.length(p["value"]) + 1).cast("int"), F.length(p["rest"])).alias("rest"), p["score"].alias("score")))
+
+        return F.when(text.rlike(f"[{START}{END}]"), let(starts(all_), own)).otherwise(all_)
+
     def masked(all_: Column) -> Column:
-        new = F.array_join(F.transform(all_, lambda p: F.concat(F.when(p["score"] >= 0.5, mark).otherwise(p["value"]), p["rest"])), "")
+        new = F.array_join(F.transform(restored(all_), lambda p: F.concat(F.when(p["score"] >= 0.5, mark).otherwise(p["value"]), p["rest"])), "")
         return F.when(F.exists(all_, lambda p: p["score"] >= 0.5), new)
 
     # Null unless something is masked.
