@@ -50,6 +50,7 @@ CLOSING = {name: re.compile(rf"</{name}\s*>", re.I) for name in (*HIDDEN, "title
 HREF = re.compile(r"\bhref\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 BLANKS = re.compile(r"[^\S\n]+")
 HEAD_END = re.compile(rb"\r?\n\r?\n")
+NEXT = re.compile(rb"\r?\n\r?\nWARC/(?=[0-9]\.[0-9]\r?\n)")
 
 
 def digest(data: bytes) -> str:
@@ -240,8 +241,29 @@ def unzipped(data: bytes) -> Iterator[bytes | str]:
             at = len(data) if at < 0 else at
 
 
+def named(head: str) -> dict[str, str]:
+    """A record's headers by lower-case name: a blank after the colon is optional, a line that begins with one goes on."""
+    found: dict[str, str] = {}
+    last = ""
+    for line in head.replace("\r\n", "\n").split("\n")[1:]:
+        if line[:1] in (" ", "\t"):
+            if last:
+                found[last] += " " + line.strip()
+            continue
+        name, colon, value = line.partition(":")
+        last = name.strip().lower() if colon else ""
+        if last:
+            found[last] = value.strip()
+    return found
+
+
 def members(data: bytes) -> Iterator[dict]:
-    """The records of gzip members one after another (or of plain WARC); damaged ones have an error and no block."""
+    """The records of gzip members one after another (or of plain WARC); damaged ones have an error and no block.
+
+    What follows a record without a usable length is not read as records, since it may be the payload: reading goes on at
+    the next gzip member or, in plain WARC, at the next version line after an empty one.
+    """
+    gzipped = data[:2] == b"\x1f\x8b"
 
     def wrong(said: str) -> dict:
         return dict.fromkeys([*HEADERS.values(), "block"]) | {"error": said}
@@ -256,13 +278,18 @@ def members(data: bytes) -> Iterator[dict]:
             if not end:
                 yield wrong("damaged record")
                 break
-            named = dict(line.split(": ", 1) for line in plain[at : end.start()].decode("utf-8", "replace").replace("\r\n", "\n").split("\n")[1:] if ": " in line)
-            n = named.get("Content-Length", "").strip()
+            said = named(plain[at : end.start()].decode("utf-8", "replace"))
+            own = {column: said.get(name.lower()) for name, column in HEADERS.items()}
+            n = said.get("content-length", "")
             at = end.end()
             if not (n.isascii() and n.isdigit() and at + int(n) <= len(plain)):
-                yield {column: named.get(name) for name, column in HEADERS.items()} | {"block": None, "error": "record without its length"}
+                yield own | {"block": None, "error": "record without its length"}
+                after = None if gzipped else NEXT.search(plain, at)
+                if not after:
+                    break
+                at = after.end() - len(b"WARC/")
                 continue
-            yield {column: named.get(name) for name, column in HEADERS.items()} | {"block": plain[at : at + int(n)], "error": None}
+            yield own | {"block": plain[at : at + int(n)], "error": None}
             at += int(n)
 
 

@@ -230,7 +230,7 @@ def test_topk_equals_all_scores(spark):
     assert topk_bond.nearest(df.where("false"), df["vec_id"] % 100 == 0).count() == 0
 
 
-@pytest.mark.parametrize("size", [1.0, 60.0, 3e4, 1e6, 1e12, 1e300])
+@pytest.mark.parametrize("size", [1.0, 60.0, 3e4, 1e6, 1e12, 1e300, 1.7e305])
 def test_topk_is_exact_for_components_of_any_size(spark, size):
     """Ties at the last rank, repeated ids, vectors of other lengths, and scores beyond 2**53 and beyond a long."""
     from fractions import Fraction
@@ -394,6 +394,8 @@ def test_secrets_are_found_and_masked(spark):
     texts = {r["doc_id"]: r["text"] for r in secrets_forest.redact(docs, model).collect()}
     assert texts == {1: "see [SECRET] here", 2: "plain words only", 3: None, 4: "", 5: "a [SECRET] b [SECRET] c"}
     assert secrets_forest.scan(docs.where("false"), model).count() == 0
+    odd = spark.createDataFrame([(1, f"a\x01b {key} \x02\x01c {key}\x02", "s"), (2, f"\x02{key}", None)], "doc_id long, text string, source string")
+    assert {r["doc_id"]: r["text"] for r in secrets_forest.redact(odd, model).collect()} == {1: "a\x01b [SECRET] \x02\x01c [SECRET]\x02", 2: "\x02[SECRET]"}
 
 
 def test_warc_records_link_and_read_back(spark):

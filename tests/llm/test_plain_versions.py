@@ -66,11 +66,29 @@ def test_toxicity_equals_a_plain_forward_pass(spark):
         words = re.findall(rb"[a-z0-9\x80-\xff]+", (r["text"] or "").encode().translate(bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))))
         terms = {of_bytes(w) >> 32 for w in words} | {(of_bytes(w[:n]) + n & ALL) >> 32 for w in words for n in (4, 5, 6) if len(w) > n}
         known = [place[t] for t in terms if t in place]
-        z = machine.bias + sum(machine.weights[k] for k in known) + sum(float(machine.vectors[a] @ machine.vectors[b]) for i, a in enumerate(known) for b in known[:i])
+        pairs = sum(float(machine.vectors[a] @ machine.vectors[b]) for i, a in enumerate(known) for b in known[:i])
+        z = machine.bias + sum(machine.weights[k] for k in known) + pairs / max(len(terms), 1)
         assert abs(sigmoid(z) - r["score"]) < 1e-9, r["text"]
         assert r["predicted"] == (r["score"] >= 0.5) and r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 5 == 0)
 
 
+def test_toxicity_learns_pairs_of_terms_that_say_nothing_alone(spark):
+    rng = random.Random(9)
+    rows, labels = [], []
+    for k in range(3000):
+        words = [f"word{rng.randrange(70)}" for _ in range(10)]
+        one, other = rng.random() < 0.5, rng.random() < 0.5
+        words += ["insult"] * one + ["group"] * other
+        rng.shuffle(words)
+        rows.append((k, " ".join(words)))
+        labels.append((k, int(one == other)))
+    docs, marked = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int")
+    held_out = labelled.bucket_of(5) == 0
+    known = dict(labels)
+    got = [r for r in toxicity_fm.score(docs, toxicity_fm.train(docs, marked, held_out), held_out).collect() if r["held_out"]]
+    assert sum(r["predicted"] == known[r["doc_id"]] for r in got) > 0.95 * len(got)
+
+
 def test_quality_equals_a_plain_forward_pass(spark):
     docs, labels = labelled_documents(spark, "quality")
     held_out = labelled.bucket_of(3) == 1
@@ -264,6 +282,12 @@ def test_files_are_read_past_what_is_damaged(spark):
     headless = gzip.compress(b"WARC/1.1\r\nWARC-Type: metadata\r\n\r\nabc\r\n\r\n") + packed[1]
     assert [r["error"] for r in warc_derivatives.members(headless)] == ["record without its length", None]
     assert list(warc_derivatives.members(b"")) == []
+    loose = b"WARC/1.0\ncontent-length:3\nwarc-type:metadata\nWARC-TARGET-URI: http://x/\n  a\n\tb\n\nabc\n\n"
+    for data in (loose, gzip.compress(loose)):
+        assert [(r["block"], r["warc_type"], r["target_uri"], r["error"]) for r in warc_derivatives.members(data)] == [(b"abc", "metadata", "http://x/ a b", None)]
+    quoting = b"WARC/1.1\r\nWARC-Type: response\r\n\r\na page about WARC/1.1\r\nContent-Length: 2\r\n\r\nxy\r\n\r\n"
+    assert [r["error"] for r in warc_derivatives.members(gzip.compress(quoting) + packed[1])] == ["record without its length", None]
+    assert [r["error"] for r in warc_derivatives.members(quoting + gzip.decompress(packed[1]))] == ["record without its length", None]
     files = spark.createDataFrame([(damaged,), (None,), (b"junk",)], "content binary")
     assert warc_derivatives.parsed(files).where("error IS NULL").count() == len(records) - 1
 
