@@ -2,11 +2,12 @@
 
 Removes each byte covered by a string of ``SIZE`` bytes that also starts anywhere else, in the same text or another.
 ``repeats`` finds the anchors that occur again and deals the regions around them into shards of bounded size. In a
-shard, regions arrive in batches of about ``BATCH`` bytes. A batch is merged with every level of the shard's index in
-suffix order: ranks of 5, 10, 20, ... ``SIZE`` bytes are made by prefix doubling, so that suffixes stand in the order of their
-bytes, and neighbours with one rank share ``SIZE`` bytes, byte for byte and not by a hash. What is new in the batch becomes a
-level; levels of similar size are merged, so that there are never more than about log2(bytes) of them. Regions all of whose
-strings a level has already are not kept twice.
+shard, regions arrive in batches of about ``BATCH`` bytes. A batch gets a suffix array of its own: ranks of 5, 10, 20, ...
+``SIZE`` bytes are made by prefix doubling, so that suffixes stand in the order of their bytes, and neighbours with one
+rank share ``SIZE`` bytes. This array is merge-scanned against the array of every level of the shard's index, byte for
+byte and not by a hash. The strings that no level has become a level, an array still in order; while the last level is
+at least half as large as the one before it, these two arrays are merged in one pass. So bytes are sorted once, in their
+batch, each string is merged about log2(batches) times, and each distinct string is in one level.
 
 A hot anchor's salts are small indexes of their own; strings that its first text lacks are counted over all texts by hash.
 
@@ -24,6 +25,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from numpy.lib.stride_tricks import sliding_window_view
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -32,7 +34,9 @@ from .workspace import table
 
 SIZE, GRAM = 200, 48
 UNIT = repeats.Unit(words=False, size=SIZE, gram=GRAM, step=16)
-BATCH = 1 << 20
+BATCH = 1 << 19
+#: Strings that a scan holds of each of two arrays, of SIZE bytes each.
+BLOCK = 1 << 14
 RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
 
 
@@ -74,67 +78,92 @@ def suffix_array(data: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.n
     return ordered((rank << np.uint64(bits) | ahead(rank, SIZE - size))[starts], 2 * bits)
 
 
+def strings(data: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """The SIZE bytes at each start, as fixed-width byte strings, which numpy orders as ``suffix_array`` does."""
+    return np.ascontiguousarray(sliding_window_view(data, SIZE)[starts]).view(f"S{SIZE}").ravel()
+
+
 @dataclass
 class Level:
-    """Bytes of regions one after another; where strings of ``SIZE`` bytes start, when each arrived, and of which region it is."""
+    """A suffix array: ``order`` holds where distinct strings of ``SIZE`` bytes start in ``data``, in the order of their bytes.
+
+    arrivals: when each string first arrived. edges: of the regions that ``data`` is made of.
+    """
 
     data: np.ndarray
-    starts: np.ndarray
-    arrivals: np.ndarray
     edges: np.ndarray
+    order: np.ndarray
+    arrivals: np.ndarray
 
-    def with_only(self, regions: np.ndarray) -> Level:
-        """Some of the regions."""
-        size = np.diff(self.edges)[regions]
-        inside = np.repeat(self.edges[:-1][regions] - np.r_[0, np.cumsum(size)[:-1]], size) + np.arange(size.sum())
-        of = np.searchsorted(self.edges, self.starts, "right") - 1
-        kept = np.zeros(len(self.edges) - 1, bool)
-        kept[regions] = True
-        moved = np.zeros(len(kept), np.int64)
-        moved[regions] = np.r_[0, np.cumsum(size)[:-1]] - self.edges[:-1][regions]
-        own = kept[of]
-        return Level(self.data[inside], self.starts[own] + moved[of[own]], self.arrivals[own], np.r_[0, np.cumsum(size)])
-
-    def joined(self, other: Level) -> Level:
+    def with_only(self, kept: np.ndarray) -> Level:
+        """Some of the strings, in their order, and the bytes of the regions that they lie in."""
+        order, size = self.order[kept], np.diff(self.edges)
+        of = np.searchsorted(self.edges, order, "right") - 1
+        size = np.where(np.bincount(of, minlength=len(size)) > 0, size, 0)
+        moved = np.r_[0, np.cumsum(size)[:-1]] - self.edges[:-1]
+        inside = np.repeat(size > 0, np.diff(self.edges))
+        return Level(self.data[self.edges[0] : self.edges[-1]][inside], np.r_[0, np.cumsum(size[size > 0])], order + moved[of], self.arrivals[kept])
+
+    def places(self, other: Level) -> tuple[np.ndarray, np.ndarray]:
+        """Before which string of this array each of ``other`` comes, and whether the two are equal.
+
+        Both arrays are read once, front to back, in blocks of ``BLOCK`` strings, which are compared byte for byte.
+        """
+        place, equal = np.zeros(len(other.order), np.int64), np.zeros(len(other.order), bool)
+        if not len(self.order):
+            return place, equal
+        heads = strings(self.data, self.order[::BLOCK])
+        block = np.concatenate([np.searchsorted(heads, strings(other.data, other.order[i : i + BLOCK]), "right") for i in range(0, len(place), BLOCK)] or [place])
+        edge = np.searchsorted(block, np.arange(len(heads) + 2))
+        for k in range(1, len(heads) + 1):
+            lo, hi = int(edge[k]), int(edge[k + 1])
+            own = strings(self.data, self.order[(k - 1) * BLOCK : k * BLOCK]) if lo < hi else heads
+            for i in range(lo, hi, BLOCK):
+                wanted = strings(other.data, other.order[i : min(i + BLOCK, hi)])
+                at = np.searchsorted(own, wanted)
+                place[i : i + len(at)] = (k - 1) * BLOCK + at
+                equal[i : i + len(at)] = own[np.minimum(at, len(own) - 1)] == wanted
+        return place, equal
+
+    def merged(self, other: Level) -> Level:
+        """One array of both; no string is in both."""
+        place, _ = self.places(other)
         n = len(self.data)
-        return Level(np.r_[self.data, other.data], np.r_[self.starts, other.starts + n], np.r_[self.arrivals, other.arrivals], np.r_[self.edges, other.edges[1:] + n])
+        return Level(np.r_[self.data, other.data], np.r_[self.edges, other.edges[1:] + n], np.insert(self.order, place, other.order + n), np.insert(self.arrivals, place, other.arrivals))
 
 
 class Family:
-    """Levels of geometric sizes; ``repeated`` and ``with_first`` for each string by its order of arrival."""
+    """Levels of geometric sizes. Each distinct string is in one level; ``first_of`` each string that arrived is its first equal."""
 
     def __init__(self) -> None:
         self.levels: list[Level] = []
-        self.repeated, self.with_first = np.zeros(0, bool), np.zeros(0, bool)
-
-    def scan(self, both: Level) -> np.ndarray:
-        """Marks the strings that stand beside an equal one; gives, for each, the arrival of the first of its equals."""
-        order, same = suffix_array(both.data, both.starts)
-        arrivals = both.arrivals[order]
-        edge = np.flatnonzero(~same)
-        size = np.diff(np.r_[edge, len(order)])
-        self.repeated[arrivals[np.repeat(size > 1, size)]] = True
-        self.with_first[arrivals] |= np.repeat(np.logical_or.reduceat(self.with_first[arrivals], edge), size) if len(edge) else False
-        out = np.empty(len(order), np.int64)
-        out[order] = np.repeat(np.minimum.reduceat(arrivals, edge), size) if len(edge) else arrivals
-        return out
+        self.first_of, self.is_first = np.zeros(0, np.int64), np.zeros(0, bool)
 
     def add(self, data: np.ndarray, edges: np.ndarray, starts: np.ndarray, is_first: np.ndarray) -> None:
         """A batch of regions [edges[i], edges[i + 1]) of ``data``; is_first: of each start."""
-        known = len(self.repeated)
-        batch = Level(data, starts, known + np.arange(len(starts)), edges)
-        self.repeated, self.with_first = np.r_[self.repeated, np.zeros(len(starts), bool)], np.r_[self.with_first, is_first]
-        fresh = np.ones(len(starts), bool)
+        known = len(self.first_of)
+        order, same = suffix_array(data, starts)
+        edge = np.flatnonzero(~same)
+        # Equal strings stand in the order of their places: the first one stands for all.
+        batch = Level(data, edges, starts[order[edge]], known + order[edge])
+        first = batch.arrivals.copy()
+        left = np.arange(len(edge))
         for level in self.levels:
-            fresh &= self.scan(level.joined(batch))[len(level.starts) :] >= known
-        if not self.levels:
-            self.scan(batch)
-        of = np.searchsorted(edges, starts, "right") - 1
-        new = np.flatnonzero(np.bincount(of[fresh], minlength=len(edges) - 1) > 0)
-        if len(new):
-            self.levels.append(batch.with_only(new))
-        while len(self.levels) > 1 and len(self.levels[-2].data) <= 2 * len(self.levels[-1].data):
-            self.levels[-2:] = [self.levels[-2].joined(self.levels[-1])]
+            place, equal = level.places(Level(data, edges, batch.order[left], batch.arrivals[left]))
+            first[left[equal]] = level.arrivals[place[equal]]
+            left = left[~equal]
+        firsts = np.empty(len(starts), np.int64)
+        firsts[order] = np.repeat(first, np.diff(np.r_[edge, len(order)]))
+        self.first_of, self.is_first = np.r_[self.first_of, firsts], np.r_[self.is_first, is_first]
+        if len(left):
+            self.levels.append(batch.with_only(left))
+        while len(self.levels) > 1 and len(self.levels[-2].order) <= 2 * len(self.levels[-1].order):
+            self.levels[-2:] = [self.levels[-2].merged(self.levels[-1])]
+
+    def told(self) -> tuple[np.ndarray, np.ndarray]:
+        """Of each string by its order of arrival: whether it has an equal, and whether one of its equals is of a first text."""
+        n = len(self.first_of)
+        return np.bincount(self.first_of, minlength=n)[self.first_of] > 1, np.bincount(self.first_of[self.is_first], minlength=n)[self.first_of] > 0
 
 
 class Shard:
@@ -162,14 +191,15 @@ class Shard:
 
     def finished(self) -> Iterator[pa.RecordBatch]:
         self.flush()
+        repeated, with_first = self.family.told()
         done = 0
         for _, _, doc_id, digest, start, n, region in self.rows:
             own = slice(done, done + n)
             done += n
-            spans = repeats.merged(np.flatnonzero(self.family.repeated[own]) + start, SIZE)
+            spans = repeats.merged(np.flatnonzero(repeated[own]) + start, SIZE)
             if spans:
                 yield repeats.found_spans(doc_id, digest, spans)
-            if region is not None and len(left := np.flatnonzero(~self.family.with_first[own])):
+            if region is not None and len(left := np.flatnonzero(~with_first[own])):
                 symbols = kernel.SYMBOL[np.frombuffer(region, np.uint8)]
                 sums, (_, place, _) = kernel.prefix_sums(symbols), UNIT.anchors(symbols, np.array([0, len(symbols)]))
                 yield repeats.left_over(doc_id, digest, UNIT, sums, left, place[left], kernel.run_hash(sums, left, left + SIZE), 0, start)

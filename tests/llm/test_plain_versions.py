@@ -329,6 +329,8 @@ def test_suffix_levels_over_many_batches(monkeypatch):
     import numpy as np
 
     rng = random.Random(17)
+    # Blocks smaller than the levels, so that scans cross their borders.
+    monkeypatch.setattr(suffix_levels, "BLOCK", 64)
     family, strings, firsts, sizes = suffix_levels.Family(), [], [], []
     passage = bytes(rng.randrange(97, 123) for _ in range(900))
     for batch in range(9):
@@ -346,15 +348,38 @@ def test_suffix_levels_over_many_batches(monkeypatch):
         family.add(data, edges, starts, is_first)
         strings += [data[p : p + 200].tobytes() for p in starts]
         firsts += is_first.tolist()
-        sizes.append([len(x.data) for x in family.levels])
+        sizes.append([len(x.order) for x in family.levels])
+        held = [[x.data[p : p + 200].tobytes() for p in x.order] for x in family.levels]
+        # Every level is an array in order, and each distinct string is in one level.
+        assert all(x == sorted(x) for x in held) and sorted(y for x in held for y in x) == sorted(set(strings))
+        assert all(strings[a] == y for x, level in zip(held, family.levels, strict=True) for y, a in zip(x, level.arrivals, strict=True))
     count: dict[bytes, int] = {}
     for x in strings:
         count[x] = count.get(x, 0) + 1
     with_first = {x for x, f in zip(strings, firsts, strict=True) if f}
-    assert family.repeated.tolist() == [count[x] > 1 for x in strings]
-    assert family.with_first.tolist() == [x in with_first for x in strings]
+    repeated, with_one = family.told()
+    assert repeated.tolist() == [count[x] > 1 for x in strings]
+    assert with_one.tolist() == [x in with_first for x in strings]
     assert max(map(len, sizes)) > 1 and all(a > 2 * b for x in sizes for a, b in zip(x, x[1:]))
-    assert sum(sizes[-1]) < len(strings) + 200 * 40
+    assert sum(len(x.data) for x in family.levels) < len(strings) + 200 * 40
+
+
+def test_suffix_levels_sort_each_byte_once(monkeypatch):
+    """Sorted are batches alone, and strings are merged a logarithmic number of times."""
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    for batches in (8, 16, 32):
+        sorted_bytes, merged = [], []
+        array, joined = suffix_levels.suffix_array, suffix_levels.Level.merged
+        with monkeypatch.context() as m:
+            m.setattr(suffix_levels, "suffix_array", lambda data, starts: sorted_bytes.append(len(data)) or array(data, starts))
+            m.setattr(suffix_levels.Level, "merged", lambda a, b: merged.append(len(a.order) + len(b.order)) or joined(a, b))
+            family = suffix_levels.Family()
+            for _ in range(batches):
+                family.add(rng.integers(0, 256, 2000).astype(np.uint8), np.array([0, 2000]), np.arange(1801), np.zeros(1801, bool))
+        assert sum(sorted_bytes) == 2000 * batches
+        assert sum(merged) <= 1801 * batches * (np.log2(batches) + 1) and len(family.levels) <= np.log2(batches) + 1
 
 
 @pytest.fixture(scope="module")
