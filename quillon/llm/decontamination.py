@@ -15,6 +15,9 @@ are found where all their words are.
 The test side goes to the tasks in blocks of about ``BLOCK_WORDS`` words, one pass over the texts for each block, so
 that what a task holds does not grow with the test set. Only hits leave a task.
 
+Segments of one item that overlap in a text, as those of repeated words do, are one stretch and one row, with their
+common extent and the most equal words that one of them has.
+
 Defined cases: null and empty texts have no hits; items that are null or without words are not searched for; repeated items count once; repeated rows of texts give repeated rows; an empty table
 on either side gives an empty result; other columns are ignored.
 """
@@ -114,6 +117,19 @@ class Items:
         return np.stack([row[ok], item[ok], start[ok]], 1)
 
     def verified(self, words: np.ndarray, first: np.ndarray) -> Iterator[tuple[int, int, int, int, int]]:
+        """(row, item, start word in the row, words, most equal words on a diagonal) of each stretch of overlapping segments."""
+        stretch: list[int] | None = None
+        for row, item, start, n, equal in sorted(self.segments(words, first)):
+            if stretch and stretch[:2] == [row, item] and start < stretch[2] + stretch[3]:
+                stretch[3:] = [max(stretch[3], start + n - stretch[2]), max(stretch[4], equal)]
+                continue
+            if stretch:
+                yield tuple(stretch)
+            stretch = [row, item, start, n, equal]
+        if stretch:
+            yield tuple(stretch)
+
+    def segments(self, words: np.ndarray, first: np.ndarray) -> Iterator[tuple[int, int, int, int, int]]:
         """(row, item, start word in the row, words, equal words) of the diagonals on which a segment suffices."""
         for row, item, start in self.hits(words, first).tolist():
             base, n = int(self.first[item]), int(self.first[item + 1] - self.first[item])
@@ -152,7 +168,7 @@ def fullest(same: np.ndarray) -> tuple[int, int]:
 
 
 def contaminated(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """A row for each verified overlap of a text with a test item."""
+    """A row for each stretch of a text that overlaps with a test item."""
     spark = documents.sparkSession
     bound_batches(spark)
     items = benchmark.where("item_id IS NOT NULL AND text IS NOT NULL").select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).distinct()

@@ -348,6 +348,14 @@ def test_decontamination_finds_whatever_keeps_four_fifths(spark):
     assert got[middle, 1] == (5, 15, 12)
 
 
+def test_decontamination_of_repeated_words_gives_a_row_a_stretch(spark):
+    twice = [f"a{i}" for i in range(20)]
+    docs = spark.createDataFrame([(1, " ".join(["same"] * 2000)), (2, " ".join([*twice, *["between"] * 30, *twice]))], "doc_id long, text string")
+    bench = spark.createDataFrame([(7, " ".join(["same"] * 50)), (8, " ".join(twice))], "item_id long, text string")
+    got = sorted(map(tuple, decontamination.contaminated(docs, bench).collect()))
+    assert got == [(1, 7, 0, 2000, 50), (2, 8, 0, 20, 20), (2, 8, 50, 20, 20)]
+
+
 def test_pipeline_drops_leaks_of_rows_without_an_id(spark, tmp_path):
     import corpus_pipeline
 
