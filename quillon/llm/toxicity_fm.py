@@ -36,6 +36,8 @@ FACTORS = 8
 PREFIXES = (4, 5, 6)
 #: Rows from which on a fifth of them calibrates.
 CALIBRATED = 200
+#: Terms that the driver works on at once.
+PIECE = 1 << 16
 
 
 def terms(t: kernel.Texts) -> tuple[np.ndarray, np.ndarray]:
@@ -98,7 +100,7 @@ def fit(rows: np.ndarray, slots: np.ndarray, labels: np.ndarray, n_slots: int, s
     rng = np.random.default_rng(seed)
     w0, w, v = 0.0, np.zeros(n_slots), rng.normal(0, 0.1, (n_slots, factors))
     g0, gw, gv, seen, step = 1e-8, np.full(n_slots, 1e-6), np.full(n_slots, 1e-6), np.zeros(n_slots, np.int64), 0
-    at = np.searchsorted(rows, np.arange(len(labels) + 1))
+    at = np.searchsorted(rows, np.arange(len(labels) + 1, dtype=rows.dtype))
 
     def shrink(u: np.ndarray) -> None:
         steps = step - seen[u]
@@ -131,7 +133,8 @@ def fit(rows: np.ndarray, slots: np.ndarray, labels: np.ndarray, n_slots: int, s
             w[u] = wu - rate / np.sqrt(gw[u]) * dw
             v[u] = vu - (rate / np.sqrt(gv[u]))[:, None] * dv
             step += 1
-    shrink(np.arange(n_slots))
+    for lo in range(0, n_slots, PIECE):
+        shrink(np.arange(lo, min(lo + PIECE, n_slots)))
     return w0, w, v
 
 
@@ -166,17 +169,21 @@ def train(documents: DataFrame, labels: DataFrame, held_out: Column, per_class:
     y = np.array([x[1] for x in got], float)
     if len(set(y.tolist())) < 2:
         return Machine(0.0, np.zeros(0, np.uint64), np.zeros(0), np.zeros((0, FACTORS)))
-    n = np.array([len(x[0]) // 4 for x in got])
-    rows, share = np.repeat(np.arange(len(got)), n), 1 / np.maximum(n, 1)
-    buckets, slots = np.unique(np.frombuffer(b"".join(x[0] for x in got), "<u4"), return_inverse=True)
-    aside = np.random.default_rng(5).random(len(got)) < (0.2 if len(got) >= CALIBRATED else 0.0)
-
-    def part(of: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        return (np.cumsum(of) - 1)[rows[of[rows]]], slots[of[rows]], share[of]
-
-    fitted, used, c = part(~aside)
-    w0, w, v = fit(fitted, used, y[~aside], len(buckets), c)
-    slope, shift = calibrated(w0 + summed(*part(aside), w, v), y[aside])
+    at = np.cumsum([0, *(len(x[0]) // 4 for x in got)])
+    flat = np.frombuffer(b"".join(x[0] for x in got), "<u4")
+    del got
+    # Places in 32 bits, and all that has a number a term in pieces: the driver's memory is small.
+    buckets, slots = np.unique(flat), np.empty(len(flat), np.int32)
+    for lo in range(0, len(flat), PIECE):
+        slots[lo : lo + PIECE] = np.searchsorted(buckets, flat[lo : lo + PIECE])
+    del flat
+    share = 1 / np.maximum(np.diff(at), 1)
+    aside = np.random.default_rng(5).random(len(y)) < (0.2 if len(y) >= CALIBRATED else 0.0)
+    own = np.flatnonzero(~aside)
+    rows = np.repeat(np.arange(len(own), dtype=np.int32), np.diff(at)[own])
+    w0, w, v = fit(rows, slots[np.repeat(~aside, np.diff(at))], y[own], len(buckets), share[own])
+    z = [summed(np.zeros(at[i + 1] - at[i], np.int64), slots[at[i] : at[i + 1]], share[i : i + 1], w, v) for i in np.flatnonzero(aside)]
+    slope, shift = calibrated(w0 + np.concatenate([*z, np.zeros(0)]), y[aside])
     told = (w != 0) | (v != 0).any(1)
     bias = slope * w0 + shift + labelled.prior_shift(counts, y)
     return Machine(bias, buckets[told].astype(np.uint64), slope * w[told], np.sqrt(slope) * v[told])
