@@ -14,14 +14,17 @@ n1 less half the shingles in which a set of this size and a similar one may diff
 have a signature that says little does not emit those: one of its other parts has a signature that both sets emit.
 
 Sets that share a signature meet through its leader (the smallest id that has it; of a signature that many of the sample
-have, the smallest of the sample), and only (leader, set) rows leave the grouping of signatures, one each. Then:
-
-1. Each set is compared with the leader that it shares most signatures with; links make components. So copies of one
-   text are joined by one comparison each.
-2. Leaders whose sets are still in several components are dealt over cells: sets outside the leader's largest component
+have, the smallest of the sample), and only (leader, set) rows leave the grouping of signatures, one each:
+
+1. Each set is compared with the leader that it shares most of its ``FIRST`` smallest signatures with; links make
+   components. So copies of one text are joined by one comparison each.
+2. All signatures are grouped, with their sets' components. A signature whose sets are in one component, or are two that
+   step 1 compared, gives no rows: a pair would else come once from each task that has one of its signatures. Each set
+   of the others is compared with the leader that it shares most of them with.
+3. Leaders whose sets are still in several components are dealt over cells: sets outside the leader's largest component
    meet all others, in blocks of ``BLOCK`` sets. In a cell, sketches (how many shingles fall into each of ``CELLS``;
    sets differ in as many shingles as the counts differ by, at least) leave the sets that may have a partner.
-3. The texts of those come to their cell once each; pairs of different components are compared shingle by shingle, and
+4. The texts of those come to their cell once each; pairs of different components are compared shingle by shingle, and
    a union-find in the task drops what is joined already: a cell gives fewer links than it has sets, never pairs.
 
 Signatures travel as 32 bits and the partition's number, in binary columns; equal ones by chance only cost a comparison.
@@ -38,7 +41,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import kernel
@@ -56,6 +59,8 @@ SPARE = 8
 #: So at most RARE times the mean number of shingles of a text come to the driver, whatever the table's size.
 SAMPLE, RARE, LEAST = 16_384, 512, 24
 CELLS = 128
+#: Smallest signatures of a set by which it meets its first leader; they only steer.
+FIRST = 4
 #: Sets, and shingles, of a leader that meet in one task; groups up to SMALL are looked at together.
 BLOCK, BLOCK_SHINGLES, SMALL = 2048, 2 << 20, 48
 #: Digests of texts with copies, and ids, are broadcast up to this many (32 bytes each at most), joined by shuffle beyond.
@@ -156,16 +161,51 @@ def sketches(hashes: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return np.minimum(np.bincount(cell, minlength=len(n) * CELLS), 255).astype(np.uint8).reshape(-1, CELLS)
 
 
-def sizes(rows: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, sketch of each row."""
+def smallest(hashes: np.ndarray, offsets: np.ndarray, wanted: np.ndarray) -> pa.Array:
+    """The ``FIRST`` smallest signatures of each wanted row, whatever is frequent."""
+    row, key = signatures(hashes, offsets, np.zeros(0, np.uint64))
+    # Signatures are spread evenly, so the smallest are below a share of the range; a row that has fewer there lists fewer.
+    share = np.minimum(4 * FIRST / np.maximum(np.bincount(row, minlength=len(wanted)), 1), 1)
+    low = wanted[row] & (key.astype(float) <= share[row] * 2.0**64)
+    row, key = row[low], key[low]
+    order = np.lexsort((key, row))
+    row, key = row[order], key[order]
+    few = np.arange(len(row)) - np.searchsorted(row, row) < FIRST
+    row, key = row[few], key[few]
+    return pa.ListArray.from_arrays(pa.array(np.searchsorted(row, np.arange(len(wanted) + 1)), pa.int32()), pa.array(key.view(np.int64)))
+
+
+def sizes(rows: DataFrame, leads: Column) -> DataFrame:
+    """doc_id, n_shingles, sketch of each row, and the smallest signatures of those that lead."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            leading = batch.column(2).to_numpy(zero_copy_only=False).astype(bool)
             for t in kernel.texts(batch.column(1)):
                 hashes, offsets = shingle_sets(t)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(t.first, len(t)), pa.array(np.diff(offsets), pa.int64()), pa.array([x.tobytes() for x in sketches(hashes, offsets)], pa.binary())], ["doc_id", "n_shingles", "sketch"])
+                least = smallest(hashes, offsets, leading[t.first : t.first + len(t)])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(t.first, len(t)), pa.array(np.diff(offsets), pa.int64()), pa.array([x.tobytes() for x in sketches(hashes, offsets)], pa.binary()), least], ["doc_id", "n_shingles", "sketch", "least"])
+
+    return rows.select("doc_id", "text", leads.alias("leads")).mapInArrow(run, "doc_id long, n_shingles long, sketch binary, least array<long>")
+
+
+def best(shared: DataFrame) -> DataFrame:
+    """leader, doc_id: the leader that each set shares most signatures with, the smaller of equals."""
+    return shared.groupBy("doc_id").agg(F.max(F.struct("n", (-F.col("leader")).alias("less"))).alias("best")).select((-F.col("best.less")).alias("leader"), "doc_id")
 
-    return rows.select("doc_id", "text").mapInArrow(run, "doc_id long, n_shingles long, sketch binary")
+
+def first_met(n_of: DataFrame) -> DataFrame:
+    """leader, doc_id: the best leader of each set by smallest signatures; none for sets that share none or lead all."""
+    each = n_of.select("doc_id", F.explode("least").alias("sig"))
+    heads = each.groupBy("sig").agg(F.min("doc_id").alias("leader"), F.max("doc_id").alias("last")).where("leader < last").select("sig", "leader")
+    return best(each.join(heads, "sig").where("leader <> doc_id").groupBy("leader", "doc_id").agg(F.count("*").alias("n")))
+
+
+def placed_in(leads: DataFrame, groups: DataFrame, first: DataFrame) -> DataFrame:
+    """doc_id, text, component, first: what ``buckets`` must know of each set; the id itself where there is none."""
+    known = settled(groups.select(F.col("node").alias("doc_id"), "component").join(first.select("doc_id", F.col("leader").alias("first")), "doc_id", "full"), "known")
+    known = F.broadcast(known) if known.count() <= FEW_IDS else known
+    return leads.select("doc_id", "text").join(known, "doc_id", "left").select("doc_id", "text", F.coalesce("component", "doc_id").alias("component"), F.coalesce("first", "doc_id").alias("first"))
 
 
 def sampled(leads: DataFrame, n: int, of: Callable[[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
@@ -185,43 +225,69 @@ def sampled(leads: DataFrame, n: int, of: Callable[[np.ndarray, np.ndarray], tup
     return key[order], found["leader"].to_numpy(np.int64)[order]
 
 
-def buckets(leads: DataFrame, frequent: np.ndarray, hot: tuple[np.ndarray, np.ndarray], parts: int) -> DataFrame:
-    """leader, doc_id, n: how many signatures each text shares with a leader; none with itself."""
+def buckets(placed: DataFrame, frequent: np.ndarray, hot: tuple[np.ndarray, np.ndarray], parts: int) -> DataFrame:
+    """leader, doc_id, n: how many signatures each text shares with a leader; none with itself.
+
+    ``placed``: doc_id, text, component and first leader. Left out are signatures whose sets are all in one component or
+    are two of which one had the other as its first leader; not the hot ones, whose sets are in many tasks, once each.
+    """
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids = batch.column(0).to_numpy()
+            ids, component, first = (batch.column(k).to_numpy() for k in (0, 2, 3))
+            told = (component != ids) | (first != ids)
             for t in kernel.texts(batch.column(1), 2 << 20):
                 row, key = signatures(*shingle_sets(t), frequent)
-                doc, warm = ids[row + t.first], is_in(key, hot[0])
+                row = row + t.first
+                doc, warm = ids[row], is_in(key, hot[0])
                 part = (key >> np.uint64(32)) % np.uint64(parts)
                 part[warm] = doc[warm].astype(np.uint64) % np.uint64(parts)
                 order = np.lexsort((part, warm))
-                part, key, doc, warm = part[order], key[order], doc[order], warm[order]
+                part, key, doc, warm, row = part[order], key[order], doc[order], warm[order], row[order]
                 edge = np.flatnonzero(np.r_[True, (part[1:] != part[:-1]) | (warm[1:] != warm[:-1])][: len(part)])
                 out = []
                 for a, b in zip(edge.tolist(), [*edge[1:].tolist(), len(part)], strict=True):
                     short = key[a:b] if warm[a] else (key[a:b] & np.uint64(0xFFFFFFFF)).astype("<u4")
-                    out.append((int(part[a]), bool(warm[a]), short.tobytes(), doc[a:b].tobytes()))
+                    some = np.unique(row[a:b][told[row[a:b]] & ~warm[a]])
+                    out.append((int(part[a]), bool(warm[a]), short.tobytes(), doc[a:b].tobytes(), np.stack([ids[some], component[some], first[some]], 1).tobytes()))
                 if out:
-                    yield pa.RecordBatch.from_arrays([pa.array(x, kind) for x, kind in zip(zip(*out, strict=True), (pa.int32(), pa.bool_(), pa.binary(), pa.binary()), strict=True)], ["part", "warm", "sigs", "docs"])
+                    yield pa.RecordBatch.from_arrays([pa.array(x, kind) for x, kind in zip(zip(*out, strict=True), (pa.int32(), pa.bool_(), pa.binary(), pa.binary(), pa.binary()), strict=True)], ["part", "warm", "sigs", "docs", "told"])
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sigs, docs = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
+        sigs, docs, known = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], [np.zeros((0, 3), np.int64)]
         for batch in batches:
-            for part, warm, sig, doc in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for part, warm, sig, doc, told in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 ids = np.frombuffer(doc, np.int64)
                 if warm:
                     yield from met(hot[1][np.searchsorted(hot[0], np.frombuffer(sig, np.uint64))], ids)
                 else:
                     sigs.append(np.frombuffer(sig, "<u4").astype(np.uint64) | np.uint64(part << 32))
                     docs.append(ids)
+                    known.append(np.frombuffer(told, np.int64).reshape(-1, 3))
         sig, doc = np.concatenate(sigs), np.concatenate(docs)
         sigs, docs = [], []
         order = np.lexsort((doc, sig))
         sig, doc = sig[order], doc[order]
-        new = np.r_[True, sig[1:] != sig[:-1]][: len(sig)]
-        yield from met(doc[np.flatnonzero(new)][np.cumsum(new) - 1] if len(sig) else doc, doc)
+        # Most signatures have one set.
+        both = sig[1:] == sig[:-1]
+        several = (np.r_[False, both] | np.r_[both, False])[: len(sig)]
+        sig, doc = sig[several], doc[several]
+        if not len(sig):
+            return
+        told = np.concatenate(known)
+        told = told[np.unique(told[:, 0], return_index=True)[1]]
+        component, first = doc.copy(), doc.copy()
+        hit = is_in(doc, told[:, 0])
+        at = np.searchsorted(told[:, 0], doc[hit])
+        component[hit], first[hit] = told[at, 1], told[at, 2]
+        begin = np.flatnonzero(np.r_[True, sig[1:] != sig[:-1]])
+        end = np.r_[begin[1:], len(sig)] - 1
+        n_ids = np.add.reduceat(np.r_[1, doc[1:] != doc[:-1]], begin)
+        # A group that begins with the id that the one before ends with counts one less.
+        n_ids[1:] += doc[begin[1:]] == doc[begin[1:] - 1]
+        compared = (n_ids == 2) & ((first[end] == doc[begin]) | (first[begin] == doc[end]))
+        keep = np.repeat((np.minimum.reduceat(component, begin) != np.maximum.reduceat(component, begin)) & ~compared, end - begin + 1)
+        yield from met(np.repeat(doc[begin], end - begin + 1)[keep], doc[keep])
 
     def met(leader: np.ndarray, doc: np.ndarray) -> Iterator[pa.RecordBatch]:
         other = leader != doc
@@ -234,7 +300,7 @@ def buckets(leads: DataFrame, frequent: np.ndarray, hot: tuple[np.ndarray, np.nd
             some = new[lo : lo + (1 << 16)]
             yield pa.RecordBatch.from_arrays([pa.array(leader[some]), pa.array(doc[some]), pa.array(n[lo : lo + (1 << 16)], pa.int64())], ["leader", "doc_id", "n"])
 
-    packed = leads.select("doc_id", "text").mapInArrow(spread, "part int, warm boolean, sigs binary, docs binary")
+    packed = placed.select("doc_id", "text", "component", "first").mapInArrow(spread, "part int, warm boolean, sigs binary, docs binary, told binary")
     return packed.repartition(parts, "part").mapInArrow(gather, "leader long, doc_id long, n long").groupBy("leader", "doc_id").agg(F.sum("n").alias("n"))
 
 
@@ -422,22 +488,26 @@ def joined(documents: DataFrame) -> DataFrame:
     spark = documents.sparkSession
     bound_batches(spark)
     rows = leading(documents)
-    n_of = settled(sizes(rows), "shingles")
+    n_of = settled(sizes(rows, F.col("doc_id") == F.col("lead")), "shingles")
     total = n_of.agg(F.count("*").alias("rows"), F.sum("n_shingles").alias("n")).first()
     leads = rows.where("doc_id = lead")
     # About one signature a shingle, and a million of them a partition.
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), (total["n"] or 0) >> 20)
     frequent = sampled(leads, total["rows"], lambda hashes, offsets: (np.repeat(np.arange(len(offsets) - 1), np.diff(offsets)), hashes))[0]
     hot = sampled(leads, total["rows"], lambda hashes, offsets: signatures(hashes, offsets, frequent))
-    found = settled(buckets(leads, frequent, hot, parts), "buckets")
     # An id of several rows holds its rows' components together.
     known = settled(rows.select("doc_id", "lead"), "leads")
     several = known.groupBy("doc_id").agg(F.min("lead").alias("x"), F.max("lead").alias("y")).where("x < y").select("doc_id")
     links = known.join(several, "doc_id").where("doc_id <> lead").select(F.col("doc_id").alias("a"), F.col("lead").alias("b"))
-    # Each text meets the leader that it shares most signatures with, the smaller of equals.
-    met = found.groupBy("doc_id").agg(F.max(F.struct("n", (-F.col("leader")).alias("less"))).alias("best")).select((-F.col("best.less")).alias("leader"), "doc_id")
-    links = settled(links.unionAll(linked_to_leaders(met, leads, parts)), "links")
+    # Each text meets its first leader, then of all signatures between components the leader that it shares most with.
+    first = settled(first_met(n_of), "first")
+    links = settled(links.unionAll(linked_to_leaders(first, leads, parts)), "links")
     groups = components(links)
+    found = settled(buckets(placed_in(leads, groups, first), frequent, hot, parts), "buckets")
+    more = settled(linked_to_leaders(best(found), leads, parts), "links")
+    if not more.isEmpty():
+        links = settled(links.unionAll(more), "links")
+        groups = components(links)
     # Then all that share a leader and are in different components.
     dealt = cells(found, groups, n_of.select("doc_id", "n_shingles", "sketch")).repartition(parts, "leader", "kind", "i", "j").sortWithinPartitions("leader", "kind", "i", "j")
     alive = settled(hopeful(dealt), "hopeful")
@@ -447,7 +517,7 @@ def joined(documents: DataFrame) -> DataFrame:
     least = groups.select(F.col("node").alias("lead"), "component")
     by_id = known.join(least, "lead", "left").groupBy("doc_id").agg(F.min(F.coalesce("component", "lead")).alias("component_id"))
     forget(found, alive)
-    nulls = sizes(documents.where("doc_id IS NULL").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))).select("doc_id", "n_shingles", F.lit(None).cast("long").alias("component_id"))
+    nulls = sizes(documents.where("doc_id IS NULL").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), F.lit(False)).select("doc_id", "n_shingles", F.lit(None).cast("long").alias("component_id"))
     return n_of.join(by_id, "doc_id").select("doc_id", "n_shingles", "component_id").unionAll(nulls)
 
 

@@ -140,6 +140,22 @@ def test_partenum_group_of_thousands(spark):
     assert got == {(i, len(sets[t]), least[top(t)]) for i, t in rows}
 
 
+def test_partenum_signatures_within_a_component_give_no_rows(spark, monkeypatch):
+    """Near copies share hundreds of signatures, in all tasks; once joined, and two that were compared, they leave none of them."""
+    taken = []
+    whole = partenum.settled
+    monkeypatch.setattr(partenum, "settled", lambda df, name: taken.append(whole(df, name)) or taken[-1] if name == "buckets" else whole(df, name))
+    monkeypatch.setattr(partenum, "forget", lambda *frames: None)
+    rows = near_copies(20, 400, 1)
+    # Pairs that share many signatures, but too few shingles to be similar: 22 words apart change 110 of 396.
+    for k in range(20):
+        words = [f"p{k}x{i}" for i in range(400)]
+        rows += [(100 + 2 * k, " ".join(words)), (101 + 2 * k, " ".join("else" if i % 18 == 9 else w for i, w in enumerate(words)))]
+    got = {tuple(r) for r in partenum.joined(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == components_of(rows) and len({r[2] for r in got}) == 41
+    assert len(taken) == 1 and taken[0].count() <= 15
+
+
 def test_partenum_signatures_are_shared_by_similar_sets():
     """Whatever is frequent, and in whatever shingles they differ: PartEnum's promise, on random sets of all sizes."""
     import numpy as np
