@@ -8,8 +8,9 @@ terms, so that the sum over pairs of a long text stays in proportion.
 
 Training: at most ``per_class`` labelled rows of either class, with all their terms; none is screened out beforehand, since
 the terms of a telling pair may each say nothing alone. The machine is fitted on the driver by numpy (AdaGrad) from each
-sampled row's list of terms; rows are bounded by ``per_class`` whatever the input. A penalty on the size of weights and
-vectors makes most of them zero while the model is learned. A fifth of the rows, when there are ``CALIBRATED`` or more, is
+sampled row's list of terms; rows are bounded by ``per_class`` whatever the input, but their texts are not, so the lists
+come a partition at a time and lie in files of the driver: its memory holds the distinct terms and one batch of rows. A
+penalty on the size of weights and vectors makes most of them zero while the model is learned. A fifth of the rows, when there are ``CALIBRATED`` or more, is
 kept out to fit a slope and shift of the logit, since a penalised model is too careful. Scoring looks at every word of
 every whole text.
 
@@ -20,8 +21,10 @@ repeated rows are scored alike; other columns are ignored.
 
 from __future__ import annotations
 
+import tempfile
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from functools import cmp_to_key
 
 import numpy as np
 import pyarrow as pa
@@ -36,8 +39,8 @@ FACTORS = 8
 PREFIXES = (4, 5, 6)
 #: Rows from which on a fifth of them calibrates.
 CALIBRATED = 200
-#: Terms that the driver works on at once.
-PIECE = 1 << 16
+#: Terms that the driver works on at once, and when it gathers distinct ones.
+PIECE, LARGE = 1 << 16, 1 << 20
 
 
 def terms(t: kernel.Texts) -> tuple[np.ndarray, np.ndarray]:
@@ -89,8 +92,8 @@ def summed(row: np.ndarray, slot: np.ndarray, share: np.ndarray, weights: np.nda
     return np.bincount(row, weights[slot], len(share)) + 0.5 * share * pairs
 
 
-def fit(rows: np.ndarray, slots: np.ndarray, labels: np.ndarray, n_slots: int, share: np.ndarray, factors: int = FACTORS, epochs: int = 30, batch: int = 64, rate: float = 0.1, sparse: float = 0.05, sparse_pairs: float = 0.02, seed: int = 7) -> tuple[float, np.ndarray, np.ndarray]:
-    """Weights from the terms of labelled rows: slots[k] occurs in rows[k], ordered by row; share: of a row's pairs.
+def fit(begin: np.ndarray, size_of: np.ndarray, slots: np.ndarray, labels: np.ndarray, n_slots: int, share: np.ndarray, factors: int = FACTORS, epochs: int = 30, batch: int = 64, rate: float = 0.1, sparse: float = 0.05, sparse_pairs: float = 0.02, seed: int = 7) -> tuple[float, np.ndarray, np.ndarray]:
+    """Weights from the terms of labelled rows: row i has ``size_of[i]`` slots from ``begin[i]`` on; share: of a row's pairs.
 
     Log-loss by AdaGrad, a rate a slot. After each step every weight is moved towards zero by ``sparse`` and every vector
     by ``sparse_pairs``, times its rate and over the root of the number of rows, and stays there when it gets there; a slot
@@ -100,7 +103,7 @@ def fit(rows: np.ndarray, slots: np.ndarray, labels: np.ndarray, n_slots: int, s
     rng = np.random.default_rng(seed)
     w0, w, v = 0.0, np.zeros(n_slots), rng.normal(0, 0.1, (n_slots, factors))
     g0, gw, gv, seen, step = 1e-8, np.full(n_slots, 1e-6), np.full(n_slots, 1e-6), np.zeros(n_slots, np.int64), 0
-    at = np.searchsorted(rows, np.arange(len(labels) + 1, dtype=rows.dtype))
+    used, place = np.zeros(n_slots, bool), np.zeros(n_slots, np.int32)
 
     def shrink(u: np.ndarray) -> None:
         steps = step - seen[u]
@@ -113,14 +116,18 @@ def fit(rows: np.ndarray, slots: np.ndarray, labels: np.ndarray, n_slots: int, s
         order = rng.permutation(len(labels))
         for lo in range(0, len(order), batch):
             docs = order[lo : lo + batch]
-            size = at[docs + 1] - at[docs]
+            size = size_of[docs]
             doc = np.repeat(np.arange(len(docs)), size)
-            u, s = np.unique(slots[np.repeat(at[docs] - np.r_[0, np.cumsum(size)[:-1]], size) + np.arange(size.sum())], return_inverse=True)
+            own = np.concatenate([slots[begin[d] : begin[d] + size_of[d]] for d in docs.tolist()])
+            used[own] = True
+            u = np.flatnonzero(used)
+            used[u] = False
+            place[u] = np.arange(len(u))
+            s = place[own]
             shrink(u)
             wu, vu, c = w[u], v[u], share[docs]
-            vs = vu[s]
-            total = np.stack([np.bincount(doc, vs[:, k], len(docs)) for k in range(factors)], 1)
-            square = np.bincount(doc, (vs**2).sum(1), len(docs))
+            total = np.stack([np.bincount(doc, vu[:, k][s], len(docs)) for k in range(factors)], 1)
+            square = np.bincount(doc, (vu**2).sum(1)[s], len(docs))
             z = w0 + np.bincount(doc, wu[s], len(docs)) + 0.5 * c * ((total**2).sum(1) - square)
             error = (1 / (1 + np.exp(-np.clip(z, -50, 50))) - labels[docs]) / len(docs)
             paired = (error * c)[doc]
@@ -153,6 +160,25 @@ def calibrated(logits: np.ndarray, labels: np.ndarray) -> tuple[float, float]:
     return max(float(a), 0.1), float(b)
 
 
+def on_disk(lists: Iterator[bytes], kind: str) -> np.ndarray:
+    """All lists, one after another, as an array in a file of the driver that goes with it."""
+    with tempfile.TemporaryFile() as file:
+        n = sum(file.write(x) for x in lists)
+        file.flush()
+        return np.memmap(file, kind, "r") if n else np.zeros(0, kind)
+
+
+def in_order(flat: np.ndarray, at: np.ndarray, marks: list[int]) -> np.ndarray:
+    """Rows in the order of their lists' bytes, then labels, so that the fit does not depend on how rows are split."""
+    heads = [flat[lo : min(lo + 16, hi)].tobytes() for lo, hi in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
+
+    def compare(i: int, j: int) -> int:
+        x, y = ((heads[i], marks[i]), (heads[j], marks[j])) if heads[i] != heads[j] else ((flat[at[k] : at[k + 1]].tobytes(), marks[k]) for k in (i, j))
+        return (x > y) - (x < y)
+
+    return np.array(sorted(range(len(marks)), key=cmp_to_key(compare)), np.int64)
+
+
 def train(documents: DataFrame, labels: DataFrame, held_out: Column, per_class: int = 4000) -> Machine:
     bound_batches(documents.sparkSession)
     sample, counts = labelled.training_sample(documents, labels, "toxic", held_out, per_class)
@@ -165,24 +191,32 @@ def train(documents: DataFrame, labels: DataFrame, held_out: Column, per_class:
                 lists = [bucket[at[i] : at[i + 1]].astype("<u4").tobytes() for i in range(len(t))]
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(t.first, len(t)), pa.array(lists, pa.binary())], ["label", "buckets"])
 
-    got = sorted((bytes(r["buckets"]), int(r["label"])) for r in sample.mapInArrow(listed, "label int, buckets binary").collect())
-    y = np.array([x[1] for x in got], float)
+    # A job a partition, so that the driver never holds all lists.
+    found = sample.mapInArrow(listed, "label int, buckets binary").toLocalIterator(prefetchPartitions=True)
+    sizes, marks = [], []
+
+    def bodies() -> Iterator[bytes]:
+        for r in found:
+            sizes.append(len(r["buckets"]) // 4)
+            marks.append(r["label"])
+            yield r["buckets"]
+
+    flat = on_disk(bodies(), "<u4")
+    at = np.cumsum([0, *sizes])
+    order = in_order(flat, at, marks)
+    begin, size, y = at[order], np.array(sizes, np.int64)[order], np.array(marks, float)[order]
     if len(set(y.tolist())) < 2:
         return Machine(0.0, np.zeros(0, np.uint64), np.zeros(0), np.zeros((0, FACTORS)))
-    at = np.cumsum([0, *(len(x[0]) // 4 for x in got)])
-    flat = np.frombuffer(b"".join(x[0] for x in got), "<u4")
-    del got
-    # Places in 32 bits, and all that has a number a term in pieces: the driver's memory is small.
-    buckets, slots = np.unique(flat), np.empty(len(flat), np.int32)
-    for lo in range(0, len(flat), PIECE):
-        slots[lo : lo + PIECE] = np.searchsorted(buckets, flat[lo : lo + PIECE])
+    buckets = np.zeros(0, "<u4")
+    for lo in range(0, len(flat), LARGE):
+        buckets = np.union1d(buckets, flat[lo : lo + LARGE])
+    slots = on_disk((np.searchsorted(buckets, flat[lo : lo + PIECE]).astype(np.int32).tobytes() for lo in range(0, len(flat), PIECE)), "=i4")
     del flat
-    share = 1 / np.maximum(np.diff(at), 1)
+    share = 1 / np.maximum(size, 1)
     aside = np.random.default_rng(5).random(len(y)) < (0.2 if len(y) >= CALIBRATED else 0.0)
     own = np.flatnonzero(~aside)
-    rows = np.repeat(np.arange(len(own), dtype=np.int32), np.diff(at)[own])
-    w0, w, v = fit(rows, slots[np.repeat(~aside, np.diff(at))], y[own], len(buckets), share[own])
-    z = [summed(np.zeros(at[i + 1] - at[i], np.int64), slots[at[i] : at[i + 1]], share[i : i + 1], w, v) for i in np.flatnonzero(aside)]
+    w0, w, v = fit(begin[own], size[own], slots, y[own], len(buckets), share[own])
+    z = [summed(np.zeros(size[i], np.int64), slots[begin[i] : begin[i] + size[i]], share[i : i + 1], w, v) for i in np.flatnonzero(aside)]
     slope, shift = calibrated(w0 + np.concatenate([*z, np.zeros(0)]), y[aside])
     told = (w != 0) | (v != 0).any(1)
     bias = slope * w0 + shift + labelled.prior_shift(counts, y)

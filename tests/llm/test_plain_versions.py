@@ -5,10 +5,14 @@ from __future__ import annotations
 import bisect
 import gzip
 import json
+import os
 import random
 import re
+import subprocess
+import sys
 import time
 import zlib
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
@@ -89,6 +93,25 @@ def test_toxicity_learns_pairs_of_terms_that_say_nothing_alone(spark):
     assert sum(r["predicted"] == known[r["doc_id"]] for r in got) > 0.95 * len(got)
 
 
+SMALL_DRIVER = """
+import random
+from pyspark.sql import SparkSession
+from quillon.llm import labelled, toxicity_fm
+conf = {"spark.driver.maxResultSize": "512k", "spark.sql.shuffle.partitions": "16", "spark.sql.adaptive.advisoryPartitionSizeInBytes": "64k", "spark.sql.adaptive.coalescePartitions.minPartitionSize": "16k", "spark.ui.enabled": "false"}
+spark = SparkSession.builder.master("local[2]").config(map=conf).getOrCreate()
+rng = random.Random(4)
+rows = [(k, " ".join(f"w{rng.randrange(9000)}" for _ in range(3000)) + (" awful" if k % 2 else "")) for k in range(150)]
+docs, marked = spark.createDataFrame(rows, "doc_id long, text string").repartition(4), spark.createDataFrame([(k, k % 2) for k, _ in rows], "doc_id long, toxic int")
+print("terms", len(toxicity_fm.train(docs, marked, labelled.bucket_of(5) == 0).buckets))
+"""
+
+
+def test_toxicity_lists_do_not_come_to_the_driver_at_once(spark):
+    """Long labelled texts: their lists of terms, 1.5 MB and more, go through a driver that takes half a MB at a time."""
+    ran = subprocess.run([sys.executable, "-c", SMALL_DRIVER], cwd=Path(toxicity_fm.__file__).parents[2], env={k: v for k, v in os.environ.items() if k != "PYSPARK_GATEWAY_PORT"}, capture_output=True, text=True, timeout=300)
+    assert re.search(r"terms [1-9]", ran.stdout), ran.stderr[-2000:]
+
+
 def test_quality_equals_a_plain_forward_pass(spark):
     docs, labels = labelled_documents(spark, "quality")
     held_out = labelled.bucket_of(3) == 1
