@@ -122,15 +122,20 @@ def findings(spark: SparkSession, per_kind: int = 240) -> DataFrame:
     }
     words = "array('the', 'and of', 'in that', 'with', 'por la', 'der die', 'le des', 'value', 'see', 'set')"
     paths = "array('', 'src0', 'src/app/config.yml', 'docs/readme.md', 'tests/test_login.py', 'deploy/.env', 'lib/util.py', 'src7')"
-    out = None
-    rows = spark.range(per_kind).withColumnRenamed("id", "i")
-    for k, (value, (before, label)) in enumerate(kinds.items()):
-        left = "'" + before.replace("'", "''").replace("'' || (i % 99) || ''", "' || (i % 99) || '").replace("{w}", "' || w || ' ") + "'"
-        part = rows.selectExpr("i", f"sha2(concat('finding-', {k}, '-', i), 256) as h", f"element_at({words}, cast(1 + pmod(xxhash64(i, {k}), 10) as int)) as w", f"element_at({paths}, cast(1 + pmod(xxhash64(i, {k}, 'p'), 8) as int)) as path")
-        quote = "'\"'" if before.endswith('"') else "''''" if before.endswith("'") else "''"
-        part = part.selectExpr(f"{left} as before", f"trim({value}) as value", f"{quote} || ' ' || w as after", "path", f"{label} as label")
-        out = part if out is None else out.unionAll(part)
-    return out
+    befores, values, afters, labels = [], [], [], []
+    for value, (before, label) in kinds.items():
+        befores.append("'" + before.replace("'", "''").replace("'' || (i % 99) || ''", "' || (i % 99) || '").replace("{w}", "' || w || ' ") + "'")
+        values.append(f"trim({value})")
+        afters.append(("'\"'" if before.endswith('"') else "''''" if before.endswith("'") else "''") + " || ' ' || w")
+        labels.append(str(label))
+
+    def of_kind(each: list[str]) -> str:
+        return "CASE k " + " ".join(f"WHEN {k} THEN {x}" for k, x in enumerate(each)) + " END"
+
+    # All kinds in one pass: a union of them has a task for each kind and core, and a plan that grows with their number.
+    rows = spark.range(per_kind).selectExpr("id as i", f"explode(sequence(0, {len(kinds) - 1})) as k")
+    rows = rows.selectExpr("i", "k", "sha2(concat('finding-', k, '-', i), 256) as h", f"element_at({words}, cast(1 + pmod(xxhash64(i, k), 10) as int)) as w", f"element_at({paths}, cast(1 + pmod(xxhash64(i, k, 'p'), 8) as int)) as path")
+    return rows.selectExpr(f"{of_kind(befores)} as before", f"{of_kind(values)} as value", f"{of_kind(afters)} as after", "path", f"{of_kind(labels)} as label")
 
 
 #: A leaf is the share of secrets that reach it; else (feature, threshold, what is at most it, what is above).

@@ -220,6 +220,21 @@ def test_secrets_equal_a_plain_version(spark):
         assert tuple(r)[4:] == secret_rows()[0][4:]
 
 
+def test_findings_take_few_tasks_and_the_forest_does_not_depend_on_shuffle_partitions(spark):
+    labelled_rows = secrets_forest.findings(spark)
+    assert labelled_rows.rdd.getNumPartitions() <= spark.sparkContext.defaultParallelism
+    forest = secrets_forest.train(labelled_rows, trees=4)
+    settings = {"spark.sql.shuffle.partitions": "23", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in settings}
+    try:
+        for k, v in settings.items():
+            spark.conf.set(k, v)
+        assert secrets_forest.train(secrets_forest.findings(spark), trees=4) == forest
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
 def test_forest_scores_like_the_fitted_model_and_on_held_out_findings(spark):
     from pyspark.ml.classification import RandomForestClassifier
     from pyspark.ml.feature import VectorAssembler
