@@ -345,3 +345,27 @@ def test_pattern_hits_that_share_an_edge_count_as_in_sql(spark, tmp_path):
         want = sorted(db.execute(queries.ORACLE_SQL["pattern_hits"]).fetchall())
     assert sorted(map(tuple, queries.pattern_hits(spark, str(tmp_path)).collect())) == want
     assert dict(want)[0] == 1 and dict(want)[2] == 2
+
+
+def test_chat_detects_each_distinct_text_once(spark, monkeypatch):
+    """And answers as if each message were detected by itself, with what is redacted, missing or empty."""
+    texts = [*(g[0] for g in GOLDEN), "sim sim", "paguei com 4111 1111 1111 1111", "paguei com 4222 2222 2222 2222", "bearer abc.def", "minha senha é x9", "", "   ", None]
+    rng = random.Random(3)
+    rows = [(None if k % 50 == 0 else f"s{k % 40}", k, rng.choice(texts)) for k in range(4000)]
+    turns = spark.createDataFrame(rows, "session_id string, turn int, text string")
+    want = sorted(map(tuple, chat.fold(chat.prepared(turns)).collect()), key=repr)
+    detected = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            detected.add(batch.num_rows)
+            yield batch
+
+    monkeypatch.setattr(chat, "detect", lambda messages, *settings: detect(messages.mapInArrow(counted, messages.schema), *settings))
+    got = chat.chat(turns)
+    assert sorted(map(tuple, got.collect()), key=repr) == want and len(want) == 4000
+    # Of redacted texts, of which some are alike; a missing one is empty.
+    n = len({r[3] for r in want})
+    assert n == len(texts) - 3 and detected.value == n
+    chat.log_rows(got, F.current_timestamp()).count()
+    assert detected.value == n
